@@ -162,3 +162,13 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(among, values), len(among) - 1)
     return among[at] == values
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 letters in lower case; lengths stay."""
+    out = buf.copy()
+    out[(buf >= 65) & (buf <= 90)] += 32
+    if len(buf) > 1:
+        latin = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+        out[latin] += 32
+    return out

@@ -1,0 +1,404 @@
+"""The numbered operators against brute force, the tokenizers library, and odd rows."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, queries, substring, urls
+
+SF = "/root/testdata/sf0.01"
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, `id` string, `key` int, `host` string"
+
+
+def rows(name, *columns):
+    return pq.read_table(f"{SF}/{name}.parquet", columns=list(columns) or None).to_pylist()
+
+
+def docs(spark, texts, langs=None):
+    data = [(i, t, langs[i] if langs else None, "s", None, 1.0, "x", i, "h") for i, t in enumerate(texts)]
+    return spark.createDataFrame(data, EXTRA)
+
+
+ODD = [None, "", "  \n\n ", "one", "a b c d e f", "a b c d e f", "x\ny\nz\nx\ny\nz", "é" * 5000 + " " + "word " * 3000]
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+# 1 ---------------------------------------------------------------------------
+
+
+def test_search_recall_and_scores(spark):
+    got = queries.op1_inverted_multi_index(spark, SF).collect()
+    data = {r["vec_id"]: r["embedding"] for r in rows("embeddings")}
+    data = {i: np.array(v, np.float64) for i, v in data.items() if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ids = np.array(sorted(data))
+    matrix = np.stack([data[i] for i in ids])
+    found, right = {}, 0
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    asked = [i for i in ids.tolist() if i % 20 == 0]
+    assert sorted(found) == asked
+    for q in asked:
+        s = matrix @ data[q]
+        order = [i for i in ids[np.lexsort((ids, -s))].tolist() if i != q][:20]
+        mine = sorted(found[q])
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert all(abs(float(data[v] @ data[q]) - x) < 1e-12 for _, v, x in mine)
+        right += len({v for _, v, _ in mine} & set(order))
+    assert right / (20 * len(asked)) >= 0.9
+
+
+def test_search_odd_vectors(spark):
+    same = [[1.0, 2.0, 3.0, 4.0]] * 30
+    odd = [None, [0.0] * 4, [1.0, None, 1.0, 1.0], [float("nan"), 1.0, 1.0, 1.0], [1.0, 1.0]]
+    data = [(i, v, "x", 1) for i, v in enumerate(same + odd)] + [(None, same[0], "x", 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, id string, rank int")
+    got = neighbours.nearest(df, df.where("vec_id in (0, 31, 3)"), 5).collect()
+    assert [(r[0], r[1], r[2]) for r in sorted(got)] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (0, 5, 5), (3, 1, 0), (3, 2, 1), (3, 3, 2), (3, 4, 4), (3, 5, 5)]
+    assert {r[3] for r in got} == {30.0}
+    assert neighbours.nearest(df.limit(0), df).count() == 0
+    assert neighbours.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
+
+
+def test_walk_is_by_ascending_sum():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=7), rng.normal(size=5)
+    got = neighbours.walk(a, b, np.ones(35, int), 35)
+    sums = [a[c // 5] + b[c % 5] for c in got]
+    assert sums == sorted(sums) and len(set(got)) == 35
+
+
+# 2 ---------------------------------------------------------------------------
+
+
+def removed_by_brute_force(texts, n):
+    seen, out = {}, []
+    split = [words(t) for t in texts]
+    for ws in split:
+        for i in range(len(ws) - n + 1):
+            w = tuple(ws[i : i + n])
+            seen[w] = seen.get(w, 0) + 1
+    for ws in split:
+        gone = [False] * len(ws)
+        for i in range(len(ws) - n + 1):
+            if seen[tuple(ws[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        out.append((len(ws), sum(gone), " ".join(w for w, g in zip(ws, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_repeated_passages(spark, n):
+    rng = np.random.default_rng(n)
+    texts = ODD + [" ".join(rng.choice(list("abcd"), rng.integers(0, 40)).tolist()) for _ in range(60)]
+    got = substring.remove_repeated_passages(docs(spark, texts), min_words=n).collect()
+    assert [(r["n_words"], sum(s["past"] - s["first"] for s in r["spans"]), r["kept"]) for r in sorted(got)] == removed_by_brute_force(texts, n)
+    assert substring.remove_repeated_passages(docs(spark, []), min_words=n).count() == 0
+
+
+def test_repeated_passages_query(spark):
+    got = {r["doc_id"]: r for r in queries.op2_substring_dedup(spark, SF).collect()}
+    table = rows("documents", "doc_id", "text")
+    for r, (n, gone, kept) in zip(table, removed_by_brute_force([r["text"] for r in table], 35)):
+        g = got[r["doc_id"]]
+        assert (g["n_words"], g["n_removed"], g["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+# 3 ---------------------------------------------------------------------------
+
+
+def test_main_text(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+    <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">Cookies</div>
+    <div class=ad>Buy</div><article><h1>Head &amp; tail</h1><p><b>One   two<br><p>Three&nbsp;&#233;<p>a &lt; b</p><ul><li>i<li>j</ul>
+    <aside>Aside</aside><form><input value="x">Send</form><section id="comments"><p>First!</p></section><pre>x
+    y</pre></article><!-- no --><footer>&copy; me</footer></body></html>"""
+    data = [(1, "http://a.example/x", page, "h", 1), (2, None, None, "h", 1), (3, "", "", "h", 1), (4, "http://a.example/y", "<p>loose <b>text", "h", 1)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, host string, template int")
+    got = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    assert got == {1: "Head & tail\nOne two\nThree é\na < b\ni\nj\nx y", 2: "", 3: "", 4: "loose text"}
+    assert html.extract_text(df.limit(0)).count() == 0
+
+
+def test_site_templates_go(spark):
+    body = "<div><div class=x>Our site since 1999</div><p>Story {0} of this page</p><p>Common line</p><div><span>Call us</span></div></div>"
+    data = [(i, f"http://h.example/{i}", body.format(i)) for i in range(12)] + [(99, "http://other.example/", body.format(99))]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3 of this page"
+    assert got[99] == "Our site since 1999\nStory 99 of this page\nCommon line\nCall us"
+    copies = [(i, f"http://h.example/{i}", "<article><div><p>Same story</p></div></article>") for i in range(12)]
+    got = html.extract_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"Same story"}
+
+
+def test_main_text_query(spark):
+    got = {r["page_id"]: r for r in queries.op3_main_text(spark, SF).collect()}
+    from html import unescape
+
+    for r in rows("pages"):
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        want = "\n".join(t for t in (" ".join(unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in re.split(r"<p>|</p>|<h1>|</h1>|<br>", inner)) if t)
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+# 4 ---------------------------------------------------------------------------
+
+
+def test_language_query(spark):
+    got = {r["doc_id"]: r for r in queries.op4_language(spark, SF).collect()}
+    table = rows("documents", "doc_id", "text", "lang")
+    assert len(got) == len(table)
+    held = [r for r in table if held_out(r["doc_id"])]
+    assert all(got[r["doc_id"]]["held_out"] == held_out(r["doc_id"]) for r in table)
+    assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_odd_texts(spark):
+    train = docs(spark, ["der die das und nicht " * 20, "the and that with this " * 20, None, "x"], ["de", "en", "en", None])
+    f = language.learn(train)
+    got = {r["id"]: (r["lang_pred"], r["score"] > 0) for r in language.identify(docs(spark, ["Das und die", "THE WITH", None, "", "12 !?", "😀 —", "zzzz"]), f).collect()}
+    assert got == {0: ("de", True), 1: ("en", True), 2: ("und", False), 3: ("und", False), 4: ("und", False), 5: ("und", False), 6: (f.usual, False)}
+    empty = language.learn(train.limit(0))
+    assert {r["lang_pred"] for r in language.identify(train, empty).collect()} == {"und"}
+
+
+def test_language_filters_have_no_false_negatives():
+    rng = np.random.default_rng(2)
+    members = [np.unique(rng.integers(0, 1 << 32, 500, dtype=np.uint32)) for _ in range(11)]
+    f = language.Filters([str(i) for i in range(11)], members, "0")
+    for k, g in enumerate(members):
+        share, n = f.counts(g, np.zeros(len(g), int), 1)
+        assert share[0, k] == 1 and n[0] == len(g) and share[0].sum() < 1.2
+
+
+# 5 ---------------------------------------------------------------------------
+
+
+def classes_by_brute_force(texts, n=5, threshold=0.8):
+    sets = []
+    for t in texts:
+        ws = words(t)
+        sets.append({tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set())
+    root, links = list(range(len(texts))), {}
+    by = {}
+    for i, s in enumerate(sets):
+        if s:
+            by.setdefault(frozenset(s), []).append(i)
+    find = lambda x: x if root[x] == x else find(root[x])
+    keys = list(by)
+    where = {}
+    for k, s in enumerate(keys):
+        for g in s:
+            where.setdefault(g, []).append(k)
+    for k, s in enumerate(keys):
+        for m in by[s]:
+            root[find(m)] = min(find(m), find(by[s][0]))
+        met = {}
+        for g in s:
+            for o in where[g]:
+                met[o] = met.get(o, 0) + 1
+        for o, both in met.items():
+            if o != k and both >= threshold * (len(s) + len(keys[o]) - both) - 1e-9:
+                links[k] = links.get(k, 0) + 1
+                a, b = find(by[s][0]), find(by[keys[o]][0])
+                root[max(a, b)] = min(a, b)
+    count = {i: links.get(k, 0) for k, s in enumerate(keys) for i in by[s]}
+    return {i: (find(i), count.get(i, 0)) for i in range(len(texts))}
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(3)
+    base = [[str(x) for x in rng.integers(0, 5000, 120)] for _ in range(12)]
+    texts = list(ODD)
+    for b in base:
+        for _ in range(10):
+            c = list(b)
+            for i in rng.integers(0, 120, rng.integers(0, 5)):
+                c[i] = "new"
+            texts.append(" ".join(c))
+    got = {r["node"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == classes_by_brute_force(texts)
+    assert jaccard.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_near_duplicates_query(spark):
+    table = sorted(rows("documents", "doc_id", "text"), key=lambda r: r["doc_id"])
+    want = classes_by_brute_force([r["text"] for r in table])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.op5_jaccard_join(spark, SF).collect()}
+    assert got == {table[i]["doc_id"]: (table[c]["doc_id"], n) for i, (c, n) in want.items()}
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    texts = [" ".join(str(i) for i in range(200)) + f" {k}" for k in range(40)]
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    got = jaccard.near_duplicates(docs(spark, texts)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 39)}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    one, other = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
+    df = spark.createDataFrame([(1, one, 1), (1, one, 1), (None, one, 2), (2, other, 3), (None, None, 4)], "doc_id long, text string, node int")
+    kept = jaccard.keep_one(df).collect()
+    assert sorted((r["doc_id"] is None, r["text"] or "") for r in kept) == [(False, other), (True, ""), (True, one)]
+
+
+# 6 ---------------------------------------------------------------------------
+
+
+def test_lines(spark):
+    a, b = "l1\nl2\nl3\nl4", "new\nl1\nl2\nl3\nl4\nend"
+    texts = [*ODD, a, b, "\n\n\n\n", "l2\nl3"]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    n = len(ODD)
+    assert got[n] == (a, 0) and got[n + 1] == ("new\nend", 4) and got[n + 2] == ("\n\n\n\n", 0) and got[n + 3] == ("l2\nl3", 0)
+    assert got[0] == (None, 0) and got[1] == ("", 0) and got[6] == ("x\ny\nz", 3)
+    again = spark.createDataFrame([(1, a), (1, a), (None, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"] is None, r["text"]) for r in lines.dedup_lines(again).collect()) == [(False, ""), (False, ""), (True, a)]
+    assert lines.dedup_lines(docs(spark, [])).count() == 0
+
+
+# 7 ---------------------------------------------------------------------------
+
+
+def test_leaks(spark):
+    item = "If a train leaves Boston at 9 and goes 60 km in 2 hours how far has the train gone when Alice meets Alice in Boston"
+    moved = item.replace("Boston", "Paris").replace("Alice", "Bob").replace("60", "75").replace("9", "11")
+    torn = item.replace("Alice meets Alice", "Alice meets Carol")
+    texts = [f"Intro words here. {item} and more", f"x\n{moved}", "a clean text about trains that leave at 9 and go 60 km", *ODD]
+    bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "two words", "x"), (5, item, "x")], "item_id long, text string, id string")
+    got = {r["id"]: (r["item_ids"], r["verbatim"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {0: ([1, 5], True), 1: ([1, 5], False)}
+    short = spark.createDataFrame([(1, "why does the Alice meet the Alice here")], "item_id long, text string")
+    got = decontaminate.contaminated(docs(spark, ["why does the Bob meet the Bob here", "why does the Bob meet the Eve here"]), short).collect()
+    assert [r["id"] for r in got] == [0] and torn
+    assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
+    assert decontaminate.decontaminate(docs(spark, texts), bench).count() == len(texts) - 2
+
+
+def test_leaks_query(spark):
+    got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op7_decontamination(spark, SF).collect()}
+    plain = lambda t: " ".join(w.strip(".,!?;:").lower() for w in words(t))
+    items = {r["item_id"]: plain(r["text"]).split() for r in rows("benchmark")}
+    grams = {}
+    for i, ws in items.items():
+        for k in range(len(ws) - 12):
+            grams.setdefault(" ".join(ws[k : k + 13]), set()).add(i)
+    for r in rows("documents", "doc_id", "text"):
+        ws = plain(r["text"]).split()
+        hit = set().union(*(grams.get(" ".join(ws[k : k + 13]), set()) for k in range(len(ws) - 12)))
+        assert hit == got.get(r["doc_id"], set()), r["doc_id"]
+
+
+def test_blocks_of_the_benchmark_agree(spark):
+    d, b = queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark")
+    whole, parts = decontaminate.contaminated(d, b), decontaminate.contaminated(d, b, block=200)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+
+
+# 8 ---------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    cases = ["http://www.Example.com/en/1?x#y", "https://a.example.com/en/", "https://b.net/es/x", "ftp://x.org/", None, "", "no scheme/com", "http://net/fr/?q", "http://spam-farm.example.org", "http://x.spam-farm.example.org/a", "http://badnet/es/"]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(cases)], "page_id long, url string, host string, verdict string")
+    listed = spark.createDataFrame([("spam-farm.example.org/",), (None,)], "url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(df, urls.entries(spark, queries.RULES, listed)).collect()}
+    assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert got[1] == ("a.example.com", "/en/", "example.com/en/", "block")
+    assert got[2] == ("b.net", "/es/x", "net/es/", "block")
+    assert got[3] == ("x.org", "/", None, "allow")
+    assert got[4] == got[5] == got[6] == ("", "", None, "allow")
+    assert got[7] == ("net", "/fr/", "net/fr/", "block")
+    assert got[8] == ("spam-farm.example.org", "", None, "allow") and got[9][2:] == (None, "block")
+    assert got[10] == ("badnet", "/es/", None, "allow")
+    assert urls.judge_urls(df.limit(0), urls.entries(spark, [], listed.limit(0))).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(df, urls.entries(spark, [], None)).collect()} == {"allow"}
+
+
+def test_bloom_filter_passes_every_listed_key(spark):
+    keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("entry"))
+    words_ = urls.bloom_filter(keys, "entry", 125)
+    probe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("entry"), "id").withColumn("block", urls._block(F.col("entry"), 125)).join(words_, "block")
+    passed = {r["id"] for r in probe.where(F.col("word").bitwiseAND(urls._mask(F.col("entry"))) == urls._mask(F.col("entry"))).collect()}
+    assert set(range(500)) <= passed and len(passed) < 900
+
+
+# 9 ---------------------------------------------------------------------------
+
+
+def test_quality_query(spark):
+    got = {r["doc_id"]: r for r in queries.op9_quality(spark, SF).collect()}
+    label = {r["doc_id"]: r["quality"] for r in rows("labels")}
+    held = [i for i in label if held_out(i) and i in got]
+    right = [got[i]["predicted"] == label[i] for i in held]
+    assert sum(right) / len(right) > 0.93 and len(got) == len(rows("documents", "doc_id"))
+    bad, good = [got[i]["score"] for i in held if not label[i]], [got[i]["score"] for i in held if label[i]]
+    assert np.mean([a < b for a in bad for b in good]) > 0.97
+
+
+def test_quality_odd_texts(spark):
+    labels = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (6, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, score int")
+    model = quality.train(docs(spark, ODD), labels)
+    got = quality.score(docs(spark, ODD).select("doc_id", "text", "key"), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    none = quality.train(docs(spark, ODD), labels.limit(0))
+    assert {r["score"] for r in quality.score(docs(spark, ODD).select("doc_id", "text"), none).collect()} == {0.5}
+    assert quality.score(docs(spark, []).select("doc_id", "text"), model).count() == 0
+    kept = quality.filter_quality(docs(spark, ODD).select("doc_id", "text", "lang"), none)
+    assert kept.columns == ["doc_id", "text", "lang"] and sorted(r["text"] or "" for r in kept.collect()) == sorted(t or "" for t in ODD)
+
+
+# 10 --------------------------------------------------------------------------
+
+
+def test_bpe_is_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    texts = [*ODD, "It's 12,500 o'clock — l'été  \t\n\n x<|endoftext|>y <|endoftext|>", "a" * 700, "ab" * 400 + "!" * 300, "日本語 العربية हिन्दी \x00\x1c\x85　z", "   x", "'S 'RE 're", "👨‍👩‍👧 ñandú"]
+    texts += [r["text"] for r in rows("documents", "text")[:200]]
+    out = bpe.decode(bpe.encode(docs(spark, texts), path), path).collect()
+    for r in out:
+        want = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == want
+        assert r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
+    assert bpe.encode(docs(spark, []), path).count() == 0
+
+
+def test_bpe_query(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    got = {r["doc_id"]: r for r in queries.op10_bpe(spark, "/root/testdata/sf0.001").collect()}
+    for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist():
+        ids, text = library.encode(r["text"] or "", add_special_tokens=False).ids, (r["text"] or "").encode()
+        g = got[r["doc_id"]]
+        assert (g["n_tokens"], g["ids_sha256"], g["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest())
+
+
+# all -------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql_agrees(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, SF).select(*sorted(want.columns))
+    order = [want.columns.index(c) for c in sorted(want.columns)]
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
