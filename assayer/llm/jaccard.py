@@ -12,7 +12,7 @@
    the tile. A tile sends counts and a spanning forest, never its pairs.
 4. The forests' connected components are the near-duplicate classes.
 
-A pair at the threshold shares no band with probability below 6e-6, and is
+A pair at the threshold shares no band with probability below 3e-6, and is
 pruned with probability of about ``TOLERANCE``.
 """
 
@@ -31,10 +31,10 @@ from assayer.llm import arrays as A
 from assayer.llm.shared import keep
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 32, 5
 TOLERANCE = 1e-7
 #: MinHash values compared between two looks at the posterior.
-STEP = 40
+STEP = 32
 #: Rows and shingles of a block, at most about; a tile holds two blocks.
 BLOCK, BLOCK_SHINGLES = 4096, 3_000_000
 _odd = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,19 +102,25 @@ def _sets(words: int, kept: list[str]):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every end of ``edges`` (``a``, ``b``; longs).
 
-    Each round every node takes the least label among its neighbours, then its
-    label's label. Labels are written to the shared folder between rounds.
+    Each round merges every node into the neighbour that ranks first by a hash
+    of the round, so that the graph shrinks by a fraction a round whatever its
+    shape. Edges and merges are written to the shared folder between rounds.
     """
-    both = keep(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), name)
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        step = keep(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), name)
-        if step.where("root <> was").isEmpty():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
+    left, merges = keep(edges.where("a <> b").select("a", "b").distinct(), f"{name}_edges"), []
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(merges))).alias("r"), F.col(c).alias("n"))
+        both = left.select(F.col("a").alias("node"), "b").unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("b")))
+        first = both.groupBy("node").agg(F.min(rank("b")).alias("near"))
+        merges.append(keep(first.select("node", F.when(rank("node") < F.col("near"), F.col("node")).otherwise(F.col("near.n")).alias("to")), f"{name}_merges"))
+        a, b = (merges[-1].select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
+        left = keep(left.join(a, "a").join(b, "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), f"{name}_edges")
+    if not merges:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = merges[0]
+    for m in merges[1:]:
+        out = out.join(m.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    out = keep(out, name)
+    return out.join(out.groupBy("to").agg(F.min("node").alias("root")), "to").select("node", "root")
 
 
 @cache
