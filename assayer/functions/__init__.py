@@ -1,0 +1 @@
+"""Column expressions: everything here stays inside Spark's generated code."""

@@ -1,0 +1 @@
+"""Whole plans: the report of a document against a job, and the registered queries."""

@@ -1,0 +1 @@
+"""Reading and writing: tables, exports, event frames, files."""

@@ -1,0 +1 @@
+"""Keyed counters over event streams, with batch forms of the same semantics."""
