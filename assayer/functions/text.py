@@ -278,7 +278,8 @@ def span_holds(source: Column, start: Column, end: Column, text: Column) -> Colu
 def locate(source: Column, needle: Column) -> Column:
     """Where the needle begins (from 0): as it is, trimmed, or with any white space between its words; else null."""
     exact, trimmed = F.instr(source, needle), F.instr(source, F.trim(needle))
-    loose = F.concat(F.lit(r"(?s)^(.*?)\Q"), F.regexp_replace(F.trim(needle), r"\s+", r"\\\\E\\\\s+\\\\Q"), F.lit(r"\E"))
+    quoted = F.regexp_replace(F.trim(needle), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    loose = F.concat(F.lit("(?s)^(.*?)"), F.regexp_replace(quoted, r"\s+", r"\\s+"))
     before = F.call_function("regexp_extract", source, loose, F.lit(1))
     found = F.call_function("regexp_like", source, loose)
     return F.when(F.trim(needle) == "", None).when(exact > 0, exact - 1).when(trimmed > 0, trimmed - 1).when(found, F.length(before))

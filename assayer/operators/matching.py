@@ -27,18 +27,18 @@ def canonical(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame
 def fuzzy(strings: DataFrame, taxonomy: DataFrame, column: str, least: float = FUZZY_LEAST) -> DataFrame:
     """For each distinct string the best alias at ``least`` similarity or more: ``column``, ``canonical``, ``ratio``.
 
-    Only aliases whose lengths allow the ratio meet a string: the join is an
-    equi-join on length, for lengths within ``max(4, half)``, and on sharing a
-    first letter of some word, so no string meets the whole taxonomy.
+    Only aliases whose lengths allow the ratio meet a string: an equi-join on
+    length, for lengths within ``max(4, half)``. Strings are distinct, and the
+    taxonomy is a small table.
     """
-    a = strings.select(F.col(column)).where(F.col(column).isNotNull()).distinct().withColumn("s", T.normalise(F.col(column))).where("s <> ''")
-    b = taxonomy.select("canonical", "ord", T.normalise(F.col("alias")).alias("t")).where("t <> ''")
-    reach = F.greatest(F.lit(4), (F.length("s") * 0.5).cast("int"))
-    sizes = F.sequence(F.greatest(F.lit(1), F.length("s") - reach), F.length("s") + reach)
-    met = a.withColumn("n", F.explode(sizes)).join(b.withColumn("n", F.length("t")), "n").where(200.0 * F.least(F.length("s"), F.length("t")) >= least * (F.length("s") + F.length("t")))
-    near = met.withColumn("ratio", T.token_sort_ratio(F.col("s"), F.col("t"))).where(F.col("ratio") >= least)
-    best = F.max_by(F.struct("canonical", "ratio"), F.struct("ratio", -F.length("t"), -F.col("ord"))).alias("best")
-    return near.groupBy(column).agg(best).select(column, "best.canonical", "best.ratio")
+    a = strings.select(F.col(column)).where(F.col(column).isNotNull()).distinct().withColumn("__s", T.normalise(F.col(column))).where("__s <> ''")
+    b = taxonomy.select(F.col("canonical").alias("__c"), F.col("ord").alias("__ord"), T.normalise(F.col("alias")).alias("__t")).where("__t <> ''")
+    reach = F.greatest(F.lit(4), (F.length("__s") * 0.5).cast("int"))
+    sizes = F.sequence(F.greatest(F.lit(1), F.length("__s") - reach), F.length("__s") + reach)
+    met = a.withColumn("__n", F.explode(sizes)).join(b.withColumn("__n", F.length("__t")), "__n").where(200.0 * F.least(F.length("__s"), F.length("__t")) >= least * (F.length("__s") + F.length("__t")))
+    near = met.withColumn("__ratio", T.token_sort_ratio(F.col("__s"), F.col("__t"))).where(F.col("__ratio") >= least)
+    best = F.max_by(F.struct(F.col("__c").alias("canonical"), F.col("__ratio").alias("ratio")), F.struct("__ratio", -F.length("__t"), -F.col("__ord"))).alias("__best")
+    return near.groupBy(column).agg(best).select(column, "__best.canonical", "__best.ratio")
 
 
 def resolve(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame:

@@ -84,7 +84,7 @@ def prune(counters: DataFrame, now: Column, days: int = 2) -> DataFrame:
 def token_bucket(events: DataFrame, key: str, per_minute: float, capacity: float, ts: str = "ts") -> DataFrame:
     """A bucket a key, refilled ``per_minute``: ``allowed`` and ``waits`` (seconds until a token) of every event of a stream.
 
-    State is two numbers a key and goes after an hour without events.
+    State is two numbers a key and goes once the watermark is an hour past its last event.
     """
     state = "tokens double, at double"
     kind = events.schema[key].dataType.simpleString()
@@ -103,10 +103,10 @@ def token_bucket(events: DataFrame, key: str, per_minute: float, capacity: float
             out.append((ok, 0.0 if ok else (1 - tokens) * 60 / per_minute))
             tokens -= ok
         kept.update((float(tokens), float(at)))
-        kept.setTimeoutDuration(3_600_000)
+        kept.setTimeoutTimestamp(max(int(at * 1000) + 3_600_000, kept.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: keys[0], ts: rows[ts].to_numpy(), "allowed": [a for a, _ in out], "waits": [w for _, w in out]})
 
-    return timed(events, ts).select(key, ts).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{ts}` timestamp, allowed boolean, waits double", state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return timed(events, ts).withWatermark(ts, "1 hour").select(key, ts).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{ts}` timestamp, allowed boolean, waits double", state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
