@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import privacy as P
 from assayer.functions import text as T
+from assayer.functions.dates import expiry
 
 MODES = ("full_identified", "identity_redacted", "scores_only")
 
@@ -94,3 +95,23 @@ def uncached(texts: DataFrame, cache: DataFrame, column: str) -> DataFrame:
     """Distinct texts, by embedding key, that the cache lacks: what a model must still embed."""
     keyed = texts.where(F.col(column).isNotNull()).select(P.embedding_key(F.col(column)).alias("key"), F.col(column))
     return keyed.groupBy("key").agg(F.min(column).alias(column)).join(cache.select("key").distinct(), "key", "left_anti")
+
+
+def new_links(analyses: DataFrame, now: Column, days: Column, mode: Column, secret: str) -> DataFrame:
+    """A link for each analysis (``id``, ``user_id``): ``token``, expiry of 1 to 30 days, mode; not revoked.
+
+    The token is a keyed hash, so a task that runs again makes the same one.
+    """
+    token = F.translate(F.replace(F.base64(F.unhex(F.sha2(F.concat(F.lit(secret), F.lit("\0"), F.col("id").cast("string")).cast("binary"), 256))), F.lit("="), F.lit("")), "+/", "-_")
+    return analyses.select(token.alias("token"), F.col("id").alias("analysis_id"), "user_id", mode.alias("visibility_mode"), now.alias("created_at"), expiry(now, days).alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"), F.lit(0).cast("long").alias("view_count"))
+
+
+def revoke(links: DataFrame, token: str, user, now: Column) -> DataFrame:
+    """Links with one of a user's own revoked."""
+    hit = (F.col("token") == token) & (F.col("user_id") == F.lit(user)) & F.col("revoked_at").isNull()
+    return links.withColumn("revoked_at", F.when(hit, now).otherwise(F.col("revoked_at")))
+
+
+def newest(links: DataFrame, user, limit: int = 50) -> DataFrame:
+    """A user's newest links."""
+    return secure_view(links, user).orderBy(F.desc("created_at"), "token").limit(limit)

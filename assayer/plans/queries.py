@@ -17,7 +17,7 @@ from assayer.functions import dates as D
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
 from assayer.functions import text as T
-from assayer.operators import advice, cohort, intervals, matching, rules, scoring, sections, sharing, writing
+from assayer.operators import advice, cohort, intervals, matching, resumes, rules, scoring, sections, sharing, writing
 from assayer.sources import frames, tables
 from assayer.streaming import counters
 
@@ -693,3 +693,69 @@ _PREDICATES = {
 @query(" UNION ALL ".join(f"SELECT doc_id, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, {float(r.deduction)}::DOUBLE AS deduction FROM documents WHERE {_PREDICATES[r.rule_id]}" for r in rules.RULES))
 def rule_findings(spark, d):
     return rules.findings(signal_rows(spark, d)).drop("ord")
+
+
+# structured documents --------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN CAST(CAST(l_quantity AS BIGINT) % 10 + 1 AS DOUBLE) WHEN l_linenumber % 3 = 1 THEN CAST(l_quantity AS DOUBLE) END AS years FROM lineitem""")
+def quantifier_years(spark, d):
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber") % 3
+    names = F.array(*[F.lit(x) for x in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")])
+    text = F.when(n == 0, F.concat(F.get(names, (q % 10).cast("int")), F.lit(" years with tools"))).when(n == 1, F.concat(F.lit("at least "), q.cast("string"), F.lit("+ years"))).otherwise("some experience")
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.quantifier_years(text).alias("years"))
+
+
+_WORDINGS = ["strongly preferred tools", "preferred tools", "tools are required", "a degree is not required", "plain tools"]
+_UNDER = ["Requirements", "Nice to have", "Preferred qualifications", "About the work"]
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, {strings(_WORDINGS)}[l_partkey % 5 + 1] AS t, l_suppkey % 4 AS h, l_linenumber % 4 AS mentions, l_quantity > 48 AS in_title FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN t LIKE '%not required%' THEN 'nice' WHEN in_title THEN 'must' WHEN t LIKE 'strongly%' THEN 'strong' WHEN t LIKE 'preferred%' THEN 'nice' WHEN t LIKE '%required' THEN 'must' WHEN h = 0 THEN 'must' WHEN h IN (1, 2) THEN 'nice' WHEN mentions >= 3 THEN 'strong' ELSE 'nice' END AS priority FROM r""")
+def priority_resolution(spark, d):
+    r = tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    text, heading = F.get(F.array(*map(F.lit, _WORDINGS)), (F.col("l_partkey") % 5).cast("int")), F.get(F.array(*map(F.lit, _UNDER)), (F.col("l_suppkey") % 4).cast("int"))
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", T.resolve_priority(F.lit("nice"), text, heading, F.col("l_quantity") > 48, F.col("l_linenumber") % 4).alias("priority"))
+
+
+@query("""WITH p AS (SELECT doc_id, round_even(least(1.0, length(text) / 900.0)::DECIMAL(30, 16), 3)::DOUBLE AS density, (doc_id % 5) / 4.0 AS sections, (doc_id % 3) / 2.0 AS contact FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, density, CAST(round_even(CAST(CAST(density * 0.15::DOUBLE + sections::DOUBLE * 0.3::DOUBLE + contact::DOUBLE * 0.15::DOUBLE + 1.0::DOUBLE * 0.25::DOUBLE + 0.5::DOUBLE * 0.15::DOUBLE AS VARCHAR) AS DECIMAL(30, 16)), 3) AS DOUBLE) AS confidence,
+  CASE WHEN density <= least(sections, contact, 0.5) THEN 'text_density' WHEN sections <= least(contact, 0.5) THEN 'section_detection' WHEN contact <= 0.5 THEN 'contact_completeness' ELSE 'content_present' END AS weakest FROM p""")
+def parse_confidence(spark, d):
+    rows = documents(spark, d).where("text IS NOT NULL").withColumn("density", F.bround(F.least(F.lit(1.0), F.length("text") / 900.0), 3))
+    parts = {"text_density": F.col("density"), "section_detection": (F.col("doc_id") % 5) / 4.0, "contact_completeness": (F.col("doc_id") % 3) / 2.0, "span_verification": F.lit(1.0), "content_present": F.lit(0.5)}
+    total, weakest = sections.confidence(parts)
+    return rows.select("doc_id", "density", total.alias("confidence"), weakest.alias("weakest"))
+
+
+_STAGE = "CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 15 WHEN 'signup' THEN 65 WHEN 'purchase' THEN 90 ELSE 100 END"
+
+
+@query(f"SELECT event_id, user_id, max({_STAGE}) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS percent FROM events")
+def progress_percent(spark, d):
+    stage = S.lookup(F.col("event_type"), {"view": "validating", "click": "extracting", "signup": "matching", "purchase": "scoring"}, "done")
+    e = tables.table(spark, d, "events").select("event_id", "user_id", stage.alias("stage"))
+    return resumes.monotone(e, ["user_id"], "event_id").select("event_id", "user_id", F.col("percent").cast("long").alias("percent"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents)
+SELECT doc_id, md5(left(string_agg('- ' || text, chr(10) ORDER BY ord), 12000)) AS prompt FROM l WHERE trim(text) <> '' GROUP BY doc_id""")
+def judge_prompts(spark, d):
+    return resumes.judge_prompt(writing.bullets_of(documents(spark, d))).select("doc_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'system' THEN 'summary' WHEN 'user' THEN 'experience_bullet' ELSE 'project_bullet' END AS origin, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) - 1 AS ord FROM conversations WHERE trim(text) <> ''""")
+def bullets_in_order(spark, d):
+    c = tables.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("item"), "role", F.array(F.concat(F.col("turn").cast("string"), F.lit(" "), F.trim("text"))).alias("bullets"), (F.trim("text") != "").alias("some")).where("some")
+    part = lambda role: c.where(F.col("role") == role).select("conv_id", "item", "bullets")
+    out = resumes.all_bullets(part("system"), part("user"), part("assistant"), part("none"), "conv_id")
+    return out.select("conv_id", F.substring_index("text", " ", 1).cast("long").alias("turn"), "origin", F.col("ord").cast("long").alias("ord"))
+
+
+@query("""SELECT o_orderkey AS analysis_id, length(rtrim(replace(replace(to_base64(unhex(sha256('k' || chr(0) || o_orderkey))), '+', '-'), '/', '_'), '=')) AS token_length, strftime(TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(greatest(1, least(30, o_orderkey % 40)) AS INTEGER)), '%Y-%m-%d') AS expires, o_orderkey = 77 AS revoked FROM orders""")
+def share_links(spark, d):
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    a = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"))
+    links = sharing.new_links(a.withColumn("days", (F.col("id") % 40).cast("int")).select("id", "user_id", "days"), now, F.col("days"), F.lit("scores_only"), "k")
+    revoked = F.when(F.col("analysis_id") == 77, now)
+    return links.withColumn("revoked_at", revoked).select("analysis_id", F.length("token").cast("long").alias("token_length"), F.date_format("expires_at", "yyyy-MM-dd").alias("expires"), F.col("revoked_at").isNotNull().alias("revoked"))
