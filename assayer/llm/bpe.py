@@ -23,8 +23,8 @@ from assayer.llm import arrays as A
 
 #: Words up to so many bytes are encoded in matrices.
 SHORT = 48
-#: Words that a task remembers; beyond, it forgets them all. Memory only: results don't depend on it.
-REMEMBERED = 400_000
+#: Words that a task remembers; beyond, it forgets all but those at hand. Memory only: results don't depend on it.
+REMEMBERED = 300_000
 NONE = np.int32(0x7FFFFFFF)
 #: Fixed value: the pattern that byte-level BPE cuts texts with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,30 +115,32 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
-        for word in words:
-            data = word.encode()
-            by_length.setdefault(len(data), []).append((word, data))
-        for n, group in by_length.items():
+        if not words:
+            return
+        buf, offs = A.texts_of(pa.array(words, pa.large_string()))
+        size, names = np.diff(offs), np.array(words, object)
+        order = np.argsort(size, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(size[order]) > 0, True])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            n = int(size[order[i]])
             if n > SHORT:
-                for word, data in group:
-                    self.known[word] = self.merge_long(self.first[np.frombuffer(data, np.uint8)]).astype("<i4").tobytes()
+                for k in order[i:j].tolist():
+                    self.known[words[k]] = self.merge_long(self.first[buf[offs[k] : offs[k + 1]]]).astype("<i4").tobytes()
                 continue
-            for i in range(0, len(group), 1 << 15):
-                some = group[i : i + (1 << 15)]
-                parts = self.first[np.frombuffer(b"".join(d for _, d in some), np.uint8)].reshape(len(some), n)
-                for rows, ids in self.merge_short(parts):
-                    data, step = np.ascontiguousarray(ids, "<i4").tobytes(), 4 * ids.shape[1]
-                    self.known.update((some[r][0], data[j * step : (j + 1) * step]) for j, r in enumerate(rows.tolist()))
+            for at in range(i, j, 1 << 15):
+                some = order[at : min(at + (1 << 15), j)]
+                for rows, ids in self.merge_short(self.first[buf[offs[some][:, None] + np.arange(n)]]):
+                    data = np.ascontiguousarray(ids, "<i4").view(f"V{4 * ids.shape[1]}").ravel().tolist()
+                    self.known.update(zip(names[some[rows]].tolist(), data, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         cut = [[] if not t else self.cut.split(t) if self.cut else [t] for t in texts]
         found = [[[p] if i % 2 else self.words.findall(p) for i, p in enumerate(pieces)] for pieces in cut]
-        met = {w for pieces in found for ws in pieces[::2] for w in ws}
+        met: set[str] = set().union(*(ws for pieces in found for ws in pieces[::2]))
         if len(self.known) + len(met) > REMEMBERED:
-            self.known.clear()
-        self.learn([w for w in met if w not in self.known])
+            self.known = {w: self.known[w] for w in met if w in self.known}
+        self.learn(list(met.difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(b"".join(map(get, ws)) if i % 2 == 0 else self.special[ws[0]].to_bytes(4, "little") for i, ws in enumerate(pieces)) for pieces in found]
 
@@ -146,20 +148,46 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType, by) -> DataFrame:
-    """``df`` with a column computed from Arrow batches; ``by`` gives its array."""
-    kept = [c for c in df.columns if c.lower() != name.lower()]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
+IDS = T.ArrayType(T.IntegerType())
+
+
+def _added(df: DataFrame, columns: dict[str, T.DataType], by) -> DataFrame:
+    """``df`` with columns computed from Arrow batches; ``by`` gives their arrays."""
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in columns}]
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, by(batch)], names=[*kept, name])
+            whole = batch.column(batch.schema.get_field_index(by.reads)) if batch.num_rows else None
+            for i, j in by.cut(whole) if batch.num_rows else ():
+                arrays = [batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept]
+                yield pa.RecordBatch.from_arrays([*arrays, *by(whole.slice(i, j - i))], names=[*kept, *columns])
 
     return df.mapInArrow(run, schema)
 
 
+class _Coder:
+    """What a task does with a batch: reads one column, gives one or two."""
+
+    def __init__(self, path: str, reads: str, encodes: bool, decodes: bool) -> None:
+        self.path, self.reads, self.encodes, self.decodes = path, reads, encodes, decodes
+
+    def cut(self, column: pa.Array) -> Iterator[tuple[int, int]]:
+        """Row ranges that are worked on at once: about 2 MB of text."""
+        return A.slices(column, 2 << 20) if self.encodes else ((i, min(i + 1000, len(column))) for i in range(0, len(column), 1000))
+
+    def __call__(self, column: pa.Array) -> list[pa.Array]:
+        vocabulary, out = Vocabulary.at(self.path), []
+        if self.encodes:
+            data = vocabulary.encode(column.to_pylist())
+            offsets = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
+            out.append(column)
+        if self.decodes:
+            out.append(pa.array([None if x is None else vocabulary.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in column], pa.string()))
+        return out
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of every whole text, special-token strings as the library reads them.
 
@@ -167,15 +195,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     ``ids_col`` gives way; an empty table gives an empty result. ``path`` must be
     readable on every executor.
     """
-
-    def by(batch: pa.RecordBatch) -> pa.Array:
-        vocabulary, text, out = Vocabulary.at(path), batch.column(batch.schema.get_field_index(text_col)), []
-        for i, j in A.slices(text, 4 << 20):
-            out += vocabulary.encode(text.slice(i, j - i).to_pylist())
-        offsets = np.cumsum([0, *(len(x) // 4 for x in out)], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(out), "<i4")))
-
-    return _added(docs, ids_col, T.ArrayType(T.IntegerType()), by)
+    return _added(docs, {ids_col: IDS}, _Coder(path, text_col, True, False))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -183,9 +203,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
 
     Bytes that are no UTF-8 become U+FFFD; a null list gives a null text.
     """
+    return _added(docs, {text_col: T.StringType()}, _Coder(path, ids_col, False, True))
 
-    def by(batch: pa.RecordBatch) -> pa.Array:
-        vocabulary, lists = Vocabulary.at(path), batch.column(batch.schema.get_field_index(ids_col))
-        return pa.array([None if x is None else vocabulary.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in lists], pa.string())
 
-    return _added(docs, text_col, T.StringType(), by)
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: one Python worker a task instead of two."""
+    return _added(docs, {ids_col: IDS, decoded_col: T.StringType()}, _Coder(path, text_col, True, True))
