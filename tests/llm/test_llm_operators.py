@@ -2,7 +2,6 @@
 
 import hashlib
 import re
-import zlib
 
 import duckdb
 import numpy as np
@@ -11,15 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, queries, substring, urls
+from llm_brute import SF, classes_by_brute_force, held_out, leaks_by_brute_force, rows, words
 
-SF = "/root/testdata/sf0.01"
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, `id` string, `key` int, `host` string"
 
 
-def rows(name, *columns):
-    return pq.read_table(f"{SF}/{name}.parquet", columns=list(columns) or None).to_pylist()
-
-
 def docs(spark, texts, langs=None):
     data = [(i, t, langs[i] if langs else None, "s", None, 1.0, "x", i, "h") for i, t in enumerate(texts)]
     return spark.createDataFrame(data, EXTRA)
@@ -28,14 +23,6 @@ def docs(spark, texts, langs=None):
 ODD = [None, "", "  \n\n ", "one", "a b c d e f", "a b c d e f", "x\ny\nz\nx\ny\nz", "é" * 5000 + " " + "word " * 3000]
 
 
-def words(text):
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
-
-
-def held_out(i):
-    return zlib.crc32(str(i).encode()) % 3 == 1
-
-
 # 1 ---------------------------------------------------------------------------
 
 
@@ -187,38 +174,6 @@ def test_language_filters_have_no_false_negatives():
 # 5 ---------------------------------------------------------------------------
 
 
-def classes_by_brute_force(texts, n=5, threshold=0.8):
-    sets = []
-    for t in texts:
-        ws = words(t)
-        sets.append({tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set())
-    root, links = list(range(len(texts))), {}
-    by = {}
-    for i, s in enumerate(sets):
-        if s:
-            by.setdefault(frozenset(s), []).append(i)
-    find = lambda x: x if root[x] == x else find(root[x])
-    keys = list(by)
-    where = {}
-    for k, s in enumerate(keys):
-        for g in s:
-            where.setdefault(g, []).append(k)
-    for k, s in enumerate(keys):
-        for m in by[s]:
-            root[find(m)] = min(find(m), find(by[s][0]))
-        met = {}
-        for g in s:
-            for o in where[g]:
-                met[o] = met.get(o, 0) + 1
-        for o, both in met.items():
-            if o != k and both >= threshold * (len(s) + len(keys[o]) - both) - 1e-9:
-                links[k] = links.get(k, 0) + 1
-                a, b = find(by[s][0]), find(by[keys[o]][0])
-                root[max(a, b)] = min(a, b)
-    count = {i: links.get(k, 0) for k, s in enumerate(keys) for i in by[s]}
-    return {i: (find(i), count.get(i, 0)) for i in range(len(texts))}
-
-
 def test_near_duplicates(spark):
     rng = np.random.default_rng(3)
     base = [[str(x) for x in rng.integers(0, 5000, 120)] for _ in range(12)]
@@ -276,30 +231,21 @@ def test_lines(spark):
 def test_leaks(spark):
     item = "If a train leaves Boston at 9 and goes 60 km in 2 hours how far has the train gone when Alice meets Alice in Boston"
     moved = item.replace("Boston", "Paris").replace("Alice", "Bob").replace("60", "75").replace("9", "11")
-    torn = item.replace("Alice meets Alice", "Alice meets Carol")
     texts = [f"Intro words here. {item} and more", f"x\n{moved}", "a clean text about trains that leave at 9 and go 60 km", *ODD]
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "two words", "x"), (5, item, "x")], "item_id long, text string, id string")
     got = {r["id"]: (r["item_ids"], r["verbatim"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
     assert got == {0: ([1, 5], True), 1: ([1, 5], False)}
     short = spark.createDataFrame([(1, "why does the Alice meet the Alice here")], "item_id long, text string")
     got = decontaminate.contaminated(docs(spark, ["why does the Bob meet the Bob here", "why does the Bob meet the Eve here"]), short).collect()
-    assert [r["id"] for r in got] == [0] and torn
+    assert [r["id"] for r in got] == [0]
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0 and decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.decontaminate(docs(spark, texts), bench).count() == len(texts) - 2
 
 
 def test_leaks_query(spark):
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op7_decontamination(spark, SF).collect()}
-    plain = lambda t: " ".join(w.strip(".,!?;:").lower() for w in words(t))
-    items = {r["item_id"]: plain(r["text"]).split() for r in rows("benchmark")}
-    grams = {}
-    for i, ws in items.items():
-        for k in range(len(ws) - 12):
-            grams.setdefault(" ".join(ws[k : k + 13]), set()).add(i)
-    for r in rows("documents", "doc_id", "text"):
-        ws = plain(r["text"]).split()
-        hit = set().union(*(grams.get(" ".join(ws[k : k + 13]), set()) for k in range(len(ws) - 12)))
-        assert hit == got.get(r["doc_id"], set()), r["doc_id"]
+    table = rows("documents", "doc_id", "text")
+    assert {i: x for i, x in leaks_by_brute_force(table).items() if x} == got
 
 
 def test_blocks_of_the_benchmark_agree(spark):
@@ -376,6 +322,7 @@ def test_bpe_is_the_library(spark):
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert r["ids"] == want
         assert r["decoded"] == library.decode(want, skip_special_tokens=False) == (r["text"] or "")
+    assert sorted(map(str, bpe.round_trip(docs(spark, texts), path).collect())) == sorted(map(str, out))
     assert bpe.encode(docs(spark, []), path).count() == 0
 
 
