@@ -73,7 +73,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(column: pa.Array, most: int = 4 * SPAN) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most: int = SPAN) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; a longer text stands alone."""
     _, offs = texts_of(column)
     i, n = 0, len(offs) - 1

@@ -36,7 +36,7 @@ TOLERANCE = 1e-7
 #: MinHash values compared between two looks at the posterior.
 STEP = 32
 #: Rows and shingles of a block, at most about; a tile holds two blocks.
-BLOCK, BLOCK_SHINGLES = 4096, 3_000_000
+BLOCK, BLOCK_SHINGLES = 4096, 1_500_000
 _odd = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

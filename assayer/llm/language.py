@@ -56,7 +56,7 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lang = batch.column(1), batch.column(0).dictionary_encode()
-            for i, j in A.slices(text):
+            for i, j in A.slices(text, 4 * A.SPAN):
                 codes = lang.indices.slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.uint64)
                 g, doc = grams(text.slice(i, j - i))
                 keys, n = np.unique(codes[doc] << np.uint64(32) | g, return_counts=True)

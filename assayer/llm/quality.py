@@ -25,6 +25,10 @@ from pyspark.sql import types as T
 from assayer.llm import arrays as A
 
 FIT_ROWS = 20_000
+#: Ids and labels of a sample up to so many rows (16 bytes each) are broadcast; of a larger one, joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose figures are computed at once; bounds a task's memory.
+SLICE = 2 << 20
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".", "comma": b",", "strong": b"!?", "pair": b"()[]{}", "quote": b"\"'`", "colon": b":;",
     "mark": b"#$%&*@^~", "bar": b"|\\/", "line": b"_-=+", "angle": b"<>", "space": b" \t", "break": b"\n\r", "other": bytes(range(128, 256)),
@@ -105,8 +109,8 @@ def expand(x: np.ndarray, mid: np.ndarray, wide: np.ndarray) -> np.ndarray:
 def _figure_batches(name: str, by, *kept: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            for i, j in A.slices(text):
+            text = batch.column(batch.schema.get_field_index("__text"))
+            for i, j in A.slices(text, SLICE):
                 x = figures(*A.texts_of(text.slice(i, j - i)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept), by(x)], names=[*kept, name])
 
@@ -120,11 +124,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     row gets the prior (0.5 without any label) as its score.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
     ids = known.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "id")
     count = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0)).alias("p")).first()
     pick = ids.orderBy(F.xxhash64("id"), "id").limit(fit_rows) if count["n"] > fit_rows else ids
-    sample = rows.join(pick, "id").select("label", "text")
+    pick = F.broadcast(pick) if fit_rows <= BROADCAST_ROWS else pick
+    sample = rows.join(pick, "id").select("label", "__text")
     by = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
     got = sample.mapInArrow(_figure_batches("x", by, "label"), "label int, x array<double>").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
@@ -133,20 +138,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(x[order], label[order] == 1, count["p"] / count["n"] if count["n"] else 0.5)
 
 
+def _scores(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(expand(x, model["mid"], model["wide"]) @ model["weights"] / 2))
+
+
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``score`` from 0 to 1; a null text is scored as an empty one."""
     kept = [c for c in docs.columns if c != text_col and c.lower() != "score"]
-    rows = docs.select(*kept, F.col(text_col).alias("text"))
+    rows = docs.select(*kept, F.col(text_col).alias("__text"))
 
     def by(x: np.ndarray) -> pa.Array:
-        return pa.array(0.5 * (1 + np.tanh(expand(x, model["mid"], model["wide"]) @ model["weights"] / 2)))
+        return pa.array(_scores(x, model))
 
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_figure_batches("score", by, *kept), schema)
 
 
 def filter_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` at least, with their columns."""
-    columns = docs.columns
-    scored = score(docs.withColumn("__kept", F.col(text_col)), model, text_col).where(F.col("score") >= least)
-    return scored.select(*[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in columns])
+    """The rows of ``docs`` that score ``least`` at least, with their columns; a text passes through a task once."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(names.index(text_col))
+            for i, j in A.slices(text, SLICE):
+                x = figures(*A.texts_of(text.slice(i, j - i)))
+                yield batch.slice(i, j - i).filter(pa.array(_scores(x, model) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

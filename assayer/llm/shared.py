@@ -22,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB or 4,000 rows at most, so that long texts don't fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that no later job computes it again.
 
