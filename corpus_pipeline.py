@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, lines, quality
 from assayer.llm.queries import held_out, table, tokenizer_path
-from assayer.llm.shared import keep
+from assayer.llm.shared import bounded_batches, keep
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -34,9 +35,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Id, token ids and token count of every document, and whether they decode to its text."""
-    path = tokenizer_path()
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = bpe.decode(bpe.encode(whole, path), path)
+    bounded_batches(spark)
+    out = bpe.round_trip(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path())
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("text") == F.col("decoded")).alias("exact"))
 
 
