@@ -85,9 +85,9 @@ def judge_urls(pages: DataFrame, listing: DataFrame, url_col: str = "url", defau
     probes = probes.withColumn("block", _block(F.col("probe"), blocks)).join(words, "block")
     possible = probes.where(F.col("word").bitwiseAND(_mask(F.col("probe"))) == _mask(F.col("probe")))
     exact = possible.join(listing, F.col("probe") == F.col("entry"))
-    best = F.max(F.struct("is_rule", F.length("entry").alias("n"), F.length("e_host").alias("h"), "entry", "verdict")).alias("best")
+    best = F.max(F.struct("is_rule", F.length("entry").alias("n"), F.length("e_host").alias("h"), "entry", "verdict")).alias("__best")
     found = exact.groupBy("host", "path").agg(best)
     out = whole.join(found, ["host", "path"], "left")
     kept = [c for c in whole.columns if c not in ("host", "path")]
-    rule = F.when(F.col("best.is_rule"), F.col("best.entry"))
-    return out.select(*kept, "host", "path", rule.alias("rule"), F.col("best").isNotNull().alias("listed"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    rule = F.when(F.col("__best.is_rule"), F.col("__best.entry"))
+    return out.select(*kept, "host", "path", rule.alias("rule"), F.col("__best").isNotNull().alias("listed"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
