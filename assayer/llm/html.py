@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import keep
 from assayer.llm.urls import host_of
 
 #: A template is on so many different pages of its host, and on this part of them.
 LEAST_PAGES, LEAST_PART = 5, 0.3
+#: Template hashes of all hosts are broadcast up to so many (8 MB); beyond, pages and templates are joined by shuffle.
+BROADCAST_HASHES = 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 DROPPED = frozenset("head title nav footer aside form script style noscript iframe button select option input textarea dialog menu template svg canvas object embed noembed noframes math audio video map label fieldset datalist".split())
@@ -250,7 +253,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     or empty HTML gives an empty text; null or odd URLs share the empty host;
     repeated rows stay; an empty table gives an empty result.
     """
-    templates = site_templates(pages, url_col, html_col)
+    templates = keep(site_templates(pages, url_col, html_col), "site_templates")
+    size = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)) + F.count("*") * 8).first()[0]
+    if size <= BROADCAST_HASHES:
+        templates = F.broadcast(templates)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
 
