@@ -1,10 +1,11 @@
 """Main text of web pages, with site templates removed.
 
 Spark counts, for each host, on how many different pages every element subtree
-occurs; subtrees on many pages of a host are its template and go, together with
-elements that are boilerplate by their tag, role or class. The article that is
-left is written block by block. Two passes parse the pages: the first sends out
-only hashes, the second gets the few template hashes of its page's host.
+occurs; subtrees on ``LEAST_PAGES`` of a host's pages are a template of it and go,
+together with elements that are boilerplate by their tag, role or class. The
+number doesn't grow with the host, so a section's template counts on a large host,
+too. The article that is left is written block by block. Two passes parse the
+pages: the first sends out only hashes, the second gets the template hashes.
 """
 
 from __future__ import annotations
@@ -14,22 +15,25 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import arrays as A
 from assayer.llm.shared import keep
 from assayer.llm.urls import host_of
 
-#: A template is on so many different pages of its host, and on this part of them.
-LEAST_PAGES, LEAST_PART = 5, 0.3
-#: Template hashes of all hosts are broadcast up to so many (8 MB); beyond, pages and templates are joined by shuffle.
+#: A template is on so many different pages of its host.
+LEAST_PAGES = 5
+#: Template hashes of all hosts are sent to tasks up to so many (8 MB); beyond, each page is joined with its own ones by shuffle.
 BROADCAST_HASHES = 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 DROPPED = frozenset("head title nav footer aside form script style noscript iframe button select option input textarea dialog menu template svg canvas object embed noembed noframes math audio video map label fieldset datalist".split())
 BLOCKS = frozenset("html body p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption thead tbody tfoot tr section article main header footer blockquote pre figure figcaption address details summary hr hgroup center".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr figcaption b i em strong a span code br".split())
+INLINE = frozenset("b i em strong a span code br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Parts of class names and ids, and roles, that mark boilerplate.
@@ -38,6 +42,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_WORD = re.compile(r"\w")
 
 
 class Node:
@@ -193,16 +198,36 @@ def blocks_of(node: Node, inside: bool, gone: set[int]) -> list[str]:
     return out
 
 
-def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The main text of one page without its boilerplate and the given template subtrees."""
+def template_parts(root: Node, article: Node | None, host: str) -> tuple[np.ndarray, list[Node]]:
+    """Subtrees that may be template, with hashes that differ from host to host.
+
+    Text blocks of the article never are, nor are inline elements in running
+    text, whose loss would break a sentence; both go with a block around them.
+    """
+    within = _within(article) if article else set()
+    running: set[int] = set()
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        inner = [c for c in x.children if isinstance(c, Node)]
+        if any(c.tag in INLINE for c in inner) and any(isinstance(c, str) and _WORD.search(c) for c in x.children):
+            running.update(id(c) for c in inner if c.tag in INLINE)
+        stack += inner
+    found = [(h, x) for h, x in subtree_hashes(root) if id(x) not in running and not (id(x) in within and x.tag in TEXT_BLOCKS)]
+    site = np.frombuffer(blake2b(host.encode("utf-8", "replace"), digest_size=8).digest(), np.uint64)
+    return A.mix(np.array([h for h, _ in found], np.int64).view(np.uint64) ^ site), [x for _, x in found]
+
+
+def main_text(page: str | None, template: np.ndarray | None = None, host: str = "") -> str:
+    """The main text of one page without its boilerplate and the subtrees whose hashes are in ``template`` (ascending)."""
     if not page:
         return ""
     root = parse(page)
     article = article_of(root)
     gone: set[int] = set()
-    if template:
-        within = _within(article) if article else set()
-        gone = {id(x) for h, x in subtree_hashes(root) if h in template and not (id(x) in within and x.tag in TEXT_BLOCKS)}
+    if template is not None and len(template):
+        hashes, parts = template_parts(root, article, host)
+        gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
     return "\n".join(blocks_of(article or root, article is not None, gone))
 
 
@@ -217,33 +242,37 @@ def _within(article: Node) -> set[int]:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, contents, hashes = [], [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        pages, contents, hashes = [], [], [np.empty(0, np.uint64)]
+        for host, page, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if page:
                 root = parse(page)
                 article = article_of(root)
-                within = _within(article) if article else set()
                 content = int.from_bytes(blake2b("\n".join(blocks_of(article or root, article is not None, set())).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                found = {h for h, x in subtree_hashes(root) if not (id(x) in within and x.tag in TEXT_BLOCKS)}
-                hosts += [host] * (len(found) + 1)
-                contents += [content] * (len(found) + 1)
-                hashes += [None, *found]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "content", "hash"])
+                found = np.unique(template_parts(root, article, host)[0])
+                pages += [key] * len(found)
+                contents += [content] * len(found)
+                hashes.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(contents, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64))], names=["page", "content", "hash"])
+
+
+def _subtrees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    host = host_of(F.col(url_col))
+    rows = pages.where(F.col(html_col).isNotNull()).select(host.alias("host"), F.col(html_col).alias("html"), F.xxhash64(host, F.col(html_col)).alias("page"))
+    return rows.mapInArrow(_hash_batches, "page long, content long, hash long")
+
+
+def _common(seen: DataFrame, least_pages: int) -> DataFrame:
+    counted = seen.select("content", "hash").distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least_pages).select("hash")
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_part: float = LEAST_PART) -> DataFrame:
-    """``host`` and ``template``: hashes of subtrees on many different pages of the host.
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``hash`` of each subtree on many different pages of a host; the host is part of the hash.
 
     Pages with the same main text are one page, so mirrored articles make no
-    template. Text blocks of an article never are template. A host's list has
-    ``1 / least_part`` times as many hashes as its pages have subtrees at most.
+    template. What never is template: see ``template_parts``.
     """
-    rows = pages.where(F.col(html_col).isNotNull()).select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_hash_batches, "host string, content long, hash long").distinct()
-    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    total = counted.where(F.col("hash").isNull()).select("host", F.col("n").alias("total"))
-    common = counted.where(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(total, "host").where(F.col("n") >= least_part * F.col("total"))
-    return common.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    return _common(_subtrees(pages, url_col, html_col), least_pages)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -254,15 +283,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     repeated rows stay; an empty table gives an empty result.
     """
     templates = keep(site_templates(pages, url_col, html_col), "site_templates")
-    size = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)) + F.count("*") * 8).first()[0]
-    if size <= BROADCAST_HASHES:
-        templates = F.broadcast(templates)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    everywhere = None
+    if templates.count() <= BROADCAST_HASHES:
+        everywhere = np.sort(templates.toArrow()["hash"].to_numpy().view(np.uint64))
+        rows = rows.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        own = _subtrees(pages, url_col, html_col).select("page", "hash").distinct().join(templates, "hash").groupBy("page").agg(F.collect_list("hash").alias("template"))
+        rows = rows.withColumn("page", F.xxhash64("host", "html")).join(own, "page", "left")
+    rows = rows.select("page_id", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for page, host, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                template = everywhere if everywhere is not None else np.sort(np.array(own.as_py() or [], np.int64).view(np.uint64))
+                texts.append(main_text(page, template, host))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

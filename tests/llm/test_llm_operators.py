@@ -130,6 +130,18 @@ def test_site_templates_go(spark):
     assert {r["text"] for r in got} == {"Same story"}
 
 
+@pytest.mark.parametrize("most", [html.BROADCAST_HASHES, 0])
+def test_templates_of_sections_go(spark, monkeypatch, most):
+    """Four templates, each on 6 of 25 pages of a host, without a telling tag or class; sentences stay whole."""
+    monkeypatch.setattr(html, "BROADCAST_HASHES", most)
+    body = "<div><div>Section {0} since 1999</div><p>Story {1} is <b>not</b> over</p><div><span>Call desk {0}</span></div></div>"
+    data = [(i, f"http://h.example/{i}", body.format(i // 6, i)) for i in range(25)] + [(99, "http://other.example/", body.format(0, 99))]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} is not over" for i in range(24))
+    assert got[24] == "Section 4 since 1999\nStory 24 is not over\nCall desk 4"
+    assert got[99] == "Section 0 since 1999\nStory 99 is not over\nCall desk 0"
+
+
 def test_main_text_query(spark):
     got = {r["page_id"]: r for r in queries.op3_main_text(spark, SF).collect()}
     from html import unescape
