@@ -2,12 +2,16 @@
 
 A text becomes a template: words lose punctuation at their ends and case, and
 numbers, names and units give way to typed placeholders. A word is a number if
-it holds a digit, a name if it begins with a capital inside a sentence and line, and a
-unit if it is in ``UNITS`` and follows a number. Templates are cut into windows
-of ``window`` words (shorter benchmark items are one window), which are joined by
-hash. A hit counts if its slots are consistent: within a window, the benchmark's
-slot values must map to the document's one to one, so a re-parameterised
-question is caught and a chance meeting of placeholders is not.
+it holds a digit, a name if it begins with a capital and isn't in ``COMMON``, wherever
+it stands, and a unit if it is in ``UNITS`` and follows a number. Templates are cut
+into windows of ``window`` words (shorter benchmark items are one window), which
+are joined by hash. A hit counts if its slots are consistent: within a window, the
+benchmark's slot values must map to the document's one to one, so a
+re-parameterised question is caught and a chance meeting of placeholders is not.
+
+Windows of the words themselves, without placeholders, are a second key. They need
+no part of literals, so a verbatim copy is found however many numbers, names and
+units it has and however it is wrapped or capitalised.
 
 The benchmark's window hashes are sent to tasks in blocks of ``BLOCK`` hashes
 (32 MB), one pass over the documents a block, and only documents' windows that
@@ -30,19 +34,21 @@ from assayer.llm.shared import keep
 WINDOW = 13
 #: Shorter items are not looked for: so few words meet by chance.
 SHORTEST = 6
-#: Words of a window that must not be placeholders.
+#: Part of a template window that must not be placeholders; windows of the words themselves need none.
 LITERAL_PART = 0.5
 BLOCK = 4_000_000
+#: Seed that keeps hashes of words apart from hashes of templates.
+VERBATIM = 1 << 20
 #: Units of measure.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec secs min mins h hr hrs day days week weeks month months year years hz khz mhz ghz v w kw mw kwh j kj pa kpa c f k percent % usd eur gbp dollars euros pounds cents meters metres kilometers kilometres miles feet inches hours minutes seconds grams kilograms liters litres".split()
+#: Words that are no names where they begin a sentence.
+COMMON = "a an the this that these those if when while where what which who whom whose why how is are was were do does did has have had can could will would shall should may might must i you he she it we they my your his her its our their me him us them there here in on at by for from with without of to and or but not no nor so as than then after before during since until each every all any some both either neither one two three let suppose given find calculate compute determine solve choose consider explain describe write name state show prove".split()
 NUMBER, NAME, UNIT = 11, 12, 13
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PUNCT[ord("%")] = False
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?:"]] = True
 
 
 def _hash_of(words: list[str]) -> np.ndarray:
@@ -50,11 +56,11 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return np.sort(A.word_hashes(w))
 
 
-_UNITS = _hash_of(UNITS)
+_UNITS, _COMMON = _hash_of(UNITS), _hash_of(COMMON)
 
 
 class Templates:
-    """Template words of a batch: ``token`` (hash of the literal, or of the placeholder), ``slot`` (0 for literals, else the value's hash), ``words`` (places)."""
+    """Template words of a batch: ``token`` (hash of the literal, or of the placeholder), ``literal`` (hash of the word itself), ``slot`` (0 for literals, else the value's hash), ``words`` (places)."""
 
     def __init__(self, text: pa.Array) -> None:
         buf, offs = A.texts_of(text)
@@ -68,18 +74,15 @@ class Templates:
             end -= tail
             start += head & (end - start > 1)
         alone = (end - start == 1) & _PUNCT[buf[start]] if len(start) else np.empty(0, bool)
-        stops = _END[buf[w.end - 1]] if len(start) else alone
-        breaks = np.r_[0, np.cumsum(buf == 10)]
-        opens = np.r_[True, stops[:-1] | (breaks[w.start[1:]] > breaks[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1])] if len(start) else alone
         kept = ~alone
-        start, end, doc, opens = start[kept], end[kept], w.doc[kept], opens[kept]
+        start, end, doc = start[kept], end[kept], w.doc[kept]
         self.doc = doc
         self.words = A.Words(low, start, end, doc, np.searchsorted(doc, np.arange(len(offs))))
-        literal = A.word_hashes(self.words)
+        self.literal = literal = A.word_hashes(self.words)
         digits = np.r_[0, np.cumsum(_DIGIT[buf])]
         number = digits[end] > digits[start] if len(start) else kept[:0]
         capital = (buf[start] != low[start]) | ((buf[start] == 0xC3) & (buf[np.minimum(start + 1, len(buf) - 1)] != low[np.minimum(start + 1, len(buf) - 1)])) if len(start) else number
-        name = capital & ~opens & ~number
+        name = capital & ~number & ~A.member(literal, _COMMON)
         follows = np.r_[False, number[:-1] & (doc[1:] == doc[:-1])] if len(start) else number
         unit = follows & ~number & A.member(literal, _UNITS)
         kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
@@ -95,6 +98,11 @@ class Templates:
         at = np.flatnonzero(ok)
         return at, A.rolling(self.token, n, n)[at]
 
+    def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all windows of ``n`` words, by the words themselves."""
+        at = np.flatnonzero(A.whole(self.doc, n))
+        return at, A.rolling(self.literal, n, n + VERBATIM)[at]
+
     def slots(self, at: np.ndarray, n: int) -> list[list[int]]:
         return [[x for x in self.slot[i : i + n].view(np.int64).tolist() if x] for i in at.tolist()]
 
@@ -112,16 +120,18 @@ def _windows(rows: DataFrame, lengths, among: np.ndarray | None) -> DataFrame:
                 t = Templates(text.slice(i, j - i))
                 sizes = np.diff(t.words.first)
                 for n in sorted(lengths(sizes)):
-                    at, h = t.windows(n)
-                    if among is None and n < WINDOW:
-                        whole = sizes[t.doc[at]] == n
-                        at, h = at[whole], h[whole]
-                    if among is not None:
-                        hit = A.member(h, among)
-                        at, h = at[hit], h[hit]
-                    doc = t.doc[at]
-                    take = pa.array(doc + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - t.words.first[doc]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64)), pa.array(t.slots(at, n), pa.list_(pa.int64()))], names=["id", "copy", "pos", "n", "hash", "slots"])
+                    for exact in (False, True):
+                        at, h = t.verbatim(n) if exact else t.windows(n)
+                        if among is None and n < WINDOW:
+                            whole = sizes[t.doc[at]] == n
+                            at, h = at[whole], h[whole]
+                        if among is not None:
+                            hit = A.member(h, among)
+                            at, h = at[hit], h[hit]
+                        doc = t.doc[at]
+                        take = pa.array(doc + i)
+                        slots = [[]] * len(at) if exact else t.slots(at, n)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - t.words.first[doc]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names=["id", "copy", "pos", "n", "hash", "slots"])
 
     return rows.mapInArrow(run, _HITS)
 

@@ -254,6 +254,18 @@ def test_leaks(spark):
     assert decontaminate.decontaminate(docs(spark, texts), bench).count() == len(texts) - 2
 
 
+def test_verbatim_leaks_are_found_whatever_they_hold(spark):
+    """Copies with few literal words, re-wrapped, inside a sentence, and in lower case; a changed number isn't one."""
+    items = ["12 + 30 = 42 and 7 km 9 kg 11 lb", "Alice Bob Carol David Eve Frank Grace Heidi", "WHAT IS THE CAPITAL CITY OF FRANCE", "Photosynthesis turns light into\nchemical energy. Plants store it"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [f"so {t} and more" for t in items] + [t.replace(" ", "\n") for t in items] + [f"so {t.lower()} and" for t in items] + [items[0].replace("42", "43")]
+    got = {r["id"]: (r["item_ids"], r["verbatim"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {k: ([k % 4], True) for k in range(12)}
+    varied = spark.createDataFrame([(1, "The train leaves the station of Boston at 9")], "item_id long, text string")
+    texts = ["now the train leaves the station of Paris at 11", "x.\nThe train\nleaves the station of Paris at 11"]
+    assert [r["verbatim"] for r in decontaminate.contaminated(docs(spark, texts), varied).collect()] == [False, False]
+
+
 def test_leaks_query(spark):
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op7_decontamination(spark, SF).collect()}
     table = rows("documents", "doc_id", "text")
