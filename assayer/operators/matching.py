@@ -8,7 +8,12 @@ strings that the tiers before left open.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from assayer.functions import scores as S
 from assayer.functions import text as T
 
 FUZZY_LEAST = 82.0
+#: Rows and candidates of a tile, each, at about; rows whose scores are held at once.
+BLOCK, CHUNK = 2048, 256
 
 
 def canonical(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame:
@@ -107,12 +114,84 @@ def pending(requirements: DataFrame, matches: DataFrame, by: Sequence[str] = ("p
     return requirements.where(~F.col("category").isin("education", "certification")).join(missing, [*by, "requirement_id"], "left_semi")
 
 
-def best_candidate(left: DataFrame, right: DataFrame, by: Sequence[str], id_col: str, other_id: str, vec: str = "vec") -> DataFrame:
-    """The nearest candidate of the same group for each row, by cosine, with its band; ties go to the smaller id."""
-    met = left.join(right.withColumnRenamed(vec, "__other"), list(by))
-    scored = met.withColumn("similarity", F.bround(S.cosine(F.col(vec), F.col("__other")), 4))
-    best = F.max_by(F.struct(other_id, "similarity"), F.struct("similarity", -F.col(other_id))).alias("b")
-    return scored.groupBy(*by, id_col).agg(best).select(*by, id_col, f"b.{other_id}", "b.similarity", S.similarity_band(F.col("b.similarity")).alias("band"))
+def _vectors(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and unit vectors by dimension; no row for empty or zero vectors and ones with a null."""
+    column = column.combine_chunks()
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    sizes, flat = pc.fill_null(pc.list_value_length(column), 0).to_numpy(), pc.list_flatten(column)
+    values, first = pc.fill_null(flat.cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)]
+    nulls = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+    whole = (sizes > 0) & (nulls[first[1:]] == nulls[first[:-1]])
+    out = {}
+    for n in np.unique(sizes[whole]).tolist():
+        rows = np.flatnonzero(whole & (sizes == n))
+        vectors = values[first[rows][:, None] + np.arange(n)]
+        norm = np.sqrt((vectors * vectors).sum(1))
+        out[n] = rows[norm != 0], vectors[norm != 0] / norm[norm != 0, None]
+    return out
+
+
+def _best_of_tile(by: int, others_only: bool):
+    """The best of a shard's candidates for each row of a block."""
+
+    def tile(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        order = pc.sort_indices(right, [("__other", "ascending")])  # of equals the first is taken: the smaller id; nulls are last
+        right = right.take(order)
+        ids, others = left["__id"].combine_chunks(), right["__other"].combine_chunks()
+        mine, theirs = _vectors(left["__vec"]), _vectors(right["__vec"])
+        same_id = pc.fill_null(pc.index_in(ids, others), -1).to_numpy() if others_only else None
+        numbers, best, value = others.dictionary_encode().indices, np.full(len(ids), -1), np.zeros(len(ids))
+        codes = pc.fill_null(numbers, -1).to_numpy()
+        of_row = {i: (n, k) for n, (rows, _) in mine.items() for k, i in enumerate(rows.tolist())}
+        for lo in range(0, len(ids), CHUNK):
+            part = range(lo, min(lo + CHUNK, len(ids)))
+            scores = np.zeros((len(part), len(others)))
+            for n in mine.keys() & theirs.keys():
+                at = [i - lo for i in part if of_row.get(i, (0,))[0] == n]
+                if at:
+                    with np.errstate(all="ignore"):
+                        x = mine[n][1][[of_row[i + lo][1] for i in at]] @ theirs[n][1].T
+                    scores[np.ix_(at, theirs[n][0])] = np.round(np.clip(np.where(np.isnan(x), 1.0, x), 0.0, 1.0), 4)
+            if others_only:
+                held = same_id[lo : part.stop]
+                scores[(held >= 0)[:, None] & (codes[None, :] == codes[np.maximum(held, 0)][:, None])] = -1.0
+            pick = scores.argmax(1)
+            value[lo : part.stop] = scores[np.arange(len(part)), pick]
+            best[lo : part.stop] = pick
+        some = np.flatnonzero(value >= 0)
+        keys = [pa.array([k.as_py()] * len(some), k.type) for k in key[:by]]
+        return pa.Table.from_arrays([*keys, ids.take(pa.array(some)), others.take(pa.array(best[some])), pa.array(value[some])], names=[*(f"k{i}" for i in range(by)), "id", "other", "similarity"])
+
+    return tile
+
+
+def best_candidate(left: DataFrame, right: DataFrame, by: Sequence[str], id_col: str, other_id: str, vec: str = "vec", others_only: bool = False) -> DataFrame:
+    """The nearest candidate of the same group for each row, by cosine, with its band; ties go to the smaller id.
+
+    A group's rows are dealt into blocks and its candidates into shards of about
+    ``BLOCK``; each pair of them is one task's tile, which sends one partial best
+    a row. ``others_only``: candidates with the row's own id don't count. A row
+    without a candidate gives no row.
+    """
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    names = [f"__k{i}" for i in range(len(by))]
+    known = [F.col(c).isNotNull() for c in by]
+    a = left.where(reduce(and_, known)).select(*keys, F.col(id_col).alias("__id"), F.col(vec).alias("__vec"))
+    b = right.where(reduce(and_, known)).select(*keys, F.col(other_id).alias("__other"), F.col(vec).alias("__vec"))
+    parts = [x.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for x, n in ((a, "__m"), (b, "__n"))]
+    sizes = parts[0].join(parts[1], names)
+    dealt = lambda x, c, n: F.pmod(F.xxhash64(c), x[n]).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a, b = a.join(sizes, names), b.join(sizes, names)
+    a = a.withColumn("__i", dealt(a, "__id", "__m")).withColumn("__j", every("__n")).drop("__m", "__n")
+    b = b.withColumn("__j", dealt(b, "__other", "__n")).withColumn("__i", every("__m")).drop("__m", "__n")
+    kinds = [x.schema[c].dataType.simpleString() for x, cs in ((a, [*names, "__id"]), (b, ["__other"])) for c in cs]
+    schema = ", ".join(f"{n} {t}" for n, t in zip([*(f"k{i}" for i in range(len(by))), "id", "other", "similarity"], [*kinds, "double"], strict=True))
+    tile = [*names, "__i", "__j"]
+    scored = a.groupBy(*tile).cogroup(b.groupBy(*tile)).applyInArrow(_best_of_tile(len(by), others_only), schema)
+    best = F.max_by(F.struct("other", "similarity"), F.struct("similarity", -F.col("other"))).alias("b")
+    scored = scored.groupBy(*(f"k{i}" for i in range(len(by))), "id").agg(best)
+    return scored.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(by)), F.col("id").alias(id_col), F.col("b.other").alias(other_id), "b.similarity", S.similarity_band(F.col("b.similarity")).alias("band"))
 
 
 def with_verdicts(pairs: DataFrame, verdicts: DataFrame, text: str, evidence: str) -> DataFrame:

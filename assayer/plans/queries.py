@@ -324,6 +324,13 @@ def semantic_match(spark, d):
     return matching.best_candidate(asked, others, ["label"], "vec_id", "candidate_id")
 
 
+@query()
+def semantic_match_all(spark, d):
+    """Every row against all others of its label. Tested against brute force."""
+    e = tables.table(spark, d, "embeddings").where("embedding IS NOT NULL").select("label", "vec_id", F.col("embedding").alias("vec"))
+    return matching.best_candidate(e, e.withColumnRenamed("vec_id", "candidate_id"), ["label"], "vec_id", "candidate_id", others_only=True)
+
+
 @query("""WITH v AS (SELECT lower(trim(source)) AS key, first(verdict ORDER BY ord DESC) AS verdict FROM (SELECT source, CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'Partial ' ELSE 'no' END AS verdict, doc_id AS ord FROM documents WHERE doc_id % 7 <> 0 AND source < 'src3') GROUP BY 1)
 SELECT d.doc_id, verdict, coalesce(least(CASE lower(trim(verdict)) WHEN 'yes' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END, 0.85), 0.0)::DOUBLE AS strength FROM documents d LEFT JOIN v ON lower(trim(d.source)) = v.key""")
 def verdict_join(spark, d):

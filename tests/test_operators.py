@@ -297,6 +297,29 @@ def test_cascade(spark):
     assert got == {1: ("partial", 0.5, False, "skills_list"), 2: ("partial", 0.4, True, None), 3: ("matched", 0.6, False, "experience_bullet"), 4: ("missing", 0.0, False, None)}
 
 
+def test_every_row_gets_its_best_candidate(spark, monkeypatch):
+    """All rows of a large group and a small one, in several blocks and shards, with odd vectors, against brute force."""
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    monkeypatch.setattr(matching, "CHUNK", 2)
+    data = [(i, "hot" if i % 5 else "cold", [float((i * k) % 7 - 3) for k in (1, 2, 4)]) for i in range(60)]
+    data += [(60, "hot", [0.0] * 3), (61, "hot", [1.0, 2.0]), (62, "hot", None), (63, "hot", [1.0, None, 1.0]), (64, "hot", []), (65, "alone", [1.0] * 3), (66, None, [1.0] * 3)]
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b or not any(a) or not any(b):
+            return 0.0
+        return round(max(0.0, sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5), 4)
+
+    want = {}
+    for i, g, v in data:
+        met = [(-cosine(v, w), j) for j, h, w in data if h == g and g is not None and j != i]
+        if met:
+            want[i] = (g, min(met)[1], -min(met)[0])
+    df = spark.createDataFrame(data, "vec_id long, label string, vec array<float>")
+    got = matching.best_candidate(df, df.withColumnRenamed("vec_id", "candidate_id"), ["label"], "vec_id", "candidate_id", others_only=True).collect()
+    assert len(got) == len(want) == 65
+    assert {r["vec_id"]: (r["label"], r["candidate_id"], r["similarity"]) for r in got} == want
+
+
 # layout ----------------------------------------------------------------------
 
 
