@@ -523,10 +523,22 @@ def share_redact(spark, d):
 @query(r"""WITH p AS (SELECT a.conv_id, a.turn, list_distinct(list_transform(regexp_extract_all(a.text, '\d+'), lambda x: CAST(x AS BIGINT))) AS a, list_transform(regexp_extract_all(coalesce(b.text, ''), '\d+'), lambda x: CAST(x AS BIGINT)) AS b FROM (SELECT * FROM conversations WHERE len(regexp_extract_all(text, '\d[\d,.]{6,}|\d\s*[kKmMbB%]|\d[,.]\d')) = 0) a LEFT JOIN (SELECT * FROM conversations WHERE len(regexp_extract_all(text, '\d[\d,.]{6,}|\d\s*[kKmMbB%]|\d[,.]\d')) = 0) b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
 SELECT conv_id, turn, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS ungrounded FROM p""")
 def grounding_numbers(spark, d):
+    """Turns without grouped, decimal, scaled or long numbers, as the SQL can say them; all turns: ``grounding_numbers_all``."""
     rows = tables.table(spark, d, "conversations").select("conv_id", "turn", "text").where(~F.col("text").rlike(r"\d[\d,.]{6,}|\d\s*[kKmMbB%]|\d[,.]\d"))
+    return _ungrounded(rows)
+
+
+@query()
+def grounding_numbers_all(spark, d):
+    """Every turn against the one before, whatever its numbers look like. Tested against brute force."""
+    return _ungrounded(tables.table(spark, d, "conversations").select("conv_id", "turn", "text"))
+
+
+def _ungrounded(rows):
     before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
     joined = rows.join(before, ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", F.size(T.ungrounded_numbers(F.col("text"), F.coalesce("source", F.lit("")), F.lit(""))).cast("long").alias("ungrounded"))
+    claim = F.coalesce("text", F.lit(""))
+    return joined.select("conv_id", "turn", F.size(T.ungrounded_numbers(claim, F.coalesce("source", F.lit("")), F.lit(""))).cast("long").alias("ungrounded"))
 
 
 @query("""SELECT d.doc_id, b.item_id, (instr(d.text, b.text) - 1)::BIGINT AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")

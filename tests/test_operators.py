@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -297,6 +298,24 @@ def test_cascade(spark):
     assert got == {1: ("partial", 0.5, False, "skills_list"), 2: ("partial", 0.4, True, None), 3: ("matched", 0.6, False, "experience_bullet"), 4: ("missing", 0.0, False, None)}
 
 
+def test_numbers_of_every_turn_are_grounded(spark, tmp_path):
+    """Grouped, decimal, scaled, long numbers and percentages as claim and as source, against a plain version."""
+    texts = ["40,000 users, 12% and 3.5", "40K users, 12 and 3.50", "40000 users", "1234567 and 1234568", "1.234567M", "2 m, 5 B%", "2,000,000 5b% 0.00001", "5000000000% 1e-05 7", "", None, "9%", "9 99,5 100.0", "100 995 0"]
+    data = [(c, i, t) for c, some in enumerate([texts, texts[::-1]]) for i, t in enumerate(some)]
+    spark.createDataFrame(data, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def facts(text):
+        out = set()
+        for digits, unit, percent in re.findall(r"(\d[\d,]*(?:\.\d+)?)\s*([kKmMbB])?(%)?", text or ""):
+            out.add(f"{float(digits.replace(',', '')) * {'k': 1e3, 'm': 1e6, 'b': 1e9}.get(unit.lower(), 1):g}{percent}")
+        return out
+
+    text_of = {(c, i): t for c, i, t in data}
+    want = {(c, i): len(facts(t) - facts(text_of.get((c, i - 1)))) for c, i, t in data}
+    got = queries.grounding_numbers_all(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["conv_id"], r["turn"]): r["ungrounded"] for r in got} == want
+
+
 def test_every_row_gets_its_best_candidate(spark, monkeypatch):
     """All rows of a large group and a small one, in several blocks and shards, with odd vectors, against brute force."""
     monkeypatch.setattr(matching, "BLOCK", 7)
