@@ -87,22 +87,40 @@ def adjacent(wanted: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequenc
     return near.groupBy(*by, "canonical").agg(F.min_by("near", F.struct("ord", "near")).alias("via")).withColumn("strength", F.lit(S.ADJACENT_STRENGTH))
 
 
-def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequence[str] = ("pair_id",)) -> DataFrame:
+def literal(open_: DataFrame, documents: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Keys and ``requirement_id`` of requirements whose own wording stands in the document: not of skills and tools, of 4 characters or more."""
+    free = ~F.coalesce("category", F.lit("")).isin("hard_skill", "tool") & (F.length(F.trim("text")) >= 4)
+    texts = documents.select(*by, F.col("text").alias("__document"))
+    met = open_.where(free).select(*by, "requirement_id", "text").join(texts, list(by))
+    return met.where(T.locate(F.col("__document"), F.trim("text")).isNotNull()).select(*by, "requirement_id").distinct()
+
+
+def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequence[str] = ("pair_id",), taxonomy: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
     """Status and strength of every requirement.
 
     ``requirements``: keys, ``requirement_id``, ``canonical``, ``years``;
-    ``skills``: keys, ``canonical``, ``origin``, ``ord``, ``months``. Exact
-    matches come first, then neighbours; the rest is missing. Years adjust exact
-    matches only.
+    ``skills``: keys, ``canonical``, ``origin``, ``ord``, ``months``. With a
+    ``taxonomy``, requirements without a canonical name get the one that their
+    ``text`` is, or is most like. Exact matches come first; with ``documents``
+    (keys, ``text``) then the requirement's ``text`` as it stands there, unless its
+    ``category`` is of skills and tools; then neighbours; the rest is missing.
+    Years adjust exact and literal matches.
     """
     on = [*by, "canonical"]
+    if taxonomy is not None:
+        strings = requirements.where(F.col("canonical").isNull() & F.col("text").isNotNull()).select("text").distinct()
+        names = resolve(strings, taxonomy, "text").select("text", F.col("canonical").alias("__found"))
+        requirements = requirements.join(names, "text", "left").withColumn("canonical", F.coalesce("canonical", "__found")).drop("__found")
     best = strongest(skills, on)
     months = skills.groupBy(*on).agg(F.sum("months").alias("months"))
     direct = requirements.join(best, on, "left").join(months, on, "left")
+    if documents is not None:
+        stands = literal(direct.where(F.col("strength").isNull()), documents, by).withColumn("__literal", F.lit("other"))
+        direct = direct.join(stands, [*by, "requirement_id"], "left").withColumn("strength", F.coalesce("strength", S.origin_strength(F.col("__literal")))).withColumn("origin", F.coalesce("origin", "__literal")).drop("__literal")
     strength = S.with_years(F.col("strength"), F.col("years"), F.coalesce("months", F.lit(0)))
     open_ = direct.where(F.col("strength").isNull() & F.col("canonical").isNotNull()).select(*on).distinct()
     near = adjacent(open_, skills, edges, by).withColumnRenamed("strength", "near_strength")
-    out = direct.join(near, on, "left")
+    out = direct.join(near, on, "left").withColumn("via", F.when(F.col("strength").isNull(), F.col("via")))
     value = F.coalesce(F.bround(strength, 3), "near_strength", F.lit(0.0))
     status = F.when(F.col("strength").isNotNull(), F.when(strength > 0.5, "matched").otherwise("partial")).when(F.col("near_strength").isNotNull(), "partial").otherwise("missing")
     return out.select(*by, "requirement_id", "canonical", value.alias("strength"), status.alias("status"), (F.col("strength").isNull() & F.col("near_strength").isNotNull()).alias("is_adjacent"), "via", "origin", F.when(F.col("years").isNotNull() & F.col("strength").isNotNull(), F.coalesce("months", F.lit(0))).alias("observed_months"))

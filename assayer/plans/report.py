@@ -16,15 +16,17 @@ def ordered(rows: DataFrame, by: Sequence[str], name: str, *columns: str, order:
     return rows.groupBy(*by).agg(F.transform(items, lambda x: x["v"]).alias(name))
 
 
-def analyse(requirements: DataFrame, skills: DataFrame, edges: DataFrame, bullets: DataFrame, findings: DataFrame, judgements: DataFrame, by: Sequence[str] = ("pair_id",)) -> dict[str, DataFrame]:
+def analyse(requirements: DataFrame, skills: DataFrame, edges: DataFrame, bullets: DataFrame, findings: DataFrame, judgements: DataFrame, by: Sequence[str] = ("pair_id",), taxonomy: DataFrame | None = None, documents: DataFrame | None = None) -> dict[str, DataFrame]:
     """Matches, metrics, scores and recommendations of every pair.
 
     ``requirements``: keys, ``requirement_id``, ``canonical``, ``priority``,
-    ``years``; ``skills``, ``edges``: see ``matching.cascade``; ``bullets``: keys,
+    ``years``; ``skills``, ``edges``, ``taxonomy``, ``documents`` (and the
+    ``text`` and ``category`` that the latter two need): see
+    ``matching.cascade``; ``bullets``: keys,
     ``ord``, ``text``; ``findings``: keys, ``rule_id``, ``deduction``;
     ``judgements``: keys and five levels.
     """
-    matches = matching.cascade(requirements, skills, edges, by)
+    matches = matching.cascade(requirements, skills, edges, by, taxonomy, documents)
     metrics = writing.long_metrics(writing.metrics(bullets, by), by)
     scores = scoring.compute(requirements, matches, findings, metrics, judgements, by)
     rated = requirements.select(*by, "requirement_id", "priority").join(matches.select(*by, "requirement_id", "strength", "status"), [*by, "requirement_id"])

@@ -316,6 +316,23 @@ def test_numbers_of_every_turn_are_grounded(spark, tmp_path):
     assert len(got) == len(want) and {(r["conv_id"], r["turn"]): r["ungrounded"] for r in got} == want
 
 
+def test_cascade_resolves_texts_and_finds_wording(spark):
+    rows = [(1, "docker", "Docker", "tool", None), (2, None, "Kubernets", "tool", None), (3, None, "mentoring  juniors", "soft_skill", None), (4, None, "mentoring juniors", "tool", None), (5, None, "led", "soft_skill", None), (6, None, "owns the roadmap", "responsibility", None), (7, "mysql", "team work", "domain", None), (8, "mysql", "MySQL", "tool", None), (9, None, "clear writing", "soft_skill", 2.0), (10, None, None, "soft_skill", None)]
+    req = spark.createDataFrame([(1, *r) for r in rows], "pair_id int, requirement_id int, canonical string, text string, category string, years double")
+    sk = spark.createDataFrame([(1, "kubernetes", "experience_bullet", 1, 5), (1, "postgresql", "skills_list", 2, 0)], "pair_id int, canonical string, origin string, ord int, months int")
+    edges = spark.createDataFrame([("mysql", "postgresql", 0)], "skill string, near string, ord int")
+    names = spark.createDataFrame([("kubernetes", "kubernetes", 0), ("docker", "docker", 1)], "canonical string, alias string, ord int")
+    resumes_ = spark.createDataFrame([(1, "led team work, mentoring\njuniors and clear writing"), (2, "owns the roadmap")], "pair_id int, text string")
+    got = {r["requirement_id"]: r for r in matching.cascade(req, sk, edges, taxonomy=names, documents=resumes_).collect()}
+    assert len(got) == 10 and {i for i, r in got.items() if r["status"] == "missing"} == {1, 4, 5, 6, 10}
+    assert (got[2]["canonical"], got[2]["origin"], got[2]["status"]) == ("kubernetes", "experience_bullet", "matched")
+    other = S.ORIGINS["other"][0]
+    assert all((got[i]["origin"], got[i]["strength"], got[i]["is_adjacent"], got[i]["via"]) == ("other", other, False, None) for i in (3, 7))
+    assert (got[8]["is_adjacent"], got[8]["via"], got[8]["strength"]) == (True, "postgresql", 0.4)
+    assert got[9]["origin"] == "other" and got[9]["strength"] == min(other, 0.3) and got[9]["observed_months"] == 0
+    assert {r["requirement_id"] for r in matching.pending(req, matching.cascade(req, sk, edges, taxonomy=names, documents=resumes_)).collect()} == {1, 4, 5, 6, 10}
+
+
 def test_every_row_gets_its_best_candidate(spark, monkeypatch):
     """All rows of a large group and a small one, in several blocks and shards, with odd vectors, against brute force."""
     monkeypatch.setattr(matching, "BLOCK", 7)
