@@ -32,13 +32,14 @@ def path_of(url: Column) -> Column:
 
 
 def entries(spark: SparkSession, rules: list[tuple[str, str]], listed: DataFrame | None = None) -> DataFrame:
-    """Rules (entry, verdict) and listed URLs (column ``url``; they block) as one table."""
+    """Rules (entry, verdict) and listed URLs (column ``url``; they block) as one table. A listed URL's host is lower-cased, its path stays."""
     rows = [(e, e.partition("/")[0], "/" + e.partition("/")[2], v, True) for e, v in rules]
     out = spark.createDataFrame(rows, "entry string, e_host string, e_path string, verdict string, is_rule boolean")
     if listed is None:
         return out
-    entry = F.translate(F.col("url"), UPPER, LOWER)
-    more = listed.where(F.col("url").isNotNull()).select(entry.alias("entry"), F.substring_index(entry, "/", 1).alias("e_host"))
+    host = F.substring_index("url", "/", 1)
+    entry = F.concat(F.translate(host, UPPER, LOWER), F.expr("substring(url, length(substring_index(url, '/', 1)) + 1)"))
+    more = listed.where(F.col("url").isNotNull()).select(entry.alias("entry"), F.translate(host, UPPER, LOWER).alias("e_host"))
     more = more.withColumn("e_path", F.expr("substring(entry, length(e_host) + 1)")).distinct()
     return out.unionByName(more.select("*", F.lit("block").alias("verdict"), F.lit(False).alias("is_rule")))
 

@@ -298,6 +298,13 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(df, urls.entries(spark, [], None)).collect()} == {"allow"}
 
 
+def test_listed_paths_keep_their_case(spark):
+    df = spark.createDataFrame([(1, "http://Bad.example/Ads/x"), (2, "http://bad.example/ads/x"), (3, "http://www.plain.example/a")], "page_id long, url string")
+    listed = spark.createDataFrame([("BAD.example/Ads/",), ("Plain.Example/",)], "url string")
+    got = urls.judge_urls(df, urls.entries(spark, [], listed)).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_bloom_filter_passes_every_listed_key(spark):
     keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("entry"))
     words_ = urls.bloom_filter(keys, "entry", 125)
