@@ -543,14 +543,17 @@ def _ungrounded(rows):
 
 @query("""SELECT d.doc_id, b.item_id, (instr(d.text, b.text) - 1)::BIGINT AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def span_locate(spark, d):
-    """Benchmark passages in documents: an equi-join on hashed word windows first, then the exact place."""
+    """Benchmark passages in documents: an equi-join on inner word windows first, then the exact place; needles of under eight words, which may have no such window, are looked for as they are."""
     docs, items = documents(spark, d), tables.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("needle"))
     ws = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    head = items.withColumn("ws", ws("needle")).select("item_id", "needle", F.array_join(F.slice("ws", 2, 6), " ").alias("key"))
+    items = items.withColumn("ws", ws("needle"))
+    short = items.where(F.size("ws") < 8).select("item_id", "needle")
+    head = items.where(F.size("ws") >= 8).select("item_id", "needle", F.array_join(F.slice("ws", 2, 6), " ").alias("key"))
     spans = docs.withColumn("ws", ws("text")).where(F.size("ws") >= 6)
     keys = spans.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 5), lambda i: F.array_join(F.slice("ws", i, 6), " ")))).alias("key"))
-    met = keys.join(head, "key").select("doc_id", "item_id", "needle").distinct()
-    return met.join(docs, "doc_id").withColumn("start", F.instr("text", F.col("needle")) - 1).where("start >= 0").select("doc_id", "item_id", F.col("start").cast("long").alias("start"))
+    met = keys.join(head, "key").select("doc_id", "item_id", "needle").distinct().join(docs, "doc_id").select("doc_id", "item_id", "needle", "text")
+    few = docs.join(F.broadcast(short), F.contains("text", "needle")).select("doc_id", "item_id", "needle", "text")
+    return met.unionByName(few).withColumn("start", F.instr("text", F.col("needle")) - 1).where("start >= 0").select("doc_id", "item_id", F.col("start").cast("long").alias("start"))
 
 
 @query("""WITH s AS (SELECT doc_id, text, (length(text) // 3)::INT AS a, (length(text) // 3)::INT + 20 AS b FROM documents WHERE text IS NOT NULL)

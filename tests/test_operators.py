@@ -333,6 +333,16 @@ def test_cascade_resolves_texts_and_finds_wording(spark):
     assert {r["requirement_id"] for r in matching.pending(req, matching.cascade(req, sk, edges, taxonomy=names, documents=resumes_)).collect()} == {1, 4, 5, 6, 10}
 
 
+def test_short_needles_are_located(spark, tmp_path):
+    needles = ["b", "b c d", "b c d e f g", "b c d e f g h", "b c d e f g h i"]
+    docs_ = ["a b c d e f g h i j", "xb c d e f g hx", "b", None, "b c d e f g h ix"]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(docs_)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, t) for i, t in enumerate(needles)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = sorted((d, i, t.find(n)) for d, t in enumerate(docs_) for i, n in enumerate(needles) if t and n in t)
+    got = sorted((r["doc_id"], r["item_id"], r["start"]) for r in queries.span_locate(spark, str(tmp_path)).collect())
+    assert got == want
+
+
 def test_every_row_gets_its_best_candidate(spark, monkeypatch):
     """All rows of a large group and a small one, in several blocks and shards, with odd vectors, against brute force."""
     monkeypatch.setattr(matching, "BLOCK", 7)
