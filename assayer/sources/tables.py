@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for row-wise work on long texts; one that fits a single split is dealt out to all cores, as one task would read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    split = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    rows = table(spark, folder, name)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size <= split else rows
+
+
 def condition(filters: Mapping[str, Any]) -> Column:
     """``{"id": "eq.7", "age": "gte.18", "gone": "is.null"}``, or plain values, as one condition. Numbers in operators compare as numbers."""
     out = F.lit(True)
