@@ -164,11 +164,46 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def _lower_table(first: int, past: int) -> np.ndarray:
+    """Lower-case code points of ``first`` to ``past``, where they take as many UTF-8 bytes."""
+    out = np.arange(first, past, dtype=np.int32)
+    for c in range(first, past):
+        low = chr(c).lower()
+        if len(low) == 1 and low != chr(c) and first <= ord(low) < past:
+            out[c - first] = ord(low)
+    return out
+
+
+_LOWER2, _LOWER3 = _lower_table(0x80, 0x800), _lower_table(0x800, 0x10000)
+
+
 def lowered(buf: np.ndarray) -> np.ndarray:
-    """UTF-8 bytes with ASCII and Latin-1 letters in lower case; lengths stay."""
+    """UTF-8 bytes in lower case; letters whose lower case has another length stay, and so do those beyond U+FFFF."""
     out = buf.copy()
     out[(buf >= 65) & (buf <= 90)] += 32
-    if len(buf) > 1:
-        latin = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
-        out[latin] += 32
+    two = np.flatnonzero((buf >= 0xC2) & (buf <= 0xDF))
+    if len(two):
+        low = _LOWER2[((buf[two] & 0x1F).astype(np.int32) << 6 | buf[two + 1] & 0x3F) - 0x80]
+        out[two], out[two + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+    three = np.flatnonzero((buf >= 0xE0) & (buf <= 0xEF))
+    if len(three):
+        low = _LOWER3[((buf[three] & 0x0F).astype(np.int32) << 12 | (buf[three + 1] & 0x3F).astype(np.int32) << 6 | buf[three + 2] & 0x3F) - 0x800]
+        out[three], out[three + 1], out[three + 2] = 0xE0 | low >> 12, 0x80 | low >> 6 & 0x3F, 0x80 | low & 0x3F
+    return out
+
+
+def capitals(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that begins at each place is an upper-case or title-case letter."""
+    out = (buf[at] >= 65) & (buf[at] <= 90) if len(at) else np.empty(0, bool)
+    wide = np.flatnonzero(buf[at] >= 0xC2) if len(at) else np.empty(0, np.int64)
+    if len(wide):
+        first = at[wide]
+        size = np.where(buf[first] >= 0xF0, 4, np.where(buf[first] >= 0xE0, 3, 2))
+        code = np.zeros(len(wide), np.uint32)
+        for k in range(4):
+            byte = np.where(k < size, buf[np.minimum(first + k, len(buf) - 1)], 0).astype(np.uint32)
+            code |= byte << np.uint32(8 * k)
+        kinds, which = np.unique(code, return_inverse=True)
+        cased = [c.isupper() or c.istitle() for c in (int(x).to_bytes(4, "little").rstrip(b"\0").decode("utf-8", "replace") for x in kinds)]
+        out[wide] = np.array(cased, bool)[which]
     return out
