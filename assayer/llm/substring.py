@@ -37,20 +37,18 @@ _SENT = "bucket long, chunk long, hashes binary, block binary, multi binary"
 _ANSWER = "chunk long, hashes binary"
 
 
-def _deal(chunk: int, h: np.ndarray, block: np.ndarray, bits: int, buckets: int) -> list[tuple]:
-    """Distinct hashes of ``bits`` bits by bucket, with flags: an indexed block; more than one occurrence."""
+def _deal(chunk: int, h: list[np.ndarray], block: list[np.ndarray], bits: int, buckets: int) -> list[tuple]:
+    """Distinct hashes of a chunk, of ``bits`` bits, by bucket, with flags: an indexed block; more than one occurrence."""
+    if not sum(map(len, h)):
+        return []
+    h, block = np.concatenate(h), np.concatenate(block)
     order = np.argsort(h, kind="stable")
     h, block = h[order], block[order]
-    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
-    h, multi = h[new], np.diff(np.r_[new, len(h)]) > 1
-    block = np.logical_or.reduceat(block, new) if len(new) else block
-    step = -(-(1 << bits) // buckets)
-    cuts = np.searchsorted(h, np.array([min(i * step, (1 << 64) - 1) for i in range(1, buckets)], np.uint64))
-    rows = []
-    for b, (i, j) in enumerate(zip(np.r_[0, cuts], np.r_[cuts, len(h)], strict=True)):
-        if i < j:
-            rows.append((b, chunk, A.pack(h[i:j]), np.packbits(block[i:j]).tobytes(), np.packbits(multi[i:j]).tobytes()))
-    return rows
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    h, multi, block = h[new], np.diff(np.r_[new, len(h)]) > 1, np.logical_or.reduceat(block, new)
+    bucket = h // np.uint64(-(-(1 << bits) // buckets)) if buckets > 1 else np.zeros(len(h), np.uint64)
+    cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(h)].tolist()
+    return [(int(bucket[i]), chunk, A.pack(h[i:j]), np.packbits(block[i:j]).tobytes(), np.packbits(multi[i:j]).tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
@@ -62,13 +60,13 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 def _prober(block: int, bits: int, buckets: int):
     def probe(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        rows, text = [], docs["text"].combine_chunks()
+        hashes, starts, text = [], [], docs["text"].combine_chunks()
         for i, j in A.slices(text):
             w = A.words_of(*A.texts_of(text.slice(i, j - i)))
             at = np.flatnonzero(A.whole(w.doc, block))
-            h = (A.rolling(A.word_hashes(w), block) >> np.uint64(64 - bits))[at]
-            rows += _deal(key[0].as_py(), h, (at - w.first[w.doc[at]]) % block == 0, bits, buckets)
-        return _sent(rows)
+            hashes.append((A.rolling(A.word_hashes(w), block) >> np.uint64(64 - bits))[at])
+            starts.append((at - w.first[w.doc[at]]) % block == 0)
+        return _sent(_deal(key[0].as_py(), hashes, starts, bits, buckets))
 
     return probe
 
@@ -96,9 +94,9 @@ def _told(answers: pa.Table) -> np.ndarray:
 
 def _extender(min_words: int, block: int, bits: int, buckets: int):
     def extend(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows, anchors = [], _told(answers)
+        found, anchors = [], _told(answers)
         if not docs.num_rows or not len(anchors):
-            return _sent(rows)
+            return _sent([])
         text = docs["text"].combine_chunks()
         for i, j in A.slices(text):
             w = A.words_of(*A.texts_of(text.slice(i, j - i)))
@@ -109,8 +107,8 @@ def _extender(min_words: int, block: int, bits: int, buckets: int):
             from_ = np.maximum(hit - (min_words - block), 0)
             near = np.cumsum(np.bincount(from_, minlength=len(h) + 1) - np.bincount(hit + 1, minlength=len(h) + 1)) > 0
             at = np.flatnonzero(fits & near[: len(fits)])
-            rows += _deal(key[0].as_py(), windows[at], np.ones(len(at), bool), 64, buckets)
-        return _sent(rows)
+            found.append(windows[at])
+        return _sent(_deal(key[0].as_py(), found, [np.ones(len(x), bool) for x in found], 64, buckets))
 
     return extend
 
@@ -151,7 +149,9 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     A null text has no words; a text shorter than a window loses nothing; equal
     rows are documents of their own, so both copies go; null ids are carried
-    along; an empty table gives an empty result; other columns are not read.
+    along; an empty table gives an empty result; other columns are not read, so
+    their names don't matter. Very long texts are read whole: a task holds a
+    chunk of 8 MB or one longer text, at about ten times its bytes.
     """
     if min_words < 2:
         raise ValueError("min_words must be 2 at least")
