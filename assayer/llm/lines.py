@@ -5,7 +5,8 @@ than once in the corpus marks a repeated window; its first occurrence (smallest
 document, then earliest line) stays, and the lines that later ones cover go.
 Covered positions of overlapping windows merge, so a long repeat goes as one.
 
-Hashing needs no shuffle; hashes are counted with partial aggregation, and the
+Hashing needs no shuffle; equal rows need no prior deduplication, as their
+windows have equal places; hashes are counted with partial aggregation, and the
 occurrences of repeated windows come from one equi-join on the hash, which
 Spark splits where a hash is frequent. No group is ever collected: a document
 gathers only its own covered line numbers.
@@ -22,7 +23,7 @@ WINDOW = 3
 def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``id``, ``copy`` (a hash of the text), ``pos`` (from 0) and ``hash`` of each window of consecutive lines."""
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.xxhash64(F.trim(x)))
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), lines.alias("lines")).where(F.size("lines") >= window).distinct()
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("copy"), lines.alias("lines")).where(F.size("lines") >= window)
     blank = F.xxhash64(F.lit(""))
     at = F.sequence(F.lit(1), F.size("lines") - (window - 1))
     hashes = F.transform(at, lambda i: F.when(F.exists(F.slice("lines", i, window), lambda h: h != blank), F.xxhash64(*[F.element_at("lines", i + j) for j in range(window)])))
@@ -38,7 +39,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The order of occurrences is that of ids (null first), then of text hashes for
     equal ids, then of lines; rows equal in id and text are one document and are
     treated alike. A null text stays null, texts of fewer lines than a window
-    stay as they are, and an empty table gives an empty result.
+    stay as they are, and an empty table gives an empty result. An older column
+    ``removed_lines`` and names of working columns (``__id``, ``__copy``,
+    ``__gone``, ``s_id``, ``s_copy``) give way. Very long texts are
+    read whole, a text at a time in a task, in time that grows with their lines.
     """
     windows = line_windows(docs, id_col, text_col, window)
     place = F.struct("id", "copy", "pos")
@@ -46,10 +50,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = windows.join(repeated, "hash").where(~place.eqNullSafe(F.col("first")))
     spots = later.groupBy("id", "copy").agg(F.collect_set("pos").alias("spots"))
     gone = F.array_distinct(F.flatten(F.transform("spots", lambda p: F.sequence(p, p + (window - 1)))))
-    kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "__id", "__copy")]
-    rows = docs.select(*kept, F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__copy"))
+    kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "__id", "__copy", "__gone", "s_id", "s_copy")]
+    # the lines, not the text, go through the join: they are cut once
+    rows = docs.select(*[F.split(F.col(c), "\n", -1).alias(c) if c == text_col else c for c in kept], F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__copy"))
     out = rows.join(spots.select(F.col("id").alias("s_id"), F.col("copy").alias("s_copy"), gone.alias("__gone")), F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__copy") == F.col("s_copy")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(text_col) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
+    text = F.array_join(F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.transform(left, lambda i: F.element_at(text_col, i + 1))), "\n")
     return out.select(*[text.alias(c) if c == text_col else c for c in kept], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines"))
