@@ -1,12 +1,14 @@
 """Largest inner products by an inverted multi-index.
 
 Each half of the vectors has its own codebook, fitted on a bounded sample; a
-vector lies in the cell of its two centroids. Cells run along shards of about
-``SHARD_ROWS`` rows; a cell with more rows is spread over several, so a frequent
-vector is no hot task. A query walks pairs of centroids with a heap, nearest sum
-first, until the cells hold ``share`` of all vectors, and goes to their shards
-once each. A shard scores the entries of the cells asked for, in double
-precision on the original vectors, and sends back its best ``k`` a query.
+vector lies in the cell of its two centroids. Cells run along shards of at most
+about ``SHARD_ROWS`` rows; a cell with more rows is spread over several, so a
+frequent vector is no hot task. A query walks pairs of centroids with a heap,
+nearest sum first, until the cells hold ``share`` of all vectors, and goes to their
+shards once each. Queries are dealt into blocks of about ``SHARD_ROWS``, too: a
+task has one shard and one block, both bounded. It scores the entries of the cells
+asked for, in double precision on the original vectors, and sends back its best
+``k`` a query.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 from assayer.llm.shared import keep
 
-SHARD_ROWS = 8192
-#: Queries that a shard scores at once; bounds the matrix of scores to 32 MB.
-ASKED = 512
+#: Rows of a shard and queries of a block, at most about: a task holds one of each (33 MB each at 64 components).
+SHARD_ROWS = 65_536
+#: A smaller index is cut into about so many shards, but not below ``LEAST_SHARD`` rows.
+SHARDS, LEAST_SHARD = 24, 2048
+#: Scores that a task holds at once (32 MB).
+SCORES = 1 << 22
 #: Rows that the codebooks are fitted on, those with the smallest hash of their id.
 FIT_ROWS = 8192
 CENTROIDS = 64
@@ -105,9 +110,10 @@ def _scorer(dim: int, k: int):
         owner, wanted = np.repeat(np.arange(len(q)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()
         rows_of = {c: np.flatnonzero(cell == c) for c in np.unique(cell).tolist()}
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(q), ASKED):
-            s = np.full((min(ASKED, len(q) - a), len(v)), -np.inf)
-            mine = slice(np.searchsorted(owner, a), np.searchsorted(owner, a + ASKED))
+        most = max(1, SCORES // len(v))
+        for a in range(0, len(q), most):
+            s = np.full((min(most, len(q) - a), len(v)), -np.inf)
+            mine = slice(np.searchsorted(owner, a), np.searchsorted(owner, a + most))
             for c, rows in rows_of.items():
                 who = np.unique(owner[mine][wanted[mine] == c]) - a
                 for b in range(0, len(rows), 2048) if len(who) else ():
@@ -128,10 +134,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """The ``k`` vectors of largest inner product found for each query, other than its own id.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``; equal
-    scores rank by id. Rows without id, and vectors that are null, zero, of an
+    scores rank by id. Columns beside id and vector are not read, so their names
+    don't matter; vectors of any length serve, and a task's memory grows with it.
+    Rows without id, and vectors that are null, zero, of an
     uncommon length, or hold null or non-finite components take no part, neither
     as query nor as candidate. Ids should be unique; a repeated id competes with
-    each of its vectors. Fewer candidates than ``k`` give fewer rows; empty
+    each of its vectors, and asks with each (``k`` rows in all). Fewer candidates than ``k`` give fewer rows; empty
     tables give none. A walk goes on until it has ``k + 1`` candidates at least.
     """
     spark = vectors.sparkSession
@@ -157,9 +165,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     for r in index.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     first = np.r_[0, np.cumsum(counts)]
-    shard_of = [(int(a // SHARD_ROWS), max(1, math.ceil(n / SHARD_ROWS))) for a, n in zip(first[:-1], counts, strict=True)]
+    size = min(SHARD_ROWS, max(LEAST_SHARD, total // SHARDS))
+    blocks = max(1, math.ceil(asked.count() / SHARD_ROWS))
+    shard_of = [(int(a // size), max(1, math.ceil(n / size))) for a, n in zip(first[:-1], counts, strict=True)]
     spread = spark.createDataFrame([(c, a, n) for c, (a, n) in enumerate(shard_of)], "cell int, first int, width int")
-    index = index.join(F.broadcast(spread), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("width")).cast("int")).select("id", "vec", "cell", "shard")
+    index = index.join(F.broadcast(spread), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("width")).cast("int"))
+    index = index.select("id", "vec", "cell", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     enough = max(k + 1, share * total)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["id", "vec", "shard", "cells"])
 
-    routed = asked.mapInArrow(route, "id long, vec array<double>, shard int, cells array<int>")
-    found = index.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(_scorer(dim, k), "query_id long, vec_id long, score double")
+    routed = asked.mapInArrow(route, "id long, vec array<double>, shard int, cells array<int>").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    found = index.groupBy("shard", "block").cogroup(routed.groupBy("shard", "block")).applyInArrow(_scorer(dim, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
