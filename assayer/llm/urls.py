@@ -69,9 +69,13 @@ def judge_urls(pages: DataFrame, listing: DataFrame, url_col: str = "url", defau
     the same names, with ``host``, ``path``, ``rule`` (null if none covers),
     ``listed`` (whether any entry covers) and ``verdict``. A null URL or one
     without ``://`` has empty host and path and gets the default; repeated rows
-    stay repeated; empty tables give empty results.
+    stay repeated; entries of equal length can't both cover a URL with different
+    hosts and be the longest, as the longer host then wins; empty tables give
+    empty results. A URL of any length is read whole; it makes as many probes as
+    the listing has label counts times path lengths. Columns of ``pages`` called
+    ``__salt`` or ``__best`` give way.
     """
-    whole = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "listed", "verdict")], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    whole = pages.select(*[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "listed", "verdict", "__salt", "__best")], host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     shape = listing.agg(F.count("*").alias("n"), F.collect_set(F.size(F.split("e_host", r"\."))).alias("labels"), F.collect_set(F.length("e_path")).alias("lengths")).first()
     blocks = max(1, -(-shape["n"] // ENTRIES_PER_WORD))
     labels, lengths = F.array(*map(F.lit, sorted(shape["labels"]) or [0])), F.array(*map(F.lit, sorted(shape["lengths"]) or [0]))
@@ -88,7 +92,9 @@ def judge_urls(pages: DataFrame, listing: DataFrame, url_col: str = "url", defau
     exact = possible.join(listing, F.col("probe") == F.col("entry"))
     best = F.max(F.struct("is_rule", F.length("entry").alias("n"), F.length("e_host").alias("h"), "entry", "verdict")).alias("__best")
     found = exact.groupBy("host", "path").agg(best)
-    out = whole.join(found, ["host", "path"], "left")
+    # URLs without a host have no match: they are dealt out evenly instead of meeting under one key
+    salt = F.when(F.col("host") == "", F.monotonically_increasing_id() % 4096 + 1).otherwise(F.lit(0))
+    out = whole.withColumn("__salt", salt).join(found.withColumn("__salt", F.lit(0).cast("long")), ["host", "path", "__salt"], "left")
     kept = [c for c in whole.columns if c not in ("host", "path")]
     rule = F.when(F.col("__best.is_rule"), F.col("__best.entry"))
     return out.select(*kept, "host", "path", rule.alias("rule"), F.col("__best").isNotNull().alias("listed"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
