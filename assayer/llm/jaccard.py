@@ -1,15 +1,19 @@
 """Similarity join on word n-grams: MinHash bands, Bayesian pruning, exact check.
 
-1. Texts with the same set of ``words``-word shingles are one class; its
-   smallest id stands for it, so exact copies cost one row.
+1. Texts with the same set of ``words``-word shingles are one class; the row with
+   its smallest id (then text hash) stands for it, so exact copies cost one row.
 2. Each class gets ``BANDS`` x ``ROWS`` MinHash values. Classes that share a band
-   are linked to the band's smallest member: one edge a member, never all pairs.
-   Connected edges make clusters, and every pair that shares a band is in one.
-3. A cluster is cut into blocks, and each pair of blocks is one task's tile.
-   There, pairs are compared on growing prefixes of their MinHash values and
-   dropped once the posterior probability of reaching the threshold falls below
-   ``TOLERANCE``. The rest are verified on their whole shingle sets, which sit in
-   the tile. A tile sends counts and a spanning forest, never its pairs.
+   meet in the band's bucket; buckets with the same members count once. A bucket is
+   cut into blocks of ``MEMBERS`` rows, and each pair of blocks is one tile. There,
+   pairs that aren't connected yet are compared on growing prefixes of their MinHash
+   values (a byte each) and dropped once the posterior probability of reaching the
+   threshold falls below ``TOLERANCE``. A tile sends a forest of the rest, never
+   its pairs.
+3. Connected forests make clusters, so a chance meeting in a band, as of texts of
+   similarity 0.3, links nothing. A cluster is cut into blocks, and each pair of
+   blocks is one task's tile. There, the same pruning goes over all pairs, and the
+   rest are verified on their whole shingle sets, which sit in the tile. Again a
+   tile sends counts and a spanning forest.
 4. The forests' connected components are the near-duplicate classes.
 
 A pair at the threshold shares no band with probability below 3e-6, and is
@@ -35,8 +39,10 @@ BANDS, ROWS = 32, 5
 TOLERANCE = 1e-7
 #: MinHash values compared between two looks at the posterior.
 STEP = 32
-#: Rows and shingles of a block, at most about; a tile holds two blocks.
-BLOCK, BLOCK_SHINGLES = 4096, 1_500_000
+#: Rows and shingles of a cluster's block, at most about; a tile holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Rows of a bucket's block (160 bytes each), at most about.
+MEMBERS = 4096
 _odd = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,7 +71,7 @@ def signatures(s: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signed(words: int):
-    """Key of the shingle set and bands of each text; both null if it has no words."""
+    """Key of the shingle set, bands and low bytes of the MinHash values of each text; null if it has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,13 +79,14 @@ def _signed(words: int):
             for i, j in A.slices(text):
                 s, first = shingle_sets(text.slice(i, j - i), words)
                 some = np.flatnonzero(np.diff(first))
-                keys, bands = [None] * (j - i), [None] * (j - i)
+                keys, bands, marks = [None] * (j - i), [None] * (j - i), [None] * (j - i)
                 if len(some):
                     sig = signatures(s, np.r_[first[some], len(s)])
+                    low = (sig & np.uint32(0xFF)).astype(np.uint8)
                     hashes = np.stack([A.rolling(np.ascontiguousarray(sig[:, b * ROWS : (b + 1) * ROWS]).reshape(-1).astype(np.uint64), ROWS, b)[::ROWS] for b in range(BANDS)], 1).astype("<u8")
                     for k, d in enumerate(some.tolist()):
-                        keys[d], bands[d] = blake2b(s[first[d] : first[d + 1]].tobytes(), digest_size=16).digest(), hashes[k].view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(np.diff(first)), pa.array(bands, pa.list_(pa.int64()))], names=["node", "copy", "key", "size", "bands"])
+                        keys[d], bands[d], marks[d] = blake2b(s[first[d] : first[d + 1]].tobytes(), digest_size=16).digest(), hashes[k].view(np.int64), low[k].tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(np.diff(first)), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["id", "copy", "key", "size", "bands", "mark"])
 
     return run
 
@@ -146,13 +153,89 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, total: i
     return tuple(out)
 
 
+def _link(threshold: float, tolerance: float):
+    """Forests of the pairs of each bucket's tile that aren't pruned; batches are sorted by tile."""
+    looks = least_matches(threshold, tolerance)
+    total = BANDS * ROWS
+
+    def alike(mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs of rows ``a`` and ``b`` that stay through all looks."""
+        at, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+        for n, least in looks:
+            equal = equal + (mark[a[at], done:n] == mark[b[at], done:n]).sum(1)
+            stay = equal >= least
+            at, equal, done = at[stay], equal[stay], n
+        return at
+
+    def forest(node: np.ndarray, block: np.ndarray, mark: np.ndarray, left: int, right: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        label, out = np.arange(len(node)), []
+        of_right = np.flatnonzero(block == right)
+        for i in np.flatnonzero(block == left).tolist():
+            js = of_right[of_right > i] if left == right else of_right
+            js = js[label[js] != label[i]]
+            if not len(js):
+                continue
+            js = js[alike(mark, np.full(len(js), i), js)]
+            if len(js):
+                _, some = np.unique(label[js], return_index=True)
+                out.append((np.full(len(some), node[i]), node[js[some]]))
+                label[np.isin(label, label[js])] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def work(rows: pa.Table) -> pa.RecordBatch:
+            node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+            mark = np.frombuffer(b"".join(rows["mark"].to_pylist()), np.uint8).reshape(-1, total)
+            tile = np.stack([rows[c].to_numpy() for c in ("bucket", "x", "y")], 1)
+            first = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(1)])
+            size = np.diff(np.r_[first, len(node)])
+            out = []
+            # the first row of each tile against the others, all tiles at once; most tiles are done then
+            simple = (tile[first, 1] == tile[first, 2]) & (size > 1)
+            rest = np.concatenate([np.arange(a + 1, a + n) for a, n in zip(first[simple].tolist(), size[simple].tolist(), strict=True)]) if simple.any() else np.empty(0, np.int64)
+            head = np.repeat(first[simple], size[simple] - 1)
+            stay = alike(mark, head, rest)
+            joined = np.bincount(head[stay], minlength=len(node))[first]
+            whole = simple & (joined == size - 1)
+            done = np.zeros(len(node), bool)
+            done[first[whole]] = True
+            easy = stay[done[head[stay]]]
+            out.append((node[head[easy]], node[rest[easy]]))
+            for a, n, x, y in zip(first[~whole].tolist(), size[~whole].tolist(), tile[first[~whole], 1].tolist(), tile[first[~whole], 2].tolist(), strict=True):
+                out += forest(node[a : a + n], block[a : a + n], mark[a : a + n], x, y)
+            a, b = (np.concatenate([p[k] for p in out]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # what belongs to a tile that may go on in the next batch is held back
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("bucket", "x", "y")], 1)
+            others = np.flatnonzero((keys != keys[-1]).any(1))
+            cut = int(others[-1]) + 1 if len(others) else 0
+            if held and (cut or (keys[0] != last).any()):
+                held.append(pa.Table.from_batches([batch.slice(0, cut)]))
+                yield work(pa.concat_tables(held))
+                held = []
+            elif cut:
+                yield work(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(pa.Table.from_batches([batch.slice(cut)]))
+            last = keys[-1]
+        if held:
+            yield work(pa.concat_tables(held))
+
+    return run
+
+
 def _tile(threshold: float, tolerance: float):
     looks = least_matches(threshold, tolerance)
 
     def tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        node, copy = rows["node"].to_numpy(), rows["copy"].to_numpy()
-        order = np.lexsort((copy, node))
-        order = order[np.r_[True, np.diff(node[order]) > 0]]
+        node = rows["node"].to_numpy()  # equal rows of a text come more than once
+        _, order = np.unique(node, return_index=True)
         node, block = node[order], rows["block"].to_numpy()[order]
         blobs, marks = rows["set"].to_pylist(), rows["sig"].to_pylist()
         sig = np.stack([np.frombuffer(marks[k], np.uint32) for k in order])
@@ -201,6 +284,46 @@ def _tile(threshold: float, tolerance: float):
     return tile
 
 
+def _tiles(blocks: str) -> Column:
+    """The tiles ``x`` <= ``y`` that a row of ``block`` among ``blocks`` belongs to."""
+    return F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
+
+
+def _classes(rows: DataFrame, words: int, threshold: float, tolerance: float) -> DataFrame:
+    """``id`` and ``copy`` of every row (``id``, ``copy``, ``text``), ``rep`` (least id of its shingle set), ``first`` (``id`` and ``copy`` of its class's first row) and ``n_links``."""
+    signed = keep(rows.mapInArrow(_signed(words), "id long, copy long, key binary, size long, bands array<long>, mark binary"), "signed")
+    # a shingle set goes by a number made from its key, so rows of one id with different texts stay apart
+    head = F.min(F.struct("id", "copy", "bands", "mark")).alias("head")
+    heads = signed.where(F.col("key").isNotNull()).groupBy("key").agg(head, F.max("size").alias("size"))
+    heads = keep(heads.select(F.xxhash64("key").alias("node"), "key", "size", "head.*"), "heads")
+    banded = heads.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("hash"))
+    buckets = banded.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    buckets = buckets.select("hash", "n", F.xxhash64("n", "least", "all").alias("bucket"))
+    members = banded.join(buckets, "hash").select("bucket", "node", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")).distinct()
+    members = members.join(heads.select("node", "mark"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiled = members.withColumn("tile", F.explode(_tiles("blocks"))).select("bucket", "tile.x", "tile.y", "block", "node", "mark")
+    edges = tiled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node").mapInArrow(_link(threshold, tolerance), "a long, b long")
+    clusters = components(edges, "clusters").join(heads.select("node", "id", "copy", "size"), "node")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    placed = clusters.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    kept = ["node", "root", "block", "blocks"]
+    texts = rows.join(placed, ["id", "copy"]).dropDuplicates(["id", "copy"]).select("text", *kept)
+    sets = texts.mapInArrow(_sets(words, kept), "node long, root long, block int, blocks int, set binary, sig binary")
+    tiled = sets.withColumn("tile", F.explode(_tiles("blocks"))).select("node", "set", "sig", "block", "root", "tile.x", "tile.y")
+    linked = keep(tiled.groupBy("root", "x", "y").applyInArrow(_tile(threshold, tolerance), "node long, links long, root long"), "links")
+    counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
+    classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
+    found = counts.join(classes, "node").join(heads.select("node", F.struct("id", "copy").alias("own")), "node")
+    found = found.join(found.groupBy("root").agg(F.min("own").alias("first")), "root").select("node", "n_links", "first")
+    own = F.struct("id", "copy")
+    of_key = heads.join(found, "node", "left").select("key", F.col("id").alias("rep"), F.coalesce("first", own).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # texts without words have no class: each goes by a key of its own, so they don't meet under one null
+    key = lambda: F.coalesce("key", F.encode(F.concat(F.lit("no words: "), F.col("id"), F.lit("/"), F.col("copy")), "utf-8"))
+    out = signed.select("id", "copy", key().alias("key")).join(of_key, "key", "left")
+    return out.select("id", "copy", F.coalesce("rep", "id").alias("rep"), F.coalesce("first", own).alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The near-duplicate class of every row, and its number of links.
 
@@ -211,32 +334,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared as they are. Texts without words, nulls included, are alone:
     ``rep`` and ``class_id`` are their own id, no links. Rows with a null id take
     part under a negative number made from their text. Equal rows stay and share
-    a class. Ids should be unique: of different texts under one id, the one with
-    the least hash is compared for all.
-    An empty table gives an empty result; other columns are not read.
+    a class; different texts under one id are classes of their own. Ties of ids go
+    to the least text hash. An empty table gives an empty result; other columns
+    are not read, so their names don't matter. Very long texts are read whole: a
+    task holds one at a time, at about 100 bytes a word.
     """
-    rows = docs.select(_node(id_col, text_col).alias("node"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    signed = keep(rows.mapInArrow(_signed(words), "node long, copy long, key binary, size long, bands array<long>"), "signed")
-    heads = keep(signed.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("node", "copy")).alias("head"), F.max("size").alias("size")).select("key", "size", "head.*"), "heads")
-    banded = signed.join(heads.select("node", "copy"), ["node", "copy"], "left_semi").select("node", F.posexplode("bands").alias("band", "hash"))
-    banded = banded.select("node", F.xxhash64("band", "hash").alias("hash"))
-    leaders = banded.groupBy("hash").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("hash", "a")
-    edges = banded.join(leaders, "hash").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = components(edges, "clusters").join(heads.select("node", "copy", "size"), "node")
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = clusters.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    kept = ["node", "copy", "root", "block", "blocks"]
-    sets = rows.join(placed, ["node", "copy"]).select("text", *kept).mapInArrow(_sets(words, kept), "node long, copy long, root long, block int, blocks int, set binary, sig binary")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
-    tiled = sets.withColumn("tile", F.explode(tiles)).select("node", "copy", "set", "sig", "block", "root", "tile.x", "tile.y")
-    linked = keep(tiled.groupBy("root", "x", "y").applyInArrow(_tile(threshold, tolerance), "node long, links long, root long"), "links")
-    counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    classes = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
-    found = counts.join(classes, "node", "left").select(F.col("node").alias("rep"), "n_links", "root")
-    of_key = heads.select("key", F.col("node").alias("rep")).join(found, "rep", "left")
-    out = signed.select("node", "copy", "key").join(of_key, "key", "left")
-    return out.select("node", "copy", F.coalesce("rep", "node").alias("rep"), F.coalesce("root", "rep", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = docs.select(_node(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    out = _classes(rows, words, threshold, tolerance)
+    return out.select(F.col("id").alias("node"), "copy", "rep", F.col("first.id").alias("class_id"), "n_links")
 
 
 def _node(id_col: str, text_col: str) -> Column:
@@ -244,12 +349,13 @@ def _node(id_col: str, text_col: str) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each near-duplicate class of ``docs``, the one with the least id, with its columns.
+    """One document of each near-duplicate class of ``docs``, the one with the least id, then text hash, with its columns.
 
     Rows equal in id and text count once. Texts without words all stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words, threshold)
-    stay = found.where(F.col("node") == F.col("class_id")).groupBy("class_id").agg(F.min("copy").alias("copy"), F.count("*").alias("n"))
-    stay = keep(stay.select(F.col("class_id").alias("__node"), F.col("copy").alias("__copy"), "n"), "stay")
+    rows = docs.select(_node(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    found = _classes(rows, words, threshold, TOLERANCE)
+    stay = found.where(F.struct("id", "copy") == F.col("first")).groupBy("id", "copy").agg(F.count("*").alias("n"))
+    stay = keep(stay.select(F.col("id").alias("__node"), F.col("copy").alias("__copy"), "n"), "stay")
     out = docs.join(stay.select("__node", "__copy"), (_node(id_col, text_col) == F.col("__node")) & (F.xxhash64(text_col) == F.col("__copy")), "left_semi")
     return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])
