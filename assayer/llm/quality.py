@@ -2,14 +2,20 @@
 
 Texts become ``FEATURES`` style figures in Arrow batches. A logistic model over
 the figures and their squares minimises the non-negative unbiased risk
-``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))``:
-trusted positives are rows labelled 1, unlabelled web text is labelled rows with
-their labels hidden, and the class prior is the share of label 1 over all
-labelled training rows. No negative label enters the risk.
-
-Only the fit uses a sample: at most ``fit_rows`` labelled training rows, those
-with the smallest hash of id and text. Their figures (about 300 bytes a row) go
-to the driver, which fits in numpy. Every row is scored from its whole text.
+``prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))``.
+Trusted positives are rows labelled 1; the unlabelled sample is drawn from all rows,
+labelled or not, with labels hidden. The class prior is estimated from scores: first
+models tell positives from unlabelled rows, each fitted on one half of both samples
+and asked about the other, and the smallest ratio of their shares above a cut,
+guarded by a confidence term, is the part of the unlabelled rows that positives can
+account for.
+Rows labelled 0 are never told from unlabelled ones: they enter neither the risk nor
+the prior.
+
+Only the fit uses samples: about ``fit_rows`` positives and as many unlabelled
+rows, those whose hash falls below a bound. Their figures
+(about 300 bytes a row) go to the driver, which fits in numpy. Every row is scored
+from its whole text.
 """
 
 from __future__ import annotations
@@ -25,8 +31,6 @@ from pyspark.sql import types as T
 from assayer.llm import arrays as A
 
 FIT_ROWS = 20_000
-#: Ids and labels of a sample up to so many rows (16 bytes each) are broadcast; of a larger one, joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Bytes of text whose figures are computed at once; bounds a task's memory.
 SLICE = 2 << 20
 _CLASSES = {
@@ -80,25 +84,53 @@ def figures(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).astype(np.float64)
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights of the model. ``x``: figures of all sampled rows, the unlabelled ones; ``positive``: which of them are trusted."""
-    mid, wide = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    z = expand(x, mid, wide)
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-2) -> dict[str, np.ndarray]:
+    """Weights of the model from the figures of trusted positives and of unlabelled rows."""
+    x = np.concatenate([positive, unlabelled])
+    base = unlabelled if len(unlabelled) else x
+    mid, wide = (base.mean(0), base.std(0) + 1e-6) if len(base) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
+    up, z = expand(positive, mid, wide), expand(unlabelled, mid, wide)
     weights = np.zeros(z.shape[1])
-    if positive.any() and 0 < prior < 1:
-        up, m, v = z[positive], np.zeros_like(weights), np.zeros_like(weights)
-        sigmoid = lambda t: 0.5 * (1 + np.tanh(t / 2))
+    if len(up) and len(z) and 0 < prior < 1:
+        m, v = np.zeros_like(weights), np.zeros_like(weights)
         for step in range(1, steps + 1):
-            p, u = up @ weights, z @ weights
-            below = (np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()) < 0
-            grad_p = up.T @ -sigmoid(-p) / len(up) * prior
-            grad_n = z.T @ sigmoid(u) / len(z) - prior * (up.T @ sigmoid(p)) / len(up)
-            g = (-grad_n if below else grad_p + grad_n) + decay * weights
+            g = gradient(weights, up, z, prior) + decay * weights
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             weights = weights - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     elif len(x):
         weights[-1] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
-    return {"mid": mid, "wide": wide, "weights": weights}
+    return {"mid": mid, "wide": wide, "weights": weights, "prior": np.array(prior)}
+
+
+def _sigmoid(t: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(t / 2))
+
+
+def gradient(weights: np.ndarray, up: np.ndarray, z: np.ndarray, prior: float) -> np.ndarray:
+    """Step direction of the non-negative risk at ``weights``; where its second part is negative, that part is pushed back up."""
+    p, u = up @ weights, z @ weights
+    negative = np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+    grad_p = prior * (up.T @ -_sigmoid(-p)) / len(up)
+    grad_n = z.T @ _sigmoid(u) / len(z) - prior * (up.T @ _sigmoid(p)) / len(up)
+    return -grad_n if negative < 0 else grad_p + grad_n
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: int = 20) -> float:
+    """Estimated share of positives among the unlabelled rows, from scores; 0.5 if either sample has fewer than ``least`` rows."""
+    if min(len(positive), len(unlabelled)) < least:
+        return 0.5
+    p, u = np.empty(len(positive)), np.empty(len(unlabelled))
+    for half in (0, 1):  # each half is scored by the model of the other
+        model = fit(positive[half::2], unlabelled[half::2], 0.5)
+        for x, s in ((positive, p), (unlabelled, u)):
+            s[1 - half :: 2] = expand(x[1 - half :: 2], model["mid"], model["wide"]) @ model["weights"]
+    p, u = np.sort(p), np.sort(u)
+    cuts = np.unique(p)
+    above_p = 1 - np.searchsorted(p, cuts) / len(p)
+    above_u = 1 - np.searchsorted(u, cuts) / len(u)
+    guard = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+    best = int(np.argmin((above_u + guard) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
 def expand(x: np.ndarray, mid: np.ndarray, wide: np.ndarray) -> np.ndarray:
@@ -117,34 +149,46 @@ def _figure_batches(name: str, by, *kept: str):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """The model of the labelled rows of ``docs``; null ids, labels and texts take no part.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, prior: float | None = None) -> dict[str, np.ndarray]:
+    """The model of positives and unlabelled texts of ``docs``; ``prior`` is estimated unless given.
 
-    Labels given twice for an id count as the larger. Without positives, every
-    row gets the prior (0.5 without any label) as its score.
+    Null texts take no part; rows with a null id are unlabelled; null labels and
+    labels of null ids say nothing. Labels given twice for an id count as the
+    larger. Equal rows count once. Without positives or without
+    rows every text gets the prior (0.5 unless given) as its score. Columns beside
+    id, text and label are not read. Long texts are read whole, one at a time.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
-    ids = known.join(docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), "id")
-    count = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0)).alias("p")).first()
-    pick = ids.orderBy(F.xxhash64("id"), "id").limit(fit_rows) if count["n"] > fit_rows else ids
-    pick = F.broadcast(pick) if fit_rows <= BROADCAST_ROWS else pick
-    sample = rows.join(pick, "id").select("label", "__text")
+    own = rows.where(F.col("id").isNotNull()).select("id")
+    n_all, n_pos = rows.count(), own.join(known, "id", "left_semi").count()
+    part = lambda hash_, n: F.pmod(hash_, F.lit(1 << 30)) < int(min(1.0, fit_rows / max(n, 1)) * (1 << 30))
+    # equal rows count once, so the samples stay bounded; the picked ids (8 bytes each) are about ``fit_rows``
+    once = lambda df, label: df.select(F.xxhash64("id", "__text").alias("hash"), "__text").dropDuplicates(["hash"]).select(F.lit(label).alias("label"), "hash", "__text")
+    hidden = once(rows.where(part(F.xxhash64("id", "__text"), n_all)), 0)
+    pick = own.where(part(F.xxhash64("id"), n_pos)).join(known, "id", "left_semi").distinct()
+    trusted = once(rows.join(F.broadcast(pick), "id", "left_semi"), 1)
     by = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))
-    got = sample.mapInArrow(_figure_batches("x", by, "label"), "label int, x array<double>").toArrow()
+    got = trusted.unionByName(hidden).mapInArrow(_figure_batches("x", by, "label", "hash"), "label int, hash long, x array<double>").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
-    label = got["label"].to_numpy() if len(x) else np.empty(0, np.int64)
-    order = np.lexsort((*x.T, label)) if len(x) else np.empty(0, np.int64)  # sums don't depend on the order rows arrive in
-    return fit(x[order], label[order] == 1, count["p"] / count["n"] if count["n"] else 0.5)
+    label, hash_ = got["label"].to_numpy(), got["hash"].to_numpy()
+    order = np.lexsort((*x.T, hash_)) if len(x) else np.empty(0, np.int64)  # results don't depend on the order rows arrive in
+    positive, unlabelled = (x[order][label[order] == k] for k in (1, 0))
+    return fit(positive, unlabelled, class_prior(positive, unlabelled) if prior is None else prior)
 
 
 def _scores(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(expand(x, model["mid"], model["wide"]) @ model["weights"] / 2))
+    return _sigmoid(expand(x, model["mid"], model["wide"]) @ model["weights"])
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``score`` from 0 to 1; a null text is scored as an empty one."""
-    kept = [c for c in docs.columns if c != text_col and c.lower() != "score"]
+    """``docs`` without its text, with ``score`` from 0 to 1.
+
+    A null text is scored as an empty one; equal rows get equal scores; an older
+    column ``score`` gives way, and so does one called ``__text``; an empty table
+    gives an empty result. A text of any length is scored whole, alone in a slice.
+    """
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in ("score", "__text")]
     rows = docs.select(*kept, F.col(text_col).alias("__text"))
 
     def by(x: np.ndarray) -> pa.Array:
@@ -155,7 +199,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text")
 
 
 def filter_quality(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` at least, with their columns; a text passes through a task once."""
+    """The rows of ``docs`` that score ``least`` at least, with all their columns; a text passes through a task once. Odd rows: see ``score``."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
