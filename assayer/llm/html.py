@@ -1,18 +1,30 @@
 """Main text of web pages, with site templates removed.
 
 Spark counts, for each host, on how many different pages every element subtree
-occurs; subtrees on ``LEAST_PAGES`` of a host's pages are a template of it and go,
-together with elements that are boilerplate by their tag, role or class. The
-number doesn't grow with the host, so a section's template counts on a large host,
-too. The article that is left is written block by block. Two passes parse the
-pages: the first sends out only hashes, the second gets the template hashes.
+occurs; subtrees on ``LEAST_PAGES`` pages of a host are a template of it and go. A
+subtree is counted by two hashes: its *wording* (tags, names and text) and, outside
+the page's main part, its *shape* (tags, names and the order of children, with texts
+masked and repeated children folded), so that a menu or an advert with changing words
+recurs, too. A name is an element's class, id or role. The number of pages doesn't
+grow with the host, so a section's template counts on a large host, too; only a text
+block inside a marked article must be on ``INSIDE_SHARE`` of the host's pages, since
+articles quote and copy one another.
+
+What no count can tell is judged by the page alone: elements that are never text
+(scripts, forms, ``nav``, ``footer`` and the like) go by their tag, and comments or
+notices inside the article by their names. On hosts with fewer than ``LEAST_PAGES``
+different pages nothing can recur often enough; only there, names decide about the
+rest of the page as well, and a marked article stands for the whole.
+
+Two passes parse the pages: the first sends out only hashes, the second gets the
+template hashes.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -26,6 +38,10 @@ from assayer.llm.urls import host_of
 
 #: A template is on so many different pages of its host.
 LEAST_PAGES = 5
+#: A text block inside a marked article is template only if it is on such a part of its host's different pages.
+INSIDE_SHARE = 0.5
+#: Seeds that keep hashes of shapes, of text blocks in articles and of hosts themselves apart.
+WORDING, SHAPE, INSIDE, HOST = 0, 1, 2, 3
 #: Template hashes of all hosts are sent to tasks up to so many (8 MB); beyond, each page is joined with its own ones by shuffle.
 BROADCAST_HASHES = 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,13 +52,16 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd td th tr fi
 INLINE = frozenset("b i em strong a span code br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Parts of class names and ids, and roles, that mark boilerplate.
+#: Elements that may be told by shape without a name of their own.
+SECTIONS = frozenset("nav footer aside header menu ul ol dl table form dialog section".split())
+#: Parts of class names and ids, and roles, that mark boilerplate where templates can't.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sidebar cookie cookies consent notice notices comment comments share sharing social related recommended promo promotion newsletter subscribe subscription breadcrumb breadcrumbs menu nav navbar navigation footer masthead topbar popup modal overlay sponsor sponsored disqus pager pagination widget skip login signup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WORD = re.compile(r"\w")
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -150,28 +169,57 @@ def article_of(root: Node) -> Node | None:
     return None
 
 
-def subtree_hashes(root: Node) -> list[tuple[int, Node]]:
-    """A 64-bit hash of every element subtree with text, by tags and text."""
+def main_of(root: Node) -> tuple[Node, bool]:
+    """The page's main part, and whether the page marks it; else the smallest container with over half of the text."""
+    marked = article_of(root)
+    if marked:
+        return marked, True
+    at = root  # article_of has measured all nodes
+    while True:
+        inner = [c for c in at.children if isinstance(c, Node) and c.tag not in TEXT_BLOCKS and c.length > at.length / 2]
+        if not inner:
+            return at, False
+        at = inner[0]
+
+
+def name_of(node: Node) -> str:
+    """Class, id and role, with digits masked."""
+    if not node.attrs:
+        return ""
+    a = attributes(node)
+    return _DIGITS.sub("#", " ".join(f"{k}={' '.join(sorted(a[k].lower().split()))}" for k in ("class", "id", "role") if a.get(k)))
+
+
+def subtree_hashes(root: Node) -> list[tuple[Node, int, int, bool]]:
+    """Each element subtree with text, with 64-bit hashes of its wording and of its shape, and whether it has a headline."""
     order, stack, known = [], [root], {}
     while stack:
         x = stack.pop()
         order.append(x)
         stack += [c for c in x.children if isinstance(c, Node)]
     for x in reversed(order):
-        parts, text = [x.tag.encode()], False
+        name = f"{x.tag} {name_of(x)}".encode("utf-8", "replace")
+        wording, shape, text, head = [name], [name], False, x.tag == "h1"
         for c in x.children:
             if isinstance(c, Node):
-                parts.append(known[id(c)][0])
-                text |= known[id(c)][1]
+                w, s, t, h = known[id(c)]
+                wording.append(w)
+                text |= t
+                head |= h
             elif c.strip():
-                parts.append(b"t" + " ".join(c.split()).encode("utf-8", "replace"))
-                text = True
-        known[id(x)] = blake2b(b"\0".join(parts), digest_size=8).digest(), text
-    return [(int.from_bytes(known[id(x)][0], "little", signed=True), x) for x in order if known[id(x)][1] and x.tag not in ("#root", "html", "body", "article", "main")]
-
-
-def blocks_of(node: Node, inside: bool, gone: set[int]) -> list[str]:
-    """Text blocks in page order; ``gone``: identities of template elements."""
+                wording.append(b"t" + " ".join(c.split()).encode("utf-8", "replace"))
+                s, text = b"t", True
+            else:
+                continue
+            if shape[-1] != s or len(shape) == 1:
+                shape.append(s)
+        known[id(x)] = blake2b(b"\0".join(wording), digest_size=8).digest(), blake2b(b"\0".join(shape), digest_size=8).digest(), text, head
+    number = lambda d: int.from_bytes(d, "little")
+    return [(x, number(known[id(x)][0]), number(known[id(x)][1]), known[id(x)][3]) for x in order if known[id(x)][2] and x.tag not in ("#root", "html", "body", "article", "main")]
+
+
+def blocks_of(node: Node, dropped: Callable[[Node], bool]) -> list[str]:
+    """Text blocks below ``node`` in page order, without elements that are ``dropped``."""
     out, line = [], []
 
     def flush() -> None:
@@ -187,7 +235,7 @@ def blocks_of(node: Node, inside: bool, gone: set[int]) -> list[str]:
             line.append(entities.unescape(x))
         elif over:
             flush()
-        elif x is node or not (id(x) in gone or is_boilerplate(x, inside)):
+        elif x is node or not dropped(x):
             if x.tag in BLOCKS:
                 flush()
                 stack.append((x, True))
@@ -198,37 +246,58 @@ def blocks_of(node: Node, inside: bool, gone: set[int]) -> list[str]:
     return out
 
 
-def template_parts(root: Node, article: Node | None, host: str) -> tuple[np.ndarray, list[Node]]:
-    """Subtrees that may be template, with hashes that differ from host to host.
+def host_key(host: str, kind: int) -> np.uint64:
+    return np.frombuffer(blake2b(f"{kind} {host}".encode("utf-8", "replace"), digest_size=8).digest(), np.uint64)[0]
 
-    Text blocks of the article never are, nor are inline elements in running
-    text, whose loss would break a sentence; both go with a block around them.
+
+def template_parts(root: Node, main: Node, marked: bool, host: str) -> tuple[np.ndarray, np.ndarray, list[Node]]:
+    """Hashes of the subtrees that may be template, their kinds, and the subtrees. Hashes differ from host to host and kind to kind.
+
+    Inline elements in running text never are, as their loss would break a
+    sentence; they go with a block around them. Shapes count only outside the
+    main part, for elements with a name or of ``SECTIONS``, without a headline.
     """
-    within = _within(article) if article else set()
+    within = _within(main)
     running: set[int] = set()
-    stack = [root]
+    above: set[int] = set()
+    stack: list[tuple[Node, tuple[int, ...]]] = [(root, ())]
     while stack:
-        x = stack.pop()
+        x, path = stack.pop()
+        if x is main:
+            above.update(path)
         inner = [c for c in x.children if isinstance(c, Node)]
         if any(c.tag in INLINE for c in inner) and any(isinstance(c, str) and _WORD.search(c) for c in x.children):
             running.update(id(c) for c in inner if c.tag in INLINE)
-        stack += inner
-    found = [(h, x) for h, x in subtree_hashes(root) if id(x) not in running and not (id(x) in within and x.tag in TEXT_BLOCKS)]
-    site = np.frombuffer(blake2b(host.encode("utf-8", "replace"), digest_size=8).digest(), np.uint64)
-    return A.mix(np.array([h for h, _ in found], np.int64).view(np.uint64) ^ site), [x for _, x in found]
+        stack += [(c, (*path, id(x)) if not above else ()) for c in inner]
+    hashes, kinds, parts = [], [], []
+    for x, wording, shape, head in subtree_hashes(root):
+        if id(x) in running or x is main:
+            continue
+        inside = id(x) in within
+        hashes.append(wording)
+        kinds.append(INSIDE if marked and inside and x.tag in TEXT_BLOCKS else WORDING)
+        parts.append(x)
+        if not inside and not head and id(x) not in above and (x.tag in SECTIONS or name_of(x)):
+            hashes.append(shape)
+            kinds.append(SHAPE)
+            parts.append(x)
+    kind = np.array(kinds, np.int64)
+    keys = np.array([host_key(host, k) for k in (WORDING, SHAPE, INSIDE)], np.uint64)
+    return A.mix(np.array(hashes, np.uint64) ^ keys[kind]), kind, parts
 
 
 def main_text(page: str | None, template: np.ndarray | None = None, host: str = "") -> str:
-    """The main text of one page without its boilerplate and the subtrees whose hashes are in ``template`` (ascending)."""
+    """The main text of one page; ``template`` has its host's template hashes (ascending), with the host's own if it has pages enough."""
     if not page:
         return ""
     root = parse(page)
-    article = article_of(root)
-    gone: set[int] = set()
-    if template is not None and len(template):
-        hashes, parts = template_parts(root, article, host)
-        gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
-    return "\n".join(blocks_of(article or root, article is not None, gone))
+    main, marked = main_of(root)
+    if template is None or not A.member(np.array([host_key(host, HOST)]), template)[0]:
+        return "\n".join(blocks_of(main if marked else root, lambda x: is_boilerplate(x, marked)))
+    hashes, _, parts = template_parts(root, main, marked, host)
+    gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
+    within = _within(main) if marked else set()
+    return "\n".join(blocks_of(root, lambda x: id(x) in gone or (is_boilerplate(x, True) if id(x) in within else x.tag in DROPPED or x.tag == "header")))
 
 
 def _within(article: Node) -> set[int]:
@@ -242,37 +311,41 @@ def _within(article: Node) -> set[int]:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, contents, hashes = [], [], [np.empty(0, np.uint64)]
+        pages, contents, hosts, hashes, kinds = [], [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for host, page, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if page:
                 root = parse(page)
-                article = article_of(root)
-                content = int.from_bytes(blake2b("\n".join(blocks_of(article or root, article is not None, set())).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                found = np.unique(template_parts(root, article, host)[0])
+                main, marked = main_of(root)
+                text = "\n".join(blocks_of(main if marked else root, lambda x: is_boilerplate(x, marked)))  # noqa: B023
+                content = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+                found, kind, _ = template_parts(root, main, marked, host)
+                found, first = np.unique(np.r_[found, host_key(host, HOST)], return_index=True)
                 pages += [key] * len(found)
                 contents += [content] * len(found)
+                hosts += [host_key(host, HOST)] * len(found)
                 hashes.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(contents, pa.int64()), pa.array(np.concatenate(hashes).view(np.int64))], names=["page", "content", "hash"])
+                kinds.append(np.r_[kind, HOST][first])
+        columns = [pa.array(pages, pa.int64()), pa.array(contents, pa.int64()), pa.array(np.array(hosts, np.uint64).view(np.int64)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(kinds).astype(np.int8))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page", "content", "host", "hash", "kind"])
 
 
 def _subtrees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     host = host_of(F.col(url_col))
     rows = pages.where(F.col(html_col).isNotNull()).select(host.alias("host"), F.col(html_col).alias("html"), F.xxhash64(host, F.col(html_col)).alias("page"))
-    return rows.mapInArrow(_hash_batches, "page long, content long, hash long")
-
-
-def _common(seen: DataFrame, least_pages: int) -> DataFrame:
-    counted = seen.select("content", "hash").distinct().groupBy("hash").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= least_pages).select("hash")
+    return rows.mapInArrow(_hash_batches, "page long, content long, host long, hash long, kind byte")
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``hash`` of each subtree on many different pages of a host; the host is part of the hash.
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, inside_share: float = INSIDE_SHARE) -> DataFrame:
+    """``hash`` of each template subtree; the host and the kind are part of the hash. A host with ``least_pages`` different pages has a hash itself.
 
     Pages with the same main text are one page, so mirrored articles make no
-    template. What never is template: see ``template_parts``.
+    template. Counting is by hash, not by host: a hot host is many keys.
     """
-    return _common(_subtrees(pages, url_col, html_col), least_pages)
+    seen = _subtrees(pages, url_col, html_col).select("content", "host", "hash", "kind").distinct()
+    counted = keep(seen.groupBy("hash", "host", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "counted")
+    hosts = counted.where(F.col("kind") == HOST).select("host", F.col("n").alias("pages"))
+    inside = counted.where(F.col("kind") == INSIDE).join(hosts, "host").where(F.col("n") >= inside_share * F.col("pages"))
+    return counted.where(F.col("kind") != INSIDE).select("hash").unionByName(inside.select("hash"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -280,7 +353,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     White space in a block is one space, blocks are joined by one ``\\n``. Null
     or empty HTML gives an empty text; null or odd URLs share the empty host;
-    repeated rows stay; an empty table gives an empty result.
+    repeated rows stay and count as one page; an empty table gives an empty result.
+    Only id, URL and HTML are read, so other columns' names don't matter. A page of
+    any length is parsed whole, one at a time, at about 200 bytes an element.
     """
     templates = keep(site_templates(pages, url_col, html_col), "site_templates")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
