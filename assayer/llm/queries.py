@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, substring, urls
 from assayer.llm.shared import bounded_batches
+from assayer.sources import tables
 
 #: Rules of hosts and paths, with their verdicts.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -16,7 +17,7 @@ LISTED = ["ads-track.example.org/", "casino-win.example.org/", "cheap-pills.exam
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return tables.dealt_table(spark, sf_dir, name)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,31 +1,43 @@
-"""Tables that cut lineage, kept where every executor can read them."""
+"""Tables that cut lineage, kept where every executor can read them, until they are released."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths and tables written by ``keep`` and ``keep_bucketed`` and not yet deleted, oldest first, a kind and a name each.
+_kept: list[tuple[str, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only where it is unset, and the master is local (as in tests), a temporary
+    folder serves; on a cluster a missing folder is an error, since executors
+    wouldn't see one another's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = known.get() if known.isDefined() else None
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(named)
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB or 4,000 rows at most, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches of 8 MB or 4,000 rows at most, so that long texts don't fill a Python worker; what the session has set itself stays."""
+    for name, value in (("maxRecordsPerBatch", "4000"), ("maxBytesPerBatch", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +45,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     The table survives the loss of any executor. A written table holds no rows
     of unknown type, so its schema is passed to the reader instead of inferred.
+    It stays until ``release`` or the end of a ``released`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _kept.append(("path", path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,4 +58,48 @@ def keep_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame
     """Like ``keep``, as a table bucketed by ``key``: later groupings on it need no shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    _kept.append(("table", table))
     return spark.table(table)
+
+
+def release(spark: SparkSession, down_to: int = 0) -> int:
+    """Delete what ``keep`` and ``keep_bucketed`` have written, the newest first, all but ``down_to``; returns how many.
+
+    For when every result that was built on them has been written: a DataFrame
+    that still reads a released table fails.
+    """
+    n = 0
+    while len(_kept) > down_to:
+        kind, name = _kept.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        n += 1
+    return n
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was kept inside, so results must be written before."""
+    mark = len(_kept)
+    try:
+        yield
+    finally:
+        release(spark, mark)
+
+
+def hand_over(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """``keep`` a result and delete what was kept since there were ``mark`` tables, which it was built on."""
+    out = keep(df, name)
+    newest = _kept.pop()
+    release(df.sparkSession, mark)
+    _kept.append(newest)
+    return out
+
+
+def kept_tables() -> int:
+    """How many tables are kept just now."""
+    return len(_kept)

@@ -7,34 +7,62 @@ from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, lines, quality
 from assayer.llm.queries import held_out, table, tokenizer_path
-from assayer.llm.shared import bounded_batches, keep
+from assayer.llm.shared import bounded_batches, hand_over, kept_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled rows of ``docs``, doesn't reject."""
+    """Documents that the classifier, fitted on the training rows of ``docs``, doesn't reject.
+
+    A null text is scored as an empty one; equal rows share a verdict; a text of
+    any length is scored whole; an empty table stays empty. Columns stay as they
+    are, whatever their names.
+    """
     model = quality.train(docs.where(~held_out()), table(spark, sf_dir, "labels"))
     return quality.filter_quality(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines of later occurrences of three-line windows; ``n_chars`` follows the text."""
-    out = lines.dedup_lines(docs)
+    """Documents without the lines of later occurrences of three-line windows; ``n_chars`` follows the text.
+
+    A document that had words and loses them all repeats earlier ones line by
+    line, and goes. Null, empty and blank texts stay as they are. Rows equal in id
+    and text are treated alike; ties of ids go by the texts' hashes; a text of any
+    length is read whole; an empty table stays empty. Columns ``removed_lines``,
+    ``__id``, ``__copy``, ``__gone``, ``s_id`` and ``s_copy`` aren't allowed.
+    """
+    out = lines.dedup_lines(docs).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, the one with the least id.
+
+    Null texts and texts without words all stay, rows equal in id and text count
+    once; null ids take part; a text of any length is compared whole; an empty
+    table stays empty. Columns stay as they are; ``__node`` and ``__copy`` aren't
+    allowed.
+    """
     bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no benchmark window.
+
+    Null and empty texts stay; equal rows share a verdict; a null id is an id of
+    its own; a text of any length is read whole; an empty table stays empty.
+    Columns stay as they are; ``__id`` and ``__copy`` aren't allowed.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Id, token ids and token count of every document, and whether they decode to its text."""
+    """Id, token ids and token count of every document, and whether they decode to its text.
+
+    A null text counts as empty and has no ids; equal rows and null ids stay; a
+    text of any length is encoded whole; an empty table stays empty. Only
+    ``doc_id`` and ``text`` are read, whatever other columns are called.
+    """
     bounded_batches(spark)
     out = bpe.round_trip(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), tokenizer_path())
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("text") == F.col("decoded")).alias("exact"))
@@ -47,7 +75,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Each stage's table is deleted once the next one's is written; the last stays until ``shared.release``."""
+    docs, mark = table(spark, sf_dir, "documents"), kept_tables()
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs = hand_over(stage(spark, docs, sf_dir), name, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
