@@ -5,11 +5,12 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, queries, substring, urls
+from assayer.llm import arrays, bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, queries, substring, urls
 from llm_brute import SF, classes_by_brute_force, held_out, leaks_by_brute_force, rows, words
 
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, score double, `id` string, `key` int, `host` string"
@@ -59,6 +60,25 @@ def test_search_odd_vectors(spark):
     assert neighbours.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
 
 
+def test_search_over_shards_and_blocks(spark, monkeypatch):
+    """Several shards and blocks of queries, a frequent vector, and the same row twice; everything is asked, so nothing is missed."""
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "LEAST_SHARD", 16)
+    rng = np.random.default_rng(4)
+    vectors = [rng.normal(size=6).round(3).tolist() for _ in range(150)] + [[1.0, 0.5, 0.0, 0.0, 0.5, 1.0]] * 60
+    data = list(enumerate(vectors)) + [(7, vectors[7])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id <> 7"), 4, share=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    m = np.array(vectors)
+    assert len(got) == len(vectors) - 1
+    for q, found in got.items():
+        s = (m @ m[q]).round(9)
+        pairs = sorted((-s[i], i) for i, _ in data if i != q)[:4]
+        assert [(v, x) for _, v, x in sorted(found)] == [(i, -x) for x, i in pairs]
+
+
 def test_walk_is_by_ascending_sum():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=7), rng.normal(size=5)
@@ -103,6 +123,30 @@ def test_repeated_passages_query(spark):
         assert (g["n_words"], g["n_removed"], g["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_the_same_row_twice_loses_both(spark):
+    text = " ".join(map(str, range(40)))
+    df = spark.createDataFrame([(1, text), (1, text), (2, " ".join(map(str, range(100, 140))))], "doc_id long, text string")
+    got = sorted((r["id"], r["n_words"], r["kept"] == "") for r in substring.remove_repeated_passages(df).collect())
+    assert got == [(1, 40, True), (1, 40, True), (2, 40, False)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 7, 1 << 24])
+def test_dealing_touches_only_buckets_with_hashes(buckets):
+    """Every hash goes to the one bucket of its range, whatever the number of buckets of the corpus."""
+    h = np.random.default_rng(1).integers(0, 1 << 40, 3000, dtype=np.uint64)
+    h = np.r_[h, h[:100]]
+    block = np.arange(len(h)) % 3 == 0
+    dealt = substring._deal(5, [h[:1000], h[1000:]], [block[:1000], block[1000:]], 40, buckets)
+    assert len(dealt) <= min(buckets, len(h)) and all(r[1] == 5 for r in dealt)
+    assert np.array_equal(np.concatenate([arrays.unpack(r[2]) for r in dealt]), np.unique(h))
+    step = -(-(1 << 40) // buckets)
+    assert all(int(x) // step == r[0] for r in dealt for x in arrays.unpack(r[2]))
+    seen = {int(x) for x, b in zip(h, block) if b}
+    flags = [(int(x), bool(f)) for r in dealt for x, f in zip(arrays.unpack(r[2]), np.unpackbits(np.frombuffer(r[3], np.uint8)))]
+    assert all(f == (x in seen) for x, f in flags)
+    assert substring._deal(5, [], [], 40, buckets) == []
+
+
 # 3 ---------------------------------------------------------------------------
 
 
@@ -142,6 +186,56 @@ def test_templates_of_sections_go(spark, monkeypatch, most):
     assert got[99] == "Section 0 since 1999\nStory 99 is not over\nCall desk 0"
 
 
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_templates_with_changing_words_go(spark):
+    """Menus, adverts and footers that share only their shape, on pages without an article and without telling names."""
+    page = """<html><body><div class="q{0}"><a href="/{1}">Go {1}</a><a href="/x">To {1}</a>{2}</div><div class="z1">Offer number {1}, today</div>
+    <div class="text"><h1>Headline {1}</h1><p>First words of story {1} that go on and on for a while.</p><p>Then {1} more, with <b>bold</b> ones.</p></div>
+    <div class="z2"><span>Seen {1} times</span></div></body></html>"""
+    data = [(i, f"http://h.example/{i}", page.format(i % 3, f"w{i}", "<a>More</a>" * (i % 4))) for i in range(30)]
+    few = [(100 + i, f"http://few.example/{i}", page.format(0, f"w{i}", "")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, data + few)).collect()}
+    for i in range(30):
+        assert got[i] == f"Headline w{i}\nFirst words of story w{i} that go on and on for a while.\nThen w{i} more, with bold ones."
+    assert "Offer number" in got[100]
+
+
+def test_repeated_blocks_in_articles_go_only_if_most_pages_have_them(spark):
+    page = "<body><article><h1>T{0}</h1><p>Story {0} is told here.</p><p>{1}</p><p>Subscribe to our daily letter</p></article></body>"
+    data = [(i, f"http://h.example/{i}", page.format(i, "A quote that six share." if i < 6 else f"Own {i}.")) for i in range(16)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, data + data[:2])).collect()}
+    assert got[2] == "T2\nStory 2 is told here.\nA quote that six share." and got[9] == "T9\nStory 9 is told here.\nOwn 9."
+
+
+def test_site_templates_are_those_of_a_plain_count(spark):
+    """Hashes of a host's subtrees counted one by one; the same row twice is one page."""
+    table = rows("pages")
+    df = pages(spark, [(r["page_id"], r["url"], r["html"]) for r in table] + [(table[0]["page_id"], table[0]["url"], table[0]["html"])])
+    seen, hosts = {}, {}
+    for r in table:
+        host = re.sub(r"(?s)^.*?://([^/?#]*).*$", r"\1", r["url"]).lower()
+        root = html.parse(r["html"])
+        main, marked = html.main_of(root)
+        text = "\n".join(html.blocks_of(main, lambda x: html.is_boilerplate(x, True)))
+        hosts.setdefault(host, set()).add(text)
+        for h, kind in set(zip(*(x.tolist() for x in html.template_parts(root, main, marked, host)[:2]))):
+            seen.setdefault((host, h, kind), set()).add(text)
+    want = {h for (host, h, kind), texts in seen.items() if len(texts) >= 5 and (kind != html.INSIDE or len(texts) >= len(hosts[host]) / 2)}
+    want |= {int(html.host_key(host, html.HOST)) for host, texts in hosts.items() if len(texts) >= 5}
+    got = {r["hash"] % (1 << 64) for r in html.site_templates(df).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_very_long_pages(spark):
+    long = "<article>" + "".join(f"<p>Para {i} of it</p>" for i in range(20_000)) + "</article>"
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    got = {r["page_id"]: r["text"] for r in html.extract_text(pages(spark, [(1, "http://a.example/", long), (2, "http://a.example/2", deep)])).collect()}
+    assert got[1].count("\n") == 19_999 and got[2] == "deep text"
+
+
 def test_main_text_query(spark):
     got = {r["page_id"]: r for r in queries.op3_main_text(spark, SF).collect()}
     from html import unescape
@@ -174,6 +268,39 @@ def test_language_odd_texts(spark):
     assert {r["lang_pred"] for r in language.identify(train, empty).collect()} == {"und"}
 
 
+def test_language_by_exact_sets(spark):
+    """The filters against exact sets of n-grams, learned and counted by plain loops; ties, repeated rows and a very long text."""
+    words_ = {"de": "der die das und nicht auch sich eine werden haben", "en": "the and that with this from they have been which", "fr": "les des une dans pour que avec sont mais vous"}
+    rng = np.random.default_rng(6)
+    say = lambda lang, n: " ".join(rng.choice(words_[lang].split(), n).tolist())
+    langs = [x for x in words_ for _ in range(20)]
+    train = [say(x, 60) for x in langs]
+    asked = [say(x, 12) for x in words_ for _ in range(10)] + [say("en", 30_000)]
+    asked += asked[:2]
+
+    def plain(text):
+        t = " " + re.sub("[^a-z]", " ", text.lower()) + " "
+        return [t[i : i + 4] for i in range(len(t) - 3) if "  " not in t[i : i + 4]]
+
+    counts = {}
+    for t, x in zip(train, langs):
+        for g in plain(t):
+            counts.setdefault(x, {}).setdefault(g, 0)
+            counts[x][g] += 1
+    share = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    most = {g: max(share[x].get(g, 0) for x in share) for x in share for g in share[x]}
+    sets = {x: {g for g, s in share[x].items() if s >= language.LEAST_SHARE and s >= language.FAIR_PART * most[g]} for x in share}
+    f = language.learn(docs(spark, train, langs))
+    got = {r["id"]: r for r in language.identify(docs(spark, asked), f).collect()}
+    for i, t in enumerate(asked):
+        part = {x: sum(g in sets[x] for g in plain(t)) / len(plain(t)) for x in sorted(sets)}
+        best = max(part, key=lambda x: (part[x], [-ord(c) for c in x]))
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - part[best] / sum(part.values())) < 0.01
+    assert len(got) == len(asked) and got[len(asked) - 1]["score"] == got[1]["score"]
+    same = language.learn(docs(spark, ["aaaa bbbb"] * 2, ["y", "x"]))
+    assert language.identify(docs(spark, ["aaaa bbbb"]), same).first()["lang_pred"] == "x"
+
+
 def test_language_filters_have_no_false_negatives():
     rng = np.random.default_rng(2)
     members = [np.unique(rng.integers(0, 1 << 32, 500, dtype=np.uint32)) for _ in range(11)]
@@ -211,10 +338,37 @@ def test_near_duplicates_query(spark):
 def test_tiles_of_several_blocks(spark, monkeypatch):
     texts = [" ".join(str(i) for i in range(200)) + f" {k}" for k in range(40)]
     monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "MEMBERS", 9)
     got = jaccard.near_duplicates(docs(spark, texts)).collect()
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 39)}
 
 
+def test_weak_links_make_no_cluster():
+    """A bucket of pairwise weakly similar rows and two near copies gives one link, in one tile and over two blocks, and in any batches."""
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 256, (30, jaccard.BANDS * jaccard.ROWS)).astype(np.uint8)
+    sig[:, :48] = 7  # about 0.3 alike
+    sig[20] = sig[4]
+    sig[20, 100:110] += 1
+    rows_ = [(1, 0, 0, 0, i) for i in range(30)] + [(2, x, y, b, i) for x, y in ((0, 0), (0, 1), (1, 1)) for i in range(30) for b in [i % 2] if b in (x, y)]
+    rows_ += [(3, 0, 0, 0, 4), (3, 0, 0, 0, 20)]
+    columns = [pa.array([r[k] for r in rows_], pa.int32() if k in (1, 2, 3) else pa.int64()) for k in range(5)] + [pa.array([sig[r[4]].tobytes() for r in rows_])]
+    whole = pa.RecordBatch.from_arrays(columns, names=["bucket", "x", "y", "block", "node", "mark"])
+    for size in (7, 30, 1000):
+        parts = [whole.slice(i, size) for i in range(0, len(rows_), size)]
+        got = [tuple(sorted((r["a"], r["b"]))) for out in jaccard._link(0.8, 1e-7)(iter(parts)) for r in out.to_pylist()]
+        assert got == [(4, 20)] * 3
+
+
+def test_different_texts_under_one_id(spark):
+    one, other = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
+    df = spark.createDataFrame([(1, one), (1, other), (1, ""), (2, one + " x"), (3, other)], "doc_id long, text string")
+    got = sorted((r["node"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect())
+    assert got == [(1, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1), (3, 1, 0)]
+    kept = jaccard.keep_one(df).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, one), (1, other), (1, "")])
+
+
 def test_repeated_rows_and_null_ids(spark):
     one, other = " ".join(map(str, range(50))), " ".join(map(str, range(100, 150)))
     df = spark.createDataFrame([(1, one, 1), (1, one, 1), (None, one, 2), (2, other, 3), (None, None, 4)], "doc_id long, text string, node int")
@@ -255,17 +409,76 @@ def test_leaks(spark):
 
 
 def test_verbatim_leaks_are_found_whatever_they_hold(spark):
-    """Copies with few literal words, re-wrapped, inside a sentence, and in lower case; a changed number isn't one."""
+    """Copies with few literal words, re-wrapped, inside a sentence, and in lower case; changed numbers are found as re-parameterised."""
     items = ["12 + 30 = 42 and 7 km 9 kg 11 lb", "Alice Bob Carol David Eve Frank Grace Heidi", "WHAT IS THE CAPITAL CITY OF FRANCE", "Photosynthesis turns light into\nchemical energy. Plants store it"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     texts = [f"so {t} and more" for t in items] + [t.replace(" ", "\n") for t in items] + [f"so {t.lower()} and" for t in items] + [items[0].replace("42", "43")]
     got = {r["id"]: (r["item_ids"], r["verbatim"]) for r in decontaminate.contaminated(docs(spark, texts), bench).collect()}
-    assert got == {k: ([k % 4], True) for k in range(12)}
+    assert got == {k: ([k % 4], True) for k in range(12)} | {12: ([0], False)}
     varied = spark.createDataFrame([(1, "The train leaves the station of Boston at 9")], "item_id long, text string")
     texts = ["now the train leaves the station of Paris at 11", "x.\nThe train\nleaves the station of Paris at 11"]
     assert [r["verbatim"] for r in decontaminate.contaminated(docs(spark, texts), varied).collect()] == [False, False]
 
 
+def template(text):
+    """A plain template: a list of (placeholder or word, the word itself)."""
+    out = []
+    for raw in words(text):
+        w = raw.strip("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "%"))
+        if not w:
+            if raw in set("+*/=<>^"):
+                out.append((raw, raw))
+            continue
+        low = w.lower()
+        number = any(c in "0123456789" for c in w)
+        after = bool(out) and out[-1][0] == "<number>"
+        kind = "<number>" if number else "<unit>" if after and low in decontaminate.UNITS else "<name>" if w[0].isupper() and low not in decontaminate.COMMON else low
+        out.append((kind, low))
+    return out
+
+
+def leaks_of_templates(texts, items, window=13):
+    """Items found in each text by comparing every window with every window."""
+    cut = lambda t, n: [t[i : i + n] for i in range(len(t) - n + 1)]
+    shape = lambda w: [[x for x, (k, _) in enumerate(w) if k[0] == "<" and k[-1] == ">" and len(k) > 1 and w[x][1] == v] for k, v in w if k[0] == "<" and len(k) > 1]
+    out = {}
+    for i, text in enumerate(texts):
+        found, t = {}, template(text)
+        for k, item in enumerate(items):
+            want = template(item)
+            n = min(window, len(want))
+            for a in cut(want, n) if n else ():
+                for b in cut(t, n):
+                    if [x[1] for x in a] == [x[1] for x in b]:
+                        found[k] = True
+                    free = sum(x[0][0] != "<" or len(x[0]) == 1 for x in a)
+                    if free >= decontaminate.LEAST_LITERALS and [x[0] for x in a] == [x[0] for x in b] and shape(a) == shape(b):
+                        found.setdefault(k, False)
+        if found:
+            out[i] = (sorted(found), any(found.values()))
+    return out
+
+
+def test_leaks_by_a_plain_template_matcher(spark):
+    """Items of any length, verbatim and re-parameterised, number-heavy, in three scripts, with many marks, and consistent or not."""
+    items = [
+        "Compute 12 + 30 * 7 / 2 given Alice 5 Bob 6 Carol 9 now and then add 4 km to it", "What is 7 * 8", "Yes", "Alice has 5", "Name the river that flows through Paris and Rouen to the sea in 2 days",
+        "Сколько стоит билет если Иван едет из Москва в Киев", "Πόσο κάνει όταν ο Γιώργος πάει από την Αθήνα στην Πάτρα", "wait..........  for (((it))) here!!!!!!!!!!!! and go", "",
+    ]
+    texts = [f"Before it {t} and after" for t in items] + [
+        "Compute 13 + 31 * 8 / 3 given Dan 6 Eve 7 Frank 10 now and then add 5 miles to it", "so what is 9 * 6 then", "Bob has 3", "Name the river that flows through Rome and Ostia to the sea in 3 days", "Name the river that flows through Rome and Rome to the sea in 3 days",
+        "Сколько стоит билет если Пётр едет из Тверь в Омск", "Πόσο κάνει όταν ο Νίκος πάει από την Λαμία στην Χίο", "wait for it here and go", "yesterday was fine", *[t or "" for t in ODD], None,
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, hash string")
+    got = {r["id"]: (r["item_ids"], r["verbatim"]) for r in decontaminate.contaminated(df, bench).collect()}
+    want = leaks_of_templates(texts, items)
+    assert got == want
+    assert all(k in want[k][0] and want[k][1] for k in range(8))
+    n = len(items)
+    assert [want.get(n + k, ([], None))[0] for k in range(9)] == [[0], [1], [], [4], [], [5], [6], [7], []]
+
+
 def test_leaks_query(spark):
     got = {r["doc_id"]: set(r["item_ids"]) for r in queries.op7_decontamination(spark, SF).collect()}
     table = rows("documents", "doc_id", "text")
@@ -305,6 +518,14 @@ def test_listed_paths_keep_their_case(spark):
     assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "allow", 3: "block"}
 
 
+def test_repeated_long_and_equal_urls(spark):
+    long = "http://a.example.com/en/" + "x/" * 50_000
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://www.example.com/en/"), (3, None), (3, None)], "page_id long, url string").withColumn("__salt", F.lit(1))
+    listed = spark.createDataFrame([("example.com/en/",), ("EXAMPLE.com/en/",)], "url string")  # as long as a rule: the rule wins
+    got = sorted((r["page_id"], r["rule"] or "", r["verdict"]) for r in urls.judge_urls(df, urls.entries(spark, queries.RULES, listed)).collect())
+    assert got == [(1, "example.com/en/", "block")] * 2 + [(2, "www.example.com/en/", "allow")] + [(3, "", "allow")] * 2
+
+
 def test_bloom_filter_passes_every_listed_key(spark):
     keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("entry"))
     words_ = urls.bloom_filter(keys, "entry", 125)
@@ -338,6 +559,46 @@ def test_quality_odd_texts(spark):
     assert kept.columns == ["doc_id", "text", "lang"] and sorted(r["text"] or "" for r in kept.collect()) == sorted(t or "" for t in ODD)
 
 
+def test_quality_gradient_is_that_of_the_risk():
+    """The step direction against differences of the risk, written as plain loops, on both sides of the bound."""
+    rng = np.random.default_rng(5)
+    up, z = rng.normal(1, 1, (15, 4)), rng.normal(0, 1, (25, 4))
+    loss = lambda t: float(np.log1p(np.exp(-t)))
+
+    def parts(w, prior):
+        plus = sum(loss(float(x @ w)) for x in up) / len(up)
+        minus = sum(loss(-float(x @ w)) for x in z) / len(z) - prior * sum(loss(-float(x @ w)) for x in up) / len(up)
+        return prior * plus, minus
+
+    sides = set()
+    for prior, w in ((0.3, rng.normal(size=4)), (0.9, np.array([3.0, 2.0, 3.0, 2.0])), (0.95, np.array([0.1, 0.0, 0.2, 0.1]))):
+        plus, minus = parts(w, prior)
+        sides.add(minus < 0)
+        risk = (lambda v: -parts(v, prior)[1]) if minus < 0 else (lambda v: sum(parts(v, prior)))  # noqa: B023
+        want = [(risk(w + 1e-6 * e) - risk(w - 1e-6 * e)) / 2e-6 for e in np.eye(4)]
+        assert np.allclose(quality.gradient(w, up, z, prior), want, atol=1e-5)
+    assert sides == {True, False}
+
+
+def test_quality_prior_comes_from_scores():
+    """Positives and a mixture of known proportions; no negative is ever told apart."""
+    rng = np.random.default_rng(7)
+    n = len(quality.FEATURES)
+    for share in (0.3, 0.6, 0.9):
+        good = lambda m: rng.normal(1.5, 1, (m, n))  # noqa: B023, E731
+        mixed = np.concatenate([good(int(2000 * share)), rng.normal(-1.5, 1, (2000 - int(2000 * share), n))])
+        assert abs(quality.class_prior(good(1500), rng.permutation(mixed)) - share) < 0.06
+    assert quality.class_prior(good(5), mixed) == 0.5
+
+
+def test_quality_ignores_label_0_and_repeated_rows(spark):
+    """Relabelled negatives and rows given twice change no score."""
+    d = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    labels = queries.table(spark, "/root/testdata/sf0.001", "labels")
+    weights = [quality.train(x, y)["weights"] for x, y in ((d, labels), (d, labels.where("quality = 1")), (d.unionByName(d), labels))]
+    assert np.array_equal(weights[0], weights[1]) and np.allclose(weights[0], weights[2])
+
+
 # 10 --------------------------------------------------------------------------
 
 
@@ -357,6 +618,27 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode(docs(spark, []), path).count() == 0
 
 
+def test_bpe_long_words_clashing_columns_and_repeated_rows(spark):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(), np.random.default_rng(9)
+    library = Tokenizer.from_file(path)
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000).tolist())
+    df = spark.createDataFrame([(1, word, [1], "old"), (1, word, [1], "old"), (2, "日本語" * 3000, None, None)], "doc_id long, text string, ids array<int>, Decoded string")
+    out = bpe.round_trip(df, path)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 1, 2]
+    assert all(r["ids"] == library.encode(r["text"], add_special_tokens=False).ids and r["decoded"] == r["text"] for r in got)
+    v = bpe.Vocabulary.at(path)
+    parts = v.first[np.frombuffer("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000).tolist()).encode(), np.uint8)]
+    began = time.process_time()
+    v.merge_long(parts)
+    assert time.process_time() - began < 5
+
+
 def test_bpe_query(spark):
     from tokenizers import Tokenizer
 
