@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
 
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 FLOOR = 30
+#: Bins that a group's range of values is cut into.
+BINS = 4096
 
 
 def long_form(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -21,12 +23,38 @@ def long_form(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
 def percentiles(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str], floor: int = FLOOR, digits: int = 4) -> DataFrame:
     """Size and interpolated percentiles of every group and metric with ``floor`` values at least.
 
-    Spark keeps value counts, not rows, so an aggregate's state grows with the
-    distinct values of a group; scores are rounded, which bounds it.
+    Order statistics of counted values: a group's range is cut into ``BINS`` bins,
+    whose counts say where each bin begins; within a bin, running counts place each
+    distinct value. No task holds a group: the largest unit is the distinct values
+    of one bin, sorted with spilling.
     """
-    long = long_form(samples, keys, metrics)
-    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("sample_size"), F.percentile("value", F.array(*map(F.lit, QUANTILES.values()))).alias("q"))
-    return out.where(F.col("sample_size") >= floor).select(*keys, "metric", "sample_size", *[F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(QUANTILES)])
+    by = [*keys, "metric"]
+    counts = long_form(samples, keys, metrics).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*by).agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"), F.sum("n").alias("sample_size")).where(F.col("sample_size") >= floor)
+    share = F.coalesce(F.nanvl(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(0.0))
+    binned = _join(counts, sizes, by).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")).drop("lo", "hi")
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    begins = binned.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n")).withColumn("begin", F.coalesce(F.sum("bin_n").over(before), F.lit(0))).drop("bin_n")
+    within = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = _join(binned, begins, [*by, "bin"]).withColumn("past", F.col("begin") + F.sum("n").over(within)).withColumn("from", F.col("past") - F.col("n"))
+    last = F.col("sample_size") - 1
+    ends = []
+    for name, q in QUANTILES.items():
+        low = F.floor(last * q)
+        for end, place in (("low", low), ("high", F.least(low + 1, last))):
+            ends.append(F.max(F.when((F.col("from") <= place) & (place < F.col("past")), F.col("value"))).alias(f"{name}_{end}"))
+    out = placed.groupBy(*by, "sample_size").agg(*ends)
+    at = lambda n, q: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (last * q - F.floor(last * q))
+    return out.select(*by, "sample_size", *[F.round(F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(at(n, q)), digits).alias(n) for n, q in QUANTILES.items()])
+
+
+def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """An equi-join for which null keys are equal."""
+    other = right.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return left.join(other, same).drop(*[f"__{c}" for c in by])
 
 
 def drop_thin(stats: DataFrame, samples: DataFrame, keys: Sequence[str], floor: int = FLOOR) -> DataFrame:
