@@ -74,14 +74,6 @@ def months_between(start_year: Column, start_month: Column, end_year: Column, en
     return F.greatest(F.lit(0), end - month_index(start_year, F.coalesce(start_month, F.lit(1))))
 
 
-def day_window(ts: Column) -> Column:
-    return F.date_trunc("DAY", ts)
-
-
-def hour_window(ts: Column) -> Column:
-    return F.date_trunc("HOUR", ts)
-
-
 def expiry(now: Column, days: Column) -> Column:
     """``now`` and 1 to 30 days, 7 if none are given."""
     return now + F.make_dt_interval(F.greatest(F.lit(1), F.least(F.lit(30), F.coalesce(days, F.lit(7)))))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,13 +23,23 @@ KINDS = ("email", "url", "dob", "phone", "name", "location")
 _PATTERNS = {k: re.compile(p) for k, p in (("email", P.EMAIL), ("url", P.URL), ("dob", P.BIRTH), ("phone", P.PHONE))}
 
 
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
+_normal = cache(lambda ch: unicodedata.normalize("NFKC", ch))
+
+
 def fold(text: str) -> tuple[str, list[int]]:
-    """NFKC of ``text`` character by character, and where each result character came from."""
-    out, source = [], []
-    for i, ch in enumerate(text):
-        for c in unicodedata.normalize("NFKC", ch):
-            out.append(c)
-            source.append(i)
+    """NFKC of ``text`` character by character, and where each result character came from. ASCII runs are copied whole."""
+    out, source, at = [], [], 0
+    for m in _FOREIGN.finditer(text):
+        out.append(text[at : m.start()])
+        source += range(at, m.start())
+        at = m.end()
+        for i, ch in enumerate(m[0], m.start()):
+            new = _normal(ch)
+            out.append(new)
+            source += [i] * len(new)
+    out.append(text[at:])
+    source += range(at, len(text))
     return "".join(out), source
 
 
