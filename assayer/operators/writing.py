@@ -18,24 +18,47 @@ def bullets_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n", -1)).alias("ord", "text")).where(F.trim("text") != "")
 
 
+def _judged(t: Column) -> dict[str, Column]:
+    """What the metrics count of one bullet."""
+    return {
+        "quantification": T.has_number(t),
+        "action_verbs": T.opens_with(t),
+        "bullet_length": F.size(T.words(t)).between(*IDEAL),
+        "weak_phrases": F.size(T.weak_phrases(t)) > 0,
+        "passive_voice": T.is_passive(t),
+        "first_person": T.is_first_person(t),
+    }
+
+
 def metrics(bullets: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row a group with the share of bullets that count something, open with a verb, and so on."""
-    t, n = F.col("text"), F.size(T.words(F.col("text")))
-    share = lambda c: F.avg(c.cast("int"))
-    marked = bullets.withColumn("opener", T.first_word(t))
-    flags = marked.groupBy(*by).agg(
-        F.count("*").alias("bullets"),
-        share(T.has_number(t)).alias("quantification"),
-        share(T.opens_with(t)).alias("action_verbs"),
-        share(n.between(*IDEAL)).alias("bullet_length"),
-        share(F.size(T.weak_phrases(t)) > 0).alias("weak_phrases"),
-        share(T.is_passive(t)).alias("passive_voice"),
-        share(T.is_first_person(t)).alias("first_person"),
-    )
+    marked = bullets.withColumn("opener", T.first_word(F.col("text")))
+    flags = marked.groupBy(*by).agg(F.count("*").alias("bullets"), *[F.avg(c.cast("int")).alias(k) for k, c in _judged(F.col("text")).items()])
     openers = marked.where("opener <> ''").groupBy(*by, "opener").count().groupBy(*by).agg((1.0 - F.sum((F.col("count") > 2).cast("int")) / F.count("*")).alias("opener_variety"))
     return flags.join(openers, list(by), "left").withColumn("opener_variety", F.coalesce("opener_variety", F.lit(1.0)))
 
 
+def bullet_array(text: Column) -> Column:
+    """Non-blank lines of a text with their numbers, as ``bullets_of`` gives them, but within its row."""
+    numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("ord"), x.alias("text")))
+    return F.filter(numbered, lambda b: F.trim(b["text"]) != "")
+
+
+def text_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``metrics`` of each text's lines, computed within its row: no line leaves it, nothing is shuffled."""
+    facts = F.transform(bullet_array(F.col(text_col)), lambda b: F.struct(*[c.alias(k) for k, c in _judged(b["text"]).items()], T.first_word(b["text"]).alias("opener")))
+    rows = docs.select(F.col(id_col), facts.alias("__facts")).where(F.size("__facts") > 0)
+    n, names = F.size("__facts"), list(_judged(F.lit("")))
+    share = lambda k: F.size(F.filter("__facts", lambda f: f[k])) / n
+    openers = F.sort_array(F.filter(F.transform("__facts", lambda f: f["opener"]), lambda o: o != ""))
+    rows = rows.select(id_col, n.cast("long").alias("bullets"), *[share(k).alias(k) for k in names], openers.alias("__openers"))
+    # an opener used three times or more begins where the next but one equals it and the one before doesn't
+    at = F.filter(F.sequence(F.lit(0), F.size("__openers") - 3), lambda i: (F.get("__openers", i) == F.get("__openers", i + 2)) & ((i == 0) | (F.get("__openers", i - 1) != F.get("__openers", i))))
+    worn = F.when(F.size("__openers") < 3, 0).otherwise(F.size(at))
+    variety = F.coalesce(1.0 - F.try_divide(worn, F.size(F.array_distinct("__openers"))), F.lit(1.0))
+    return rows.select(id_col, "bullets", *names, variety.alias("opener_variety"))
+
+
 def long_metrics(wide: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The metrics as rows of ``key`` and ``value``."""
     keys = ["quantification", "action_verbs", "bullet_length", "weak_phrases", "passive_voice", "first_person", "opener_variety"]
@@ -48,17 +71,25 @@ def offenders(bullets: DataFrame, failing, by: Sequence[str] = ("doc_id",), limi
     return bullets.where(failing).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit)
 
 
-def weaknesses(bullets: DataFrame) -> DataFrame:
-    """``score`` of each bullet's faults: padding, no result, no verb, too short or long (words by white space here)."""
-    t, n = F.trim("text"), F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))
-    score = F.when(F.size(T.weak_phrases(t)) > 0, 1.5).otherwise(0.0) + F.when(~T.has_number(t), 1.5).otherwise(0.0) + F.when(~T.opens_with(t), 1.0).otherwise(0.0) + F.when(n < IDEAL[0], 1.0).when(n > IDEAL[1], 0.75).otherwise(0.0)
-    return bullets.withColumn("score", score)
+def _weakness(t: Column) -> Column:
+    """Faults of a trimmed bullet: padding, no result, no verb, too short or long (words by white space here)."""
+    n = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return F.when(F.size(T.weak_phrases(t)) > 0, 1.5).otherwise(0.0) + F.when(~T.has_number(t), 1.5).otherwise(0.0) + F.when(~T.opens_with(t), 1.0).otherwise(0.0) + F.when(n < IDEAL[0], 1.0).when(n > IDEAL[1], 0.75).otherwise(0.0)
 
 
 def weakest(bullets: DataFrame, by: Sequence[str] = ("doc_id",), limit: int = 5, least: float = 2.0) -> DataFrame:
     """The ``limit`` weakest bullets of each group, worst first, then in order."""
     order = Window.partitionBy(*by).orderBy(F.desc("score"), "ord")
-    return weaknesses(bullets).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    scored = bullets.withColumn("score", _weakness(F.trim("text"))).where(F.col("score") >= least)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def weakest_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 5, least: float = 2.0) -> DataFrame:
+    """``weakest`` of each text's lines, within its row: id, ``ord``, ``text``, ``score``, ``rank``."""
+    scored = F.transform(bullet_array(F.col(text_col)), lambda b: F.struct((-_weakness(F.trim(b["text"]))).alias("less"), b["ord"].alias("ord"), b["text"].alias("text")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda b: b["less"] <= -least)), 1, limit)
+    rows = docs.select(F.col(id_col), F.posexplode(best).alias("pos", "b"))
+    return rows.select(id_col, "b.ord", "b.text", (-F.col("b.less")).alias("score"), (F.col("pos") + 1).alias("rank"))
 
 
 def flags(bullets: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -100,8 +131,18 @@ def report(flags_: DataFrame, by: Sequence[str] = ("doc_id",), limit: int = 12)
     return merged.withColumn("rank", F.row_number().over(order)).withColumn("total", total).where(F.col("rank") <= limit)
 
 
-def terminators(bullets: DataFrame, by: Sequence[str] = ("doc_id",), least: int = 4, slip: float = 0.35) -> DataFrame:
-    """Groups that end most bullets one way and a few the other: ``n``, ``minority``, ``with_stop`` (whether most have a full stop)."""
-    counted = bullets.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.rtrim("text").endswith(".").cast("int")).alias("stops"))
+def _inconsistent(counted: DataFrame, by: Sequence[str], least: int, slip: float) -> DataFrame:
     minority = F.least(F.col("stops"), F.col("n") - F.col("stops"))
     return counted.where((F.col("n") >= least) & (minority > 0) & (minority / F.col("n") <= slip)).select(*by, "n", minority.alias("minority"), (F.col("stops") > F.col("n") / 2).alias("with_stop"))
+
+
+def terminators(bullets: DataFrame, by: Sequence[str] = ("doc_id",), least: int = 4, slip: float = 0.35) -> DataFrame:
+    """Groups that end most bullets one way and a few the other: ``n``, ``minority``, ``with_stop`` (whether most have a full stop)."""
+    return _inconsistent(bullets.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.rtrim("text").endswith(".").cast("int")).alias("stops")), by, least, slip)
+
+
+def text_terminators(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 4, slip: float = 0.35) -> DataFrame:
+    """``terminators`` of each text's lines, within its row."""
+    ends = F.transform(bullet_array(F.col(text_col)), lambda b: F.rtrim(b["text"]).endswith("."))
+    counted = docs.select(F.col(id_col), ends.alias("__ends")).select(id_col, F.size("__ends").cast("long").alias("n"), F.size(F.filter("__ends", lambda e: e)).cast("long").alias("stops"))
+    return _inconsistent(counted, [id_col], least, slip)
