@@ -7,15 +7,16 @@ strings that the tiers before left open.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayer.functions import scores as S
 from assayer.functions import text as T
@@ -31,11 +32,37 @@ def canonical(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame
     return strings.withColumn("__key", T.normalise(F.col(column))).join(best, "__key", "left").drop("__key")
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a column of the table as the bits of one integer."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(a) - row.bit_count()
+
+
+def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the ``__ratio`` of the first two columns, strings whose words are sorted; equal pairs are computed once."""
+    for batch in batches:
+        known: dict[tuple[str, str], float] = {}
+        out = []
+        for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (s, t) not in known:
+                known[s, t] = 200.0 * common_subsequence(s, t) / (len(s) + len(t)) if s or t else 100.0
+            out.append(known[s, t])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "__ratio"])
+
+
 def fuzzy(strings: DataFrame, taxonomy: DataFrame, column: str, least: float = FUZZY_LEAST) -> DataFrame:
     """For each distinct string the best alias at ``least`` similarity or more: ``column``, ``canonical``, ``ratio``.
 
     Only aliases whose lengths allow the ratio meet a string: an equi-join on
-    length, for lengths within ``max(4, half)``. Strings are distinct, and the
+    length, for lengths within ``max(4, half)``. The ratio is that of
+    ``text.token_sort_ratio``, in Arrow batches. Strings are distinct, and the
     taxonomy is a small table.
     """
     a = strings.select(F.col(column)).where(F.col(column).isNotNull()).distinct().withColumn("__s", T.normalise(F.col(column))).where("__s <> ''")
@@ -43,8 +70,9 @@ def fuzzy(strings: DataFrame, taxonomy: DataFrame, column: str, least: float = F
     reach = F.greatest(F.lit(4), (F.length("__s") * 0.5).cast("int"))
     sizes = F.sequence(F.greatest(F.lit(1), F.length("__s") - reach), F.length("__s") + reach)
     met = a.withColumn("__n", F.explode(sizes)).join(b.withColumn("__n", F.length("__t")), "__n").where(200.0 * F.least(F.length("__s"), F.length("__t")) >= least * (F.length("__s") + F.length("__t")))
-    near = met.withColumn("__ratio", T.token_sort_ratio(F.col("__s"), F.col("__t"))).where(F.col("__ratio") >= least)
-    best = F.max_by(F.struct(F.col("__c").alias("canonical"), F.col("__ratio").alias("ratio")), F.struct("__ratio", -F.length("__t"), -F.col("__ord"))).alias("__best")
+    met = met.select(T.token_sort(F.col("__s")).alias("__a"), T.token_sort(F.col("__t")).alias("__b"), column, "__c", "__ord", F.length("__t").alias("__length"))
+    near = met.mapInArrow(_ratios, StructType([*met.schema.fields, StructField("__ratio", DoubleType())])).where(F.col("__ratio") >= least)
+    best = F.max_by(F.struct(F.col("__c").alias("canonical"), F.col("__ratio").alias("ratio")), F.struct("__ratio", -F.col("__length"), -F.col("__ord"))).alias("__best")
     return near.groupBy(column).agg(best).select(column, "__best.canonical", "__best.ratio")
 
 
@@ -56,16 +84,21 @@ def resolve(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame:
     return exact.join(near, column, "left").withColumn("tier", F.when(F.col("canonical").isNotNull(), "canonical").when(F.col("__near").isNotNull(), "fuzzy")).withColumn("canonical", F.coalesce("canonical", "__near")).drop("__near")
 
 
-def mentions(texts: DataFrame, taxonomy: DataFrame, id_col: str, text_col: str, longest: int = 4) -> DataFrame:
+def mentions(texts: DataFrame, taxonomy: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Aliases that occur in texts as whole words: id, ``canonical``, ``pos`` (of the first word), ``n`` (words).
 
-    Word n-grams meet the aliases in one equi-join, and of overlapping ones the
-    longest, then the first, stays: an overlap anti-join within a text.
+    Word n-grams, of the lengths that aliases have, meet the aliases in one
+    equi-join, and of overlapping ones the longest, then the first, stays: an
+    overlap anti-join within a text.
     """
+    names = taxonomy.groupBy(T.normalise(F.col("alias")).alias("gram")).agg(F.min_by("canonical", "ord").alias("canonical")).where("gram <> ''")
+    lengths = sorted(r[0] for r in names.select(F.size(F.split("gram", " "))).distinct().collect())  # as many as aliases have lengths
+    if not lengths:
+        return texts.select(F.col(id_col), F.lit(None).cast("string").alias("canonical"), F.lit(0).alias("pos"), F.lit(0).alias("n")).where(F.lit(False))
     ws = F.filter(F.split(T.normalise(F.col(text_col)), " "), lambda w: w != "")
     rows = texts.select(F.col(id_col), ws.alias("ws")).where(F.size("ws") > 0)
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("ws") - i)), lambda n: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice("ws", i + 1, n), " ").alias("gram")))))
-    names = taxonomy.groupBy(T.normalise(F.col("alias")).alias("gram")).agg(F.min_by("canonical", "ord").alias("canonical"))
+    fitting = lambda i: F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("ws") - i)
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.transform(fitting(i), lambda n: F.struct(i.alias("pos"), n.alias("n"), F.array_join(F.slice("ws", i + 1, n), " ").alias("gram")))))
     found = rows.select(id_col, F.explode(spans).alias("s")).select(id_col, "s.pos", "s.n", "s.gram").join(names, "gram")
     found = found.select(id_col, "canonical", "pos", "n")
     o = found.select(F.col(id_col).alias("o_id"), F.col("pos").alias("o_pos"), F.col("n").alias("o_n"))
@@ -74,16 +107,27 @@ def mentions(texts: DataFrame, taxonomy: DataFrame, id_col: str, text_col: str,
     return found.join(o, clash, "left_anti")
 
 
-def strongest(evidence: DataFrame, by: Sequence[str], origin: str = "origin", ord_: str = "ord") -> DataFrame:
-    """The best evidence of each group: highest origin rank, the earliest among equals, with its strength."""
+def canonical_for(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame:
+    """``strings`` with the one skill that each is about: the skill that it is or is most like, else the only one that it names; null if it names several or none."""
+    known = resolve(strings.select(column).distinct(), taxonomy, column).select(column, "canonical")
+    open_ = known.where(F.col("canonical").isNull() & F.col(column).isNotNull()).select(column)
+    named = mentions(open_, taxonomy, column, column).groupBy(column).agg(F.count_distinct("canonical").alias("__n"), F.min("canonical").alias("__only"))
+    only = named.where("__n = 1").select(column, "__only")
+    both = known.join(only, column, "left").select(F.col(column).alias("__text"), F.coalesce("canonical", "__only").alias("canonical"))
+    return strings.join(both, F.col(column).eqNullSafe(F.col("__text")), "left").drop("__text")
+
+
+def strongest(evidence: DataFrame, by: Sequence[str], origin: str = "origin", ord_: str = "ord", months: str | None = None) -> DataFrame:
+    """The best evidence of each group: highest origin rank, the earliest among equals, with its strength; with the sum of ``months`` if named."""
     ranked = evidence.withColumn("__rank", S.origin_rank(F.col(origin)))
     best = F.max_by(F.struct(F.col(origin), F.col(ord_)), F.struct(F.col("__rank"), -F.col(ord_))).alias("__best")
-    return ranked.groupBy(*by).agg(best, F.count("*").alias("mentions")).select(*by, F.col(f"__best.{origin}").alias(origin), F.col(f"__best.{ord_}").alias(ord_), S.origin_strength(F.col(f"__best.{origin}")).alias("strength"), "mentions")
+    more = [F.sum(months).alias("months")] if months else []
+    return ranked.groupBy(*by).agg(best, F.count("*").alias("mentions"), *more).select(*by, F.col(f"__best.{origin}").alias(origin), F.col(f"__best.{ord_}").alias(ord_), S.origin_strength(F.col(f"__best.{origin}")).alias("strength"), "mentions", *(["months"] if months else []))
 
 
 def adjacent(wanted: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Wanted skills that only a neighbour of stands for: keys, ``canonical``, ``via`` (first neighbour by ``ord``), strength 0.4."""
-    near = wanted.join(edges.select(F.col("skill").alias("canonical"), "near", "ord"), "canonical").join(skills.select(*by, F.col("canonical").alias("near")).distinct(), [*by, "near"])
+    """Wanted skills that only a neighbour of stands for: keys, ``canonical``, ``via`` (first neighbour by ``ord``), strength 0.4. ``skills`` has a row a key and skill."""
+    near = wanted.join(edges.select(F.col("skill").alias("canonical"), "near", "ord"), "canonical").join(skills.select(*by, F.col("canonical").alias("near")), [*by, "near"])
     return near.groupBy(*by, "canonical").agg(F.min_by("near", F.struct("ord", "near")).alias("via")).withColumn("strength", F.lit(S.ADJACENT_STRENGTH))
 
 
@@ -101,7 +145,7 @@ def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Se
     ``requirements``: keys, ``requirement_id``, ``canonical``, ``years``;
     ``skills``: keys, ``canonical``, ``origin``, ``ord``, ``months``. With a
     ``taxonomy``, requirements without a canonical name get the one that their
-    ``text`` is, or is most like. Exact matches come first; with ``documents``
+    ``text`` is, is most like, or names alone. Exact matches come first; with ``documents``
     (keys, ``text``) then the requirement's ``text`` as it stands there, unless its
     ``category`` is of skills and tools; then neighbours; the rest is missing.
     Years adjust exact and literal matches.
@@ -109,17 +153,16 @@ def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Se
     on = [*by, "canonical"]
     if taxonomy is not None:
         strings = requirements.where(F.col("canonical").isNull() & F.col("text").isNotNull()).select("text").distinct()
-        names = resolve(strings, taxonomy, "text").select("text", F.col("canonical").alias("__found"))
+        names = canonical_for(strings, taxonomy, "text").select("text", F.col("canonical").alias("__found"))
         requirements = requirements.join(names, "text", "left").withColumn("canonical", F.coalesce("canonical", "__found")).drop("__found")
-    best = strongest(skills, on)
-    months = skills.groupBy(*on).agg(F.sum("months").alias("months"))
-    direct = requirements.join(best, on, "left").join(months, on, "left")
+    best = strongest(skills, on, months="months")  # one aggregate, whose keys serve the neighbours, too
+    direct = requirements.join(best, on, "left")
     if documents is not None:
         stands = literal(direct.where(F.col("strength").isNull()), documents, by).withColumn("__literal", F.lit("other"))
         direct = direct.join(stands, [*by, "requirement_id"], "left").withColumn("strength", F.coalesce("strength", S.origin_strength(F.col("__literal")))).withColumn("origin", F.coalesce("origin", "__literal")).drop("__literal")
     strength = S.with_years(F.col("strength"), F.col("years"), F.coalesce("months", F.lit(0)))
     open_ = direct.where(F.col("strength").isNull() & F.col("canonical").isNotNull()).select(*on).distinct()
-    near = adjacent(open_, skills, edges, by).withColumnRenamed("strength", "near_strength")
+    near = adjacent(open_, best, edges, by).withColumnRenamed("strength", "near_strength")
     out = direct.join(near, on, "left").withColumn("via", F.when(F.col("strength").isNull(), F.col("via")))
     value = F.coalesce(F.bround(strength, 3), "near_strength", F.lit(0.0))
     status = F.when(F.col("strength").isNotNull(), F.when(strength > 0.5, "matched").otherwise("partial")).when(F.col("near_strength").isNotNull(), "partial").otherwise("missing")
@@ -224,9 +267,21 @@ def unmatched(skills: DataFrame, requirements: DataFrame, by: Sequence[str]) ->
     return skills.select(*by, "canonical").distinct().join(requirements.select(*by, "canonical").distinct(), [*by, "canonical"], "left_anti")
 
 
-def months_by_skill(mentions_: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Months of the periods that name a skill, once a mention."""
-    return mentions_.groupBy(*by, "canonical").agg(F.sum("months").alias("months"))
+def evidence_candidates(bullets: DataFrame, least: int = 10) -> DataFrame:
+    """Bullets (with ``start`` in their document, null if not found, and ``text``) that a requirement may be compared with: located, and longer than ``least`` characters."""
+    return bullets.where(F.col("start").isNotNull() & (F.length(F.trim("text")) > least))
+
+
+def tallies(matches: DataFrame, looked_up: DataFrame, by: Sequence[str] = ("pair_id",)) -> DataFrame:
+    """Shares of work that cost nothing, a row a group: ``free_share`` of requirements settled without a verdict, ``cache_hit_rate`` of vectors found.
+
+    ``matches``: keys, ``settled_by`` (``verdict`` for those a model judged);
+    ``looked_up``: keys, ``hit``. A group without rows has share 0.
+    """
+    share = lambda df, c, name: df.groupBy(*by).agg(F.bround(F.avg(c.cast("int")), 4).alias(name))
+    a = share(matches, F.coalesce(F.col("settled_by") != "verdict", F.lit(True)), "free_share")
+    b = share(looked_up, F.coalesce(F.col("hit"), F.lit(False)), "cache_hit_rate")
+    return a.join(b, list(by), "full").fillna(0.0, ["free_share", "cache_hit_rate"])
 
 
 def merge_requirements(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -239,8 +294,3 @@ def merge_requirements(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     keyed = rows.withColumn("key", F.lower(F.coalesce("canonical", "text"))).withColumn("__rank", rank)
     out = keyed.groupBy(*by, "key").agg(F.max_by("priority", F.struct("__rank", -F.col("ord"))).alias("priority"), F.sum("mention_count").alias("mention_count"), F.max("years").alias("years"), F.min_by("text", "ord").alias("text"), F.min("ord").alias("ord"))
     return out
-
-
-def latest(rows: DataFrame, by: Sequence[str], order: Sequence) -> DataFrame:
-    """The first row of each group in ``order``."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
