@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import lexicon
+from assayer.functions import scores as S
 from assayer.functions import text as T
 
 #: Weight of each sign of a heading, and the score that makes one.
@@ -60,6 +61,33 @@ def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return contact.unionByName(named).withColumn("ord", (F.row_number().over(whole.orderBy("start", "end")) - 1).cast("int"))
 
 
+#: What a skill found in a section of each kind is evidence of.
+ORIGIN_OF = {"experience": "experience_bullet", "projects": "project_bullet", "skills": "skills_list", "summary": "summary", "education": "education", "certifications": "certification"}
+
+
+def origins(found: DataFrame, sections_: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``found`` (id, ``offset``) with the ``origin`` that the section around the offset gives; ``other`` outside of all.
+
+    A join by document on the section's range; of overlapping sections the first by ``ord`` counts.
+    """
+    ranges = sections_.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end", "kind"))).alias("__ranges"))
+    around = F.get(F.filter("__ranges", lambda r: (r["start"] <= F.col("offset")) & (F.col("offset") < r["end"])), F.lit(0))["kind"]
+    return found.join(ranges, id_col, "left").withColumn("origin", S.lookup(around, ORIGIN_OF, "other")).drop("__ranges")
+
+
+def under_headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines of postings with the latest ``heading`` above them and the ``priority`` that it gives: id, ``line``, ``text``, ``heading``, ``priority``.
+
+    Headings themselves and blank lines are left out; a heading that names no
+    priority ends the inheritance of the one before.
+    """
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text"))
+    up_to = Window.partitionBy(id_col).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    is_head = T.is_heading_like(F.col("text"))
+    marked = lines.withColumn("heading", F.last(F.when(is_head, F.trim("text")), ignorenulls=True).over(up_to))
+    return marked.where(~is_head & (F.trim("text") != "")).withColumn("priority", T.priority_from_heading(F.col("heading")))
+
+
 def contact(text: Column) -> Column:
     """``struct<name, email, phone, location, links>`` from the top of a text."""
     found = F.split(text, "\n", -1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import privacy as P
+from assayer.functions import scores as S
 from assayer.functions import text as T
 from assayer.functions.dates import expiry
 
@@ -115,3 +116,14 @@ def revoke(links: DataFrame, token: str, user, now: Column) -> DataFrame:
 def newest(links: DataFrame, user, limit: int = 50) -> DataFrame:
     """A user's newest links."""
     return secure_view(links, user).orderBy(F.desc("created_at"), "token").limit(limit)
+
+
+def with_parents(analyses: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Analyses (``resume_id``, ``job_id``) with their document's and posting's columns; ones whose parents are gone stay out. The parents' keys are unique."""
+    return analyses.join(resumes, "resume_id").join(jobs, "job_id")
+
+
+def thread(rows: DataFrame, by: Sequence[str] = ("pair_id",), limit: int = 8) -> DataFrame:
+    """The first ``limit`` requirements of each group with their match: by priority, then the unmet first, then by id. ``rows``: keys, ``requirement_id``, ``priority``, ``status``."""
+    order = Window.partitionBy(*by).orderBy(S.lookup(F.col("priority"), {"must": 0, "strong": 1}, 2), S.lookup(F.col("status"), {"missing": 0, "partial": 1}, 2), "requirement_id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
