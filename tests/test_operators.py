@@ -13,7 +13,7 @@ from assayer.functions import dates as D
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
 from assayer.functions import text as T
-from assayer.operators import advice, cohort, intervals, layout, matching, rules, scoring, sections, sharing, writing
+from assayer.operators import advice, cohort, intervals, layout, matching, resumes, rules, scoring, sections, sharing, writing
 from assayer.plans import queries, report
 from assayer.sources import frames, tables
 from assayer.streaming import counters
@@ -105,6 +105,23 @@ def test_percentiles_need_a_floor(spark):
     assert [(r["role_family"], r["p50"]) for r in new] == [("a", 15.0)]
 
 
+def test_percentiles_are_order_statistics(spark, monkeypatch):
+    """Against plain interpolation: many distinct values, equal ones, infinite and negative ones, a null group, with many bins and with few."""
+    rng = random.Random(3)
+    values = {"even": [float(i) for i in range(101)], "same": [7.0] * 40, "wild": [rng.lognormvariate(0, 3) for _ in range(400)] + [-5.0] * 30, "wide": [float("inf")] * 20 + [rng.random() for _ in range(60)], None: [rng.choice([1.0, 2.0, 2.5]) for _ in range(50)], "thin": [1.0] * 29}
+    df = spark.createDataFrame([(g, v, None) for g, vs in values.items() for v in vs], "g string, v double, w double")
+    want = {}
+    for g, vs in values.items():
+        x = sorted(vs)
+        if len(x) >= 30:
+            at = [q * (len(x) - 1) for q in cohort.QUANTILES.values()]
+            want[g] = [len(x)] + [round(x[int(a)] + (x[min(int(a) + 1, len(x) - 1)] - x[int(a)]) * (a - int(a)), 4) if x[int(a)] != x[min(int(a) + 1, len(x) - 1)] else round(x[int(a)], 4) for a in at]
+    for bins in (4096, 3):
+        monkeypatch.setattr(cohort, "BINS", bins)
+        got = {r["g"]: [r["sample_size"], *[r[n] for n in cohort.QUANTILES]] for r in cohort.percentiles(df, ["g"], ["v", "w"]).collect()}
+        assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
 # periods and dates -----------------------------------------------------------
 
 
@@ -212,6 +229,49 @@ def test_proofreading(spark):
     assert top[0]["found"] == "recieved" and top[0]["occurrences"] == 2 and {r["total"] for r in top} == {9}
 
 
+def test_all_proofreading_kinds_by_brute_force(spark):
+    """Every flag of a whole table against Python's own patterns."""
+    from assayer import lexicon
+
+    official = {x.lower(): x for x in lexicon.TECHNOLOGY_CASING}
+    strip = lambda w: re.sub(r"^[.']+|[.']+$", "", w)
+    want = {}
+    own = ["Recieved the the API of javascript , now;then (open", "see x.org/python and Github;; teh end.. had had"]
+    docs = queries.documents(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(-1, "\n".join(own))], "doc_id long, text string"))
+    for r in docs.collect():
+        for i, t in enumerate((r["text"] or "").split("\n")):
+            if not t.strip(" "):
+                continue
+            found = [("misspelling", w) for w in map(strip, re.findall("[A-Za-z][A-Za-z.']*", t)) if w.lower() in lexicon.MISSPELLINGS]
+            found += [("technology_casing", w) for w in map(strip, re.findall(r"(?<![A-Za-z/@:\\_-])([A-Za-z][A-Za-z.']*)(?![/@:\\_\d-])", t)) if w.lower() in official and w not in official.values()]
+            found += [("doubled_word", w) for w in re.findall(r"(?i)\b([A-Za-z]{2,})\s+\1\b", t) if w.lower() not in ("had", "that", "no", "very", "so")]
+            found += [("space_before_punctuation", w) for w in re.findall(r"[ \t]+[,;:.!?]", t)] + [("missing_space", w) for w in re.findall("[,;][A-Za-z]", t)]
+            found += [("repeated_punctuation", m[0]) for m in re.finditer(r"([!?,;:])\1+|(?<!\.)\.{2}(?!\.)", t)]
+            found += [("unbalanced_brackets", t[:40])] if t.count("(") != t.count(")") else []
+            first = re.search("[A-Za-z][A-Za-z.']*", re.sub("^[•\\-–— ]+", "", t))
+            found += [("lowercase_start", first[0])] if first and first[0][0].islower() and first[0].lower() not in official else []
+            for kind, w in found:
+                want[r["doc_id"], i, kind, w] = want.get((r["doc_id"], i, kind, w), 0) + 1
+    got = {}
+    for r in writing.flags(writing.bullets_of(docs)).collect():
+        key = r["doc_id"], r["ord"], r["kind"], r["found"]
+        got[key] = got.get(key, 0) + 1
+    assert got == want and len({k for _, _, k, _ in got}) == 8
+
+
+def test_text_forms_equal_bullet_forms(spark):
+    """Metrics, weakest lines and terminators within a row against the same over bullets as rows."""
+    docs = queries.documents(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "\n \n"), (-4, "Led a\nLed b\nLed c\n\nled d.\nBuilt e\nbuilt f\nbuilt g."), (-5, "• x")], "doc_id long, text string"))
+    b = writing.bullets_of(docs)
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    names = writing.text_metrics(docs).columns
+    assert plain(writing.text_metrics(docs)) == plain(writing.metrics(b).select(*names))
+    assert plain(writing.weakest_lines(docs)) == plain(writing.weakest(b).select("doc_id", "ord", "text", "score", "rank"))
+    assert plain(writing.text_terminators(docs)) == plain(writing.terminators(b))
+    three = writing.offenders(b, ~T.has_number(F.col("text")), limit=3).where("doc_id = -4").orderBy("rank").collect()
+    assert [r["ord"] for r in three] == [0, 1, 2]
+
+
 def test_contact(spark):
     text = "Resume\nAda B. Lovelace\nLondon, England\nada@example.org | +44 20 7946 0958 | https://x.org/ada.\nEngineer"
     c = each(spark, sections.contact, [text, "no\nbody"])
@@ -226,6 +286,16 @@ def test_sections(spark):
     assert got == [(1, 0, "contact", "Ada\nada@x.org", 0.9), (1, 1, "experience", "Built things at work for years.", 1.0), (1, 2, "education", "BSc", 1.0), (3, 0, "contact", "", 0.5)]
 
 
+def test_origins_and_inherited_priorities(spark):
+    parts = spark.createDataFrame([(1, 0, "contact", 0, 5), (1, 1, "skills", 5, 20), (1, 2, "experience", 20, 30), (1, 3, "skills", 25, 40)], "doc_id int, ord int, kind string, start int, end int")
+    found = spark.createDataFrame([(1, 4), (1, 5), (1, 19), (1, 26), (1, 39), (1, 40), (2, 3), (1, None)], "doc_id int, offset int")
+    got = [(r["doc_id"], r["offset"], r["origin"]) for r in sections.origins(found, parts).collect()]
+    assert sorted(got, key=str) == sorted([(1, 4, "other"), (1, 5, "skills_list"), (1, 19, "skills_list"), (1, 26, "experience_bullet"), (1, 39, "skills_list"), (1, 40, "other"), (2, 3, "other"), (1, None, "other")], key=str)
+    text = "Intro line that ends here.\nRequirements:\nknow sql well.\n\nknow spark.\nNice to have\nfrench, a bit.\nAbout the team\nwe are many."
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    assert [(r["line"], r["heading"], r["priority"]) for r in sections.under_headings(df).orderBy("line").collect()] == [(0, None, None), (2, "Requirements:", "must"), (4, "Requirements:", "must"), (6, "Nice to have", "nice"), (8, "About the team", None)]
+
+
 def test_postings(spark):
     body = "Requirements\n" + "You must know Spark and SQL well, and enjoy data work. " * 5
     text = "About us\nWe are great.\n\n" + body + "\n\nBenefits\nDental, vision, pto and gym.\n\nWe are an equal opportunity employer."
@@ -260,6 +330,21 @@ def test_report_modes(spark):
     assert strict["experience"] == [] and strict["matches"][0]["quotes"] == [] and strict["matches"][0]["strength"] == 0.5 and "…" in strict["recommendations"][0]["detail"] and "Ada" not in str(strict)
 
 
+def test_link_life_and_free_text(spark):
+    now = F.lit("2024-01-10").cast("timestamp")
+    a = spark.createDataFrame([(i, 1 + i % 2) for i in range(6)], "id int, user_id int")
+    links = sharing.new_links(a, now, F.lit(None).cast("int"), F.lit("scores_only"), "k")
+    token = links.where("analysis_id = 3").first()["token"]
+    gone = sharing.revoke(sharing.revoke(links, token, 1, now), token, 2, now)
+    assert {r["analysis_id"] for r in gone.where("revoked_at IS NOT NULL").collect()} == {3}
+    assert sharing.live(gone, now).count() == 5 and sharing.live(gone, F.lit("2024-01-17").cast("timestamp")).count() == 0
+    assert [r["user_id"] for r in sharing.newest(links, 2, 2).collect()] == [2, 2]
+    rows = spark.createDataFrame([(m, 'Ann said "a long quoted passage"', ["Ann"]) for m in sharing.MODES], "visibility_mode string, note string, secrets array<string>")
+    assert [r["note"] for r in sharing.redact_free_text(rows, ["note"]).collect()] == ['Ann said "a long quoted passage"', '[redacted] said "a long quoted passage"', "[redacted] said …"]
+    parents = sharing.with_parents(spark.createDataFrame([(1, 1, 1), (2, 9, 1)], "id int, resume_id int, job_id int"), spark.createDataFrame([(1, "r")], "resume_id int, resume string"), spark.createDataFrame([(1, "j")], "job_id int, job string"))
+    assert [tuple(r) for r in parents.select("id", "resume", "job").collect()] == [(1, "r", "j")]
+
+
 def test_links_and_samples(spark):
     now = F.lit("2024-01-10").cast("timestamp")
     rows = [("a", 1, "scores_only", "2024-02-01", None), ("b", 1, "scores_only", "2024-01-01", None), ("c", 1, "scores_only", "2024-02-01", "2024-01-05")]
@@ -282,6 +367,30 @@ def test_resolution_tiers(spark):
     assert sorted((r["canonical"], r["pos"]) for r in matching.mentions(texts, tax, "i", "t").collect()) == [("Docker", 4), ("Node.js", 2), ("PostgreSQL", 6)]
 
 
+def test_subsequence_kernel():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 90))) for _ in range(2))
+        assert matching.common_subsequence(a, b) == lcs(a, b)
+
+
+def test_the_one_skill_that_a_sentence_names(spark):
+    tax = spark.createDataFrame([("Python", "python", 0), ("AWS", "aws", 1), ("GCP", "gcp", 2), ("Long", "a name of seven words in all", 3)], "canonical string, alias string, ord int")
+    texts = ["3+ years of experience with Python required", "one of AWS or GCP", "pyhton", "nothing known", "must know a Name of seven Words in all, really", None, "Python and more python"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["canonical"] for r in matching.canonical_for(df, tax, "t").collect()}
+    assert got == {0: "Python", 1: None, 2: "Python", 3: None, 4: "Long", 5: None, 6: "Python"}
+    assert matching.mentions(df, tax.limit(0), "i", "t").count() == 0
+
+
+def test_candidates_and_tallies(spark):
+    b = spark.createDataFrame([(3, "long enough text"), (None, "long enough text"), (4, "  ten chars "), (5, None)], "start int, text string")
+    assert [r["start"] for r in matching.evidence_candidates(b).collect()] == [3]
+    m = spark.createDataFrame([(1, "rule"), (1, "verdict"), (1, None), (2, "verdict")], "pair_id int, settled_by string")
+    h = spark.createDataFrame([(1, True), (1, False), (3, True)], "pair_id int, hit boolean")
+    assert {r["pair_id"]: (r["free_share"], r["cache_hit_rate"]) for r in matching.tallies(m, h).collect()} == {1: (0.6667, 0.5), 2: (0.0, 0.0), 3: (0.0, 1.0)}
+
+
 def test_fuzzy_query_by_brute_force(spark):
     rows = queries.fuzzy_match(spark, "/root/testdata/sf0.001").collect()
     names = sorted({r["alias"] for r in queries.taxonomy(spark, "/root/testdata/sf0.001").collect()})
@@ -312,7 +421,7 @@ def test_numbers_of_every_turn_are_grounded(spark, tmp_path):
 
     text_of = {(c, i): t for c, i, t in data}
     want = {(c, i): len(facts(t) - facts(text_of.get((c, i - 1)))) for c, i, t in data}
-    got = queries.grounding_numbers_all(spark, str(tmp_path)).collect()
+    got = queries.grounding_numbers(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r["conv_id"], r["turn"]): r["ungrounded"] for r in got} == want
 
 
@@ -409,9 +518,73 @@ def test_signals_and_rules(spark):
     assert names == [True, False, False, True, True, False]
 
 
+# prompts and rewrites --------------------------------------------------------
+
+
+def test_described_documents_and_prompts(spark):
+    summary = spark.createDataFrame([(1, "About me"), (2, "")], "doc_id int, text string")
+    work = spark.createDataFrame([(1, 1, "Dev", None, ["b"]), (1, 0, "Lead", "Acme", ["a1", "a2"]), (3, 0, None, "", None)], "doc_id int, item int, title string, organization string, bullets array<string>")
+    projects = spark.createDataFrame([(1, 0, None, ["p"])], "doc_id int, item int, name string, bullets array<string>")
+    skills_ = spark.createDataFrame([(1, 1, "sql"), (1, 0, "go")], "doc_id int, ord int, raw string")
+    got = {r["doc_id"]: r["text"] for r in resumes.described(summary, work, projects, skills_).collect()}
+    assert got == {1: "SUMMARY\nAbout me\nEXPERIENCE\nLead — Acme\n- a1\n- a2\nDev\n- b\nPROJECTS\n(project)\n- p\nSKILLS\ngo, sql", 3: "EXPERIENCE\n(role)"}
+    known = {(r["origin"], r["item"]): r["context"] for r in resumes.contexts(work, projects).where("doc_id = 1").collect()}
+    assert known == {("experience_bullet", 1): "Dev", ("experience_bullet", 0): "Lead Acme", ("project_bullet", 0): ""}
+    long = "x" * 30_000
+    assert [len(one(spark, f(F.lit(long)))) for f in (lambda t: resumes.structure_prompt(t, F.array(F.lit("skills"), F.lit("contact")), "R"), lambda t: resumes.posting_prompt(t, "R"), lambda t: resumes.rubric_prompt(t, "R"))] == [24_000 + 53, 16_000 + 15, 12_000 + 21]
+    assert "Sections found: contact, skills\n<resume>\nab\n</resume>" in one(spark, resumes.structure_prompt(F.lit("ab"), F.array(F.lit("skills"), F.lit("contact")), "R"))
+    pairs = spark.createDataFrame([(1, 5, "know sql", None), (1, 2, "lead", "led a team")], "pair_id int, ord int, text string, evidence string")
+    assert resumes.verdict_prompts(pairs, "R").first()["prompt"] == "R\n<pairs>\n1. Requirement: lead\n   Evidence: led a team\n\n2. Requirement: know sql\n   Evidence: (nothing similar found)\n</pairs>"
+    weak = spark.createDataFrame([(1, 2, "did it", ["no result"], "too much"), (1, 1, "helped", ["padding", "no verb"], "too much")], "doc_id int, rank int, text string, reasons array<string>, wrong string")
+    assert resumes.rewrite_prompts(weak, "R").first()["prompt"] == "R\n<bullets>\n1. helped\n   problems: padding; no verb\n2. did it\n   problems: no result\n</bullets>"
+    assert resumes.rewrite_prompts(weak, "R", correction="wrong").first()["prompt"].endswith("Not in the original: too much")
+    assert each(spark, lambda t: resumes.first_notes(F.split(t, "/")), [" a/ /b/c/d", ""]) == [["a", "b", "c"], []]
+
+
+def test_rewrites_by_number_and_their_facts(spark):
+    weak = spark.createDataFrame([(1, 9, "b9", "helped Acme"), (1, 4, "b4", "did sql"), (1, 7, "b7", "x")], "doc_id int, rank int, bullet string, original string")
+    answers = spark.createDataFrame([(1, 2, 0, " second ", [" r1", "", "r2", "r3"]), (1, 1, 1, "first", None), (1, 2, 2, "second again", ["r"]), (1, 8, 3, "stray", None)], "doc_id int, index int, ord int, suggestion string, reasons array<string>")
+    got = [(r["place"], r["bullet"], r["suggestion"], r["reasons"]) for r in resumes.attach_rewrites(weak, answers).orderBy("place").collect()]
+    assert got == [(1, "b4", "first", None), (2, "b7", "second again", ["r"])]
+    tax = spark.createDataFrame([("PostgreSQL", "postgres", 0), ("PostgreSQL", "postgresql", 1), ("Node.js", "node js", 2)], "canonical string, alias string, ord int")
+    originals = spark.createDataFrame([(1, "tuned postgres for 40,000 users", "Lead Acme"), (2, "wrote code", None)], "id int, original string, context string")
+    tries = [(1, 1, "Tuned PostgreSQL for 40K users at Acme"), (1, 2, "Tuned it for 50K users at Globex"), (2, 1, "We wrote Node js code"), (2, 2, "Wrote code")]
+    rewrites = spark.createDataFrame(tries, "id int, attempt int, suggestion string")
+    got = {(r["id"], r["attempt"]): r["violations"] for r in resumes.ungrounded(rewrites, originals, ["id"], tax).collect()}
+    assert got == {(1, 1): [], (1, 2): ["50000", "globex"], (2, 1): ["Node.js"], (2, 2): []}
+    assert sorted((r["id"], r["attempt"]) for r in resumes.accept_grounded(rewrites, originals, ["id"], taxonomy=tax).collect()) == [(1, 1), (2, 2)]
+    without = {(r["id"], r["attempt"]): r["violations"] for r in resumes.ungrounded(rewrites, originals, ["id"]).collect()}
+    assert without[1, 1] == ["postgresql"] and without[2, 1] == ["node"]
+
+
+def test_small_expressions(spark):
+    assert each(spark, lambda t: T.line_at(t, F.lit(4)), ["ab\ncd\ne", "abcdef", "\n\n\n\n\n"]) == [1, 0, 4]
+    assert each(spark, T.normalise_layout, ["● exam-\nple  ‘x’\nS K I L L S\n\n\n\nend "]) == ["• example 'x'\nSKILLS\n\nend"]
+    df = spark.createDataFrame([(0.8, "high"), (0.79, "medium"), (0.5, "medium"), (0.1, "low")], "v double, w string")
+    assert df.where(S.confidence_band(F.col("v")) != F.col("w")).count() == 0
+    fonts = spark.createDataFrame([(0, "Arial-ItalicMT", True), (2, "Arial", True), (16, "Arial", False), (0, "X-Oblique", True)], "f int, n string, w boolean")
+    assert fonts.where(layout.is_italic(F.col("f"), F.col("n")) != F.col("w")).count() == 0
+    assert tables.schema_ddl(fonts) == "f int, n string, w boolean"
+    assert one(spark, advice.prose_is_grounded(F.lit("scores 72.5, up 12% of 40,000"), F.array(F.lit(72.5), F.lit(12.0), F.lit(40000.0))))
+    assert not one(spark, advice.prose_is_grounded(F.lit("scores 73"), F.array(F.lit(72.5))))
+
+
 # advice, report --------------------------------------------------------------
 
 
+def test_titles_and_proofreading_candidates(spark):
+    r = spark.createDataFrame([(1, 1, "must", 5.0, "sql", "missing", False), (1, 2, "nice", 2.0, "go", "partial", True), (1, 3, "strong", 1.0, "c", "partial", False), (1, 4, "nice", 0.4, "x", "missing", False)], "pair_id int, requirement_id int, priority string, gain double, text string, status string, listed_only boolean")
+    rule = spark.createDataFrame([(1, "multi_column", 15.0, 3.0)], "pair_id int, rule_id string, largest double, gain double")
+    metric = spark.createDataFrame([(1, "action_verbs", 1.0)], "pair_id int, key string, gain double")
+    p = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "pair_id int, errors int")
+    got = {(r["pair_id"], r["key"]): (r["title"], r["severity"], r["tier"]) for r in advice.candidates(r, rule, metric, proofread=p).collect()}
+    assert got == {
+        (1, "req:1"): ("Add what is missing: sql", "high", 0), (1, "req:2"): ("Show where you used go", "low", 0), (1, "req:3"): ("Strengthen the evidence for c", "medium", 0),
+        (1, "ats:multi_column"): ("Fix multi column", "high", 1), (1, "metric:action_verbs"): ("Improve action verbs", "medium", 2), (1, "writing:proofread"): ("Fix 2 spelling and punctuation errors", "medium", 3), (3, "writing:proofread"): ("Fix 1 spelling and punctuation error", "medium", 3),
+    }
+    assert [x["key"] for x in advice.top(advice.candidates(r, rule, metric, proofread=p)).where("pair_id = 1").orderBy("rank").collect()][-1] == "writing:proofread"
+
+
 def analysed(spark):
     req = spark.createDataFrame([(1, 1, "python", "must", None), (1, 2, "go", "must", None), (1, 3, "sql", "nice", None), (2, 1, "go", "must", None)], "pair_id int, requirement_id int, canonical string, priority string, years double")
     sk = spark.createDataFrame([(1, "python", "experience_bullet", 0, 5), (1, "sql", "skills_list", 1, 5)], "pair_id int, canonical string, origin string, ord int, months int")
@@ -453,6 +626,21 @@ def test_tables(spark, tmp_path):
     assert [bytes(r["content"]) for r in tables.binary_files(spark, str(tmp_path / "x.pdf")).collect()] == [b"%PDF-1.7 x"]
 
 
+def test_one_analysis_becomes_three_tables(spark, tmp_path):
+    columns = ["resume_id", "user_id", "resume", "file_hash", "job_id", "job", "jd_hash", "id", "scores", "report", "content_hash", "created_at"]
+    rows = [("r1", 1, "R", "f", "j1", "J", "g", i, 5, "x", "h", "2024") for i in (1, 2)]
+    tables.save_analysis(spark.createDataFrame(rows, columns), str(tmp_path))
+    assert [spark.read.parquet(str(tmp_path / n)).count() for n in ("resumes", "job_targets", "analyses")] == [1, 1, 2]
+
+
+def test_small_tables_are_dealt_out(spark):
+    got = tables.dealt_table(spark, "/root/testdata/sf0.001", "documents")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert got.select("doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = got.select("doc_id")._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:" in plan and "text:string" not in plan.split("ReadSchema")[-1]
+
+
 def test_frames(spark):
     text = ": hello\r\n\r\nevent: progress\r\ndata: {\"n\": 1}\r\n\r\ndata: {broken\n\nevent: result\ndata: {\"n\": 2}\n\ndata: {\"n\": 3}"
     got = frames.parse(spark.createDataFrame([(1, text), (2, "")], "id int, t string"), "id", "t", "n int").orderBy("pos").collect()
