@@ -107,7 +107,7 @@ class Filters:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> Filters:
-    """Filters of the languages of ``docs``; rows without text or language take no part."""
+    """Filters of the languages of ``docs``; rows without text or language take no part, equal rows count as often as they come, an empty table gives no languages."""
     from assayer.llm.shared import keep
 
     counted = keep(count_grams(docs, text_col, lang_col), "grams")
@@ -128,6 +128,9 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     text or one without letters is ``und`` with score 0; a text with letters of
     which no language knows an n-gram gets the commonest language, score 0; a
     tie goes to the first language by name. Without learned languages all is ``und``.
+    Equal rows stay and get equal predictions; an empty table gives an empty
+    result; columns beside id and text are not read, so their names don't matter.
+    A text of any length is read whole, alone in a slice, at about 60 bytes a byte.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
