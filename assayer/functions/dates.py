@@ -74,6 +74,12 @@ def months_between(start_year: Column, start_month: Column, end_year: Column, en
     return F.greatest(F.lit(0), end - month_index(start_year, F.coalesce(start_month, F.lit(1))))
 
 
+def utc(text: Column) -> Column:
+    """An ISO time as a timestamp: with ``Z`` or an offset as it says, without as UTC, whatever the session's zone; null if it is none."""
+    said = text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(said, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def expiry(now: Column, days: Column) -> Column:
     """``now`` and 1 to 30 days, 7 if none are given."""
     return now + F.make_dt_interval(F.greatest(F.lit(1), F.least(F.lit(30), F.coalesce(days, F.lit(7)))))

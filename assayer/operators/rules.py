@@ -55,6 +55,24 @@ def findings(rows: DataFrame, by: Sequence[str] = ("doc_id",), rules: Sequence[R
     return rows.select(*by, F.explode(F.array_compact(F.array(*fired))).alias("f")).select(*by, "f.ord", "f.rule_id", "f.severity", "f.deduction")
 
 
+def is_encrypted(content: Column, tail: int = 2048) -> Column:
+    """Whether the last ``tail`` bytes of a file name an encryption dictionary."""
+    return F.contains(F.substring(content, F.greatest(F.octet_length(content) - (tail - 1), F.lit(1)), F.lit(tail)), F.lit(b"/Encrypt"))
+
+
+def posting_quality(text: Column, least: int = 200, thin: int = 600) -> Column:
+    """``short``, ``thin`` or ``ok``, by characters without blanks at the ends; null is short."""
+    n = F.length(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(n < least, "short").when(n < thin, "thin").otherwise("ok")
+
+
+def posting_warning(text: Column) -> Column:
+    """What to tell about a posting before it is read, or null: too short, little to go on, or no word of requirements."""
+    quality = posting_quality(text)
+    asks = F.lower(text).rlike("requirement|qualification|experience|skill|must have|you have|you will|responsibilit")
+    return F.when(quality == "short", "too short to read").when(~asks, "names no requirements").when(quality == "thin", "little to go on")
+
+
 def gate(rows: DataFrame, max_bytes: int = 8 << 20, max_pages: int = 10) -> DataFrame:
     """Files with ``reject``: why a file is refused, the first reason in order; null if it passes.
 
@@ -63,8 +81,8 @@ def gate(rows: DataFrame, max_bytes: int = 8 << 20, max_pages: int = 10) -> Data
     """
     has = set(rows.columns)
     checks = [("empty", F.coalesce(F.octet_length("content"), F.lit(0)) == 0), ("too_large", F.octet_length("content") > max_bytes), ("not_pdf", F.substring("content", 1, 5) != F.lit(b"%PDF-"))]
-    if "encrypted" in has:
-        checks.append(("encrypted", F.col("encrypted")))
+    # a reader may know it; else the trailer tells
+    checks.append(("encrypted", F.col("encrypted") if "encrypted" in has else is_encrypted(F.col("content"))))
     if "pages" in has:
         checks += [("no_pages", F.col("pages") == 0), ("too_many_pages", F.col("pages") > max_pages)]
     if {"chars", "pages", "has_covering_image"} <= has:

@@ -695,6 +695,36 @@ def rate_limit_hour(spark, d):
     return counters.window_counts(tables.table(spark, d, "events"), "user_id", "HOUR", 1).withColumn("window_start", stamp("window_start"))
 
 
+@query("""SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS hits FROM (SELECT user_id, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events) GROUP BY ALL""")
+def sliding_counts(spark, d):
+    """The stream's sliding windows over the whole table at once."""
+    return counters.sliding_counts_stream(tables.table(spark, d, "events"), "user_id", "2 days", "1 day").withColumn("window_start", stamp("window_start"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM m)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS hits FROM s GROUP BY user_id, n""")
+def session_counts(spark, d):
+    """The stream's sessions over the whole table at once."""
+    out = counters.session_counts_stream(tables.table(spark, d, "events"), "user_id", "30 minutes")
+    return out.withColumn("window_start", stamp("window_start")).withColumn("window_end", stamp("window_end"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS past FROM events)
+SELECT user_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS ts, ': keep-alive' || chr(10) || chr(10) AS frame, count(*) AS n FROM (SELECT user_id, unnest(range(ts + INTERVAL 1 DAY, past, INTERVAL 1 DAY)) AS b FROM g WHERE past IS NOT NULL) GROUP BY ALL""")
+def heartbeat_frames(spark, d):
+    """A keep-alive a day between the events of a user."""
+    out = frames.heartbeats(counters.timed(tables.table(spark, d, "events").select("user_id", "ts")), ["user_id"], seconds=86_400)
+    return out.withColumn("ts", stamp("ts")).groupBy("user_id", "ts", "frame").agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT doc_id, text, length(trim(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 200 THEN 'short' WHEN n < 600 THEN 'thin' ELSE 'ok' END AS quality, CASE WHEN n < 200 THEN 'too short to read' WHEN NOT regexp_matches(lower(text), 'requirement|qualification|experience|skill|must have|you have|you will|responsibilit') THEN 'names no requirements' WHEN n < 600 THEN 'little to go on' END AS warning FROM q""")
+def posting_preflight(spark, d):
+    t = F.col("text")
+    return documents(spark, d).select("doc_id", rules.posting_quality(t).alias("quality"), rules.posting_warning(t).alias("warning"))
+
+
 @query("""WITH b AS (SELECT ts::DATE AS day, event_type AS model, count(*) AS requests, round(sum(value), 4) AS tokens FROM events GROUP BY ALL)
 SELECT day, model, requests, tokens, (sum(requests) OVER (PARTITION BY day))::BIGINT AS day_requests, sum(requests) OVER (PARTITION BY day) >= 0.85 * 340 AS near_limit, sum(requests) OVER (PARTITION BY day) >= 340 AS exhausted FROM b""")
 def usage_daily(spark, d):

@@ -17,10 +17,10 @@ def ordered(rows: DataFrame, by: Sequence[str], name: str, *columns: str, order:
 
 
 def analyse(requirements: DataFrame, skills: DataFrame, edges: DataFrame, bullets: DataFrame, findings: DataFrame, judgements: DataFrame, by: Sequence[str] = ("pair_id",), taxonomy: DataFrame | None = None, documents: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Matches, metrics, scores and recommendations of every pair.
+    """Matches, metrics, scores, verdicts and recommendations of every pair.
 
     ``requirements``: keys, ``requirement_id``, ``canonical``, ``priority``,
-    ``years``; ``skills``, ``edges``, ``taxonomy``, ``documents`` (and the
+    ``years`` and, for titles and verdicts that name them, ``text``; ``skills``, ``edges``, ``taxonomy``, ``documents`` (and the
     ``text`` and ``category`` that the latter two need): see
     ``matching.cascade``; ``bullets``: keys,
     ``ord``, ``text``; ``findings``: keys, ``rule_id``, ``deduction``;
@@ -29,10 +29,15 @@ def analyse(requirements: DataFrame, skills: DataFrame, edges: DataFrame, bullet
     matches = matching.cascade(requirements, skills, edges, by, taxonomy, documents)
     metrics = writing.long_metrics(writing.metrics(bullets, by), by)
     scores = scoring.compute(requirements, matches, findings, metrics, judgements, by)
-    rated = requirements.select(*by, "requirement_id", "priority").join(matches.select(*by, "requirement_id", "strength", "status"), [*by, "requirement_id"])
+    named = F.col("text") if "text" in requirements.columns else F.concat(F.lit("requirement "), F.col("requirement_id").cast("string"))
+    listed = F.coalesce(F.col("origin").isin("skills_list", "other"), F.lit(False)).alias("listed_only")
+    rated = requirements.select(*by, "requirement_id", "priority", named.alias("text")).join(matches.select(*by, "requirement_id", "strength", "status", listed), [*by, "requirement_id"])
+    errors = writing.flags(bullets, by).where("severity = 'error'").groupBy(*by).agg(F.count_distinct("kind", F.lower("found")).alias("errors"))
     judged = judgements.select(*by, sum((((F.col(k) - 1) / 4.0 * 100) * w for k, w in scoring.S.RUBRIC_WEIGHTS.items()), F.lit(0.0)).alias("judged_part"))
-    gains = advice.candidates(advice.requirement_gains(rated, scores, by), advice.rule_gains(findings, scores, by), advice.metric_gains(metrics, scores, judged, by), by)
-    return {"matches": matches, "metrics": metrics, "scores": scores, "facts": advice.facts(rated, by), "recommendations": advice.top(gains, by)}
+    wanted = advice.requirement_gains(rated, scores, by).join(rated.select(*by, "requirement_id", "text", "status", "listed_only"), [*by, "requirement_id"])
+    gains = advice.candidates(wanted, advice.rule_gains(findings, scores, by), advice.metric_gains(metrics, scores, judged, by), by, errors)
+    facts = advice.facts(rated, by).join(advice.gaps(rated, by), list(by)).join(scores.select(*by, "overall", "band", "ats", "quality", F.col("overall_uncapped").isNotNull().alias("capped")), list(by))
+    return {"matches": matches, "metrics": metrics, "scores": scores, "facts": advice.verdicts(facts), "recommendations": advice.top(gains, by)}
 
 
 def nest(parts: dict[str, DataFrame], by: Sequence[str] = ("pair_id",)) -> DataFrame:
@@ -42,4 +47,4 @@ def nest(parts: dict[str, DataFrame], by: Sequence[str] = ("pair_id",)) -> DataF
     out = out.join(ordered(parts["matches"], on, "matches", "requirement_id", "status", "strength", "is_adjacent", order=["requirement_id"]), on, "left")
     out = out.join(ordered(parts["metrics"], on, "metrics", "key", "value", order=["key"]), on, "left")
     out = out.join(ordered(parts["recommendations"], on, "recommendations", "key", "title", "severity", "gain", order=["rank"]), on, "left")
-    return out.join(advice.headline(parts["facts"]).select(*on, "headline"), on, "left")
+    return out.join(advice.headline(parts["facts"]).select(*on, "headline", "verdict", "strengths", "weaknesses"), on, "left")

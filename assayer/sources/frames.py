@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,15 @@ def progress(rows: DataFrame, columns: list[str], event: str = "progress") -> Da
     return rows.withColumn("frame", frame(F.lit(event), F.to_json(F.struct(*columns))))
 
 
+def heartbeats(rows: DataFrame, by: list[str], ts: str = "ts", seconds: int = 5) -> DataFrame:
+    """Comment frames that keep a connection open: keys, ``ts`` and ``frame``, one every ``seconds`` after an event until the run's next one."""
+    following = F.lead(ts).over(Window.partitionBy(*by).orderBy(ts))
+    step = F.make_dt_interval(secs=F.lit(seconds))
+    gaps = rows.select(*by, F.col(ts).alias("__from"), following.alias("__to")).where(F.col("__to") > F.col("__from") + step)
+    beats = F.filter(F.sequence(F.col("__from") + step, F.col("__to"), step), lambda t: t < F.col("__to"))
+    return gaps.select(*by, F.explode(beats).alias(ts), F.lit(": keep-alive\n\n").alias("frame"))
+
+
 def parse(texts: DataFrame, id_col: str, text_col: str, schema: str) -> DataFrame:
     """Frames of whole texts: id, ``pos``, ``event``, ``data``. Comments and frames with broken JSON are dropped, as is an unfinished last one."""
     parts = F.split(F.regexp_replace(F.col(text_col), "\r\n", "\n"), "\n\n")

@@ -85,9 +85,10 @@ def save_analysis(results: DataFrame, folder: str) -> None:
 
 
 def binary_files(spark: SparkSession, path: str, max_bytes: int = 8 << 20) -> DataFrame:
-    """Files of a folder as ``path``, ``length``, ``content``; oversize ones are listed without content."""
+    """Files of a folder as ``path``, ``length``, ``content`` and ``reject``; oversize ones are listed without content. Spark's reader itself leaves empty files out."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    reject = F.when(F.col("length") > max_bytes, "too_large")
+    return files.select("path", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"), reject.alias("reject"))
 
 
 def schema_ddl(df: DataFrame) -> str:

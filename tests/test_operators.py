@@ -160,6 +160,12 @@ def test_date_ranges(spark):
     assert (broken["start_year"], broken["end_year"]) == (None, 2023)
 
 
+def test_utc_times(spark):
+    texts = ["2024-01-01T10:00:00Z", "2024-01-01T10:00:00+02:00", "2024-01-01 10:00:00", "nothing", None]
+    got = [None if x is None else int(x) for x in each(spark, lambda t: D.utc(t).cast("double"), texts)]
+    assert got == [1704103200, 1704096000, 1704103200, None, None]
+
+
 def test_months(spark):
     as_of = F.lit(dt.date(2024, 3, 15))
     m = lambda *a: D.months_between(*[F.lit(x).cast("int") for x in a[:4]], F.lit(a[4]), as_of)
@@ -514,6 +520,8 @@ def test_signals_and_rules(spark):
     assert got == {1: ["missing_education", "missing_phone"], 2: ["no_standard_sections", "missing_experience", "missing_education", "missing_email", "missing_phone", "unparseable_dates", "excessive_length", "hidden_text", "unprofessional_filename"]}
     files = spark.createDataFrame([(b"%PDF-1.4", 1, 500), (b"", 1, 1), (b"GIF8", 1, 1), (b"%PDF-1", 11, 1), (b"%PDF-1", 0, 1), (None, 1, 1)], "content binary, pages int, chars int")
     assert [r["reject"] for r in rules.gate(files).collect()] == [None, "empty", "not_pdf", "too_many_pages", "no_pages", "empty"]
+    locked = spark.createDataFrame([(b"%PDF-1.4" + b"x" * 3000 + b" /Encrypt 5 0 R", 1), (b"%PDF-1.4 /Encrypt" + b"x" * 3000, 1)], "content binary, pages int")
+    assert [r["reject"] for r in rules.gate(locked).collect()] == ["encrypted", None]
     names = each(spark, rules.professional_filename, ["ada.pdf", "cv_final.pdf", "x (1).pdf", None, "", "v2x"])
     assert names == [True, False, False, True, True, False]
 
@@ -602,6 +610,8 @@ def test_report(spark):
     assert rows[1]["headline"] == "1 of 3 requirements met, 1 missing, 1 in part" and rows[2]["scores"]["overall"] == 20.0
     base = rows[1]["scores"]["overall"]
     assert all(base + x["gain"] <= 100 for x in rows[1]["recommendations"])
+    assert rows[1]["verdict"].startswith(f"{rows[1]['scores']['band'].replace('_', ' ')}: {base:g} of 100. 1 of 2 essential requirements met.") and rows[2]["weaknesses"][0] == "1 requirement without any evidence."
+    assert "Add what is missing: requirement 2" in {x["title"] for x in rows[1]["recommendations"]} and rows[1]["strengths"] == ["1 of 2 essential requirements are met."]
     assert advice.total_gain(parts["recommendations"]).count() == 2
     assert advice.clean_layout_gain(parts["scores"]).where("pair_id = 1").first()["gain"] == 5.0
 
@@ -624,6 +634,11 @@ def test_tables(spark, tmp_path):
     with open(tmp_path / "x.pdf", "wb") as f:
         f.write(b"%PDF-1.7 x")
     assert [bytes(r["content"]) for r in tables.binary_files(spark, str(tmp_path / "x.pdf")).collect()] == [b"%PDF-1.7 x"]
+    (tmp_path / "files").mkdir()
+    for name, data in (("a", b""), ("b", b"12345"), ("c", b"123")):
+        (tmp_path / "files" / name).write_bytes(data)
+    got = {r["path"][-1]: (r["content"] and bytes(r["content"]), r["reject"]) for r in tables.binary_files(spark, str(tmp_path / "files"), 4).collect()}
+    assert got == {"b": (None, "too_large"), "c": (b"123", None)}
 
 
 def test_one_analysis_becomes_three_tables(spark, tmp_path):
