@@ -35,27 +35,23 @@ WEAK_PHRASES = (
 )
 
 #: Misspellings and what is meant.
-MISSPELLINGS = dict(
-    pair.split(":")
-    for pair in """
-    acheive:achieve acheived:achieved accomodate:accommodate accomodated:accommodated adn:and
-    buisness:business calender:calendar catagory:category collaberated:collaborated colaborated:collaborated
-    comminication:communication communiction:communication definately:definitely developement:development
-    enviroment:environment enviroments:environments experiance:experience goverment:government
-    immediatly:immediately independant:independent intergrated:integrated knowlege:knowledge langauge:language
-    langauges:languages liason:liaison maintainance:maintenance maintainence:maintenance managment:management
-    mangement:management neccessary:necessary necesary:necessary nessesary:necessary occassion:occasion
-    occassionally:occasionally occured:occurred occuring:occurring oppurtunity:opportunity
-    particpated:participated perfomance:performance performace:performance personel:personnel
-    priviledge:privilege proffesional:professional profesional:professional refered:referred relevent:relevant
-    responsibilites:responsibilities responsibilty:responsibility responsiblity:responsibility recieve:receive
-    recieved:received seperate:separate seperated:separated seperately:separately sucess:success
-    sucessful:successful sucessfully:successfully succesful:successful succesfully:successfully teh:the
-    tommorow:tomorrow truely:truly untill:until usefull:useful wich:which writting:writing pyhton:Python
-    phyton:Python javscript:JavaScript javasript:JavaScript kubernets:Kubernetes kubernates:Kubernetes
-    postgress:PostgreSQL
-    """.split()
-)
+MISSPELLINGS = {
+    "acheive": "achieve", "acheived": "achieved", "accomodate": "accommodate", "accomodated": "accommodated", "adn": "and", "buisness": "business",
+    "calender": "calendar", "catagory": "category", "collaberated": "collaborated", "colaborated": "collaborated", "comminication": "communication",
+    "communiction": "communication", "definately": "definitely", "developement": "development", "enviroment": "environment",
+    "enviroments": "environments", "experiance": "experience", "goverment": "government", "immediatly": "immediately", "independant": "independent",
+    "intergrated": "integrated", "knowlege": "knowledge", "langauge": "language", "langauges": "languages", "liason": "liaison",
+    "maintainance": "maintenance", "maintainence": "maintenance", "managment": "management", "mangement": "management", "neccessary": "necessary",
+    "necesary": "necessary", "nessesary": "necessary", "occassion": "occasion", "occassionally": "occasionally", "occured": "occurred",
+    "occuring": "occurring", "oppurtunity": "opportunity", "particpated": "participated", "perfomance": "performance", "performace": "performance",
+    "personel": "personnel", "priviledge": "privilege", "proffesional": "professional", "profesional": "professional", "refered": "referred",
+    "relevent": "relevant", "responsibilites": "responsibilities", "responsibilty": "responsibility", "responsiblity": "responsibility",
+    "recieve": "receive", "recieved": "received", "seperate": "separate", "seperated": "separated", "seperately": "separately", "sucess": "success",
+    "sucessful": "successful", "sucessfully": "successfully", "succesful": "successful", "succesfully": "successfully", "teh": "the",
+    "tommorow": "tomorrow", "truely": "truly", "untill": "until", "usefull": "useful", "wich": "which", "writting": "writing", "pyhton": "Python",
+    "phyton": "Python", "javscript": "JavaScript", "javasript": "JavaScript", "kubernets": "Kubernetes", "kubernates": "Kubernetes",
+    "postgress": "PostgreSQL",
+}
 
 #: Official spellings.
 TECHNOLOGY_CASING = tuple(
