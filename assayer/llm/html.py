@@ -65,10 +65,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "length")
+    __slots__ = ("tag", "attrs", "children", "length", "known")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.children, self.length = tag, attrs, [], 0
+        self.tag, self.attrs, self.children, self.length, self.known = tag, attrs, [], 0, None
 
 
 def parse(page: str) -> Node:
@@ -120,7 +120,9 @@ def parse(page: str) -> Node:
 
 
 def attributes(node: Node) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(node.attrs)} if node.attrs else {}
+    if node.known is None:
+        node.known = {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(node.attrs)} if node.attrs else {}
+    return node.known
 
 
 def is_boilerplate(node: Node, inside: bool) -> bool:
@@ -286,13 +288,13 @@ def template_parts(root: Node, main: Node, marked: bool, host: str) -> tuple[np.
     return A.mix(np.array(hashes, np.uint64) ^ keys[kind]), kind, parts
 
 
-def main_text(page: str | None, template: np.ndarray | None = None, host: str = "") -> str:
-    """The main text of one page; ``template`` has its host's template hashes (ascending), with the host's own if it has pages enough."""
+def main_text(page: str | None, host: str = "", template: np.ndarray | None = None) -> str:
+    """The main text of one page; ``template`` has the template hashes of its host (ascending), or is None if the host has too few pages to tell."""
     if not page:
         return ""
     root = parse(page)
     main, marked = main_of(root)
-    if template is None or not A.member(np.array([host_key(host, HOST)]), template)[0]:
+    if template is None:
         return "\n".join(blocks_of(main if marked else root, lambda x: is_boilerplate(x, marked)))
     hashes, _, parts = template_parts(root, main, marked, host)
     gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
@@ -335,17 +337,21 @@ def _subtrees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return rows.mapInArrow(_hash_batches, "page long, content long, host long, hash long, kind byte")
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, inside_share: float = INSIDE_SHARE) -> DataFrame:
-    """``hash`` of each template subtree; the host and the kind are part of the hash. A host with ``least_pages`` different pages has a hash itself.
+def recurring(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """Subtrees, and hosts themselves (kind ``HOST``), with ``n`` different pages, ``least_pages`` or more.
 
     Pages with the same main text are one page, so mirrored articles make no
     template. Counting is by hash, not by host: a hot host is many keys.
     """
     seen = _subtrees(pages, url_col, html_col).select("content", "host", "hash", "kind").distinct()
-    counted = keep(seen.groupBy("hash", "host", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "counted")
+    return keep(seen.groupBy("hash", "host", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages), "counted")
+
+
+def site_templates(counted: DataFrame, inside_share: float = INSIDE_SHARE) -> DataFrame:
+    """``hash`` of each template subtree among the ``recurring`` ones; the host and the kind are part of the hash."""
     hosts = counted.where(F.col("kind") == HOST).select("host", F.col("n").alias("pages"))
     inside = counted.where(F.col("kind") == INSIDE).join(hosts, "host").where(F.col("n") >= inside_share * F.col("pages"))
-    return counted.where(F.col("kind") != INSIDE).select("hash").unionByName(inside.select("hash"))
+    return counted.where(F.col("kind").isin(WORDING, SHAPE)).select("hash").unionByName(inside.select("hash"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -357,23 +363,32 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Only id, URL and HTML are read, so other columns' names don't matter. A page of
     any length is parsed whole, one at a time, at about 200 bytes an element.
     """
-    templates = keep(site_templates(pages, url_col, html_col), "site_templates")
+    counted = recurring(pages, url_col, html_col)
+    large = counted.where(F.col("kind") == HOST).select("hash")
+    known = keep(site_templates(counted).withColumn("is_host", F.lit(False)).unionByName(large.withColumn("is_host", F.lit(True))), "site_templates")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    everywhere = None
-    if templates.count() <= BROADCAST_HASHES:
-        everywhere = np.sort(templates.toArrow()["hash"].to_numpy().view(np.uint64))
-        rows = rows.withColumn("template", F.lit(None).cast("array<long>"))
+    everywhere = hosts = None
+    if known.count() <= BROADCAST_HASHES:
+        got = known.toArrow()
+        hashes, is_host = got["hash"].to_numpy().view(np.uint64), got["is_host"].to_numpy(zero_copy_only=False)
+        everywhere, hosts = np.sort(hashes[~is_host]), np.sort(hashes[is_host])
+        rows = rows.withColumn("template", F.lit(None).cast("array<long>")).withColumn("is_large", F.lit(None).cast("boolean"))
     else:
-        own = _subtrees(pages, url_col, html_col).select("page", "hash").distinct().join(templates, "hash").groupBy("page").agg(F.collect_list("hash").alias("template"))
+        own = _subtrees(pages, url_col, html_col).select("page", "hash").distinct().join(known, "hash")
+        own = own.groupBy("page").agg(F.collect_list(F.when(~F.col("is_host"), F.col("hash"))).alias("template"), F.bool_or("is_host").alias("is_large"))
         rows = rows.withColumn("page", F.xxhash64("host", "html")).join(own, "page", "left")
-    rows = rows.select("page_id", "url", "html", "host", "template")
+    rows = rows.select("page_id", "url", "html", "host", "template", "is_large")
+
+    def template_of(host: str, own: list[int] | None, is_large: bool | None) -> np.ndarray | None:
+        if everywhere is not None:
+            return everywhere if A.member(np.array([host_key(host, HOST)]), hosts)[0] else None
+        return np.sort(np.array(own or [], np.int64).view(np.uint64)) if is_large else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, host, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                template = everywhere if everywhere is not None else np.sort(np.array(own.as_py() or [], np.int64).view(np.uint64))
-                texts.append(main_text(page, template, host))
+            for page, host, own, is_large in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
+                texts.append(main_text(page, host, template_of(host, own.as_py(), is_large)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -224,9 +224,21 @@ def test_site_templates_are_those_of_a_plain_count(spark):
         for h, kind in set(zip(*(x.tolist() for x in html.template_parts(root, main, marked, host)[:2]))):
             seen.setdefault((host, h, kind), set()).add(text)
     want = {h for (host, h, kind), texts in seen.items() if len(texts) >= 5 and (kind != html.INSIDE or len(texts) >= len(hosts[host]) / 2)}
-    want |= {int(html.host_key(host, html.HOST)) for host, texts in hosts.items() if len(texts) >= 5}
-    got = {r["hash"] % (1 << 64) for r in html.site_templates(df).collect()}
-    assert got == want and len(want) > 20
+    counted = html.recurring(df)
+    assert {r["hash"] % (1 << 64) for r in html.site_templates(counted).collect()} == want and len(want) > 20
+    assert {r["hash"] % (1 << 64) for r in counted.where(F.col("kind") == html.HOST).collect()} == {int(html.host_key(host, html.HOST)) for host, texts in hosts.items() if len(texts) >= 5}
+
+
+def test_without_templates_the_query_gives_other_texts(spark, monkeypatch):
+    """On every page of a host with pages enough it is the templates that decide."""
+    whole = {r["page_id"]: r["text"] for r in queries.op3_main_text(spark, SF).collect()}
+    monkeypatch.setattr(html, "site_templates", lambda counted: counted.select("hash").limit(0))
+    bare = {r["page_id"]: r["text"] for r in queries.op3_main_text(spark, SF).collect()}
+    hosts = {}
+    for r in rows("pages"):
+        hosts.setdefault(re.sub(r"(?s)^.*?://([^/?#]*).*$", r"\1", r["url"]).lower(), set()).add(r["page_id"])
+    large = set().union(*(x for x in hosts.values() if len({whole[i] for i in x}) >= 5))
+    assert {i for i in whole if whole[i] != bare[i]} == large and len(large) > 100
 
 
 def test_very_long_pages(spark):
