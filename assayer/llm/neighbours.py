@@ -26,8 +26,8 @@ from assayer.llm.shared import keep
 
 #: Rows of a shard and queries of a block, at most about: a task holds one of each (33 MB each at 64 components).
 SHARD_ROWS = 65_536
-#: A smaller index is cut into about so many shards, but not below ``LEAST_SHARD`` rows.
-SHARDS, LEAST_SHARD = 24, 2048
+#: A smaller index is cut into about so many shards, but not below ``LEAST_SHARD`` rows; each sends ``k`` rows a query, so more shards send more.
+SHARDS, LEAST_SHARD = 16, 512
 #: Scores that a task holds at once (32 MB).
 SCORES = 1 << 22
 #: Rows that the codebooks are fitted on, those with the smallest hash of their id.
