@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
 
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 FLOOR = 30
-#: Bins that a group's range of values is cut into.
-BINS = 4096
+#: Bins between a value and its double.
+BINS = 64
 
 
 def long_form(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -23,31 +23,35 @@ def long_form(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
 def percentiles(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str], floor: int = FLOOR, digits: int = 4) -> DataFrame:
     """Size and interpolated percentiles of every group and metric with ``floor`` values at least.
 
-    Order statistics of counted values: a group's range is cut into ``BINS`` bins,
-    whose counts say where each bin begins; within a bin, running counts place each
-    distinct value. No task holds a group: the largest unit is the distinct values
-    of one bin, sorted with spilling.
+    Values fall into bins of about 1/``BINS`` of their size; counts of bins say
+    which of them hold the wanted places, and only these few bins' values are then
+    counted and ranked. No task holds a group, and what is shuffled is counts: the
+    largest unit is the distinct values of one bin, sorted with spilling.
     """
     by = [*keys, "metric"]
-    counts = long_form(samples, keys, metrics).groupBy(*by, "value").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy(*by).agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"), F.sum("n").alias("sample_size")).where(F.col("sample_size") >= floor)
-    share = F.coalesce(F.nanvl(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(0.0))
-    binned = _join(counts, sizes, by).withColumn("bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")).drop("lo", "hi")
-    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    begins = binned.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n")).withColumn("begin", F.coalesce(F.sum("bin_n").over(before), F.lit(0))).drop("bin_n")
-    within = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = _join(binned, begins, [*by, "bin"]).withColumn("past", F.col("begin") + F.sum("n").over(within)).withColumn("from", F.col("past") - F.col("n"))
+    binned = long_form(samples, keys, metrics).withColumn("bin", _bin(F.col("value").cast("double")))
     last = F.col("sample_size") - 1
-    ends = []
-    for name, q in QUANTILES.items():
-        low = F.floor(last * q)
-        for end, place in (("low", low), ("high", F.least(low + 1, last))):
-            ends.append(F.max(F.when((F.col("from") <= place) & (place < F.col("past")), F.col("value"))).alias(f"{name}_{end}"))
+    places = [(f"{name}_{end}", F.least(F.floor(last * q) + step, last)) for name, q in QUANTILES.items() for end, step in (("low", 0), ("high", 1))]
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    begins = binned.groupBy(*by, "bin").agg(F.count("*").alias("bin_n"))
+    begins = begins.withColumn("begin", F.coalesce(F.sum("bin_n").over(before), F.lit(0))).withColumn("sample_size", F.sum("bin_n").over(whole)).where(F.col("sample_size") >= floor)
+    wanted = begins.where(F.exists(F.array(*[p for _, p in places]), lambda p: (F.col("begin") <= p) & (p < F.col("begin") + F.col("bin_n"))))
+    counts = _join(binned, wanted.select(*by, "bin", "begin", "sample_size"), [*by, "bin"]).groupBy(*by, "bin", "sample_size", "begin", "value").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("past", F.col("begin") + F.sum("n").over(within)).withColumn("from", F.col("past") - F.col("n"))
+    ends = [F.max(F.when((F.col("from") <= p) & (p < F.col("past")), F.col("value"))).alias(name) for name, p in places]
     out = placed.groupBy(*by, "sample_size").agg(*ends)
     at = lambda n, q: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (last * q - F.floor(last * q))
     return out.select(*by, "sample_size", *[F.round(F.when(F.col(f"{n}_low") == F.col(f"{n}_high"), F.col(f"{n}_low")).otherwise(at(n, q)), digits).alias(n) for n, q in QUANTILES.items()])
 
 
+def _bin(value: Column) -> Column:
+    """A whole number that never falls as the value rises: by sign and logarithm, NaN last."""
+    place = F.floor(F.least(F.log2(F.abs(value)) * BINS, F.lit(1100.0 * BINS))).cast("int") + 2000 * BINS
+    return F.when(F.isnan(value), 5000 * BINS).when(value == 0, 0).when(value > 0, place).otherwise(-place)
+
+
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """An equi-join for which null keys are equal."""
     other = right.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in right.columns if c not in by])
