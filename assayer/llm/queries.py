@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, neighbours, quality, substring, urls
+from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, merkle, neighbours, quality, substring, urls
 from assayer.llm.shared import bounded_batches
 from assayer.sources import tables
 
@@ -87,7 +87,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    changed = merkle.digest_of([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    trees, top = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", carried={"changed": F.when(tampered, changed)})
+    out = merkle.proofs(trees, top)
+    siblings = F.array_join(F.flatten(F.transform("steps", lambda s: s["others"])), "")
+    out = out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), merkle.fold(F.coalesce("changed", "leaf"), F.col("steps")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe, op12_merkle_manifest)}
 
 #: SQL over the same tables, where it can express an operator exactly.
 ORACLE: dict[str, str] = {}
@@ -134,3 +145,39 @@ WITH parts AS (
 )
 SELECT page_id, host, path, CASE WHEN NOT listed THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
+
+# the manifest level by level, each proof folded step by step; CRC-32 of decimal ids bit by bit
+ORACLE["op12_merkle_manifest"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, lang,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-'), coalesce(strlen(text) || ':' || text, '-'))) AS changed,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 7 = 0 AS tampered
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2
+), subroots AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, pos // 2
+), walk AS (
+  SELECT l.doc_id, l.lang, l.leaf, s.subroot, s.height, s.pos AS top, 0 AS step, l.pos, '' AS proof, CASE WHEN l.tampered THEN l.changed ELSE l.leaf END AS folded
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.subroot, w.height, CASE WHEN step >= height THEN top // 2 ELSE top END, step + 1, CASE WHEN step < height THEN w.pos // 2 ELSE 0 END,
+    w.proof || coalesce(a.digest, b.digest, ''),
+    CASE WHEN coalesce(a.digest, b.digest) IS NULL THEN sha256(folded) WHEN (CASE WHEN step < height THEN w.pos ELSE top END) % 2 = 0 THEN sha256(folded || coalesce(a.digest, b.digest)) ELSE sha256(coalesce(a.digest, b.digest) || folded) END
+  FROM walk w
+  LEFT JOIN nodes a ON step < height AND a.lang IS NOT DISTINCT FROM w.lang AND a.level = step AND a.pos = xor(w.pos, 1)
+  LEFT JOIN tops b ON step >= height AND b.level = step - height AND b.pos = xor(top, 1)
+  WHERE step < height + (SELECT max(level) FROM tops)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM walk, (SELECT digest AS root FROM tops WHERE n = 1) WHERE step = height + (SELECT max(level) FROM tops)
+"""
