@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, merkle, neighbours, quality, substring, urls
+from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, merkle, neighbours, quality, resample, substring, urls
 from assayer.llm.shared import bounded_batches
 from assayer.sources import tables
 
@@ -98,7 +98,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe, op12_merkle_manifest)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    out = resample.draw(resample.importance(docs, target, n=1, buckets=10_000), percent=10, least_words=20, seed=2024)
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe, op12_merkle_manifest, op13_importance_resampling)}
 
 #: SQL over the same tables, where it can express an operator exactly.
 ORACLE: dict[str, str] = {}
@@ -181,3 +187,26 @@ WITH RECURSIVE rows AS (
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM walk, (SELECT digest AS root FROM tops WHERE n = 1) WHERE step = height + (SELECT max(level) FROM tops)
 """
+
+# CRC-32 of each distinct word's bytes, bit by bit
+ORACLE["op13_importance_resampling"] = r"""
+WITH texts AS (
+  SELECT doc_id, text, false AS aim FROM documents UNION ALL SELECT NULL, text, true FROM benchmark
+), found AS (
+  SELECT doc_id, aim, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), counted AS (
+  SELECT word, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t FROM found GROUP BY word
+), bucketed AS (
+  SELECT word, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * octet_length(encode(word)), 2), lambda i: ('0x' || substr(hex(encode(word)), i, 2))::BIGINT)), lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 10000 AS bucket FROM counted
+), gains AS (
+  SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (sum(sum(s)) OVER () + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * (sum(sum(t)) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM bucketed GROUP BY bucket
+), weighed AS (
+  SELECT d.doc_id, coalesce(w.n, 0) AS n_features, coalesce(w.weight, 0) AS weight
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS weight FROM found JOIN bucketed USING (word) JOIN gains USING (bucket) WHERE NOT aim GROUP BY doc_id) w USING (doc_id)
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+"""
