@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, merkle, neighbours, quality, resample, substring, urls
+from assayer.llm import bpe, decontaminate, html, jaccard, language, lines, merkle, neighbours, pii, quality, resample, substring, urls
 from assayer.llm.shared import bounded_batches
 from assayer.sources import tables
 
@@ -87,6 +87,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(tables.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.array(*map(F.lit, pii.KINDS))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_no"] + 1), s["start"], s["end"])), ",")
+    of_kind = lambda i: F.size(F.filter(base, lambda s: s["kind_no"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return out.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
@@ -104,7 +114,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe, op12_merkle_manifest, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_substring_dedup, op3_main_text, op4_language, op5_jaccard_join, op6_line_dedup, op7_decontamination, op8_url_filter, op9_quality, op10_bpe, op11_pii, op12_merkle_manifest, op13_importance_resampling)}
 
 #: SQL over the same tables, where it can express an operator exactly.
 ORACLE: dict[str, str] = {}
