@@ -29,7 +29,7 @@ from assayer.llm.shared import bounded_batches, keep
 MOST_BUCKETS = 1 << 20
 #: Words, on bytes whose A-Z are lower-cased: ASCII digits and letters, and all bytes of other characters.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_BLOCK = "block long, target boolean, {ids}, n_words array<long>, sizes array<int>, grams array<int>, words array<binary>, tuples array<struct<member: array<int>, times: long>>"
+_BLOCK = "block long, {ids}, n_words array<long>, n_features array<long>, sizes array<int>, grams array<int>, times array<int>, words array<binary>, tuples array<struct<member: array<int>, times: long>>"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -37,7 +37,10 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def _blocks(n: int, target: bool):
-    """One row for a batch of texts: its ids, words a text, features a text, and the number of each feature's n-gram."""
+    """One row for a batch of texts: its ids, words and features a text, and each text's n-grams by number, with their counts.
+
+    Blocks of the target have odd task numbers in their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, count = TaskContext.get().partitionId(), 0
@@ -47,36 +50,31 @@ def _blocks(n: int, target: bool):
             number: defaultdict[bytes, int] = defaultdict()
             number.default_factory = number.__len__
             texts = [np.fromiter(map(number.__getitem__, words_of(t.as_py())), np.int32) for t in batch["text"]]
-            lengths = np.array([len(t) for t in texts], np.int64)
-            grams, members, sizes = _grams(np.concatenate(texts) if texts else np.empty(0, np.int32), lengths, n, len(number))
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            whole = lambda column: pa.ListArray.from_arrays(np.array([0, len(column)], np.int32), column)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(task * 2 + target << 32) + count], pa.int64()), pa.array([target]), whole(batch["id"]), one(lengths, pa.int64()), one(sizes, pa.int32()), one(grams, pa.int32()), one(list(number), pa.binary()), whole(pa.StructArray.from_arrays([pa.array(members, pa.list_(pa.int32())), pa.array(np.bincount(grams, minlength=len(members)))], names=["member", "times"]))],
-                names=["block", "target", "ids", "n_words", "sizes", "grams", "words", "tuples"],
-            )
+            found, members = _grams(texts, n, len(number))
+            distinct = [np.unique(g, return_counts=True) for g in found]
+            grams, times = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int32) for x in zip(*distinct))
+            every = np.bincount(grams, times, minlength=len(members)).astype(np.int64)
+            # a single word's tuple is its own number, which isn't written
+            tuples = pa.StructArray.from_arrays([pa.array(members if n > 1 else [None] * len(members), pa.list_(pa.int32())), pa.array(every)], names=["member", "times"])
+            one = lambda column, kind: pa.ListArray.from_arrays(np.array([0, len(column)], np.int32), pa.array(column, kind))
+            lists = [batch["id"], pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g) for g in found], pa.int64()), pa.array([len(g) for g, _ in distinct], pa.int32()), pa.array(grams), pa.array(times), pa.array(list(number), pa.binary()), tuples]
+            yield pa.RecordBatch.from_arrays([pa.array([(task * 2 + target << 32) + count], pa.int64()), *(one(x, x.type) for x in lists)], names=["block", "ids", "n_words", "n_features", "sizes", "grams", "times", "words", "tuples"])
             count += 1
 
     return run
 
 
-def _grams(tokens: np.ndarray, lengths: np.ndarray, n: int, n_words: int) -> tuple[np.ndarray, list, np.ndarray]:
-    """Number of the n-gram of every feature, text by text; the words of each n-gram; features a text.
-
-    A text's features of one word come first, then those of two, and so on. N-grams of one word have the words' own numbers.
-    """
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    found, owner, members, before = [tokens], [doc], np.arange(n_words, dtype=np.int32)[:, None].tolist(), n_words
-    for k in range(2, n + 1):
-        at = np.flatnonzero(doc[k - 1 :] == doc[: len(doc) - k + 1]) if len(doc) >= k else np.empty(0, np.int64)
-        rows, which = np.unique(tokens[at[:, None] + np.arange(k)], axis=0, return_inverse=True)
-        found.append((which.reshape(-1) + before).astype(np.int32))
-        owner.append(doc[at])
-        members += rows.tolist()
-        before += len(rows)
-    owners = np.concatenate(owner)
-    order = np.argsort(owners, kind="stable")
-    return np.concatenate(found)[order], members, np.bincount(owners, minlength=len(lengths)).astype(np.int32)
+def _grams(texts: list[np.ndarray], n: int, n_words: int) -> tuple[list[np.ndarray], list]:
+    """Numbers of the n-grams of each text, and the words of each n-gram; n-grams of one word have the words' own numbers."""
+    if n == 1:
+        return texts, [None] * n_words
+    number: defaultdict[tuple, int] = defaultdict()
+    number.default_factory = lambda: n_words + len(number)
+    found = []
+    for t in texts:
+        w = t.tolist()
+        found.append(np.array(w + [number[tuple(w[i : i + k])] for k in range(2, n + 1) for i in range(len(w) - k + 1)], np.int64))
+    return found, [[i] for i in range(n_words)] + [list(g) for g in number]
 
 
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +82,14 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(len(batch)):
             gains = batch["gains"][k].values if batch["gains"][k].is_valid else pa.array([], pa.struct([("gram", pa.int32()), ("gain", pa.int64())]))
-            ids, sizes, grams = (batch[c][k].values for c in ("ids", "sizes", "grams"))
+            ids, n_words, n_features, sizes, grams, times = (batch[c][k].values for c in ("ids", "n_words", "n_features", "sizes", "grams", "times"))
             gain = np.zeros(len(gains), np.int64)
             gain[gains.field("gram").to_numpy()] = gains.field("gain").to_numpy()
             sums = np.zeros(len(grams) + 1, np.int64)
-            np.cumsum(gain[grams.to_numpy()], out=sums[1:])
+            np.cumsum(gain[grams.to_numpy()] * times.to_numpy(), out=sums[1:])
             ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
             weight = sums[ends] - sums[ends - sizes.to_numpy()]
-            yield pa.RecordBatch.from_arrays([ids, batch["n_words"][k].values, sizes.cast(pa.int64()), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
 
 
 def feature_blocks(texts: DataFrame, n: int, target: bool) -> DataFrame:
@@ -127,33 +125,34 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     as_texts = lambda df, c: df.select(c.alias("id"), F.col(text_col if df is docs else "text").cast("binary").alias("text"))
     mine = keep(feature_blocks(as_texts(docs, F.col(id_col)), n, False), "resample-blocks")
     aim = keep(feature_blocks(as_texts(target, F.lit(0)), n, True), "resample-target")
-    both = mine.select("block", "target", "words", "tuples").unionByName(aim.select("block", "target", "words", "tuples"))
+    both = mine.select("block", "words", "tuples").unionByName(aim.select("block", "words", "tuples"))
     dictionary = keep(both.select(F.explode("words").alias("word")).distinct().withColumn("word_id", F.monotonically_increasing_id()), "resample-words")
+    ids = [f"id{k}" for k in range(n)]
     if n == 1:  # the tuples of a block are its words, in their order
-        words = both.select("block", "target", F.posexplode(F.arrays_zip("words", "tuples.times")).alias("gram", "x"))
-        tuples = words.select("block", "target", "gram", F.col("x.times").alias("times"), F.col("x.words").alias("word")).join(dictionary, "word").select("block", "target", "gram", "times", F.array("word_id").alias("tuple"))
+        words = both.select("block", F.posexplode(F.arrays_zip("words", "tuples.times")).alias("gram", "x"))
+        tuples = words.select("block", "gram", F.col("x.times").alias("times"), F.col("x.words").alias("word")).join(dictionary, "word").select("block", "gram", "times", F.col("word_id").alias("id0"))
     else:
         known = both.select("block", F.posexplode("words").alias("place", "word")).join(dictionary, "word").select("block", "place", "word_id")
-        members = both.select("block", "target", F.posexplode("tuples").alias("gram", "x")).select("block", "target", "gram", "x.times", F.posexplode("x.member").alias("k", "place"))
-        tuples = members.join(known, ["block", "place"]).groupBy("block", "target", "gram", "times").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word_id"))), lambda x: x["word_id"]).alias("tuple"))
+        members = both.select("block", F.posexplode("tuples").alias("gram", "x")).select("block", "gram", "x.times", F.posexplode("x.member").alias("k", "place"))
+        one = [F.coalesce(F.max(F.when(F.col("k") == k, F.col("word_id"))), F.lit(-1)).alias(f"id{k}") for k in range(n)]
+        tuples = members.join(known, ["block", "place"]).groupBy("block", "gram", "times").agg(*one)
     tuples = keep(tuples, "resample-tuples")
-    side = lambda target: F.sum(F.when(F.col("target") == F.lit(target), F.col("times")).otherwise(0))
-    counts = tuples.groupBy("tuple").agg(side(False).alias("s"), side(True).alias("t"))
-    spelled = _spelled(counts, dictionary, n)
-    hashed = keep(spelled.select("tuple", "s", "t", (F.crc32("bytes") % buckets).cast("int").alias("bucket")), "resample-tuples-hashed")
-    gain = hashed.join(F.broadcast(gains(hashed, buckets)), "bucket").select("tuple", "gain")
-    back = tuples.where("not target").join(gain, "tuple").groupBy("block").agg(F.collect_list(F.struct("gram", "gain")).alias("gains"))
-    done = mine.select("block", "ids", "n_words", "sizes", "grams").join(back, "block", "left")
+    of_target = F.shiftright("block", 32) % 2 == 1
+    counts = tuples.groupBy(*ids).agg(F.sum(F.when(of_target, 0).otherwise(F.col("times"))).alias("s"), F.sum(F.when(of_target, F.col("times")).otherwise(0)).alias("t"))
+    hashed = keep(_spelled(counts, dictionary, n).select(*ids, "s", "t", (F.crc32("bytes") % buckets).cast("int").alias("bucket")), "resample-tuples-hashed")
+    gain = hashed.join(F.broadcast(gains(hashed, buckets)), "bucket").select(*ids, "gain")
+    back = tuples.where(~of_target).select("block", "gram", *ids).join(gain, ids).groupBy("block").agg(F.collect_list(F.struct("gram", "gain")).alias("gains"))
+    done = mine.select("block", "ids", "n_words", "n_features", "sizes", "grams", "times").join(back, "block", "left")
     return done.mapInArrow(_weights, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_features long, weight long")
 
 
 def _spelled(counts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:
     """``counts`` with the ``bytes`` of each distinct tuple: its words, joined by one blank."""
-    out, blank = counts, F.lit(b" ")
+    out = counts
     for k in range(n):
         word = dictionary.select(F.col("word_id").alias(f"id{k}"), F.col("word").alias(f"word{k}"))
-        out = out.withColumn(f"id{k}", F.get("tuple", F.lit(k))).join(word, f"id{k}", "left").drop(f"id{k}")
-    more = [F.coalesce(F.concat(blank, F.col(f"word{k}")), F.lit(b"")) for k in range(1, n)]
+        out = out.join(word, f"id{k}", "left")
+    more = [F.coalesce(F.concat(F.lit(b" "), F.col(f"word{k}")), F.lit(b"")) for k in range(1, n)]
     return out.select(*counts.columns, F.concat(F.col("word0"), *more).alias("bytes"))
 
 
