@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from assayer import lexicon
 
 MARKERS = "•\\-–— "
+#: What may stand around a needle that its text hasn't.
+AROUND = " \t•-–—*·.,;:"
 
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -84,25 +86,6 @@ def token_sort(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, r"\s+"), lambda x: x != "")), " ")
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short strings."""
-    n = F.length(b)
-
-    def row(before: Column, ch: Column) -> Column:
-        step = lambda now, j: F.array_append(now, F.when(F.substring(b, j, F.lit(1)) == ch, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.get(now, j - 1))))
-        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), step)
-
-    table = F.aggregate(F.filter(F.split(a, ""), lambda x: x != ""), F.array_repeat(F.lit(0), n + 1), row)
-    return F.when((F.length(a) == 0) | (n == 0), 0).otherwise(F.element_at(table, -1))
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    """Similarity 0 to 100 of two strings with sorted words: 200 x common subsequence / total length."""
-    x, y = token_sort(a), token_sort(b)
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, 100.0).otherwise(200.0 * common_subsequence(x, y) / total)
-
-
 def collapse_whitespace(text: Column) -> Column:
     """Blanks within a line collapse to one, those at line ends go, three line breaks or more become two."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r" *\n *", "\n"), r"\n{3,}", "\n\n"))
@@ -276,10 +259,11 @@ def span_holds(source: Column, start: Column, end: Column, text: Column) -> Colu
 
 
 def locate(source: Column, needle: Column) -> Column:
-    """Where the needle begins (from 0): as it is, trimmed, or with any white space between its words; else null."""
-    exact, trimmed = F.instr(source, needle), F.instr(source, F.trim(needle))
-    quoted = F.regexp_replace(F.trim(needle), r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    """Where the needle begins (from 0): as it is, without bullets, blanks and stops around it, or with any white space between its words; else null. For many needles a text see ``locating``."""
+    bare = F.btrim(needle, F.lit(AROUND))
+    exact, trimmed = F.instr(source, needle), F.instr(source, bare)
+    quoted = F.regexp_replace(bare, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     loose = F.concat(F.lit("(?s)^(.*?)"), F.regexp_replace(quoted, r"\s+", r"\\s+"))
     before = F.call_function("regexp_extract", source, loose, F.lit(1))
     found = F.call_function("regexp_like", source, loose)
-    return F.when(F.trim(needle) == "", None).when(exact > 0, exact - 1).when(trimmed > 0, trimmed - 1).when(found, F.length(before))
+    return F.when(needle == "", None).when(exact > 0, exact - 1).when(bare == "", None).when(trimmed > 0, trimmed - 1).when(found, F.length(before))

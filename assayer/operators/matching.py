@@ -7,7 +7,7 @@ strings that the tiers before left open.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -16,12 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assayer.functions import scores as S
 from assayer.functions import text as T
+from assayer.operators import locating, nearness
 
-FUZZY_LEAST = 82.0
 #: Rows and candidates of a tile, each, at about; rows whose scores are held at once.
 BLOCK, CHUNK = 2048, 256
 
@@ -32,55 +31,11 @@ def canonical(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame
     return strings.withColumn("__key", T.normalise(F.col(column))).join(best, "__key", "left").drop("__key")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a column of the table as the bits of one integer."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    row = whole
-    for c in b:
-        met = row & places.get(c, 0)
-        row = (row + met | row - met) & whole
-    return len(a) - row.bit_count()
-
-
-def _ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the ``__ratio`` of the first two columns, strings whose words are sorted; equal pairs are computed once."""
-    for batch in batches:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if (s, t) not in known:
-                known[s, t] = 200.0 * common_subsequence(s, t) / (len(s) + len(t)) if s or t else 100.0
-            out.append(known[s, t])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "__ratio"])
-
-
-def fuzzy(strings: DataFrame, taxonomy: DataFrame, column: str, least: float = FUZZY_LEAST) -> DataFrame:
-    """For each distinct string the best alias at ``least`` similarity or more: ``column``, ``canonical``, ``ratio``.
-
-    Only aliases whose lengths allow the ratio meet a string: an equi-join on
-    length, for lengths within ``max(4, half)``. The ratio is that of
-    ``text.token_sort_ratio``, in Arrow batches. Strings are distinct, and the
-    taxonomy is a small table.
-    """
-    a = strings.select(F.col(column)).where(F.col(column).isNotNull()).distinct().withColumn("__s", T.normalise(F.col(column))).where("__s <> ''")
-    b = taxonomy.select(F.col("canonical").alias("__c"), F.col("ord").alias("__ord"), T.normalise(F.col("alias")).alias("__t")).where("__t <> ''")
-    reach = F.greatest(F.lit(4), (F.length("__s") * 0.5).cast("int"))
-    sizes = F.sequence(F.greatest(F.lit(1), F.length("__s") - reach), F.length("__s") + reach)
-    met = a.withColumn("__n", F.explode(sizes)).join(b.withColumn("__n", F.length("__t")), "__n").where(200.0 * F.least(F.length("__s"), F.length("__t")) >= least * (F.length("__s") + F.length("__t")))
-    met = met.select(T.token_sort(F.col("__s")).alias("__a"), T.token_sort(F.col("__t")).alias("__b"), column, "__c", "__ord", F.length("__t").alias("__length"))
-    near = met.mapInArrow(_ratios, StructType([*met.schema.fields, StructField("__ratio", DoubleType())])).where(F.col("__ratio") >= least)
-    best = F.max_by(F.struct(F.col("__c").alias("canonical"), F.col("__ratio").alias("ratio")), F.struct("__ratio", -F.col("__length"), -F.col("__ord"))).alias("__best")
-    return near.groupBy(column).agg(best).select(column, "__best.canonical", "__best.ratio")
-
-
 def resolve(strings: DataFrame, taxonomy: DataFrame, column: str) -> DataFrame:
     """``canonical`` and ``tier`` of each string: exact, else fuzzy on what is left, else null."""
     exact = canonical(strings, taxonomy, column)
     left = exact.where(F.col("canonical").isNull())
-    near = fuzzy(left, taxonomy, column).select(column, F.col("canonical").alias("__near"))
+    near = nearness.best_alias(left, taxonomy, column).select(column, F.col("canonical").alias("__near"))
     return exact.join(near, column, "left").withColumn("tier", F.when(F.col("canonical").isNotNull(), "canonical").when(F.col("__near").isNotNull(), "fuzzy")).withColumn("canonical", F.coalesce("canonical", "__near")).drop("__near")
 
 
@@ -133,40 +88,52 @@ def adjacent(wanted: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequenc
 
 def literal(open_: DataFrame, documents: DataFrame, by: Sequence[str]) -> DataFrame:
     """Keys and ``requirement_id`` of requirements whose own wording stands in the document: not of skills and tools, of 4 characters or more."""
-    free = ~F.coalesce("category", F.lit("")).isin("hard_skill", "tool") & (F.length(F.trim("text")) >= 4)
-    texts = documents.select(*by, F.col("text").alias("__document"))
-    met = open_.where(free).select(*by, "requirement_id", "text").join(texts, list(by))
-    return met.where(T.locate(F.col("__document"), F.trim("text")).isNotNull()).select(*by, "requirement_id").distinct()
+    said = F.regexp_replace("text", r"^\s+|\s+$", "")
+    free = ~F.coalesce("category", F.lit("")).isin("hard_skill", "tool") & (F.length(said) >= 4)
+    return locating.located(documents, open_.where(free).withColumn("text", said), by, "requirement_id", needle_col="text").select(*by, "requirement_id").distinct()
 
 
-def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequence[str] = ("pair_id",), taxonomy: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+def cascade(requirements: DataFrame, skills: DataFrame, edges: DataFrame, by: Sequence[str] = ("pair_id",), taxonomy: DataFrame | None = None, documents: DataFrame | None = None, explain: bool = False) -> DataFrame:
     """Status and strength of every requirement.
 
     ``requirements``: keys, ``requirement_id``, ``canonical``, ``years``;
     ``skills``: keys, ``canonical``, ``origin``, ``ord``, ``months``. With a
     ``taxonomy``, requirements without a canonical name get the one that their
-    ``text`` is, is most like, or names alone. Exact matches come first; with ``documents``
-    (keys, ``text``) then the requirement's ``text`` as it stands there, unless its
-    ``category`` is of skills and tools; then neighbours; the rest is missing.
-    Years adjust exact and literal matches.
+    ``text`` is, is most like, or names alone. Exact matches come first. Then the
+    document's own skill that the name (else the ``text``) is most like counts,
+    unless the taxonomy knows that name exactly, as it then is another skill. With
+    ``documents`` (keys, ``text``) then the requirement's ``text`` as it stands
+    there, unless its ``category`` is of skills and tools; then neighbours; the rest
+    is missing. Years adjust all but neighbours. ``explain`` adds ``tier`` and the
+    ``skill`` that stood for the requirement.
     """
-    on = [*by, "canonical"]
+    on, one = [*by, "canonical"], [*by, "requirement_id"]
+    said = F.col("text") if "text" in requirements.columns else F.lit(None).cast("string")
+    requirements = requirements.withColumn("__target", F.coalesce("canonical", said))
     if taxonomy is not None:
         strings = requirements.where(F.col("canonical").isNull() & F.col("text").isNotNull()).select("text").distinct()
         names = canonical_for(strings, taxonomy, "text").select("text", F.col("canonical").alias("__found"))
         requirements = requirements.join(names, "text", "left").withColumn("canonical", F.coalesce("canonical", "__found")).drop("__found")
-    best = strongest(skills, on, months="months")  # one aggregate, whose keys serve the neighbours, too
-    direct = requirements.join(best, on, "left")
+    best = strongest(skills, on, months="months")  # one aggregate, whose keys serve the later tiers, too
+    direct = requirements.join(best.drop("mentions"), on, "left").withColumn("tier", F.when(F.col("strength").isNotNull(), "exact")).withColumn("skill", F.when(F.col("strength").isNotNull(), F.col("canonical")))
+    left = direct.where(F.col("strength").isNull()).select(*one, F.col("__target").alias("target"))
+    if taxonomy is not None:
+        left = left.withColumn("__key", T.normalise(F.col("target"))).join(taxonomy.select(T.normalise(F.col("alias")).alias("__key")).distinct(), "__key", "left_anti").drop("__key")
+    like = nearness.best_skill(left, best, by).select(*one, F.col("skill").alias("__skill"))
+    like = like.join(best.select(*by, F.col("canonical").alias("__skill"), F.col("origin").alias("__origin"), F.col("strength").alias("__strength")), [*by, "__skill"])
+    direct = direct.join(like, one, "left").withColumns({"tier": F.coalesce("tier", F.when(F.col("__skill").isNotNull(), "fuzzy")), "skill": F.coalesce("skill", "__skill"), "origin": F.coalesce("origin", "__origin"), "strength": F.coalesce("strength", "__strength")}).drop("__skill", "__origin", "__strength")
     if documents is not None:
         stands = literal(direct.where(F.col("strength").isNull()), documents, by).withColumn("__literal", F.lit("other"))
-        direct = direct.join(stands, [*by, "requirement_id"], "left").withColumn("strength", F.coalesce("strength", S.origin_strength(F.col("__literal")))).withColumn("origin", F.coalesce("origin", "__literal")).drop("__literal")
+        direct = direct.join(stands, one, "left").withColumn("tier", F.coalesce("tier", F.when(F.col("__literal").isNotNull(), "literal"))).withColumn("strength", F.coalesce("strength", S.origin_strength(F.col("__literal")))).withColumn("origin", F.coalesce("origin", "__literal")).drop("__literal")
     strength = S.with_years(F.col("strength"), F.col("years"), F.coalesce("months", F.lit(0)))
     open_ = direct.where(F.col("strength").isNull() & F.col("canonical").isNotNull()).select(*on).distinct()
     near = adjacent(open_, best, edges, by).withColumnRenamed("strength", "near_strength")
     out = direct.join(near, on, "left").withColumn("via", F.when(F.col("strength").isNull(), F.col("via")))
     value = F.coalesce(F.bround(strength, 3), "near_strength", F.lit(0.0))
     status = F.when(F.col("strength").isNotNull(), F.when(strength > 0.5, "matched").otherwise("partial")).when(F.col("near_strength").isNotNull(), "partial").otherwise("missing")
-    return out.select(*by, "requirement_id", "canonical", value.alias("strength"), status.alias("status"), (F.col("strength").isNull() & F.col("near_strength").isNotNull()).alias("is_adjacent"), "via", "origin", F.when(F.col("years").isNotNull() & F.col("strength").isNotNull(), F.coalesce("months", F.lit(0))).alias("observed_months"))
+    is_adjacent = F.col("strength").isNull() & F.col("near_strength").isNotNull()
+    more = [F.coalesce("tier", F.when(is_adjacent, "adjacent")).alias("tier"), F.coalesce("skill", F.when(is_adjacent, F.col("via"))).alias("skill")] if explain else []
+    return out.select(*by, "requirement_id", "canonical", value.alias("strength"), status.alias("status"), is_adjacent.alias("is_adjacent"), "via", "origin", F.when(F.col("years").isNotNull() & F.col("strength").isNotNull(), F.coalesce("months", F.lit(0))).alias("observed_months"), *more)
 
 
 def pending(requirements: DataFrame, matches: DataFrame, by: Sequence[str] = ("pair_id",)) -> DataFrame:

@@ -13,7 +13,7 @@ from assayer.functions import dates as D
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
 from assayer.functions import text as T
-from assayer.operators import advice, cohort, intervals, layout, matching, resumes, rules, scoring, sections, sharing, writing
+from assayer.operators import advice, cohort, intervals, layout, locating, matching, nearness, resumes, rules, scoring, sections, sharing, writing
 from assayer.plans import queries, report
 from assayer.sources import frames, tables
 from assayer.streaming import counters
@@ -195,9 +195,12 @@ def test_token_sort_ratio(spark):
     pairs = [("pyhton", "python"), ("Kubernets", "kubernetes"), ("postgre", "postgresql"), ("java", "javascript"), ("flask", "slack"), ("scala", "scalable"), ("b a", "a b"), ("", "x"), ("", "")]
     pairs += [("".join(rng.choices("ab c", k=rng.randint(0, 9))), "".join(rng.choices("ab c", k=rng.randint(0, 9)))) for _ in range(60)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
-    got = [r["r"] for r in df.select("i", T.token_sort_ratio(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()]
-    assert got == pytest.approx([ratio(a, b) for a, b in pairs])
-    assert [int(x) for x in got[:6]] == [83, 84, 82, 57, 60, 76]
+    key = lambda c: T.token_sort(T.normalise(F.col(c)))
+    sides = df.select(key("a").alias("s")), df.select(key("b").alias("s"))
+    got = {(r["s"], r["t"]): r["ratio"] for r in nearness.similar(*sides).collect()}
+    a, b = ({" ".join(sorted(x.lower().split())) for x in side} - {""} for side in zip(*pairs))
+    assert got == pytest.approx({(x, y): ratio(x, y) for x in a for y in b if ratio(x, y) >= 82})
+    assert [int(ratio(x, y)) for x, y in pairs[:6]] == [83, 84, 82, 57, 60, 76] and ("pyhton", "python") in got and ("flask", "slack") not in got
 
 
 def test_numbers_and_grounding(spark):
@@ -377,7 +380,7 @@ def test_subsequence_kernel():
     rng = random.Random(2)
     for _ in range(300):
         a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 90))) for _ in range(2))
-        assert matching.common_subsequence(a, b) == lcs(a, b)
+        assert nearness.common_subsequence(a, b) == lcs(a, b)
 
 
 def test_the_one_skill_that_a_sentence_names(spark):

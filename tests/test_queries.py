@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from assayer.plans import queries
+from assayer.plans import evidence_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
