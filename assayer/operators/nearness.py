@@ -103,11 +103,11 @@ def similar(left: DataFrame, right: DataFrame, least: float = FUZZY_LEAST) -> Da
 def best_alias(strings: DataFrame, taxonomy: DataFrame, column: str, least: float = FUZZY_LEAST) -> DataFrame:
     """For each distinct string the most similar alias: ``column``, ``canonical``, ``ratio``; of equals the shorter, then the first by ``ord``."""
     key = lambda c: T.token_sort(T.normalise(F.col(c)))
-    a = strings.select(column).where(F.col(column).isNotNull()).distinct().withColumn("s", key(column))
+    a = strings.select(F.col(column).alias("__string"), key(column).alias("s")).where(F.col("__string").isNotNull()).distinct()
     b = taxonomy.select("canonical", "ord", F.length(T.normalise(F.col("alias"))).alias("length"), key("alias").alias("t"))
     near = a.join(similar(a, b.select(F.col("t").alias("s")), least), "s").join(b, "t")
     best = F.max_by(F.struct("canonical", "ratio"), F.struct("ratio", -F.col("length"), -F.col("ord"))).alias("best")
-    return near.groupBy(column).agg(best).select(column, "best.canonical", "best.ratio")
+    return near.groupBy("__string").agg(best).select(F.col("__string").alias(column), "best.canonical", "best.ratio")
 
 
 def best_skill(wanted: DataFrame, skills: DataFrame, by: Sequence[str], id_col: str = "requirement_id", least: float = FUZZY_LEAST) -> DataFrame:
@@ -119,9 +119,9 @@ def best_skill(wanted: DataFrame, skills: DataFrame, by: Sequence[str], id_col:
     only through them.
     """
     key = lambda c: T.token_sort(T.normalise(F.col(c)))
-    a = wanted.where(F.length(T.normalise(F.col("target"))) >= 3).select(*by, id_col, key("target").alias("s"))
-    b = skills.select(*by, "canonical", "ord", key("canonical").alias("t"))
-    pairs = similar(a.select("s"), b.select(F.col("t").alias("s")), least)
-    met = a.join(pairs, "s").join(b, [*by, "t"])
-    best = F.max_by(F.struct(F.col("canonical").alias("skill"), "ratio"), F.struct("ratio", -F.col("ord"), F.col("canonical"))).alias("best")
-    return met.groupBy(*by, id_col).agg(best).select(*by, id_col, "best.skill", "best.ratio")
+    a = wanted.where(F.length(T.normalise(F.col("target"))) >= 3).select(*by, id_col, key("target").alias("__s"))
+    b = skills.select(*by, F.col("canonical").alias("__skill"), F.col("ord").alias("__ord"), key("canonical").alias("__t"))
+    pairs = similar(a.select(F.col("__s").alias("s")), b.select(F.col("__t").alias("s")), least).toDF("__s", "__t", "__ratio")
+    met = a.join(pairs, "__s").join(b, [*by, "__t"])
+    best = F.max_by(F.struct(F.col("__skill").alias("skill"), F.col("__ratio").alias("ratio")), F.struct("__ratio", -F.col("__ord"), F.col("__skill"))).alias("__best")
+    return met.groupBy(*by, id_col).agg(best).select(*by, id_col, "__best.skill", "__best.ratio")
