@@ -110,3 +110,26 @@ def similarity_band(value: Column, accept: float = 0.82, doubt: float = 0.62) ->
     """Bands of a cosine, rounded to four digits first."""
     v = F.bround(value, 4)
     return F.when(v >= accept, "accepted").when(v >= doubt, "ambiguous").otherwise("rejected")
+
+
+def round_half_even(value: Column, digits: int = 0) -> Column:
+    """``value`` (a double) rounded to ``digits`` decimals by its exact binary value; true ties go to the even digit.
+
+    The scaled value is a product and its error, both exact (the factors are split in
+    halves of 26 bits), so a value just off a tie goes the way it lies. Values beyond
+    2**52 units have no decimals to lose and stay, as do NaN and infinities.
+    """
+    scale = float(10**digits)
+    split = 134217729.0
+    high = lambda x: x * split - (x * split - x)
+    s_high = scale * split - (scale * split - scale)
+    s_low = scale - s_high
+    product = value * scale
+    v_high = high(value)
+    v_low = value - v_high
+    error = ((v_high * s_high - product) + v_high * s_low + v_low * s_high) + v_low * s_low
+    whole = F.floor(product).cast("double")
+    over = (product - whole) - 0.5
+    up = (over > 0) | ((over == 0) & (error > 0)) | ((over == 0) & (error == 0) & (whole % 2 != 0))
+    near = (whole + up.cast("double")) / scale
+    return F.when(F.isnan(value) | (F.abs(product) >= 4503599627370496.0), value).otherwise(near)

@@ -28,16 +28,21 @@ def percentiles(samples: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     counted and ranked. No task holds a group, and what is shuffled is counts: the
     largest unit is the distinct values of one bin, sorted with spilling.
     """
+    return percentiles_of_counts(long_form(samples, keys, metrics).withColumn("n", F.lit(1)), keys, floor, digits)
+
+
+def percentiles_of_counts(counts: DataFrame, keys: Sequence[str], floor: int = FLOOR, digits: int = 4) -> DataFrame:
+    """The same from values that stand for ``n`` samples each: keys, ``metric``, ``value``, ``n``. A value may have several rows."""
     by = [*keys, "metric"]
-    binned = long_form(samples, keys, metrics).withColumn("bin", _bin(F.col("value").cast("double")))
+    binned = counts.withColumn("bin", _bin(F.col("value").cast("double")))
     last = F.col("sample_size") - 1
     places = [(f"{name}_{end}", F.least(F.floor(last * q) + step, last)) for name, q in QUANTILES.items() for end, step in (("low", 0), ("high", 1))]
     whole = Window.partitionBy(*by)
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    begins = binned.groupBy(*by, "bin").agg(F.count("*").alias("bin_n"))
+    begins = binned.groupBy(*by, "bin").agg(F.sum("n").alias("bin_n"))
     begins = begins.withColumn("begin", F.coalesce(F.sum("bin_n").over(before), F.lit(0))).withColumn("sample_size", F.sum("bin_n").over(whole)).where(F.col("sample_size") >= floor)
     wanted = begins.where(F.exists(F.array(*[p for _, p in places]), lambda p: (F.col("begin") <= p) & (p < F.col("begin") + F.col("bin_n"))))
-    counts = _join(binned, wanted.select(*by, "bin", "begin", "sample_size"), [*by, "bin"]).groupBy(*by, "bin", "sample_size", "begin", "value").agg(F.count("*").alias("n"))
+    counts = _join(binned, wanted.select(*by, "bin", "begin", "sample_size"), [*by, "bin"]).groupBy(*by, "bin", "sample_size", "begin", "value").agg(F.sum("n").alias("n"))
     within = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumn("past", F.col("begin") + F.sum("n").over(within)).withColumn("from", F.col("past") - F.col("n"))
     ends = [F.max(F.when((F.col("from") <= p) & (p < F.col("past")), F.col("value"))).alias(name) for name, p in places]

@@ -5,14 +5,13 @@ Each has the same in DuckDB SQL, and reads its whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
-from assayer.functions import text as T
-from assayer.operators import locating, matching
+from assayer.operators import locating, matching, normalising, ranges
 from assayer.plans.queries import ORIGIN_NAMES, query, strings
-from assayer.sources import tables
+from assayer.sources import frames, tables
 
 #: Names for skills of test rows: parts have none that are long enough for typing errors.
 NAMES = ["kubernetes", "postgresql", "terraform", "javascript", "typescript", "elasticsearch", "flask", "slack", "docker", "ansible", "jenkins", "graphql"]
@@ -97,3 +96,62 @@ def claims_located(spark, d):
     docs = tables.dealt_table(spark, d, "documents").select("doc_id", "text")
     out = locating.located(docs, claims(spark, d), ["doc_id"], "line")
     return out.select("doc_id", "line", "form", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k, unnest(string_split(text, chr(10))) AS s FROM documents
+), p AS (SELECT doc_id, k, 0 AS j, 'S K I L L S' AS raw FROM l WHERE k % 4 = 1
+  UNION ALL SELECT doc_id, k, 1, CASE k % 4 WHEN 0 THEN '● ' || replace(s, ' ', '  ') WHEN 1 THEN s || '  ' WHEN 2 THEN 'ﬁne auto-' || chr(10) || 'mation ' || s ELSE s END FROM l
+), o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY k, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS line, count(*) FILTER (j = 0) OVER (PARTITION BY doc_id) AS repairs FROM p)
+SELECT doc_id, line, a AS start, a + length(rtrim(raw)) AS "end", md5(CASE WHEN j = 0 THEN 'SKILLS' WHEN k % 4 = 0 THEN rtrim('• ' || replace(raw[3:], '  ', ' ')) WHEN k % 4 = 2 THEN rtrim('fine automation ' || raw[18:]) ELSE rtrim(raw) END) AS said, repairs FROM o WHERE trim(raw) <> ''""")
+def normalised_spans(spark, d):
+    """Every document with ligatures, bullets, double blanks, cut words and spaced headings put in; each line of the normalised text points at its place in the other."""
+    line = lambda s, k: F.when(k % 4 == 0, F.concat(F.lit("● "), F.replace(s, F.lit(" "), F.lit("  ")))).when(k % 4 == 1, F.concat(F.lit("S K I L L S\n"), s, F.lit("  "))).when(k % 4 == 2, F.concat(F.lit("ﬁne auto-\nmation "), s)).otherwise(s)
+    rough = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+    out = normalising.normalised(tables.dealt_table(spark, d, "documents").select("doc_id", rough.alias("text")))
+    lines = out.select("id", "at", "source", "repairs", F.posexplode(F.split("normalised", "\n", -1)).alias("line", "said"))
+    before = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("first", F.coalesce(F.sum(F.length("said") + 1).over(before), F.lit(0)).cast("int")).where("said <> ''")
+    span = normalising.original_span(F.col("first"), F.col("first") + F.length("said"), F.col("at"), F.col("source"))
+    return lines.select(F.col("id").alias("doc_id"), F.col("line").cast("long").alias("line"), span.alias("span"), F.md5(F.col("said").cast("binary")).alias("said"), F.col("repairs").cast("long").alias("repairs")).select("doc_id", "line", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"), "said", "repairs")
+
+
+def pieces(rows: DataFrame, by: str, pattern: str, name: str) -> DataFrame:
+    """The parts of each text that ``pattern`` divides, with their places: key, ``name`` (number), ``start``, ``end``."""
+    parts = rows.select(by, F.posexplode(F.split("text", pattern, -1)).alias(name, "part"))
+    before = Window.partitionBy(by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("long")
+    return parts.select(by, F.col(name).cast("long").alias(name), start.alias("start"), (start + F.length("part")).alias("end"), F.trim(F.replace(F.col("part"), F.lit("\n"), F.lit(" "))).alias("said")).withColumn("is_word", F.col("said") != "").drop("said")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^ \n]+')) AS gap, generate_subscripts(regexp_split_to_array(text, '[^ \n]+'), 1) AS n FROM documents
+), v AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \n]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^ \n]+'), 1) AS n FROM documents
+), p AS (SELECT doc_id, n, sum(length(gap) + coalesce(length(word), 0)) OVER (PARTITION BY doc_id ORDER BY n) - length(word) AS place FROM w JOIN v USING (doc_id, n)
+), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS s FROM documents
+), i AS (SELECT doc_id, line, (sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(s) - 1)::BIGINT AS a, length(s) AS size FROM l)
+SELECT doc_id, line, count(*) AS n_words, sum(place - a)::BIGINT AS places FROM p JOIN i USING (doc_id) WHERE place >= a AND place < a + size GROUP BY ALL""")
+def lines_of_words(spark, d):
+    """The line that each word of each document begins in, by a range join of places with lines: words of each line, and the sum of their columns."""
+    docs = tables.dealt_table(spark, d, "documents").select("doc_id", "text")
+    lines = pieces(docs, "doc_id", r"(?<=\n)", "line").drop("is_word")
+    words = pieces(docs, "doc_id", r"(?<=[ \n])(?=[^ \n])|(?<=[^ \n])(?=[ \n])", "number").where("is_word").select("doc_id", F.col("start").alias("at"))
+    met = ranges.points_in_intervals(words, lines, ["doc_id"], "at", "start", "end")
+    return met.groupBy("doc_id", "line").agg(F.count("*").alias("n_words"), F.sum(F.col("at") - F.col("start")).alias("places"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, printf('%.1f', l_extendedprice * l_discount)::DOUBLE AS one, printf('%.2f', l_extendedprice * (1 - l_discount))::DOUBLE AS two, printf('%.0f', l_quantity * 0.5)::DOUBLE AS none FROM lineitem""")
+def exact_rounding(spark, d):
+    """Amounts rounded by their exact binary values."""
+    rows = tables.table(spark, d, "lineitem")
+    price = F.col("l_extendedprice")
+    return rows.select("l_orderkey", "l_linenumber", S.round_half_even(price * F.col("l_discount"), 1).alias("one"), S.round_half_even(price * (1 - F.col("l_discount")), 2).alias("two"), S.round_half_even(F.col("l_quantity") * 0.5).alias("none"))
+
+
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS event, event_id FROM events""")
+def chunked_frames(spark, d):
+    """Every user's events as one text of frames, cut into chunks of seven characters, and read back from the chunks."""
+    events = tables.table(spark, d, "events").select("user_id", "ts", "event_id", frames.frame(F.col("event_type"), F.to_json(F.struct("event_id"))).alias("frame"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "frame"))), lambda e: e["frame"]), "")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 7).cast("int")), lambda k: F.substring(F.col("text"), k * 7 + 1, F.lit(7)))
+    chunks = events.groupBy("user_id").agg(text.alias("text")).select("user_id", F.posexplode(cut).alias("seq", "chunk"))
+    out = frames.parsed(frames.from_chunks(chunks, "user_id"), "user_id", "event_id long")
+    return out.select("user_id", F.col("pos").cast("long").alias("pos"), "event", "data.event_id")

@@ -30,8 +30,42 @@ def parse(texts: DataFrame, id_col: str, text_col: str, schema: str) -> DataFram
     parts = F.split(F.regexp_replace(F.col(text_col), "\r\n", "\n"), "\n\n")
     whole = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = texts.select(F.col(id_col), F.posexplode(whole).alias("pos", "raw"))
+    return parsed(rows, id_col, schema)
+
+
+def from_chunks(chunks: DataFrame, id_col: str = "id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """Raw frames of texts that come in numbered chunks, cut at any character: id, ``pos``, ``raw``.
+
+    Breaks are counted, so that each piece of a chunk knows its frame's number; pieces
+    of a frame then meet in one group, and no text is ever put together as a whole. A
+    break may be cut itself: a chunk hands an odd line break at its end to the next
+    one, for which running sums over the chunks' line breaks suffice. Carriage returns
+    are dropped, null chunks are empty, and so is an unfinished last frame.
+    """
+    order = Window.partitionBy(id_col).orderBy(seq)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    text = F.replace(F.coalesce(F.col(chunk), F.lit("")), F.lit("\r"), F.lit(""))
+    rows = chunks.select(F.col(id_col), F.col(seq), text.alias("text"))
+    rows = rows.withColumn("tail", F.length(F.regexp_extract("text", r"(\n*)$", 1))).withColumn("only", F.col("tail") == F.length("text"))
+    # line breaks since the last other character, before this chunk: its run's tail, and all chunks of nothing else since
+    rows = rows.withColumn("run", F.coalesce(F.sum((~F.col("only")).cast("int")).over(before), F.lit(0)))
+    within = Window.partitionBy(id_col, "run_of").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("run_of", F.col("run") + (~F.col("only")).cast("int")).withColumn("past", F.sum("tail").over(within) % 2)
+    handed = F.coalesce(F.lag("past").over(order), F.lit(0)).cast("int")
+    whole = F.concat(F.repeat(F.lit("\n"), handed), F.col("text"))
+    rows = rows.withColumn("w", whole).withColumn("w", F.when(F.col("past") == 1, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")))
+    pieces = rows.select(id_col, seq, F.split("w", "\n\n", -1).alias("pieces")).withColumn("first", F.coalesce(F.sum(F.size("pieces") - 1).over(before), F.lit(0)))
+    every = Window.partitionBy(id_col)
+    pieces = pieces.withColumn("frames", F.sum(F.size("pieces") - 1).over(every))
+    each = pieces.select(id_col, seq, "first", "frames", F.posexplode("pieces").alias("k", "piece")).withColumn("pos", F.col("first") + F.col("k")).where(F.col("pos") < F.col("frames"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, "piece"))), lambda p: p["piece"]), "")
+    return each.groupBy(id_col, "pos").agg(joined.alias("raw"))
+
+
+def parsed(raw: DataFrame, id_col: str, schema: str) -> DataFrame:
+    """Raw frames as events: id, ``pos``, ``event``, ``data``; comments and frames with broken JSON go."""
     lines = F.filter(F.split("raw", "\n"), lambda x: ~x.startswith(":"))
     of = lambda p: F.transform(F.filter(lines, lambda x: x.startswith(p)), lambda x: F.regexp_replace(x, f"^{p} ?", ""))
-    out = rows.select(id_col, "pos", F.coalesce(F.get(of("event:"), F.lit(0)), F.lit("message")).alias("event"), F.from_json(F.array_join(of("data:"), "\n"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("data"), F.array_join(of("data:"), "\n").alias("json"))
-    good = F.get_json_object("json", "$").isNotNull()
-    return out.where(good).drop("json")
+    json = F.array_join(of("data:"), "\n")
+    out = raw.select(id_col, "pos", F.coalesce(F.get(of("event:"), F.lit(0)), F.lit("message")).alias("event"), F.from_json(json, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("data"), json.alias("json"))
+    return out.where(F.get_json_object("json", "$").isNotNull()).drop("json")
