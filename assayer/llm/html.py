@@ -5,16 +5,16 @@ occurs; subtrees on ``LEAST_PAGES`` pages of a host are a template of it and go.
 subtree is counted by two hashes: its *wording* (tags, names and text) and, outside
 the page's main part, its *shape* (tags, names and the order of children, with texts
 masked and repeated children folded), so that a menu or an advert with changing words
-recurs, too. A name is an element's class, id or role. The number of pages doesn't
-grow with the host, so a section's template counts on a large host, too; only a text
-block inside a marked article must be on ``INSIDE_SHARE`` of the host's pages, since
-articles quote and copy one another.
+recurs, too; but never by shape alone if a run of ``PROSE`` characters stands in it, as
+articles of a site are shaped alike. A name is an element's class, id or role. The
+number of pages doesn't grow with the host, so a section's template counts on a large
+host, too; only a text block inside a marked article must be on ``INSIDE_SHARE`` of the
+host's pages, since articles quote and copy one another.
 
-What no count can tell is judged by the page alone: elements that are never text
-(scripts, forms, ``nav``, ``footer`` and the like) go by their tag, and comments or
-notices inside the article by their names. On hosts with fewer than ``LEAST_PAGES``
-different pages nothing can recur often enough; only there, names decide about the
-rest of the page as well, and a marked article stands for the whole.
+What no count can tell is judged by the page alone, on hosts of every size alike:
+elements that are never text (scripts, forms, ``nav``, ``footer`` and the like) go by
+their tag, adverts, notices and comments by their names, and beside a marked article
+(or more of them) only parts with a run of prose stay, such as its continuation.
 
 Two passes parse the pages: the first sends out only hashes, the second gets the
 template hashes.
@@ -40,6 +40,10 @@ from assayer.llm.urls import host_of
 LEAST_PAGES = 5
 #: A text block inside a marked article is template only if it is on such a part of its host's different pages.
 INSIDE_SHARE = 0.5
+#: Characters of a run of text outside links that no menu has.
+PROSE = 80
+#: Characters of such a run that a part beside a marked article must have.
+BESIDE = 80
 #: Seeds that keep hashes of shapes, of text blocks in articles and of hosts themselves apart.
 WORDING, SHAPE, INSIDE, HOST = 0, 1, 2, 3
 #: Template hashes of all hosts are sent to tasks up to so many (8 MB); beyond, each page is joined with its own ones by shuffle.
@@ -65,10 +69,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "length", "known")
+    __slots__ = ("tag", "attrs", "children", "length", "known", "flow", "longest")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.attrs, self.children, self.length, self.known = tag, attrs, [], 0, None
+        self.tag, self.attrs, self.children, self.length, self.known, self.flow, self.longest = tag, attrs, [], 0, None, 0, 0
 
 
 def parse(page: str) -> Node:
@@ -139,14 +143,18 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
 
 
 def measure(node: Node) -> int:
-    """Characters of text below each node that isn't boilerplate, kept in the nodes."""
+    """Characters of text below each node that isn't boilerplate, and its longest run of text outside links, kept in the nodes."""
     order, stack = [], [node]
     while stack:
         x = stack.pop()
         order.append(x)
         stack += [c for c in x.children if isinstance(c, Node)]
     for x in reversed(order):
-        x.length = 0 if x is not node and is_boilerplate(x, True) else sum(c.length if isinstance(c, Node) else len(c.strip()) for c in x.children)
+        boilerplate = x is not node and is_boilerplate(x, True)
+        x.length = 0 if boilerplate else sum(c.length if isinstance(c, Node) else len(c.strip()) for c in x.children)
+        # text of inline elements runs on with the text around them
+        x.flow = 0 if boilerplate or x.tag == "a" else sum(len(c.strip()) if isinstance(c, str) else c.flow if c.tag in INLINE else 0 for c in x.children)
+        x.longest = max([x.flow, *(c.longest for c in x.children if isinstance(c, Node))]) if not boilerplate else 0
     return node.length
 
 
@@ -252,25 +260,34 @@ def host_key(host: str, kind: int) -> np.uint64:
     return np.frombuffer(blake2b(f"{kind} {host}".encode("utf-8", "replace"), digest_size=8).digest(), np.uint64)[0]
 
 
+def _above(root: Node, main: Node) -> set[int]:
+    """The elements that ``main`` lies in."""
+    stack: list[tuple[Node, tuple[int, ...]]] = [(root, ())]
+    while stack:
+        x, path = stack.pop()
+        if x is main:
+            return set(path)
+        stack += [(c, (*path, id(x))) for c in x.children if isinstance(c, Node)]
+    return set()
+
+
 def template_parts(root: Node, main: Node, marked: bool, host: str) -> tuple[np.ndarray, np.ndarray, list[Node]]:
     """Hashes of the subtrees that may be template, their kinds, and the subtrees. Hashes differ from host to host and kind to kind.
 
     Inline elements in running text never are, as their loss would break a
     sentence; they go with a block around them. Shapes count only outside the
-    main part, for elements with a name or of ``SECTIONS``, without a headline.
+    main part, for elements with a name or of ``SECTIONS``, without a headline or
+    a run of prose.
     """
-    within = _within(main)
+    within, above = _within(main), _above(root, main)
     running: set[int] = set()
-    above: set[int] = set()
-    stack: list[tuple[Node, tuple[int, ...]]] = [(root, ())]
+    stack = [root]
     while stack:
-        x, path = stack.pop()
-        if x is main:
-            above.update(path)
+        x = stack.pop()
         inner = [c for c in x.children if isinstance(c, Node)]
         if any(c.tag in INLINE for c in inner) and any(isinstance(c, str) and _WORD.search(c) for c in x.children):
             running.update(id(c) for c in inner if c.tag in INLINE)
-        stack += [(c, (*path, id(x)) if not above else ()) for c in inner]
+        stack += inner
     hashes, kinds, parts = [], [], []
     for x, wording, shape, head in subtree_hashes(root):
         if id(x) in running or x is main:
@@ -279,7 +296,7 @@ def template_parts(root: Node, main: Node, marked: bool, host: str) -> tuple[np.
         hashes.append(wording)
         kinds.append(INSIDE if marked and inside and x.tag in TEXT_BLOCKS else WORDING)
         parts.append(x)
-        if not inside and not head and id(x) not in above and (x.tag in SECTIONS or name_of(x)):
+        if not inside and not head and x.longest < PROSE and id(x) not in above and (x.tag in SECTIONS or name_of(x)):
             hashes.append(shape)
             kinds.append(SHAPE)
             parts.append(x)
@@ -289,17 +306,33 @@ def template_parts(root: Node, main: Node, marked: bool, host: str) -> tuple[np.
 
 
 def main_text(page: str | None, host: str = "", template: np.ndarray | None = None) -> str:
-    """The main text of one page; ``template`` has the template hashes of its host (ascending), or is None if the host has too few pages to tell."""
+    """The main text of one page; ``template`` has template hashes (ascending), of its host at least."""
     if not page:
         return ""
     root = parse(page)
     main, marked = main_of(root)
-    if template is None:
-        return "\n".join(blocks_of(main if marked else root, lambda x: is_boilerplate(x, marked)))
-    hashes, _, parts = template_parts(root, main, marked, host)
-    gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
-    within = _within(main) if marked else set()
-    return "\n".join(blocks_of(root, lambda x: id(x) in gone or (is_boilerplate(x, True) if id(x) in within else x.tag in DROPPED or x.tag == "header")))
+    gone: set[int] = set()
+    if template is not None and len(template):
+        hashes, _, parts = template_parts(root, main, marked, host)
+        gone = {id(parts[k]) for k in np.flatnonzero(A.member(hashes, template)).tolist()}
+    return "\n".join(blocks_of(root, _dropped(root, main, marked, gone)))
+
+
+def _dropped(root: Node, main: Node, marked: bool, gone: set[int]) -> Callable[[Node], bool]:
+    """Whether an element goes: as template, by tag or name, or as a part beside a marked article that has no run of prose."""
+    within, above = _within(main), _above(root, main)
+    beside: set[int] = set()
+    if marked:
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            if id(x) not in above:
+                continue
+            # text that stands in no element of its own is judged like one
+            x.children = [c for c in x.children if isinstance(c, Node) or len(c.strip()) >= BESIDE]
+            beside.update(id(c) for c in x.children if isinstance(c, Node) and id(c) not in above and c is not main and c.longest < BESIDE)
+            stack += [c for c in x.children if isinstance(c, Node)]
+    return lambda x: id(x) not in above and (id(x) in gone or id(x) in beside or is_boilerplate(x, id(x) in within))
 
 
 def _within(article: Node) -> set[int]:
@@ -318,9 +351,9 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if page:
                 root = parse(page)
                 main, marked = main_of(root)
+                found, kind, _ = template_parts(root, main, marked, host)
                 text = "\n".join(blocks_of(main if marked else root, lambda x: is_boilerplate(x, marked)))  # noqa: B023
                 content = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                found, kind, _ = template_parts(root, main, marked, host)
                 found, first = np.unique(np.r_[found, host_key(host, HOST)], return_index=True)
                 pages += [key] * len(found)
                 contents += [content] * len(found)
@@ -363,32 +396,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Only id, URL and HTML are read, so other columns' names don't matter. A page of
     any length is parsed whole, one at a time, at about 200 bytes an element.
     """
-    counted = recurring(pages, url_col, html_col)
-    large = counted.where(F.col("kind") == HOST).select("hash")
-    known = keep(site_templates(counted).withColumn("is_host", F.lit(False)).unionByName(large.withColumn("is_host", F.lit(True))), "site_templates")
+    known = keep(site_templates(recurring(pages, url_col, html_col)), "site_templates")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    everywhere = hosts = None
+    everywhere = None
     if known.count() <= BROADCAST_HASHES:
-        got = known.toArrow()
-        hashes, is_host = got["hash"].to_numpy().view(np.uint64), got["is_host"].to_numpy(zero_copy_only=False)
-        everywhere, hosts = np.sort(hashes[~is_host]), np.sort(hashes[is_host])
-        rows = rows.withColumn("template", F.lit(None).cast("array<long>")).withColumn("is_large", F.lit(None).cast("boolean"))
+        everywhere = np.sort(known.toArrow()["hash"].to_numpy().view(np.uint64))
+        rows = rows.withColumn("template", F.lit(None).cast("array<long>"))
     else:
         own = _subtrees(pages, url_col, html_col).select("page", "hash").distinct().join(known, "hash")
-        own = own.groupBy("page").agg(F.collect_list(F.when(~F.col("is_host"), F.col("hash"))).alias("template"), F.bool_or("is_host").alias("is_large"))
-        rows = rows.withColumn("page", F.xxhash64("host", "html")).join(own, "page", "left")
-    rows = rows.select("page_id", "url", "html", "host", "template", "is_large")
-
-    def template_of(host: str, own: list[int] | None, is_large: bool | None) -> np.ndarray | None:
-        if everywhere is not None:
-            return everywhere if A.member(np.array([host_key(host, HOST)]), hosts)[0] else None
-        return np.sort(np.array(own or [], np.int64).view(np.uint64)) if is_large else None
+        rows = rows.withColumn("page", F.xxhash64("host", "html")).join(own.groupBy("page").agg(F.collect_list("hash").alias("template")), "page", "left")
+    rows = rows.select("page_id", "url", "html", "host", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, host, own, is_large in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist(), strict=True):
-                texts.append(main_text(page, host, template_of(host, own.as_py(), is_large)))
+            for page, host, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                texts.append(main_text(page, host, everywhere if everywhere is not None else np.sort(np.array(own.as_py() or [], np.int64).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

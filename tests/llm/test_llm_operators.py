@@ -229,16 +229,24 @@ def test_site_templates_are_those_of_a_plain_count(spark):
     assert {r["hash"] % (1 << 64) for r in counted.where(F.col("kind") == html.HOST).collect()} == {int(html.host_key(host, html.HOST)) for host, texts in hosts.items() if len(texts) >= 5}
 
 
-def test_without_templates_the_query_gives_other_texts(spark, monkeypatch):
-    """On every page of a host with pages enough it is the templates that decide."""
-    whole = {r["page_id"]: r["text"] for r in queries.op3_main_text(spark, SF).collect()}
-    monkeypatch.setattr(html, "site_templates", lambda counted: counted.select("hash").limit(0))
-    bare = {r["page_id"]: r["text"] for r in queries.op3_main_text(spark, SF).collect()}
+def test_templates_alone_give_the_same_texts(spark, monkeypatch):
+    """Where names and places beside an article say nothing about what is outside it, on every page of a host with pages enough it is the templates that decide, and they give the texts that all signs give together."""
+    every = {r["page_id"]: r["text"] for r in queries.op3_main_text(spark, SF).collect()}
+    table = rows("pages")
+    found = html.site_templates(html.recurring(pages(spark, [(r["page_id"], r["url"], r["html"]) for r in table]))).toArrow()["hash"].to_numpy()
+    templates = np.sort(found.view(np.uint64))
+    host = {r["page_id"]: re.sub(r"(?s)^.*?://([^/?#]*).*$", r"\1", r["url"]).lower() for r in table}
+    named = html.is_boilerplate
+    monkeypatch.setattr(html, "BESIDE", 0)  # in this process
+    monkeypatch.setattr(html, "is_boilerplate", lambda x, inside: named(x, True) if inside else x.tag in html.DROPPED or x.tag == "header")
+    whole = {r["page_id"]: html.main_text(r["html"], host[r["page_id"]], templates) for r in table}
+    bare = {r["page_id"]: html.main_text(r["html"], host[r["page_id"]]) for r in table}
     hosts = {}
-    for r in rows("pages"):
-        hosts.setdefault(re.sub(r"(?s)^.*?://([^/?#]*).*$", r"\1", r["url"]).lower(), set()).add(r["page_id"])
-    large = set().union(*(x for x in hosts.values() if len({whole[i] for i in x}) >= 5))
+    for i, h in host.items():
+        hosts.setdefault(h, set()).add(i)
+    large = set().union(*(x for x in hosts.values() if len({every[i] for i in x}) >= 5))
     assert {i for i in whole if whole[i] != bare[i]} == large and len(large) > 100
+    assert {i for i in large if whole[i] != every[i]} == set()
 
 
 def test_very_long_pages(spark):
