@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import arrays as A
-from assayer.llm.shared import keep
+from assayer.llm.shared import free_name, keep
 
 WINDOW = 13
 #: Words of a template window that must not be placeholders; a window with fewer is compared word by word.
@@ -177,6 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window, with their columns; null texts stay. Odd rows: see ``contaminated``."""
-    bad = contaminated(docs, benchmark, id_col, text_col, window=window).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__copy")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark window, with their columns, whatever these are called; null texts stay. Odd rows: see ``contaminated``."""
+    i, copy = free_name(docs, "__id"), free_name(docs, "__copy")
+    bad = contaminated(docs, benchmark, id_col, text_col, window=window).select(F.col("id").alias(i), F.col("copy").alias(copy))
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text_col) == F.col(copy)), "left_anti")

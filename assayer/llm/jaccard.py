@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import arrays as A
-from assayer.llm.shared import keep
+from assayer.llm.shared import free_name, keep
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -351,11 +351,12 @@ def _node(id_col: str, text_col: str) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each near-duplicate class of ``docs``, the one with the least id, then text hash, with its columns.
 
-    Rows equal in id and text count once. Texts without words all stay.
+    Rows equal in id and text count once. Texts without words all stay. Columns may have any names.
     """
     rows = docs.select(_node(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     found = _classes(rows, words, threshold, TOLERANCE)
     stay = found.where(F.struct("id", "copy") == F.col("first")).groupBy("id", "copy").agg(F.count("*").alias("n"))
-    stay = keep(stay.select(F.col("id").alias("__node"), F.col("copy").alias("__copy"), "n"), "stay")
-    out = docs.join(stay.select("__node", "__copy"), (_node(id_col, text_col) == F.col("__node")) & (F.xxhash64(text_col) == F.col("__copy")), "left_semi")
+    node, copy = free_name(docs, "__node"), free_name(docs, "__copy")
+    stay = keep(stay.select(F.col("id").alias(node), F.col("copy").alias(copy), "n"), "stay")
+    out = docs.join(stay.select(node, copy), (_node(id_col, text_col) == F.col(node)) & (F.xxhash64(text_col) == F.col(copy)), "left_semi")
     return out if stay.where("n > 1").isEmpty() else out.dropDuplicates([id_col, text_col])

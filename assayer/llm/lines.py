@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.shared import free_name
+
 WINDOW = 3
 
 
@@ -40,8 +42,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal ids, then of lines; rows equal in id and text are one document and are
     treated alike. A null text stays null, texts of fewer lines than a window
     stay as they are, and an empty table gives an empty result. An older column
-    ``removed_lines`` and names of working columns (``__id``, ``__copy``,
-    ``__gone``, ``s_id``, ``s_copy``) give way. Very long texts are
+    ``removed_lines`` gives way; others stay, whatever they are called. Very long texts are
     read whole, a text at a time in a task, in time that grows with their lines.
     """
     windows = line_windows(docs, id_col, text_col, window)
@@ -50,10 +51,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = windows.join(repeated, "hash").where(~place.eqNullSafe(F.col("first")))
     spots = later.groupBy("id", "copy").agg(F.collect_set("pos").alias("spots"))
     gone = F.array_distinct(F.flatten(F.transform("spots", lambda p: F.sequence(p, p + (window - 1)))))
-    kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "__id", "__copy", "__gone", "s_id", "s_copy")]
+    kept = [c for c in docs.columns if c.lower() != "removed_lines"]
+    i, copy, s_id, s_copy, gone_col = (free_name(docs, c) for c in ("__id", "__copy", "__s_id", "__s_copy", "__gone"))
     # the lines, not the text, go through the join: they are cut once
-    rows = docs.select(*[F.split(F.col(c), "\n", -1).alias(c) if c == text_col else c for c in kept], F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__copy"))
-    out = rows.join(spots.select(F.col("id").alias("s_id"), F.col("copy").alias("s_copy"), gone.alias("__gone")), F.col("__id").eqNullSafe(F.col("s_id")) & (F.col("__copy") == F.col("s_copy")), "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(text_col) - 1), F.coalesce("__gone", F.array().cast("array<int>")))
-    text = F.array_join(F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.transform(left, lambda i: F.element_at(text_col, i + 1))), "\n")
-    return out.select(*[text.alias(c) if c == text_col else c for c in kept], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("removed_lines"))
+    rows = docs.select(*[F.split(F.col(c), "\n", -1).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.col(id_col).alias(i), F.xxhash64(text_col).alias(copy))
+    out = rows.join(spots.select(F.col("id").alias(s_id), F.col("copy").alias(s_copy), gone.alias(gone_col)), F.col(i).eqNullSafe(F.col(s_id)) & (F.col(copy) == F.col(s_copy)), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(text_col) - 1), F.coalesce(gone_col, F.array().cast("array<int>")))
+    text = F.array_join(F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(F.transform(left, lambda k: F.element_at(text_col, k + 1))), "\n")
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept], F.coalesce(F.size(gone_col), F.lit(0)).cast("long").alias("removed_lines"))

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths and tables written by ``keep`` and ``keep_bucketed`` and not yet deleted, oldest first, a kind and a name each.
+#: What ``keep`` and ``keep_bucketed`` have written and is not yet deleted, oldest first: name of the table, if it is one, and path.
 _kept: list[tuple[str, str]] = []
 
 
@@ -40,6 +40,14 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with as many underscores behind it as no column of ``df`` is called so, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so that no later job computes it again.
 
@@ -50,15 +58,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _kept.append(("path", path))
+    _kept.append(("", path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def keep_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Like ``keep``, as a table bucketed by ``key``: later groupings on it need no shuffle."""
+    """Like ``keep``, as a table bucketed by ``key`` whose files lie in the shared folder, too: later groupings on it need no shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(table)
-    _kept.append(("table", table))
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    _kept.append((table, path))
     return spark.table(table)
 
 
@@ -70,13 +79,11 @@ def release(spark: SparkSession, down_to: int = 0) -> int:
     """
     n = 0
     while len(_kept) > down_to:
-        kind, name = _kept.pop()
-        if kind == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        else:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        table, name = _kept.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         n += 1
     return n
 
