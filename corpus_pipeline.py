@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, lines, quality
 from assayer.llm.queries import held_out, table, tokenizer_path
-from assayer.llm.shared import bounded_batches, hand_over, kept_tables
+from assayer.llm.shared import bounded_batches, free_name, hand_over, kept_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A document that had words and loses them all repeats earlier ones line by
     line, and goes. Null, empty and blank texts stay as they are. Rows equal in id
     and text are treated alike; ties of ids go by the texts' hashes; a text of any
-    length is read whole; an empty table stays empty. Columns ``removed_lines``,
-    ``__id``, ``__copy``, ``__gone``, ``s_id`` and ``s_copy`` aren't allowed.
+    length is read whole; an empty table stays empty. Columns stay as they are,
+    whatever their names.
     """
-    out = lines.dedup_lines(docs).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    aside = free_name(docs, "own_removed_lines")  # a column that is called like the operator's count
+    out = lines.dedup_lines(docs.withColumnRenamed("removed_lines", aside)).where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    of = lambda c: F.length("text").cast("long") if c == "n_chars" else F.col(f"`{aside if c.lower() == 'removed_lines' else c}`")
+    return out.select(*[of(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null texts and texts without words all stay, rows equal in id and text count
     once; null ids take part; a text of any length is compared whole; an empty
-    table stays empty. Columns stay as they are; ``__node`` and ``__copy`` aren't
-    allowed.
+    table stays empty. Columns stay as they are, whatever their names.
     """
     bounded_batches(spark)
     return jaccard.keep_one(docs)
@@ -51,7 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay; equal rows share a verdict; a null id is an id of
     its own; a text of any length is read whole; an empty table stays empty.
-    Columns stay as they are; ``__id`` and ``__copy`` aren't allowed.
+    Columns stay as they are, whatever their names.
     """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
