@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
-from assayer.operators import locating, matching, normalising, ranges
-from assayer.plans.queries import ORIGIN_NAMES, query, strings
+from assayer.operators import locating, matching, normalising, ranges, sections, sharing
+from assayer.plans.queries import ORIGIN_NAMES, RATIO, query, strings
 from assayer.sources import frames, tables
 
 #: Names for skills of test rows: parts have none that are long enough for typing errors.
@@ -48,7 +48,6 @@ def asked(spark, d) -> DataFrame:
 
 _RANK = "CASE origin " + " ".join(f"WHEN '{k}' THEN {r}" for k, (_, r) in S.ORIGINS.items()) + " END"
 _STRENGTH = "CASE origin " + " ".join(f"WHEN '{k}' THEN {s}::DOUBLE" for k, (s, _) in S.ORIGINS.items()) + " END"
-_RATIO = """200.0 * list_reduce(list_prepend(list_transform(range(length(t) + 1), lambda j: 0), list_transform(string_split(s, ''), lambda c: [unicode(c)])), lambda old, c: list_transform(range(length(t) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: greatest(old[k + 1], CASE WHEN k > 0 AND unicode(t[k]) = c[1] THEN old[k] + 1 ELSE 0 END)))))[length(t) + 1] / (length(s) + length(t))"""
 
 
 @query(f"""WITH names AS (SELECT {strings(NAMES)} AS n), edges(skill, near, ord) AS (VALUES {", ".join(f"('{a}', '{b}', {o})" for a, b, o in EDGES)}
@@ -59,7 +58,7 @@ _RATIO = """200.0 * list_reduce(list_prepend(list_transform(range(length(t) + 1)
 ), best AS (SELECT pair_id, canonical, first({_STRENGTH} ORDER BY {_RANK} DESC, ord) AS strength, first(origin ORDER BY {_RANK} DESC, ord) AS origin, first(ord ORDER BY {_RANK} DESC, ord) AS ord, sum(months)::BIGINT AS months FROM skills GROUP BY ALL
 ), known AS (SELECT s.*, CASE WHEN requirement_id = 0 THEN name END AS canonical FROM said s
 ), direct AS (SELECT k.*, b.strength, b.origin, b.months FROM known k LEFT JOIN best b USING (pair_id, canonical)
-), pairs AS (SELECT s, t, {_RATIO} AS ratio FROM (SELECT DISTINCT target AS s FROM said WHERE requirement_id IN (1, 2)), (SELECT DISTINCT canonical AS t FROM skills)
+), pairs AS (SELECT s, t, {RATIO} AS ratio FROM (SELECT DISTINCT target AS s FROM said WHERE requirement_id IN (1, 2)), (SELECT DISTINCT canonical AS t FROM skills)
 ), near AS (SELECT d.pair_id, d.requirement_id, first(t ORDER BY ratio DESC, b.ord) AS skill FROM direct d JOIN pairs p ON d.target = p.s JOIN best b ON b.pair_id = d.pair_id AND b.canonical = p.t WHERE d.strength IS NULL AND d.requirement_id IN (1, 2) AND ratio >= 82 GROUP BY ALL
 ), fuzzy AS (SELECT d.pair_id, d.requirement_id, d.document, d.target, d.years, d.canonical, coalesce(d.strength, b.strength) AS strength, coalesce(d.origin, b.origin) AS origin, coalesce(d.months, 0) AS months, CASE WHEN d.strength IS NOT NULL THEN 'exact' WHEN b.strength IS NOT NULL THEN 'fuzzy' END AS tier, CASE WHEN d.strength IS NOT NULL THEN d.canonical ELSE n.skill END AS skill
   FROM direct d LEFT JOIN near n USING (pair_id, requirement_id) LEFT JOIN best b ON b.pair_id = d.pair_id AND b.canonical = n.skill
@@ -155,3 +154,40 @@ def chunked_frames(spark, d):
     chunks = events.groupBy("user_id").agg(text.alias("text")).select("user_id", F.posexplode(cut).alias("seq", "chunk"))
     out = frames.parsed(frames.from_chunks(chunks, "user_id"), "user_id", "event_id long")
     return out.select("user_id", F.col("pos").cast("long").alias("pos"), "event", "data.event_id")
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS s FROM documents
+), m AS (SELECT doc_id, line * 2 + k AS n, CASE k WHEN 1 THEN lower(s) || '.' ELSE CASE line % 5 WHEN 1 THEN 'Experience' WHEN 3 THEN 'Skills' WHEN 4 THEN 'Education' ELSE '' END END AS t, k = 0 AND line % 5 IN (1, 3, 4) AS head FROM l, (SELECT unnest([0, 1]) AS k)
+), o AS (SELECT *, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, (sum(length(t) + 1) OVER (PARTITION BY doc_id) - 1)::BIGINT AS size FROM m
+), h AS (SELECT doc_id, lower(t) AS kind, t AS heading, least(a + length(t) + 1, coalesce(lead(a) OVER w, size)) AS start, coalesce(lead(a) OVER w, size) AS "end" FROM o WHERE head WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), c AS (SELECT doc_id, 'contact' AS kind, NULL AS heading, 0::BIGINT AS start, coalesce(min(a) FILTER (head), max(size)) AS "end" FROM o GROUP BY doc_id)
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") - 1 AS ord FROM (SELECT * FROM h UNION ALL SELECT * FROM c)""")
+def section_bounds(spark, d):
+    """Headings put between the lines of every document, and the sections that they make, with their places."""
+    named = lambda i: F.when(i % 5 == 1, "Experience").when(i % 5 == 3, "Skills").when(i % 5 == 4, "Education").otherwise("")
+    lines = F.flatten(F.transform(F.split("text", "\n", -1), lambda s, i: F.array(named(i), F.concat(F.lower(s), F.lit(".")))))
+    out = sections.sections(tables.table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("text")))
+    return out.select("doc_id", "kind", "heading", "start", "end", F.col("ord").cast("long").alias("ord"))
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 3 AS mode, 'By Ada Smith: "' || replace(left(text, 40), '"', '') || '" said ADA SMITH. ' || text AS t FROM documents
+), s AS (SELECT *, replace(replace(t, 'Ada Smith', '[redacted]'), 'ADA SMITH', '[redacted]') AS clean FROM t)
+SELECT doc_id, md5(CASE mode WHEN 0 THEN t WHEN 1 THEN clean ELSE regexp_replace(clean, '["“][^"“”]{10,}["”]', '…', 'g') END) AS said FROM s""")
+def shared_modes(spark, d):
+    """Every document shared in one of three modes: whole, without a name, and without the name and quotes."""
+    mode = F.get(F.array(*map(F.lit, sharing.MODES)), (F.col("doc_id") % 3).cast("int"))
+    text = F.concat(F.lit('By Ada Smith: "'), F.replace(F.left("text", F.lit(40)), F.lit('"'), F.lit("")), F.lit('" said ADA SMITH. '), "text")
+    rows = tables.dealt_table(spark, d, "documents").select("doc_id", mode.alias("visibility_mode"), text.alias("said"), F.array(F.lit("Ada Smith")).alias("secrets"))
+    return sharing.redact_free_text(rows, ["said"]).select("doc_id", F.md5(F.col("said").cast("binary")).alias("said"))
+
+
+@query("""SELECT o_orderkey AS analysis_id, 'scores_only' AS visibility_mode, o_totalprice AS total, row_number() OVER (PARTITION BY o_custkey ORDER BY greatest(1, least(30, o_orderkey % 40)) DESC, o_orderkey) AS nth FROM orders WHERE o_orderkey % 7 <> 0 AND greatest(1, least(30, o_orderkey % 40)) > 10""")
+def links_resolved(spark, d):
+    """Reports behind the links that still live ten days on, when some have been revoked; each user's, the longest-lived first."""
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    orders = tables.table(spark, d, "orders")
+    made = sharing.new_links(orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % 40).cast("int").alias("days")), now, F.col("days"), F.lit("scores_only"), "k")
+    links = made.withColumn("revoked_at", F.when(F.col("analysis_id") % 7 == 0, now + F.expr("interval 1 day")))
+    out = sharing.resolve(links, orders.select(F.col("o_orderkey").alias("analysis_id"), "o_custkey", "o_totalprice"), now + F.expr("interval 10 days")).join(links.select("token", "expires_at"), "token")
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("expires_at"), "analysis_id")
+    return out.select("analysis_id", "visibility_mode", F.col("o_totalprice").alias("total"), F.row_number().over(order).cast("long").alias("nth"))

@@ -299,9 +299,17 @@ def canonical_match(spark, d):
     return matching.canonical(parts, taxonomy(spark, d), "raw").select("p_partkey", "p_brand", "canonical")
 
 
-@query()
+#: Similarity of ``s`` and ``t``, whose words are sorted: the table of common subsequences, a row a character of ``s``.
+RATIO = """200.0 * list_reduce(list_prepend(list_transform(range(length(t) + 1), lambda j: 0), list_transform(string_split(s, ''), lambda c: [unicode(c)])), lambda old, c: list_transform(range(length(t) + 1), lambda j: list_max(list_transform(range(j + 1), lambda k: greatest(old[k + 1], CASE WHEN k > 0 AND unicode(t[k]) = c[1] THEN old[k] + 1 ELSE 0 END)))))[length(t) + 1] / (length(s) + length(t))"""
+
+
+@query(f"""WITH names AS (SELECT p_name AS alias, min(p_partkey) AS ord, string_split(p_name, ' ')[-1] AS canonical, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS t FROM part GROUP BY p_name
+), raws AS (SELECT p_partkey, p_name[1] || p_name[3] || p_name[2] || p_name[4:] AS raw FROM part
+), pairs AS (SELECT raw, canonical, alias, ord, {RATIO} AS ratio FROM (SELECT raw, array_to_string(list_sort(string_split(raw, ' ')), ' ') AS s FROM (SELECT DISTINCT raw FROM raws)), names
+), best AS (SELECT raw, first(canonical ORDER BY ratio DESC, length(alias), ord) AS near FROM pairs WHERE ratio >= 82 GROUP BY raw)
+SELECT p_partkey, r.raw, coalesce(n.canonical, near) AS canonical, CASE WHEN n.canonical IS NOT NULL THEN 'canonical' WHEN near IS NOT NULL THEN 'fuzzy' END AS tier FROM raws r LEFT JOIN names n ON n.alias = r.raw LEFT JOIN best USING (raw)""")
 def fuzzy_match(spark, d):
-    """Part names with two letters swapped, against the taxonomy. Tested against brute force."""
+    """Part names with two letters swapped, against the taxonomy."""
     parts = tables.table(spark, d, "part").select("p_partkey", F.concat(F.substring("p_name", 1, 1), F.substring("p_name", 3, 1), F.substring("p_name", 2, 1), F.expr("substring(p_name, 4)")).alias("raw"))
     out = matching.resolve(parts, taxonomy(spark, d), "raw")
     return out.select("p_partkey", "raw", "canonical", "tier")
