@@ -112,13 +112,14 @@ def similarity_band(value: Column, accept: float = 0.82, doubt: float = 0.62) ->
     return F.when(v >= accept, "accepted").when(v >= doubt, "ambiguous").otherwise("rejected")
 
 
-def round_half_even(value: Column, digits: int = 0) -> Column:
+def round_half_even(value: Column | str, digits: int = 0) -> Column:
     """``value`` (a double) rounded to ``digits`` decimals by its exact binary value; true ties go to the even digit.
 
     The scaled value is a product and its error, both exact (the factors are split in
     halves of 26 bits), so a value just off a tie goes the way it lies. Values beyond
     2**52 units have no decimals to lose and stay, as do NaN and infinities.
     """
+    value = F.col(value) if isinstance(value, str) else value
     scale = float(10**digits)
     split = 134217729.0
     high = lambda x: x * split - (x * split - x)

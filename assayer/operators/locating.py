@@ -22,14 +22,20 @@ from assayer.functions.text import AROUND
 SHARE = 1024
 
 
-def places(text: str, needles: Iterable[str]) -> dict[str, list[int]]:
-    """Every place where each of ``needles`` begins, overlapping ones too; only found ones are named."""
+def machine_of(needles: Iterable[str]) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for n in needles:
         machine.add_word(n, n)
-    found: dict[str, list[int]] = {}
     if len(machine):
         machine.make_automaton()
+    return machine
+
+
+def places(text: str, needles: Iterable[str] | ahocorasick.Automaton) -> dict[str, list[int]]:
+    """Every place where each of ``needles`` begins, overlapping ones too; only found ones are named."""
+    machine = needles if isinstance(needles, ahocorasick.Automaton) else machine_of(needles)
+    found: dict[str, list[int]] = {}
+    if len(machine):
         for last, n in machine.iter(text):
             found.setdefault(n, []).append(last + 1 - len(n))
     return found
@@ -98,3 +104,40 @@ def located(documents: DataFrame, needles: DataFrame, by: Sequence[str], id_col:
     each = out.select(*by, F.explode(F.arrays_zip("__share", "__forms", "__spots")).alias("x")).where("x.__forms IS NOT NULL")
     first = F.col("x.__spots")[0]
     return each.select(*by, F.col("x.__share.id").alias(id_col), F.col("x.__share.needle").alias(needle_col), F.col("x.__forms").alias("form"), first["start"].alias("start"), first["end"].alias("end"), F.col("x.__spots").alias("places"))
+
+
+def anywhere(documents: DataFrame, needles: DataFrame, id_col: str, needle_id: str, text_col: str = "text", needle_col: str = "needle", most_chars: int = 4 << 20) -> DataFrame:
+    """First places of needles in any text, as they are: ``id_col``, ``needle_id``, ``start``.
+
+    Needles go to the tasks in blocks of ``most_chars`` characters at about, a pass over
+    the texts each; a block is one automaton, so texts never meet needles pair by pair.
+    Null texts and null or empty needles meet nothing; equal needles meet under all
+    their ids.
+    """
+    asked = needles.where(F.col(needle_col).isNotNull() & (F.col(needle_col) != "")).select(F.col(needle_id), F.col(needle_col).alias("__needle"))
+    total = asked.agg(F.sum(F.length("__needle"))).first()[0] or 0
+    blocks = -(-total // most_chars)
+    kind = documents.schema[id_col].dataType.simpleString()
+    found = None
+
+    def sought(block: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = machine_of(block)
+            for batch in batches:
+                rows, names, starts = [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for n, at in places(text or "", machine).items():
+                        rows.append(i)
+                        names.append(n)
+                        starts.append(at[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(starts, pa.int64())], names=[id_col, "__needle", "start"])
+
+        return run
+
+    for b in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("__needle"), F.lit(blocks)) == b).select("__needle").distinct().toArrow()["__needle"].to_pylist()
+        part = documents.select(id_col, text_col).mapInArrow(sought(block), f"`{id_col}` {kind}, __needle string, start long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return documents.limit(0).join(needles.limit(0).select(needle_id)).select(id_col, needle_id, F.lit(0).cast("long").alias("start"))
+    return found.join(asked, "__needle").select(id_col, needle_id, "start")

@@ -17,7 +17,7 @@ from assayer.functions import dates as D
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
 from assayer.functions import text as T
-from assayer.operators import advice, cohort, intervals, layout, matching, offsets, resumes, rules, scoring, sections, sharing, writing
+from assayer.operators import advice, cohort, intervals, layout, locating, matching, offsets, resumes, rules, scoring, sections, sharing, writing
 from assayer.plans import report
 from assayer.sources import frames, tables
 from assayer.streaming import counters
@@ -576,7 +576,7 @@ def _ungrounded(rows):
 
 @query("""SELECT d.doc_id, b.item_id, (instr(d.text, b.text) - 1)::BIGINT AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def span_locate(spark, d):
-    """Benchmark passages in documents: hashes of inner word windows meet the benchmark's own few first, then the exact place; needles of under eight words, which may have no such window, are looked for as they are."""
+    """Benchmark passages in documents: hashes of inner word windows meet the benchmark's own few first, then the exact place; needles of under eight words, which may have no such window, by one automaton in a pass over the texts."""
     docs, items = documents(spark, d), tables.table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("needle"))
     ws = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     hashed = lambda i: F.xxhash64(*[F.element_at("ws", i + k) for k in range(6)])
@@ -586,8 +586,8 @@ def span_locate(spark, d):
     spans = docs.withColumn("ws", ws("text")).where(F.size("ws") >= 6)
     keys = spans.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 5), hashed)).alias("key"))
     met = keys.join(head, "key").select("doc_id", "item_id", "needle").distinct().join(docs, "doc_id").select("doc_id", "item_id", "needle", "text")
-    few = docs.join(short, F.contains("text", "needle")).select("doc_id", "item_id", "needle", "text")
-    return met.unionByName(few).withColumn("start", F.instr("text", F.col("needle")) - 1).where("start >= 0").select("doc_id", "item_id", F.col("start").cast("long").alias("start"))
+    few = locating.anywhere(docs, short, "doc_id", "item_id")
+    return met.withColumn("start", F.instr("text", F.col("needle")) - 1).where("start >= 0").select("doc_id", "item_id", F.col("start").cast("long").alias("start")).unionByName(few)
 
 
 @query("""WITH s AS (SELECT doc_id, text, (length(text) // 3)::INT AS a, (length(text) // 3)::INT + 20 AS b FROM documents WHERE text IS NOT NULL)

@@ -99,3 +99,13 @@ def test_a_text_that_many_needles_ask_about_is_shared_out(spark, monkeypatch):
     got = {r["i"]: r["start"] for r in locating.located(docs, asked, ["d"], "i").collect()}
     text = " ".join(f"w{i}." for i in range(300))
     assert got == {i: text.index(f"w{i}") for i in range(300)}
+
+
+def test_needles_anywhere(spark):
+    texts = ["abc abcd", "", None, "xabcx é", "nothing"]
+    asked = [(1, "abc"), (2, "abcd"), (3, "bc"), (4, "é"), (5, ""), (6, None), (7, "abc"), (8, "zz")]
+    docs, needles = spark.createDataFrame(list(enumerate(texts)), "d int, text string"), spark.createDataFrame(asked, "i int, needle string")
+    want = sorted((d, i, t.index(n)) for d, t in enumerate(texts) for i, n in asked if t and n and n in t)
+    for most in (1 << 20, 4):  # one block, and several
+        assert sorted(map(tuple, locating.anywhere(docs, needles, "d", "i", most_chars=most).collect())) == want
+    assert locating.anywhere(docs, needles.limit(0), "d", "i").count() == 0
