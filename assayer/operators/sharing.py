@@ -98,6 +98,24 @@ def uncached(texts: DataFrame, cache: DataFrame, column: str) -> DataFrame:
     return keyed.groupBy("key").agg(F.min(column).alias(column)).join(cache.select("key").distinct(), "key", "left_anti")
 
 
+def written_back(cache: DataFrame, embedded: DataFrame) -> DataFrame:
+    """The cache (``key``, ``vector``) with new vectors for keys that it lacks, one a key: of several the one that sorts first. Its own rows stay."""
+    new = embedded.where(F.col("key").isNotNull() & F.col("vector").isNotNull()).groupBy("key").agg(F.min("vector").alias("vector"))
+    return cache.select("key", "vector").unionByName(new.join(cache.select("key").distinct(), "key", "left_anti"))
+
+
+def with_vectors(texts: DataFrame, cache: DataFrame, column: str) -> DataFrame:
+    """``texts`` with the ``vector`` that the cache has for each; null for null and blank texts, and for ones that it lacks.
+
+    Distinct texts meet the cache, so one that stands in very many rows is looked up
+    once; rows then meet their distinct text by its key. Keys of the cache are unique.
+    """
+    key = F.when(F.trim(column) != "", P.embedding_key(F.col(column)))
+    rows = texts.withColumn("__key", key)
+    found = rows.select("__key").where(F.col("__key").isNotNull()).distinct().join(cache.select(F.col("key").alias("__key"), "vector"), "__key")
+    return rows.join(found, "__key", "left").drop("__key")
+
+
 def new_links(analyses: DataFrame, now: Column, days: Column, mode: Column, secret: str) -> DataFrame:
     """A link for each analysis (``id``, ``user_id``): ``token``, expiry of 1 to 30 days, mode; not revoked.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayer.functions import privacy as P
 from assayer.functions import scores as S
 from assayer.operators import locating, matching, normalising, ranges, sections, sharing
 from assayer.plans.queries import ORIGIN_NAMES, RATIO, query, strings
@@ -191,3 +192,21 @@ def links_resolved(spark, d):
     out = sharing.resolve(links, orders.select(F.col("o_orderkey").alias("analysis_id"), "o_custkey", "o_totalprice"), now + F.expr("interval 10 days")).join(links.select("token", "expires_at"), "token")
     order = Window.partitionBy("o_custkey").orderBy(F.desc("expires_at"), "analysis_id")
     return out.select("analysis_id", "visibility_mode", F.col("o_totalprice").alias("total"), F.row_number().over(order).cast("long").alias("nth"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vector, (SELECT count(*) FROM embeddings) AS n FROM embeddings
+), k AS (SELECT doc_id, left(sha256(lower(trim(text))), 32) AS key, text FROM documents WHERE trim(text) <> ''
+), made AS (SELECT key, doc_id, vec_id, n FROM k JOIN v ON vec_id = doc_id % n
+), c AS (SELECT key, min(vec_id) AS vec_id FROM made WHERE doc_id % 4 = 0 GROUP BY key
+), w AS (SELECT key, min(vec_id) AS vec_id FROM made WHERE doc_id % 4 IN (1, 2) GROUP BY key
+), whole AS (SELECT * FROM c UNION ALL SELECT * FROM w ANTI JOIN c USING (key))
+SELECT d.doc_id, whole.vec_id FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN whole ON whole.key = k.key""")
+def vectors_of_texts(spark, d):
+    """Vectors for half of the texts written back to a cache that has a quarter of them, and all texts joined with what it then has. A vector is told by its number here."""
+    docs = tables.table(spark, d, "documents").select("doc_id", "text")
+    n = tables.table(spark, d, "embeddings").agg(F.count("*").alias("n"))
+    vectors = tables.table(spark, d, "embeddings").select("vec_id")
+    made = docs.where(F.trim("text") != "").join(F.broadcast(n)).select("doc_id", P.embedding_key(F.col("text")).alias("key"), (F.col("doc_id") % F.col("n")).alias("vec_id")).join(vectors, "vec_id")
+    cache = made.where("doc_id % 4 = 0").groupBy("key").agg(F.min("vec_id").alias("vector"))
+    whole = sharing.written_back(cache, made.where("doc_id % 4 IN (1, 2)").select("key", F.col("vec_id").alias("vector")))
+    return sharing.with_vectors(docs, whole, "text").select("doc_id", F.col("vector").alias("vec_id"))
