@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
@@ -22,6 +22,18 @@ def job_match(requirements: DataFrame, matches: DataFrame, by: Sequence[str] = (
     return coverage(rows, by)
 
 
+def rubric(spark: SparkSession, version: str = "default") -> DataFrame:
+    """The weights that scores use by default, as a table: ``version``, ``section``, ``name``, ``weight``."""
+    sections = {"priority": S.PRIORITY_WEIGHTS, "overall": S.OVERALL_WEIGHTS, "metric": S.METRIC_WEIGHTS, "judgement": S.RUBRIC_WEIGHTS}
+    return spark.createDataFrame([(version, section, name, weight) for section, weights in sections.items() for name, weight in weights.items()], "version string, section string, name string, weight double")
+
+
+def weighted(rows: DataFrame, rubrics: DataFrame, priority: str = "priority") -> DataFrame:
+    """``rows`` once for each version of ``rubrics``, with ``version`` and the ``weight`` that it gives their priority; a priority that a version lacks weighs nothing there and gives no row."""
+    weights = rubrics.where("section = 'priority'").select("version", F.col("name").alias(priority), "weight")
+    return rows.join(weights, priority)
+
+
 def coverage(rows: DataFrame, by: Sequence[str], weight: str = "weight", strength: str = "strength", priority: str = "priority") -> DataFrame:
     """``job_match``, ``uncapped``, ``must_coverage``, ``overall_coverage`` and ``band`` by group, in one aggregation."""
     must, earned = F.col(priority) == "must", F.col(weight) * F.col(strength)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
-from assayer.operators import locating, matching, normalising, ranges, sections, sharing
-from assayer.plans.queries import ORIGIN_NAMES, RATIO, query, strings
+from assayer.operators import locating, matching, normalising, ranges, scoring, sections, sharing
+from assayer.plans.queries import _COVERAGE, ORIGIN_NAMES, RATIO, _band, _even, _gate, query, requirements, strings
 from assayer.sources import frames, tables
 
 #: Names for skills of test rows: parts have none that are long enough for typing errors.
@@ -210,3 +210,14 @@ def vectors_of_texts(spark, d):
     cache = made.where("doc_id % 4 = 0").groupBy("key").agg(F.min("vec_id").alias("vector"))
     whole = sharing.written_back(cache, made.where("doc_id % 4 IN (1, 2)").select("key", F.col("vec_id").alias("vector")))
     return sharing.with_vectors(docs, whole, "text").select("doc_id", F.col("vector").alias("vec_id"))
+
+
+@query(f"""WITH {_COVERAGE}, rubric(version, priority, weight) AS (VALUES ('default', 'must', 3.0), ('default', 'strong', 2.0), ('default', 'nice', 1.0), ('strict', 'must', 4.0), ('strict', 'strong', 1.5), ('strict', 'nice', 0.5)
+), s AS (SELECT version, pair_id, sum(weight * r.strength)::DOUBLE / sum(weight)::DOUBLE * 100 AS raw, coalesce(sum(weight * r.strength) FILTER (priority = 'must')::DOUBLE / sum(weight) FILTER (priority = 'must')::DOUBLE, 1.0) AS mc FROM requirements r JOIN rubric USING (priority) GROUP BY ALL
+), c AS (SELECT *, ({_gate("raw", "mc")})::DOUBLE AS capped FROM s)
+SELECT version, pair_id, {_even("capped")} AS job_match, {_band("capped")} AS band FROM c""")
+def rubric_coverage(spark, d):
+    """Every order's coverage under two versions of the rubric, which is a table."""
+    strict = spark.createDataFrame([("strict", "priority", n, w) for n, w in (("must", 4.0), ("strong", 1.5), ("nice", 0.5))], "version string, section string, name string, weight double")
+    rows = scoring.weighted(requirements(spark, d), scoring.rubric(spark).unionByName(strict))
+    return scoring.coverage(rows, ["version", "pair_id"]).select("version", "pair_id", "job_match", "band")
