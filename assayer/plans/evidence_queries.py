@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
-from assayer.operators import locating, matching, normalising, ranges, scoring, sections, sharing
-from assayer.plans.queries import _COVERAGE, ORIGIN_NAMES, RATIO, _band, _even, _gate, query, requirements, strings
+from assayer.operators import layout, locating, matching, normalising, ranges, rules, scoring, sections, sharing
+from assayer.plans.queries import _COVERAGE, ORIGIN_NAMES, RATIO, _band, _even, _gate, layout_spans, query, requirements, strings
 from assayer.sources import frames, tables
 
 #: Names for skills of test rows: parts have none that are long enough for typing errors.
@@ -221,3 +221,21 @@ def rubric_coverage(spark, d):
     strict = spark.createDataFrame([("strict", "priority", n, w) for n, w in (("must", 4.0), ("strong", 1.5), ("nice", 0.5))], "version string, section string, name string, weight double")
     rows = scoring.weighted(requirements(spark, d), scoring.rubric(spark).unionByName(strict))
     return scoring.coverage(rows, ["version", "pair_id"]).select("version", "pair_id", "job_match", "band")
+
+
+_SEEN = ["text_in_table", "text_as_image", "content_in_header_footer", "informative_graphics", "exotic_fonts", "hidden_text"]
+
+
+@query(f"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS s FROM documents
+), d AS (SELECT doc_id, max(i // 40) AS last_page, count(*) FILTER (i % 11 = 0 AND trim(s) <> '') > 0 AS pale FROM l GROUP BY doc_id
+), f AS (SELECT doc_id, unnest([CASE WHEN doc_id % 3 = 0 AND last_page > 0 THEN 'text_in_table' END, CASE WHEN doc_id % 6 = 2 THEN 'text_as_image' END, 'content_in_header_footer', CASE WHEN doc_id % 6 <> 2 AND (doc_id % 4 = 1 OR doc_id % 5 = 4 AND last_page >= 2) THEN 'informative_graphics' END, CASE WHEN doc_id % 7 = 0 THEN 'exotic_fonts' END, CASE WHEN pale THEN 'hidden_text' END]) AS rule_id FROM d)
+SELECT doc_id, f.rule_id, severity, deduction FROM f JOIN (VALUES {", ".join(f"('{r.rule_id}', '{r.severity}', {float(r.deduction)}::DOUBLE)" for r in rules.RULES)}) AS r(rule_id, severity, deduction) USING (rule_id)""")
+def layout_findings(spark, d):
+    """The checks that go by layout, on signals of every document's positioned spans and of blocks put on its pages."""
+    spans = layout_spans(spark, d).withColumn("font", F.when(F.col("doc_id") % 7 == 0, "Papyrus").otherwise(F.col("font")))
+    pages = spans.select("doc_id", "page").distinct()
+    block = lambda kind, share, n: F.struct(F.lit(kind).alias("kind"), F.lit(share).alias("area_share"), n.cast("int").alias("rows"))
+    first, i = F.col("page") == 0, F.col("doc_id")
+    made = F.array_compact(F.array(block("text", 0.3, F.lit(0)), F.when(i % 3 == 0, block("table", 0.1, F.col("page") + 1)), F.when((i % 6 == 2) & first, block("image", 0.95, F.lit(0))), *[F.when((i % 4 == 1) & first, block("image", 0.01, F.lit(0)))] * 3, F.when(i % 5 == 4, block("image", 0.01, F.lit(0)))))
+    blocks = pages.select("doc_id", "page", F.explode(made).alias("b")).select("doc_id", "page", "b.*")
+    return rules.findings(layout.signals(spans, blocks), rules=[r for r in rules.RULES if r.rule_id in _SEEN]).drop("ord")
