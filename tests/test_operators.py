@@ -497,6 +497,13 @@ def spans(spark):
     return spark.createDataFrame(rows, "doc_id int, page int, line int, span int, text string, font string, size double, color int, flags int, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
 
 
+def test_rubric_does_not_deal_rows_by_priority(spark):
+    rows = spark.createDataFrame([(i, "must", 1.0) for i in range(10)], "pair_id int, priority string, strength double")
+    out = scoring.weighted(rows, scoring.rubric(spark))
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["weight"] for r in out.collect()} == {3.0} and out.count() == 10
+
+
 def test_reading_order(spark):
     lines = layout.lines(spans(spark))
     body = layout.strip_repeated(lines)
