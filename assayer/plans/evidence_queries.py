@@ -31,16 +31,16 @@ def named_skills(spark, d) -> DataFrame:
     return r.select(F.col("l_orderkey").alias("pair_id"), _named(F.col("l_partkey") % 12).alias("canonical"), origin.alias("origin"), (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 1000).alias("ord"), F.col("l_quantity").cast("long").alias("months"))
 
 
-def order_texts(spark, d) -> DataFrame:
-    """A document for each order, by turns."""
+def order_documents(spark, d) -> DataFrame:
+    """The document of each order, by turns."""
     n = tables.table(spark, d, "documents").agg(F.count("*").alias("n"))
-    o = tables.table(spark, d, "orders").select("o_orderkey").join(F.broadcast(n)).select(F.col("o_orderkey").alias("pair_id"), (F.col("o_orderkey") % F.col("n")).alias("doc_id"))
-    return o.join(tables.table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("pair_id", "text")
+    return tables.table(spark, d, "orders").join(F.broadcast(n)).select(F.col("o_orderkey").alias("pair_id"), "o_custkey", (F.col("o_orderkey") % F.col("n")).alias("document_id"))
 
 
 def asked(spark, d) -> DataFrame:
     """Five requirements an order: a skill by name, one misspelt, one whose text the taxonomy has (and no skill is called), and two in words."""
-    o = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey").join(order_texts(spark, d), "pair_id", "left")
+    heads = tables.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.substring("text", 1, 60).alias("text"))
+    o = order_documents(spark, d).join(heads, "document_id", "left").drop("document_id").repartition("pair_id")  # before an order becomes five rows
     rows = o.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(5)]))).withColumn("name", _named((F.col("o_custkey") + F.col("k") * 5) % 12))
     words = F.regexp_replace(F.substring("text", 11, 40), " ", "  ")
     text = F.when(F.col("k") == 0, F.initcap("name")).when(F.col("k") == 1, F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)"))).when(F.col("k") == 2, F.concat("name", F.lit("z"))).when(F.col("k") == 3, F.concat(F.lit("• "), words, F.lit(";"))).otherwise(F.concat(F.substring("text", 3, 30), F.lit(" ?!")))
@@ -72,9 +72,10 @@ def cascade_tiers(spark, d):
     """All tiers: names of the taxonomy, typing errors in the document's own skills, wordings, neighbours."""
     edges = spark.createDataFrame(EDGES, "skill string, near string, ord int")
     known = spark.createDataFrame([(n, n, i) for i, n in enumerate(NAMES)], "canonical string, alias string, ord int")
+    texts = tables.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
     rows = asked(spark, d)
     exact = matching.canonical(rows.drop("canonical"), known, "text")
-    return matching.cascade(exact, named_skills(spark, d), edges, documents=order_texts(spark, d), explain=True).select("pair_id", "requirement_id", "strength", "status", "origin", "tier", "skill")
+    return matching.cascade(exact, named_skills(spark, d), edges, documents=texts, explain=True, shared=order_documents(spark, d).drop("o_custkey")).select("pair_id", "requirement_id", "strength", "status", "origin", "tier", "skill")
 
 
 def claims(spark, d) -> DataFrame:

@@ -258,7 +258,7 @@ _WANTED = """wanted AS (SELECT DISTINCT o_orderkey AS pair_id, CAST(k AS BIGINT)
 def wanted(spark, d) -> DataFrame:
     o = tables.table(spark, d, "orders").select("o_orderkey", "o_custkey")
     k = F.explode(F.array(*[F.lit(i) for i in range(3)]))
-    rows = o.select(F.col("o_orderkey").alias("pair_id"), "o_custkey", k.alias("k"))
+    rows = o.repartition("o_orderkey").select(F.col("o_orderkey").alias("pair_id"), "o_custkey", k.alias("k"))  # before an order becomes three rows
     return rows.select("pair_id", F.col("k").cast("long").alias("requirement_id"), F.concat(F.lit("s"), ((F.col("o_custkey") + F.col("k") * 5) % 12).cast("string")).alias("canonical"), F.when(F.col("k") == 1, 2.0).alias("years"), F.when(F.col("k") == 2, "education").otherwise("tool").alias("category"))
 
 

@@ -50,6 +50,26 @@ def test_typing_errors_meet_the_document_s_own_skills(spark):
     assert strict["status"] == "missing"  # a name that the taxonomy knows is another skill
 
 
+def test_requirements_and_skills_meet_once(spark):
+    """All tiers are read off one row a requirement: one shuffle by key of each side, whatever the tiers."""
+    rows = spark.createDataFrame([(i, k, f"s{k}", None) for i in range(4) for k in range(3)], "pair_id int, requirement_id int, canonical string, years double")
+    skills = spark.createDataFrame([(i, f"s{k + 1}", "summary", k, 1) for i in range(4) for k in range(2)], "pair_id int, canonical string, origin string, ord int, months long")
+    out = matching.cascade(rows, skills, spark.createDataFrame([("s0", "s2", 0)], "skill string, near string, ord int"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted((r["requirement_id"], r["status"], r["via"]) for r in out.where("pair_id = 3").collect()) == [(0, "partial", "s2"), (1, "matched", None), (2, "matched", None)]
+
+
+def test_pairs_that_share_a_document_seek_a_wording_once(spark, monkeypatch):
+    asked = spark.createDataFrame([(i, k, w, "responsibility") for i in range(5) for k, w in enumerate(("led a team", "absent"))], "pair_id int, requirement_id int, text string, category string")
+    shared = spark.createDataFrame([(i, i % 2) for i in range(5)], "pair_id int, document_id int")
+    documents = spark.createDataFrame([(0, "who led a team"), (1, "nothing")], "document_id int, text string")
+    sought = []
+    located = locating.located
+    monkeypatch.setattr(locating, "located", lambda d, n, *a, **k: (sought.append(n.count()), located(d, n, *a, **k))[1])
+    got = matching.literal(asked, documents, ["pair_id"], shared)
+    assert sought == [4] and sorted(map(tuple, got.collect())) == [(0, 0), (2, 0), (4, 0)]
+
+
 def test_evidence_of_one_rank_and_place_is_the_last_origin_by_name(spark):
     for origins in (("education", "skills_list"), ("skills_list", "education")):
         rows = spark.createDataFrame([(1, "s", o, 7) for o in origins], "pair_id int, canonical string, origin string, ord int").coalesce(1)
