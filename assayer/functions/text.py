@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +21,11 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once, however often ``use`` names it; inside a lambda a bare expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def alternation(phrases: Iterable[str]) -> str:
     """A pattern of quoted phrases, longest first."""
     return "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
@@ -26,13 +33,12 @@ def alternation(phrases: Iterable[str]) -> str:
 
 def contains_any(text: Column, phrases: Iterable[str]) -> Column:
     """Whether the lower-cased text contains one of ``phrases``."""
-    return F.lower(text).rlike(alternation(phrases))
+    return bound(F.lower(text), lambda t: reduce(or_, [F.contains(t, F.lit(p)) for p in phrases]))
 
 
 def phrases_in(text: Column, phrases: Iterable[str]) -> Column:
     """Those of ``phrases`` that the lower-cased text contains, in their order."""
-    lowered = F.lower(text)
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(lowered, p))
+    return bound(F.lower(text), lambda t: F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p)))
 
 
 def words(text: Column) -> Column:
@@ -141,9 +147,13 @@ def section_kind(text: Column, headings: dict[str, tuple[str, ...]] = lexicon.HE
     kinds = {p: kind for kind, phrases in headings.items() for p in phrases}
     longest = sorted(kinds, key=lambda p: -len(p))
     of = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    key = section_key(text)
-    inside = F.get(F.filter(F.array(*[F.lit(p) for p in longest if len(p) >= 5]), lambda p: F.contains(F.concat(F.lit(" "), key, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))), F.lit(0))
-    return F.when(key == "", None).otherwise(F.coalesce(F.try_element_at(of, key), F.when(F.size(F.split(key, " ")) <= 4, F.try_element_at(of, inside))))
+    padded = F.array(*[F.lit(f" {p} ") for p in longest if len(p) >= 5])
+
+    def kind(key: Column) -> Column:
+        inside = bound(F.concat(F.lit(" "), key, F.lit(" ")), lambda k: F.get(F.filter(padded, lambda p: F.contains(k, p)), F.lit(0)))
+        return F.when(key == "", None).otherwise(F.coalesce(F.try_element_at(of, key), F.when(F.size(F.split(key, " ")) <= 4, F.try_element_at(of, F.trim(inside)))))
+
+    return bound(section_key(text), kind)
 
 
 def is_heading_like(line: Column) -> Column:
