@@ -11,7 +11,9 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,14 +45,30 @@ def fold(text: str) -> tuple[str, list[int]]:
     return "".join(out), source
 
 
+#: Bytes of text worked on at once, at about: what is made of a text is many times its size.
+PORTION = 1 << 20
+
+
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts have ``PORTION`` bytes and one text more at most. Nothing is copied or left out."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    before = np.cumsum(sizes) - sizes
+    first = 0
+    while first < batch.num_rows:
+        past = max(first + 1, int(np.searchsorted(before, before[first] + PORTION, "right")))
+        yield batch.slice(first, past - first)
+        first = past
+
+
 def folded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``folded`` text and ``sources`` (offset in the text of each folded character); null texts stay null."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             done = [None if t is None else (t, range(len(t))) if t.isascii() else fold(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d and d[0] for d in done], pa.string()), pa.array([None if d is None else list(d[1]) for d in done], pa.list_(pa.int32()))], names=["id", "folded", "sources"])
+            sources = [None if d is None else np.arange(len(d[1]), dtype=np.int32) if isinstance(d[1], range) else np.array(d[1], np.int32) for d in done]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d and d[0] for d in done], pa.string()), pa.array(sources, pa.list_(pa.int32()))], names=["id", "folded", "sources"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("folded", T.StringType()), T.StructField("sources", T.ArrayType(T.IntegerType()))]))
 

@@ -1,9 +1,11 @@
 """Folding, redaction with a way back, located claims, prompts, progress."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from assayer.functions import text as T
 from assayer.operators import offsets, resumes
 
 
@@ -57,3 +59,22 @@ def test_prompts_rewrites_progress(spark):
     s = spark.createDataFrame([(1, "a", 5, "ok"), (1, "b", 7, "degraded")], "run int, stage string, ms int, status string")
     r = resumes.timings(s, ["run"]).first()
     assert r["timings"] == {"a": 5, "b": 7} and r["total_ms"] == 12 and r["degraded"]
+
+
+def test_texts_are_folded_in_portions(monkeypatch):
+    monkeypatch.setattr(offsets, "PORTION", 10)
+    texts = ["aaaa", None, "bbbb", "", "c" * 50, "dd", "eeee", "ﬁ"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    for part in (batch, batch.slice(2, 5)):
+        cut = list(offsets.portions(part, 1))
+        assert pa.Table.from_batches(cut).to_pylist() == part.to_pylist()
+        assert all(c.num_rows == 1 or sum(len(t or "") for t in c["text"].to_pylist()[:-1]) <= 10 for c in cut) and len(cut) > 1
+    assert list(offsets.portions(batch.slice(0, 0), 1)) == []
+
+
+def test_a_heading_is_tidied_once(spark):
+    """Not once for each phrase that it may contain."""
+    assert T.section_kind(F.col("x"))._jc.toString().count("regexp_replace") == 3
+    rows = spark.createDataFrame([("My Work Experience:",), ("SKILLS",), ("...",), (None,), ("nothing of the kind in here",)], "x string")
+    assert [r[0] for r in rows.select(T.section_kind(F.col("x"))).collect()] == ["experience", "skills", None, None, None]
+    assert [r[0] for r in rows.select(T.contains_any(F.col("x"), ["skills", "work"])).collect()] == [True, True, False, None, False]
