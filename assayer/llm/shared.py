@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What ``keep`` and ``keep_bucketed`` have written and is not yet deleted, oldest first: name of the table, if it is one, and path.
-_kept: list[tuple[str, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where it is unset, and the master is local (as in tests), a temporary
-    folder serves; on a cluster a missing folder is an error, since executors
-    wouldn't see one another's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else None
-    if not named:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named.rstrip("/")
+from assayer.sources.kept import _kept, keep, shared_dir
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -48,20 +26,6 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back, so that no later job computes it again.
-
-    The table survives the loss of any executor. A written table holds no rows
-    of unknown type, so its schema is passed to the reader instead of inferred.
-    It stays until ``release`` or the end of a ``released`` block.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _kept.append(("", path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keep_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Like ``keep``, as a table bucketed by ``key`` whose files lie in the shared folder, too: later groupings on it need no shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"

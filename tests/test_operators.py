@@ -626,6 +626,11 @@ def test_report(spark):
     assert advice.clean_layout_gain(parts["scores"]).where("pair_id = 1").first()["gain"] == 5.0
 
 
+def test_no_plan_of_a_report_holds_the_whole_chain(spark):
+    plan = report.nest(analysed(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 60
+
+
 # sources ---------------------------------------------------------------------
 
 
