@@ -277,3 +277,11 @@ def locate(source: Column, needle: Column) -> Column:
     before = F.call_function("regexp_extract", source, loose, F.lit(1))
     found = F.call_function("regexp_like", source, loose)
     return F.when(needle == "", None).when(exact > 0, exact - 1).when(bare == "", None).when(trimmed > 0, trimmed - 1).when(found, F.length(before))
+
+
+def starts(lengths: Column, chunk: int = 256) -> Column:
+    """Where each of the parts with these lengths begins: the sum of all before it, by chunks, so that no long array is copied for each of its values. ``lengths`` should be a column of its own: an expression is computed for each chunk."""
+    grow = lambda values, first: F.aggregate(values, F.array(first), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / chunk).cast("int")), lambda c: F.slice(lengths, c * chunk + 1, chunk))
+    before = grow(F.transform(chunks, lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)), F.lit(0))
+    return F.flatten(F.zip_with(chunks, F.slice(before, F.lit(1), F.size(chunks)), lambda x, b: F.slice(grow(x, b), F.lit(1), F.size(x))))

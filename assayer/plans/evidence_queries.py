@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import privacy as P
 from assayer.functions import scores as S
+from assayer.functions import text as T
 from assayer.operators import layout, locating, matching, normalising, ranges, rules, scoring, sections, sharing
 from assayer.plans.queries import _COVERAGE, ORIGIN_NAMES, RATIO, _band, _even, _gate, layout_spans, query, requirements, strings
 from assayer.sources import frames, tables
@@ -116,12 +117,14 @@ def normalised_spans(spark, d):
     return lines.select(F.col("id").alias("doc_id"), F.col("line").cast("long").alias("line"), span.alias("span"), F.md5(F.col("said").cast("binary")).alias("said"), F.col("repairs").cast("long").alias("repairs")).select("doc_id", "line", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"), "said", "repairs")
 
 
-def pieces(rows: DataFrame, by: str, pattern: str, name: str) -> DataFrame:
-    """The parts of each text that ``pattern`` divides, with their places: key, ``name`` (number), ``start``, ``end``."""
-    parts = rows.select(by, F.posexplode(F.split("text", pattern, -1)).alias(name, "part"))
-    before = Window.partitionBy(by).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("long")
-    return parts.select(by, F.col(name).cast("long").alias(name), start.alias("start"), (start + F.length("part")).alias("end"), F.trim(F.replace(F.col("part"), F.lit("\n"), F.lit(" "))).alias("said")).withColumn("is_word", F.col("said") != "").drop("said")
+def pieces(rows: DataFrame, by: str, pattern: str, name: str, words: bool = False) -> DataFrame:
+    """The parts of each text that ``pattern`` divides, with their places: key, ``name`` (number), ``start``, ``end``; ``words``: only parts that aren't blank. Found within the row, so no text is shuffled."""
+    parts = rows.select(by, F.split("text", pattern, -1).alias("parts"))
+    parts = parts.select(by, "parts", F.transform("parts", F.length).alias("lengths")).select(by, "parts", T.starts(F.col("lengths")).alias("starts"))
+    each = F.transform("parts", lambda p, i: F.struct(i.cast("long").alias(name), F.get("starts", i).cast("long").alias("start"), (F.get("starts", i) + F.length(p)).cast("long").alias("end"), F.trim(F.replace(p, F.lit("\n"), F.lit(" "))).alias("said")))
+    each = F.filter(each, lambda x: x["said"] != "") if words else each
+    # outer, as Spark else computes the whole array twice more to leave out rows without parts
+    return parts.select(by, F.inline_outer(each)).where(F.col("start").isNotNull()).drop("said")
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^ \n]+')) AS gap, generate_subscripts(regexp_split_to_array(text, '[^ \n]+'), 1) AS n FROM documents
@@ -133,8 +136,8 @@ SELECT doc_id, line, count(*) AS n_words, sum(place - a)::BIGINT AS places FROM
 def lines_of_words(spark, d):
     """The line that each word of each document begins in, by a range join of places with lines: words of each line, and the sum of their columns."""
     docs = tables.dealt_table(spark, d, "documents").select("doc_id", "text")
-    lines = pieces(docs, "doc_id", r"(?<=\n)", "line").drop("is_word")
-    words = pieces(docs, "doc_id", r"(?<=[ \n])(?=[^ \n])|(?<=[^ \n])(?=[ \n])", "number").where("is_word").select("doc_id", F.col("start").alias("at"))
+    lines = pieces(docs, "doc_id", r"(?<=\n)", "line")
+    words = pieces(docs, "doc_id", r"(?<=[ \n])(?=[^ \n])|(?<=[^ \n])(?=[ \n])", "number", words=True).select("doc_id", F.col("start").alias("at"))
     met = ranges.points_in_intervals(words, lines, ["doc_id"], "at", "start", "end")
     return met.groupBy("doc_id", "line").agg(F.count("*").alias("n_words"), F.sum(F.col("at") - F.col("start")).alias("places"))
 
