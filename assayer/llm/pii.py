@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from assayer.llm.shared import bounded_batches, keep
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Spans a kind that the trees are fitted and calibrated on, at about: base spans (each in several forms) and free candidates.
+#: What a kind's base spans (each in several forms) and free candidates weigh in all at most, one each up to there; all of them count, however many.
 FIT_BASE, FIT_FREE = 250, 700
+#: Different feature vectors that one task fits on.
+FIT_ROWS = 100_000
 #: Trees, their depth, the share of right ones among the calibration spans that a threshold must reach, and the least threshold.
 TREES, DEPTH, PRECISION, EVEN = 12, 4, 0.99, 0.5
 #: Characters of context.
@@ -179,14 +181,17 @@ def _whole(forms: Column, pattern: str) -> Column:
 
 
 def examples(found: DataFrame) -> DataFrame:
-    """Labelled spans, about ``FIT_BASE`` base and ``FIT_FREE`` free ones of each kind, picked by hash: ``kind``, ``match``, ``left``, ``right``, ``label``, ``free``."""
-    n = found.where("kind is not null").groupBy("kind").agg(F.count_if("base").alias("n_base"), F.count_if(~F.col("base") & F.col("free")).alias("n_free"))
-    part = F.pmod(F.xxhash64("match", "left", "right"), F.lit(1 << 30)) / float(1 << 30)
-    # equal spans count once, so that one that is copied a million times is one example
-    picked = found.join(F.broadcast(n), "kind").where(F.when(F.col("base"), part * F.col("n_base") < FIT_BASE).otherwise(F.col("free") & (part * F.col("n_free") < FIT_FREE)))
-    picked = picked.select("kind", "base", "match", "left", "right").distinct()
-    good = picked.where("base").select("kind", F.explode(_forms()).alias("f"), "left", "right").select("kind", "f.match", "left", "right", "f.label", F.lit(False).alias("free"))
-    return good.unionByName(picked.where("not base").select("kind", "match", "left", "right", F.lit(0.0).alias("label"), F.lit(True).alias("free")))
+    """Labelled spans, from every base span and every free candidate: ``kind``, ``match``, ``left``, ``right``, ``label``, ``free``, ``weight``.
+
+    Equal ones count once, so that a span that is copied a million times is one
+    example. Base spans of a kind weigh ``FIT_BASE`` at most in all, free ones
+    ``FIT_FREE``, so the balance doesn't change with the size of a corpus.
+    """
+    picked = found.where(F.col("kind").isNotNull() & (F.col("base") | F.col("free"))).select("kind", "base", "match", "left", "right").distinct()
+    n = picked.groupBy("kind", "base").agg(F.count("*").alias("n"))
+    picked = picked.join(F.broadcast(n), ["kind", "base"]).withColumn("weight", F.least(F.lit(1.0), F.when(F.col("base"), FIT_BASE).otherwise(FIT_FREE) / F.col("n")))
+    good = picked.where("base").select("kind", F.explode(_forms()).alias("f"), "left", "right", "weight").select("kind", "f.match", "left", "right", "f.label", F.lit(False).alias("free"), "weight")
+    return good.unionByName(picked.where("not base").select("kind", "match", "left", "right", F.lit(0.0).alias("label"), F.lit(True).alias("free"), "weight"))
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -201,12 +206,16 @@ def train(found: DataFrame, least: int = 20) -> tuple[GBTClassificationModel | N
     no = found.sparkSession.createDataFrame([], "kind string, threshold double")
     if min(counts.get(0.0, 0), counts.get(1.0, 0)) < least:
         return None, no
-    # the sample is bounded: one task, in one order, gives the same trees each time
-    fit = assembled(rows.where("part > 0")).select("features", "label", "kind", "match", "left", "right").coalesce(1).sortWithinPartitions("kind", "match", "left", "right", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, stepSize=0.3).fit(fit)
-    seen = score(rows.where("part = 0 and not free"), model).select("kind", "label", "p")
-    by_p = Window.partitionBy("kind").orderBy(F.desc("p"))
-    right = seen.withColumn("right", F.avg("label").over(by_p)).withColumn("n", F.count("*").over(Window.partitionBy("kind")))
+    # equal vectors are one row with their weight: far fewer than spans, in one order, so that the trees are the same each time
+    names = list(features())
+    fit = keep(rows.where("part > 0").withColumns(features()).groupBy("label", *names).agg(F.sum("weight").alias("weight")), "pii-vectors")
+    tasks = -(-fit.count() // FIT_ROWS)
+    fit = (fit.coalesce(1) if tasks == 1 else fit.repartitionByRange(tasks, *names, "label")).sortWithinPartitions(*names, "label")
+    fit = VectorAssembler(inputCols=names, outputCol="features").transform(fit).select("features", "label", "weight")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, stepSize=0.3, weightCol="weight").fit(fit)
+    seen = score(rows.where("part = 0 and not free"), model).groupBy("kind", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    by_p, every = Window.partitionBy("kind").orderBy(F.desc("p")), Window.partitionBy("kind")
+    right = seen.select("kind", "p", (F.sum("good").over(by_p) / F.sum("n").over(by_p)).alias("right"), F.sum("n").over(every).alias("n"))
     return model, keep(right.where((F.col("right") >= PRECISION) & (F.col("n") >= least)).groupBy("kind").agg(F.greatest(F.min("p"), F.lit(EVEN)).alias("threshold")), "pii-thresholds")
 
 

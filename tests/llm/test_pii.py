@@ -98,6 +98,15 @@ def test_other_forms_are_added_and_clean_numbers_left(mixed):
         assert all(p[1] <= q[0] for p, q in zip(sorted(mine), sorted(mine)[1:]))
 
 
+def test_every_span_is_an_example(spark):
+    """However many there are, and the balance of a kind stays as it is with few."""
+    texts = [f"mail a{i}@b{i}.org now, number {10**15 + i} or more" for i in range(1500)]
+    told = pii.free_of_base(pii.spans(frame(spark, [*texts, *texts])).where("kind is not null"))
+    by = {(r["kind"], r["free"]): r for r in pii.examples(told).groupBy("kind", "free").agg(F.count_distinct("match").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert by["email", False]["n"] >= 1500 and by["card", True]["n"] >= 1200
+    assert abs(by["card", True]["w"] - pii.FIT_FREE) < 1e-6 and by["email", False]["w"] <= 9 * pii.FIT_BASE
+
+
 def test_redaction(spark):
     df = frame(spark, ["mail a.b@c.de now, or 10.0.0.1", None, "é+1 (234) 567-8901!"])
     got = df.join(pii.find(df).withColumnRenamed("id", "doc_id").select("doc_id", "spans"), "doc_id").select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("r")).collect()
