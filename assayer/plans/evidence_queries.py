@@ -154,6 +154,8 @@ def exact_rounding(spark, d):
 def chunked_frames(spark, d):
     """Every user's events as one text of frames, cut into chunks of seven characters, and read back from the chunks."""
     events = tables.table(spark, d, "events").select("user_id", "ts", "event_id", frames.frame(F.col("event_type"), F.to_json(F.struct("event_id"))).alias("frame"))
+    # a number of partitions that stays: merged by the bytes of frames, they would be too few for the chunks that come of them
+    events = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "frame"))), lambda e: e["frame"]), "")
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 7).cast("int")), lambda k: F.substring(F.col("text"), k * 7 + 1, F.lit(7)))
     chunks = events.groupBy("user_id").agg(text.alias("text")).select("user_id", F.posexplode(cut).alias("seq", "chunk"))

@@ -40,17 +40,18 @@ def from_chunks(chunks: DataFrame, id_col: str = "id", seq: str = "seq", chunk:
     of a frame then meet in one group, and no text is ever put together as a whole. A
     break may be cut itself: a chunk hands an odd line break at its end to the next
     one, for which running sums over the chunks' line breaks suffice. Carriage returns
-    are dropped, null chunks are empty, and so is an unfinished last frame.
+    are dropped, null chunks are empty, and so is an unfinished last frame. Chunks are
+    sorted once, for all that is counted over them.
     """
     order = Window.partitionBy(id_col).orderBy(seq)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     text = F.replace(F.coalesce(F.col(chunk), F.lit("")), F.lit("\r"), F.lit(""))
     rows = chunks.select(F.col(id_col), F.col(seq), text.alias("text"))
     rows = rows.withColumn("tail", F.length(F.regexp_extract("text", r"(\n*)$", 1))).withColumn("only", F.col("tail") == F.length("text"))
-    # line breaks since the last other character, before this chunk: its run's tail, and all chunks of nothing else since
-    rows = rows.withColumn("run", F.coalesce(F.sum((~F.col("only")).cast("int")).over(before), F.lit(0)))
-    within = Window.partitionBy(id_col, "run_of").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("run_of", F.col("run") + (~F.col("only")).cast("int")).withColumn("past", F.sum("tail").over(within) % 2)
+    # line breaks since the last other character: those so far, less those before the last chunk with another
+    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("sofar", F.sum("tail").over(here)).withColumn("since", F.last(F.when(~F.col("only"), F.col("sofar") - F.col("tail")), ignorenulls=True).over(here))
+    rows = rows.withColumn("past", (F.col("sofar") - F.coalesce("since", F.lit(0))) % 2)
     handed = F.coalesce(F.lag("past").over(order), F.lit(0)).cast("int")
     whole = F.concat(F.repeat(F.lit("\n"), handed), F.col("text"))
     rows = rows.withColumn("w", whole).withColumn("w", F.when(F.col("past") == 1, F.expr("left(w, length(w) - 1)")).otherwise(F.col("w")))

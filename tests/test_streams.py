@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import scores as S
 from assayer.operators import cohort, ranges
+from assayer.plans import evidence_queries
 from assayer.sources import frames
 from assayer.streaming import counters, ordered, sinks
 
@@ -125,6 +126,14 @@ def test_cohorts_grow_by_batches(spark, tmp_path):
     assert sinks._batches(spark, f"{folder}/merged") == [1, 3]
 
 
+def test_chunks_are_dealt_apart_and_sorted_once(spark):
+    """Partitions of users aren't merged by the size of frames, and one sort serves all windows over chunks."""
+    plan = evidence_queries.chunked_frames(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    chunks = spark.createDataFrame([(1, 0, "a")], "id int, seq int, chunk string")
+    assert frames.from_chunks(chunks)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
 def test_points_in_intervals(spark):
     rng = random.Random(9)
     points = [(rng.choice("ab"), rng.randint(-50, 5000)) for _ in range(300)] + [("a", None), (None, 3)]
