@@ -8,6 +8,7 @@ Input is ``layout_spans``: ``doc_id``, ``page``, ``line``, ``text``, ``font``,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,10 +43,14 @@ def is_safe_font(font: Column) -> Column:
 
 
 def lines(spans: DataFrame, by: Sequence[str] = ("doc_id", "page", "line")) -> DataFrame:
-    """Spans of a line as one row: text in order of x, box, largest size, whether bold (any span) and hidden (all non-blank ones)."""
+    """Spans of a line as one row: text in order of x, box, largest size, whether bold (any span) and hidden (all non-blank ones).
+
+    Spans are dealt by document, the first of ``by``, so that what is done by
+    document, page or line afterwards shuffles no texts again.
+    """
     shown = F.trim("text") != ""
     parts = F.sort_array(F.collect_list(F.struct("x0", "span", "text")))
-    return spans.groupBy(*by).agg(
+    return spans.repartition(by[0]).groupBy(*by).agg(
         F.concat_ws("", F.transform(parts, lambda p: p["text"])).alias("text"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         F.max(F.when(shown, F.col("size"))).alias("size"),
@@ -55,46 +60,70 @@ def lines(spans: DataFrame, by: Sequence[str] = ("doc_id", "page", "line")) -> D
     )
 
 
+def _with_gutters(lines_: DataFrame, by: Sequence[str] = ("doc_id", "page"), least_lines: int = 6, least_width: float = 0.03, least_side: float = 0.15) -> DataFrame:
+    """Lines with ``gutters`` of their page, left and right edges, null or empty if it has none; by windows, so that lines stay where they are.
+
+    Marks that no line crosses are bits of a number. A gutter is ``wide`` steps wide
+    at least and a crossed mark parts it from the next, so a page has ``most`` at most.
+    """
+    page, first, n_marks = Window.partitionBy(*by), STEP_SHARES[0], len(STEP_SHARES)
+    wide = next((n for n in range(n_marks) if n / 100 >= least_width), n_marks)
+    most = max(1, (n_marks + 1) // (wide + 2))
+    left_edge, right_edge = F.col("x0") / F.col("page_width"), F.col("x1") / F.col("page_width")
+    crossed = [F.when((left_edge < i / 100) & (right_edge > i / 100), F.lit(1 << (i - first)).cast("long")).otherwise(F.lit(0).cast("long")) for i in STEP_SHARES]
+    out = lines_.withColumn("__crossed", reduce(Column.bitwiseOR, crossed)).withColumns({"__n": F.count("*").over(page), "__crossed": F.bit_or("__crossed").over(page)})
+    free = F.bitwise_not("__crossed").bitwiseAND(F.lit((1 << n_marks) - 1))
+    begun = reduce(Column.bitwiseAND, [F.shiftright(free, n) for n in range(wide + 1)])  # marks from which ``wide`` steps are free
+    out = out.withColumn("__begun", F.when(F.col("__n") >= least_lines, F.shiftleft(begun, 1)).otherwise(F.lit(0).cast("long")))
+    two = lambda at: F.call_function("shiftright", F.col("__begun"), at - first).bitwiseAND(F.lit(3))  # noqa: E731  a mark's bit, above that of the mark before
+    marks = F.array(*map(F.lit, STEP_SHARES))
+    runs = F.zip_with(F.filter(marks, lambda i: two(i) == 2), F.filter(marks, lambda i: two(i + 1) == 1), lambda a, b: F.struct((a / 100).alias("left"), ((b + wide) / 100).alias("right")))
+    out = out.withColumns({"__runs": F.when(F.col("__begun") != 0, runs), "__left_edge": left_edge, "__right_edge": right_edge})
+    run = [F.get("__runs", F.lit(k)) for k in range(most)]
+    sides = {f"__left{k}": F.count_if(F.col("__right_edge") <= r["left"]).over(page) for k, r in enumerate(run)} | {f"__right{k}": F.count_if(F.col("__left_edge") >= r["right"]).over(page) for k, r in enumerate(run)}
+    kept = [F.when((F.col(f"__left{k}") / F.col("__n") >= least_side) & (F.col(f"__right{k}") / F.col("__n") >= least_side), r) for k, r in enumerate(run)]
+    return out.withColumns(sides).select(*lines_.columns, F.when(F.col("__begun") != 0, F.array_compact(F.array(*kept))).alias("gutters"))
+
+
 def gutters(lines_: DataFrame, by: Sequence[str] = ("doc_id", "page"), least_lines: int = 6, least_width: float = 0.03, least_side: float = 0.15) -> DataFrame:
     """Vertical strips that no line crosses: keys, ``left``, ``right`` (shares of the page width).
 
     Every hundredth from 20 to 80 % of the width is a candidate; neighbours merge;
     a gutter is wide enough and has lines enough on both sides.
     """
-    sized = lines_.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where(F.col("__n") >= least_lines)
-    marks = F.array(*[F.lit(i) for i in STEP_SHARES])
-    crossed = F.filter(marks, lambda i: (F.col("x0") / F.col("page_width") < i / 100) & (F.col("x1") / F.col("page_width") > i / 100))
-    free = sized.groupBy(*by).agg(F.array_except(marks, F.array_distinct(F.flatten(F.collect_set(crossed)))).alias("free"), F.collect_list(F.struct((F.col("x0") / F.col("page_width")).alias("a"), (F.col("x1") / F.col("page_width")).alias("b"))).alias("boxes"))
-    each = free.select(*by, "boxes", F.posexplode("free").alias("pos", "at")).withColumn("run", F.col("at") - F.col("pos"))
-    runs = each.groupBy(*by, "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.first("boxes").alias("boxes"))
-    left = F.size(F.filter("boxes", lambda x: x["b"] <= F.col("a") / 100)) / F.size("boxes")
-    right = F.size(F.filter("boxes", lambda x: x["a"] >= F.col("b") / 100)) / F.size("boxes")
-    return runs.where(((F.col("b") - F.col("a")) / 100 >= least_width) & (left >= least_side) & (right >= least_side)).select(*by, (F.col("a") / 100).alias("left"), (F.col("b") / 100).alias("right"))
-
-
-def reading_order(lines_: DataFrame, gutters_: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Lines with ``column`` (gutters to the left), ``ord``, and ``start`` and ``end`` offsets in the text that they make."""
-    cuts = gutters_.groupBy(doc, "page").agg(F.sort_array(F.collect_list("right")).alias("cuts"))
-    placed = lines_.join(cuts, [doc, "page"], "left")
+    pages = _with_gutters(lines_.select(*by, "x0", "x1", "page_width"), by, least_lines, least_width, least_side).groupBy(*by)
+    return pages.agg(F.first("gutters").alias("gutters")).select(*by, F.inline("gutters"))
+
+
+def reading_order(lines_: DataFrame, gutters_: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
+    """Lines with ``column`` (gutters to the left), ``ord``, and ``start`` and ``end`` offsets in the text that they make.
+
+    Without ``gutters_`` those of ``gutters`` are found on the way, and lines that
+    are dealt by document already are not shuffled again.
+    """
+    if gutters_ is None:
+        known = F.col(doc).isNotNull() & F.col("page").isNotNull()
+        placed = _with_gutters(lines_, (doc, "page")).withColumn("cuts", F.when(known, F.col("gutters")["right"])).drop("gutters")
+    else:
+        placed = lines_.join(gutters_.groupBy(doc, "page").agg(F.sort_array(F.collect_list("right")).alias("cuts")), [doc, "page"], "left")
     column = F.coalesce(F.size(F.filter("cuts", lambda c: F.col("x0") / F.col("page_width") >= c - 0.005)), F.lit(0))
-    order = Window.partitionBy(doc).orderBy("page", "column", F.bround("y0", 1), "x0", "line")
-    length = F.length("text") + 1
-    out = placed.withColumn("column", column).withColumn("ord", F.row_number().over(order) - 1)
-    start = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return out.withColumn("start", start).withColumn("end", F.col("start") + F.length("text")).drop("cuts")
+    order = Window.partitionBy(doc).orderBy("page", "column", "__y", "x0", "line")
+    before = F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    out = placed.withColumns({"column": column, "__y": F.bround("y0", 1)}).withColumns({"ord": F.row_number().over(order) - 1, "start": F.coalesce(before, F.lit(0)).cast("long")})
+    return out.withColumn("end", F.col("start") + F.length("text")).drop("cuts", "__y")
 
 
 def strip_repeated(lines_: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Lines without the top (and bottom) line of every page where all pages of a document agree on it, digits aside."""
     key = F.trim(F.regexp_replace("text", r"\d+", ""))
-    top, bottom = (Window.partitionBy(doc, "page").orderBy(*o) for o in (("y0", "x0", "line"), (F.desc("y0"), F.desc("x0"), F.desc("line"))))
-    ranked = lines_.withColumn("__key", key).withColumn("__top", F.row_number().over(top)).withColumn("__bottom", F.row_number().over(bottom))
-    for side in ("__top", "__bottom"):
-        edges = ranked.where(F.col(side) == 1).groupBy(doc).agg(F.count("*").alias("__pages"), F.count_distinct("__key").alias("__kinds"), F.min("__key").alias("__min"))
-        same = edges.where("__pages > 1 AND __kinds = 1 AND __min <> ''").select(doc, F.lit(1).alias(f"{side}_same"))
-        ranked = ranked.join(same, doc, "left")
-    gone = ((F.col("__top") == 1) & F.col("__top_same").isNotNull()) | ((F.col("__bottom") == 1) & F.col("__bottom_same").isNotNull())
-    return ranked.where(~gone).select(*lines_.columns)
+    page, whole = Window.partitionBy(doc, "page"), Window.partitionBy(doc)
+    ranked = lines_.withColumn("__rank", F.row_number().over(page.orderBy("y0", "x0", "line"))).withColumn("__last", F.count("*").over(page))
+    ranked = ranked.withColumn("__top", F.col("__rank") == 1).withColumn("__bottom", F.col("__rank") == F.col("__last"))
+    ranked = ranked.withColumn("__key", F.when(F.col("__top") | F.col("__bottom"), key))
+    least, most = ({s: f(F.when(F.col(s), F.col("__key"))).over(whole) for s in ("__top", "__bottom")} for f in (F.min, F.max))
+    ranked = ranked.withColumns({"__pages": F.count_if("__top").over(whole)} | {f"{s}_same": (least[s] == most[s]) & (least[s] != "") for s in least})
+    gone = F.col(doc).isNotNull() & (F.col("__pages") > 1) & ((F.col("__top") & F.col("__top_same")) | (F.col("__bottom") & F.col("__bottom_same")))
+    return ranked.where(~F.coalesce(gone, F.lit(False))).select(*lines_.columns)
 
 
 def body_size(lines_: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -818,7 +818,7 @@ SELECT doc_id, page, line, col::BIGINT AS "column", ord, coalesce(sum(length(tex
 def reading_order(spark, d):
     """Lines without running heads (and last lines that all pages of a document share), in the order of columns."""
     body = layout.strip_repeated(layout.lines(layout_spans(spark, d)))
-    out = layout.reading_order(body, layout.gutters(body))
+    out = layout.reading_order(body)
     return out.select("doc_id", "page", "line", F.col("column").cast("long").alias("column"), F.col("ord").cast("long").alias("ord"), "start")
 
 

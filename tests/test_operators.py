@@ -519,6 +519,78 @@ def test_reading_order(spark):
     assert lines.where("hidden").count() == 2 and lines.where("bold").count() == 16
 
 
+def boxes(seed, pages=60):
+    """Pages of random lines, most in columns: some cross a gutter, some lack an edge, some boxes are empty."""
+    rng, rows = random.Random(seed), []
+    for page in range(pages):
+        edges = sorted(rng.sample(range(40, 560), rng.choice((2, 4, 6, 8, 16))))
+        for line in range(rng.choice((3, 5, 6, 20, 40))):
+            k = 2 * rng.randrange(len(edges) // 2)
+            x0, x1 = (edges[k], edges[k + 1]) if rng.random() < 0.98 else (rng.randrange(600), rng.randrange(600))
+            x0, x1 = (None if rng.random() < 0.005 else float(x) for x in (x0, x1))
+            rows.append((page % 7 if page % 13 else None, page, line, f"{rng.choice('ab ')}{line % 3 or page}", x0, float(rng.randrange(0, 700, 20)), x1, 600.0))
+    return rows
+
+
+BOXES = "doc_id int, page int, line int, text string, x0 double, y0 double, x1 double, page_width double"
+
+
+def plain_gutters(lines, least_lines, least_width, least_side):
+    shares = [(x0 / w if x0 is not None else None, x1 / w if x1 is not None else None) for *_, x0, _, x1, w in lines]
+    if len(shares) < least_lines:
+        return []
+    free = [i for i in range(20, 81) if not any(a is not None and b is not None and a < i / 100 < b for a, b in shares)]
+    runs = [[i for i in free if i - free.index(i) == r] for r in sorted({i - n for n, i in enumerate(free)})]
+    part = lambda hits: sum(hits) / len(shares)
+    return [(r[0] / 100, r[-1] / 100) for r in runs if (r[-1] - r[0]) / 100 >= least_width and part([b is not None and b <= r[0] / 100 for _, b in shares]) >= least_side and part([a is not None and a >= r[-1] / 100 for a, _ in shares]) >= least_side]
+
+
+@pytest.mark.parametrize("least", [(6, 0.03, 0.15), (1, 0.0, 0.0), (4, 0.08, 0.3), (1, 0.6, 0.0), (1, 0.61, 0.0), (1, 2.0, 0.0)])
+def test_gutters_against_brute_force(spark, least):
+    rows = boxes(3)
+    by_page = {}
+    for r in rows:
+        by_page.setdefault(r[:2], []).append(r)
+    want = sorted((p, *g) for (_, p), lines in by_page.items() for g in plain_gutters(lines, *least))
+    df = spark.createDataFrame(rows, BOXES)
+    assert sorted((r["page"], r["left"], r["right"]) for r in layout.gutters(df, ("doc_id", "page"), *least).collect()) == want
+    assert (len(want) > 20) == (least[1] < 0.5)
+
+
+def test_reading_order_finds_the_same_gutters_itself(spark):
+    df = spark.createDataFrame(boxes(5), BOXES)
+    got, want = layout.reading_order(df), layout.reading_order(df, layout.gutters(df))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.where("column > 1").count() > 50 and got.where("doc_id IS NULL").agg(F.max("column")).first()[0] == 0
+
+
+def test_repeated_lines_against_brute_force(spark):
+    rows = [(d, p, i, f"{'Top' if i == 0 else 'end' if i == 4 else 'x'} {p if i in (0, 4) else i}{'!' * (d == 2 and p == 1)}", 0.0, 9.0 * i, 1.0, 1.0) for d in range(4) for p in range(1 + d) for i in range(5)]
+    rows += [(None, p, i, "same", 0.0, 1.0 * i, 1.0, 1.0) for p in range(2) for i in range(3)] + [(9, p, i, "7" if i else "Head", 0.0, 1.0 * i, 1.0, 1.0) for p in range(2) for i in range(2)] + [(10, p, 0, "Only", 0.0, 0.0, 1.0, 1.0) for p in range(3)]
+    pages = {}
+    for r in rows:
+        pages.setdefault(r[:2], []).append((r[5], r[4], r[2], r))
+    gone = []
+    for d in {r[0] for r in rows} - {None}:
+        for f in (min, max):
+            edge = [f(v)[3] for k, v in pages.items() if k[0] == d]
+            keys = {re.sub(r"\d+", "", r[3]).strip(" ") for r in edge}
+            gone += edge if len(edge) > 1 and len(keys) == 1 and keys != {""} else []
+    got = [tuple(r) for r in layout.strip_repeated(spark.createDataFrame(rows, BOXES)).collect()]
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in rows if r not in gone)
+    assert {r[0] for r in gone} == {1, 3, 9, 10}
+
+
+def test_reading_order_shuffles_texts_once(spark):
+    out = layout.reading_order(layout.strip_repeated(layout.lines(spans(spark))))
+    assert out.count() == 32
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    big = queries.reading_order(spark, "/root/testdata/sf0.001")
+    exchanged = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", big._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanged) == 2 and sum("page" in e for e in exchanged) == 1  # spans by document, and the numbers of pages that get a head
+
+
 def test_signals_and_rules(spark):
     blocks = spark.createDataFrame([(1, 1, "image", 0.3, 0), (1, 1, "table", 0.1, 3)], "doc_id int, page int, kind string, area_share double, rows int")
     s = layout.signals(spans(spark), blocks).first()
