@@ -126,10 +126,11 @@ def strip_repeated(lines_: DataFrame, doc: str = "doc_id") -> DataFrame:
     return ranked.where(~F.coalesce(gone, F.lit(False))).select(*lines_.columns)
 
 
-def body_size(lines_: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The upper median of the sizes of non-blank lines."""
+def body_size(lines_: DataFrame, by: Sequence[str] = ("doc_id",), *more: Column) -> DataFrame:
+    """The upper median of the sizes of non-blank lines, and ``more`` aggregates of the same lines."""
     sizes = F.sort_array(F.collect_list("size"))
-    return lines_.where(F.trim("text") != "").groupBy(*by).agg(sizes.alias("s")).select(*by, F.get("s", (F.floor(F.size("s") / 2)).cast("int")).alias("body_size"))
+    shown = lines_.where(F.trim("text") != "").groupBy(*by).agg(sizes.alias("__s"), *more)
+    return shown.withColumn("body_size", F.get("__s", (F.floor(F.size("__s") / 2)).cast("int"))).drop("__s")
 
 
 def signals(spans: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:

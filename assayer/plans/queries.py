@@ -826,8 +826,7 @@ def reading_order(spark, d):
 SELECT doc_id, s[len(s) // 2 + 1]::DOUBLE AS body_size, bold_lines, hidden_lines FROM s""")
 def layout_lines(spark, d):
     lines = layout.lines(layout_spans(spark, d))
-    marks = lines.where(F.trim("text") != "").groupBy("doc_id").agg(F.count_if("bold").alias("bold_lines"), F.count_if("hidden").alias("hidden_lines"))
-    return layout.body_size(lines).join(marks, "doc_id")
+    return layout.body_size(lines, ["doc_id"], F.count_if("bold").alias("bold_lines"), F.count_if("hidden").alias("hidden_lines"))
 
 
 @query("""SELECT doc_id, md5(replace(replace(text, '１', '1'), 'ﬁ', 'fi')) AS folded, length(text) AS n_chars, 2 AS first, CASE WHEN doc_id % 2 = 0 THEN 6 ELSE 5 END AS past FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a ﬁx １ ' ELSE 'a fix 1 ' END || strip_accents(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) AS text FROM documents WHERE text IS NOT NULL)""")

@@ -586,9 +586,10 @@ def test_reading_order_shuffles_texts_once(spark):
     out = layout.reading_order(layout.strip_repeated(layout.lines(spans(spark))))
     assert out.count() == 32
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
-    big = queries.reading_order(spark, "/root/testdata/sf0.001")
-    exchanged = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", big._jdf.queryExecution().executedPlan().toString())
-    assert len(exchanged) == 2 and sum("page" in e for e in exchanged) == 1  # spans by document, and the numbers of pages that get a head
+    for query in (queries.reading_order, queries.layout_lines):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        exchanged = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert len(exchanged) == 2 and sum("page" in e for e in exchanged) == 1  # spans by document, and the numbers of pages that get a head
 
 
 def test_signals_and_rules(spark):
