@@ -110,11 +110,15 @@ def normalised_spans(spark, d):
     line = lambda s, k: F.when(k % 4 == 0, F.concat(F.lit("● "), F.replace(s, F.lit(" "), F.lit("  ")))).when(k % 4 == 1, F.concat(F.lit("S K I L L S\n"), s, F.lit("  "))).when(k % 4 == 2, F.concat(F.lit("ﬁne auto-\nmation "), s)).otherwise(s)
     rough = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
     out = normalising.normalised(tables.dealt_table(spark, d, "documents").select("doc_id", rough.alias("text")))
-    lines = out.select("id", "at", "source", "repairs", F.posexplode(F.split("normalised", "\n", -1)).alias("line", "said"))
-    before = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("first", F.coalesce(F.sum(F.length("said") + 1).over(before), F.lit(0)).cast("int")).where("said <> ''")
-    span = normalising.original_span(F.col("first"), F.col("first") + F.length("said"), F.col("at"), F.col("source"))
-    return lines.select(F.col("id").alias("doc_id"), F.col("line").cast("long").alias("line"), span.alias("span"), F.md5(F.col("said").cast("binary")).alias("said"), F.col("repairs").cast("long").alias("repairs")).select("doc_id", "line", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"), "said", "repairs")
+    # within the row, as a line that leaves it would take all the pieces of its text along
+    parts = out.select("id", "at", "source", "repairs", F.split("normalised", "\n", -1).alias("parts"))
+    parts = parts.select("*", F.transform("parts", lambda p: F.length(p) + 1).alias("lengths"))
+    parts = parts.select("id", "at", "source", "repairs", "parts", T.starts(F.col("lengths")).alias("firsts"))
+    numbered = F.transform(F.arrays_zip("parts", "firsts"), lambda x, i: F.struct(i.cast("long").alias("line"), x["firsts"].cast("int").alias("first"), x["parts"].alias("said")))
+    span = lambda x: normalising.original_span(x["first"], x["first"] + F.length(x["said"]), F.col("at"), F.col("source"))
+    each = F.transform(F.filter(numbered, lambda x: x["said"] != ""), lambda x: F.struct(x["line"].alias("line"), span(x).alias("span"), F.md5(x["said"].cast("binary")).alias("said")))
+    lines = parts.select("id", "repairs", F.inline_outer(each)).where(F.col("line").isNotNull())
+    return lines.select(F.col("id").alias("doc_id"), "line", F.col("span.start").cast("long").alias("start"), F.col("span.end").cast("long").alias("end"), "said", F.col("repairs").cast("long").alias("repairs"))
 
 
 def pieces(rows: DataFrame, by: str, pattern: str, name: str, words: bool = False) -> DataFrame:

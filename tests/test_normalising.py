@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assayer.operators import normalising as N
+from assayer.plans import evidence_queries
 
 
 def plain(text):
@@ -72,3 +73,8 @@ def test_span_in_the_original(spark):
     out = N.normalised(df).withColumn("a", F.instr("normalised", "Profiled the automation") - 1)
     r = out.select(N.original_span(F.col("a"), F.col("a") + 23, F.col("at"), F.col("source")).alias("s"), N.original_span(F.col("a"), F.col("a"), F.col("at"), F.col("source")).alias("none")).first()
     assert text[r["s"]["start"] : r["s"]["end"]] == "Proﬁled  the auto-\nmation" and r["none"] is None
+
+
+def test_lines_stay_in_the_row_of_their_text(spark):
+    plan = evidence_queries.normalised_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
