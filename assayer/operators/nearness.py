@@ -89,6 +89,10 @@ def similar(left: DataFrame, right: DataFrame, least: float = FUZZY_LEAST) -> Da
     a, b = (x.where("s <> ''").select("s").distinct() for x in (left, right))
     if least <= 200 / 3:
         raise ValueError("bigrams tell nothing of similarities that low")
+    # only lengths that some string of the other side allows, a little more by rounding; the exact condition follows
+    ratio = (200 - least) / least
+    sizes = b.select(F.length("s").alias("__m")).distinct().select(F.explode(F.sequence(F.floor(F.col("__m") / ratio).cast("int"), F.ceil(F.col("__m") * ratio).cast("int"))).alias("__n")).distinct()
+    a = a.join(F.broadcast(sizes), F.length("s") == F.col("__n"), "left_semi")
     some = F.length("s") >= 2
     frequency = a.unionByName(b).where(some).select(F.explode(bigrams(F.col("s"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     first = _prefixes(a.where(some), frequency, least)

@@ -14,6 +14,7 @@ from assayer.functions import text as T
 from assayer.operators import layout, locating, matching, normalising, ranges, rules, scoring, sections, sharing
 from assayer.plans.queries import _COVERAGE, ORIGIN_NAMES, RATIO, _band, _even, _gate, layout_spans, query, requirements, strings
 from assayer.sources import frames, tables
+from assayer.sources.kept import keep
 
 #: Names for skills of test rows: parts have none that are long enough for typing errors.
 NAMES = ["kubernetes", "postgresql", "terraform", "javascript", "typescript", "elasticsearch", "flask", "slack", "docker", "ansible", "jenkins", "graphql"]
@@ -75,7 +76,7 @@ def cascade_tiers(spark, d):
     known = spark.createDataFrame([(n, n, i) for i, n in enumerate(NAMES)], "canonical string, alias string, ord int")
     texts = tables.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
     rows = asked(spark, d)
-    exact = matching.canonical(rows.drop("canonical"), known, "text")
+    exact = keep(matching.canonical(rows.drop("canonical"), known, "text"), "cascade-requirements")  # read by several tiers
     return matching.cascade(exact, named_skills(spark, d), edges, documents=texts, explain=True, shared=order_documents(spark, d).drop("o_custkey")).select("pair_id", "requirement_id", "strength", "status", "origin", "tier", "skill")
 
 

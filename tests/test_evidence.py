@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from assayer.operators import locating, matching, nearness
+from assayer.plans import evidence_queries
 
 
 def lcs(a, b):
@@ -135,3 +138,18 @@ def test_needles_anywhere(spark):
     for most in (1 << 20, 4):  # one block, and several
         assert sorted(map(tuple, locating.anywhere(docs, needles, "d", "i", most_chars=most).collect())) == want
     assert locating.anywhere(docs, needles.limit(0), "d", "i").count() == 0
+
+
+def test_cascade_reads_its_tables_and_strings_once(spark):
+    plan = evidence_queries.cascade_tiers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") <= 4 and plan.count("Exchange") <= 30
+
+
+def test_lengths_that_are_just_alike(spark):
+    for least in (70.0, 82.0, 100.0):
+        words = ["a" * n for n in range(1, 70)]
+        frame = spark.createDataFrame([(w,) for w in words], "s string")
+        few = frame.where(F.length("s").isin(1, 9, 41))
+        want = {(s, t) for s in words for t in words if len(t) in (1, 9, 41) and (s == t or 200 * min(len(s), len(t)) >= least * (len(s) + len(t)) and min(len(s), len(t)) > 1)}
+        assert {(r["s"], r["t"]) for r in nearness.similar(frame, few, least).collect()} == want
+        assert {(r["t"], r["s"]) for r in nearness.similar(few, frame, least).collect()} == want
