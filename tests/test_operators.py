@@ -699,6 +699,15 @@ def test_report(spark):
     assert advice.clean_layout_gain(parts["scores"]).where("pair_id = 1").first()["gain"] == 5.0
 
 
+def test_report_looks_for_errors_alone_and_reads_findings_once(spark):
+    rows = [(i % 3, i, t) for i, t in enumerate(["Managd teh the the team ,well", "'recieve'. javascript(", "built it,then Python..", "We Python!!", None, ""])]
+    bullets = spark.createDataFrame(rows, "pair_id int, ord int, text string")
+    every = sorted(map(tuple, writing.flags(bullets, ["pair_id"]).where("severity = 'error'").collect()))
+    assert sorted(map(tuple, writing.flags(bullets, ["pair_id"], ["error"]).collect())) == every and len(every) >= 5
+    plan = queries.full_reports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Expand") <= 2
+
+
 def test_no_plan_of_a_report_holds_the_whole_chain(spark):
     plan = report.nest(analysed(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 60
