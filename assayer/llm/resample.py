@@ -6,8 +6,8 @@ the numbers of its n-grams. Only distinct words and distinct n-grams of a block
 leave it. Words of all blocks become one dictionary of ids; n-grams become tuples
 of ids, which are counted over corpus and target; each distinct tuple's bytes are
 put together from the dictionary and hashed once; and counts of buckets give
-gains, which are joined back to the blocks. Memory is bound by a block (an Arrow
-batch), the driver sees nothing but the number of texts, and only the gains of
+gains, which are grouped with the blocks again, one at a time. Memory is bound by a
+block (an Arrow batch), the driver sees nothing but the number of texts, and only the gains of
 buckets, whose number is a parameter, are broadcast.
 """
 
@@ -27,6 +27,8 @@ from assayer.llm.shared import bounded_batches, keep
 
 #: Buckets whose gains are broadcast at most, 16 bytes each.
 MOST_BUCKETS = 1 << 20
+#: A block is a row of megabytes, so a row group holds one: a writer would else gather a hundred of them, and a reader take all of a group at once.
+ONE_BLOCK = {"parquet.block.row.count.limit": 1}
 #: Words, on bytes whose A-Z are lower-cased: ASCII digits and letters, and all bytes of other characters.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BLOCK = "block long, {ids}, n_words array<long>, n_features array<long>, sizes array<int>, grams array<int>, times array<int>, words array<binary>, tuples array<struct<member: array<int>, times: long>>"
@@ -77,19 +79,16 @@ def _grams(texts: list[np.ndarray], n: int, n_words: int) -> tuple[list[np.ndarr
     return found, [[i] for i in range(n_words)] + [list(g) for g in number]
 
 
-def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the gains of each text's features."""
-    for batch in batches:
-        for k in range(len(batch)):
-            gains = batch["gains"][k].values if batch["gains"][k].is_valid else pa.array([], pa.struct([("gram", pa.int32()), ("gain", pa.int64())]))
-            ids, n_words, n_features, sizes, grams, times = (batch[c][k].values for c in ("ids", "n_words", "n_features", "sizes", "grams", "times"))
-            gain = np.zeros(len(gains), np.int64)
-            gain[gains.field("gram").to_numpy()] = gains.field("gain").to_numpy()
-            sums = np.zeros(len(grams) + 1, np.int64)
-            np.cumsum(gain[grams.to_numpy()] * times.to_numpy(), out=sums[1:])
-            ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
-            weight = sums[ends] - sums[ends - sizes.to_numpy()]
-            yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
+def _weights(block: pa.Table, found: pa.Table) -> pa.Table:
+    """Sums of the gains of each text's features: a block with what is found for its n-grams."""
+    ids, n_words, n_features, sizes, grams, times = (block[c][0].values for c in ("ids", "n_words", "n_features", "sizes", "grams", "times"))
+    gain = np.zeros(len(found), np.int64)
+    gain[found["gram"].to_numpy()] = found["gain"].to_numpy()
+    sums = np.zeros(len(grams) + 1, np.int64)
+    np.cumsum(gain[grams.to_numpy()] * times.to_numpy(), out=sums[1:])
+    ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
+    weight = sums[ends] - sums[ends - sizes.to_numpy()]
+    return pa.table([ids, n_words, n_features, pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
 
 
 def feature_blocks(texts: DataFrame, n: int, target: bool) -> DataFrame:
@@ -123,8 +122,8 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
         raise ValueError(f"buckets must be 1 to {MOST_BUCKETS}, n 1 or more")
     bounded_batches(docs.sparkSession)
     as_texts = lambda df, c: df.select(c.alias("id"), F.col(text_col if df is docs else "text").cast("binary").alias("text"))
-    mine = keep(feature_blocks(as_texts(docs, F.col(id_col)), n, False), "resample-blocks")
-    aim = keep(feature_blocks(as_texts(target, F.lit(0)), n, True), "resample-target")
+    mine = keep(feature_blocks(as_texts(docs, F.col(id_col)), n, False), "resample-blocks", **ONE_BLOCK)
+    aim = keep(feature_blocks(as_texts(target, F.lit(0)), n, True), "resample-target", **ONE_BLOCK)
     both = mine.select("block", "words", "tuples").unionByName(aim.select("block", "words", "tuples"))
     dictionary = keep(both.select(F.explode("words").alias("word")).distinct().withColumn("word_id", F.monotonically_increasing_id()), "resample-words")
     ids = [f"id{k}" for k in range(n)]
@@ -141,9 +140,9 @@ def importance(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_
     counts = tuples.groupBy(*ids).agg(F.sum(F.when(of_target, 0).otherwise(F.col("times"))).alias("s"), F.sum(F.when(of_target, F.col("times")).otherwise(0)).alias("t"))
     hashed = keep(_spelled(counts, dictionary, n).select(*ids, "s", "t", (F.crc32("bytes") % buckets).cast("int").alias("bucket")), "resample-tuples-hashed")
     gain = hashed.join(F.broadcast(gains(hashed, buckets)), "bucket").select(*ids, "gain")
-    back = tuples.where(~of_target).select("block", "gram", *ids).join(gain, ids).groupBy("block").agg(F.collect_list(F.struct("gram", "gain")).alias("gains"))
-    done = mine.select("block", "ids", "n_words", "n_features", "sizes", "grams", "times").join(back, "block", "left")
-    return done.mapInArrow(_weights, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_features long, weight long")
+    back = tuples.where(~of_target).select("block", "gram", *ids).join(gain, ids).select("block", "gram", "gain")
+    done = mine.select("block", "ids", "n_words", "n_features", "sizes", "grams", "times").groupBy("block").cogroup(back.groupBy("block"))
+    return done.applyInArrow(_weights, f"id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_features long, weight long")
 
 
 def _spelled(counts: DataFrame, dictionary: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,9 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from assayer.llm import queries, resample
@@ -88,3 +90,18 @@ def test_query_equals_plain_version(spark):
     got = queries.op13_importance_resampling(spark, SF).collect()
     expected = drawn(by_hand(docs, target), 10, 20)
     assert sorted(((r["doc_id"], r["n_features"], r["weight"], r["score"], r["rank"]) for r in got), key=repr) == sorted(((i, f, w, s, k) for i, _, f, w, s, k in expected), key=repr)
+
+
+def test_a_row_group_holds_one_block_and_no_task_collects_gains(spark):
+    name, mark = "spark.sql.execution.arrow.maxRecordsPerBatch", len(resample.keep.__globals__["_kept"])
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "2")
+    try:
+        out = resample.importance(frame(spark, ODD).coalesce(1), spark.createDataFrame([("a b",)], "text string"))
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(by_hand(ODD, ["a b"]), key=repr)
+    finally:
+        spark.conf.set(name, was) if was else spark.conf.unset(name)
+    folder = next(x for _, x in resample.keep.__globals__["_kept"][mark:] if "resample-blocks" in x).removeprefix("file:")
+    groups = [meta.row_group(k).num_rows for f in Path(folder).glob("*.parquet") for meta in [pq.read_metadata(f)] for k in range(meta.num_row_groups)]
+    assert groups == [1] * 6
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
